@@ -42,7 +42,7 @@ def powers(n: int, base: int = _BASE, inverse: int = _INVERSE) -> tuple[np.ndarr
         up[0] = down[0] = 1
         np.multiply.accumulate(up, out=up)
         np.multiply.accumulate(down, out=down)
-        if size > 1 << 24:  # one huge text: don't keep tables of that size
+        if size > 1 << 22:  # one huge text: don't keep tables of that size
             return up, down
         have = _POWERS[base] = (up, down)
     return have
@@ -101,7 +101,7 @@ def cut_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Word
     return Words(raw, starts, ends, span_hash(_BYTE[raw], starts, ends), np.searchsorted(starts, offsets), offsets)
 
 
-def chunks(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text, bytes, offsets) of runs of whole texts of about most_bytes; a longer text is a run of its own."""
     raw, offsets = string_buffers(column)
     d, n = 0, len(offsets) - 1
@@ -123,3 +123,36 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out[0] = starts[0]
     out[heads] = starts[1:] - starts[:-1] - lengths[:-1] + 1
     return np.cumsum(out)
+
+
+class HashIndex:
+    """Place of each uint64 key in a list of distinct keys, for arrays of keys at a time; -1 where there is none."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
+        self.keys, self.place = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32)
+        left = np.arange(len(keys))
+        at = self._slot(keys)
+        while len(left):
+            free = self.place[at] < 0
+            self.place[at[free]] = left[free]  # one of those that want the slot gets it
+            won = free & (self.place[at] == left)
+            self.keys[at[won]] = keys[left[won]]
+            left, at = left[~won], (at[~won] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        out = self.place[at].astype(np.int64)
+        off = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        at = at[off]
+        while len(off):
+            at = (at + 1) & self.mask
+            got = self.place[at]
+            out[off] = got
+            more = (got >= 0) & (self.keys[at] != keys[off])
+            off, at = off[more], at[more]
+        return out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from quillon.llm.text import _BYTE, _LOWER, chunks, ragged, span_hash
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-KEEP = 3 << 20  # distinct cuts held by a worker before it starts anew
+KEEP = 1 << 19  # distinct cuts held by a worker before it starts anew
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = True
