@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> module of this subpackage with query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL
 MODULES = {
+    "op1_embedding_dedup": "embedding_dedup",
+    "op2_lm_scores": "lm",
     "op3_substring_dedup": "substring",
     "op4_vector_packing": "packing",
     "op5_token_files": "token_files",
+    "op6_kd_sharding": "sharding",
+    "op7_quality_rules": "quality",
+    "op8_order_minhash": "order_minhash",
+    "op9_prefix_table_pieces": "piece",
+    "op10_compression_toxicity": "toxicity",
 }
 
 

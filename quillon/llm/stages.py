@@ -1,5 +1,52 @@
-"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir)."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+Stages but the last return the columns of documents. A document is a row: rows are matched by
+doc_id and, where an id repeats, judged alike.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import order_minhash, packing, quality, substring, toxicity
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return _without(docs, quality.quality_rules(docs).where("not kept"))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(docs, toxicity.toxicity(docs, labels).where("predicted = 1"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: that of the smallest id."""
+    return _without(docs, order_minhash.near_duplicates(docs).where("not kept"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that a smaller id has; what has no words left goes. Untouched texts stay as they are."""
+    cut = substring.substring_dedup(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_text"), (F.col("n_removed") == F.col("n_words")).alias("_empty"))
+    joined = docs.join(cut, "doc_id", "left").where("not coalesce(_empty, false)")
+    new = {"text": F.coalesce("_text", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(new).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality_rules), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("substrings", substrings), ("packing", packed)]
