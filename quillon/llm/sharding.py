@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillon.llm.spark_util import Scratch, documents, parts_for
 
 SHARDS, BINS, ROUNDS = 16, 4096, 5
-TOLERANCE = 0.0005  # share of a leaf's bytes that a split may be off, and that a text's copies may weigh to stay together
+TOLERANCE, TOGETHER = 0.0005, 0.01  # shares of a leaf's bytes: that a split may be off; that a text's copies may weigh and stay together
 SLOT_ROWS = 20_000
 DIMENSIONS = ("size", "source", "lang", "spread")
 
@@ -29,7 +29,7 @@ def _points(docs: DataFrame, shards: int) -> DataFrame:
     total = rows.agg(F.sum("size")).alias("t")
     rows = rows.select("doc_id", "h", "size", "text_crc32").join(groups, ["h", "size", "text_crc32"])
     leaf = (total.first()[0] or 0) / shards
-    unit = F.when(F.col("weight") > leaf * TOLERANCE, F.xxhash64("h", "doc_id")).otherwise(F.xxhash64("h"))
+    unit = F.when(F.col("weight") > leaf * TOGETHER, F.xxhash64("h", "doc_id")).otherwise(F.xxhash64("h"))
     rows = rows.withColumn("u", F.shiftrightunsigned(unit, 31) / F.lit(float(1 << 33)))
     place = lambda c: F.shiftrightunsigned(F.xxhash64(F.lit(c), c), 44)
     return rows.select("doc_id", "size", "text_crc32", (F.floor(F.log2("size") * 1024) + F.col("u")).alias("x_size"), (place("source") + F.col("u")).alias("x_source"), (place("lang") + F.col("u")).alias("x_lang"), F.col("u").alias("x_spread"))
@@ -95,7 +95,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row.
 
     Null texts are empty (size 1), null source and lang are ''. Repeated rows and copies share
-    a point and so a shard, unless a text's copies weigh over TOLERANCE of a shard. slot counts
+    a point and so a shard, unless a text's copies weigh over TOGETHER of a shard. slot counts
     from 0 in each shard: by hash bucket, then doc_id. An empty table gives an empty result."""
     spark = docs.sparkSession
     scratch = Scratch(spark)

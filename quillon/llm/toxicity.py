@@ -3,8 +3,8 @@
 A window is `WINDOW` words, lowered, followed by a fixed text that all dictionaries hold (a
 compressor finds no match in an input's last bytes). Its distance is the compressed size
 with a dictionary of ordinary text less that with one of toxic text. There are `FOLDS_K`
-pairs of dictionaries, each from other labelled documents: a window is evidence only if
-every toxic dictionary saves bytes, so that chance finds of one document's words fall away.
+pairs of dictionaries, each from other labelled documents, and a window's evidence is their
+mean saving, so that chance finds of one document's words weigh little.
 A document's features are its three best windows and its length; a logistic curve,
 calibrated on labelled documents by dictionaries that don't hold them, gives the score.
 
@@ -31,8 +31,10 @@ from quillon.llm.text import _BYTE, chunks, cut_words, span_hash
 FOLDS, HELD_OUT = 3, 1
 SAMPLE = {1: 4000, 0: 6000}  # labelled documents that are read to learn from: toxic, ordinary
 WINDOW, FOLDS_K, TOP = 1, 4, 3
+CALIBRATE = 3000  # ordinary documents that the curve is fitted to, or as many as toxic ones if these are more
 ORDINARY_BYTES, TOXIC_BYTES = 1000 << 10, 300 << 10
 THRESHOLD = 0.7
+WRONG = 3.0  # how much worse a marked clean document is than a missed toxic one, as shares of their kinds
 KEEP = 1 << 20  # distinct windows held by a worker before it starts anew
 _TAIL = b"~0Qz7#kV9@xJ4^mW2&yB8*hG5%tR1=cD3+pL6_nS!fK?wZaEoU"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -74,17 +76,16 @@ class Model:
         return self.__dict__ | {"_tools": None, "_seen": {}}
 
     def evidence(self, window: bytes, without: int = -1) -> float:
-        """Mean bytes saved by the toxic dictionaries; 0 unless each saves some."""
+        """Mean bytes saved by the toxic dictionaries; 0 if the first two save none."""
         if self._tools is None:
             self._tools = [(_sizes(a), _sizes(b)) for a, b in self.pairs]
-        window, total = window + _TAIL, 0
+        window, saved = window + _TAIL, []
         for k, (ordinary, toxic) in enumerate(self._tools):
             if k != without:
-                saved = ordinary(window) - toxic(window)
-                if saved <= 0:
+                saved.append(max(-2, min(6, ordinary(window) - toxic(window))))
+                if len(saved) == 2 and max(saved) <= 0:
                     return 0.0
-                total += min(6, saved)
-        return total / (len(self._tools) - (without >= 0))
+        return max(0.0, sum(saved) / len(saved))
 
     def features(self, raw: np.ndarray, offsets: np.ndarray, without: int = -1) -> np.ndarray:
         """A row per text: best windows' evidence, log of words, 1."""
@@ -119,7 +120,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights, -60, 60)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, decay: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, decay: float = 1e-1) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
@@ -147,11 +148,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     x, y = [], []
     for k in (0, 1):
         for f in range(FOLDS_K):
-            own = folds[k][f] if k else folds[k][f][:: max(1, len(texts[0]) // (2 * len(texts[1])))]
+            own = folds[k][f] if k else folds[k][f][: max(len(folds[1][f]), CALIBRATE // FOLDS_K)]
             if own:
                 x.append(model.features(*_joined(own), without=f))
                 y.append(np.full(len(own), float(k)))
-    model.weights = _logistic(np.concatenate(x), np.concatenate(y))
+    x, y = np.concatenate(x), np.concatenate(y)
+    model.weights = _logistic(x, y)
+    # calibration: the curve passes THRESHOLD where missed and wrongly marked documents, as shares of their kinds, are fewest
+    z = x @ model.weights
+    cuts = np.unique(z)
+    cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
+    missed = np.searchsorted(np.sort(z[y == 1]), cuts) / (y == 1).sum()
+    marked = 1 - np.searchsorted(np.sort(z[y == 0]), cuts) / (y == 0).sum()
+    model.weights[TOP + 1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cuts[np.argmin(missed + WRONG * marked)]
     return model
 
 
