@@ -17,11 +17,13 @@ from quillon.schemas import Policy
 IDLE_MS = 1800 * 1000
 
 
-def session_stream(events: DataFrame, policy: Policy = Policy(), idle_ms: int = IDLE_MS) -> DataFrame:
+def session_stream(events: DataFrame, policy: Policy = Policy(), idle_ms: int | None = None) -> DataFrame:
     """Turn statistics of a stream of events, as the batch replay gives them.
 
     A batch's events of a session are taken in order of sequence. The state is the session's
-    tree; sessions idle for idle_ms are dropped. Nothing is dropped for lack of room."""
+    tree; with idle_ms (such as IDLE_MS), sessions idle so long are dropped. A query that is to
+    end by itself (availableNow) must leave idle_ms out: timeouts keep it running. Nothing is
+    dropped for lack of room."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -31,10 +33,11 @@ def session_stream(events: DataFrame, policy: Policy = Policy(), idle_ms: int =
         rows = [e for frame in frames for e in frame.to_dict("records")]
         out = [{"session_id": s.session_id} | fold.step(s, e, policy) for e in sorted(rows, key=lambda e: e["sequence"])]
         state.update((pickle.dumps(s),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out)
 
-    return prepared(events).groupBy("session_id").applyInPandasWithState(run, TURN_STATS, "tree binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return prepared(events).groupBy("session_id").applyInPandasWithState(run, TURN_STATS, "tree binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def running_metrics(events: DataFrame) -> DataFrame:
