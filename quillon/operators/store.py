@@ -101,3 +101,8 @@ def rehydrate(branches: DataFrame, events: DataFrame) -> DataFrame:
     """Raw events of each branch, in order; a branch whose events are gone has none."""
     refs = branches.select("branch_id", "session_id", F.explode("raw_event_refs").alias("event_id"))
     return refs.join(events, ["session_id", "event_id"])
+
+
+def replace_children(child_ids: Column, replaced: Column, new: Column) -> Column:
+    """A parent's list without the replaced children, then the new one."""
+    return F.concat(F.array_except(child_ids, replaced), F.array(new))

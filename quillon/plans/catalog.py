@@ -621,6 +621,47 @@ def _(s, d):
     return prompts.compile_prompts(x, 250, "score")
 
 
+@query("g15_compile_with_hits", compile_sql(250).replace("round(retention_score, 9) AS score", "round(CASE WHEN turn_number % 3 = 0 THEN retention_score + 0.2 * (turn_number % 10) / 10.0 ELSE retention_score END, 9) AS score"))
+def _(s, d):
+    x = scoring.score_nodes(log_nodes(s, d))
+    hits = x.where("turn_number % 3 = 0").select("session_id", "node_id", ((F.col("turn_number") % 10) / 10.0).alias("hit"))
+    return prompts.compile_with_hits(x, hits, 250)
+
+
+@query("k3_stable_render", compile_sql(250).replace("'- ' || body || chr(10), '' ORDER BY k", "'- ' || body || chr(10), '' ORDER BY turn_number, node_id"))
+def _(s, d):
+    x = scoring.score_nodes(log_nodes(s, d)).withColumn("score", F.round("retention_score", 9))
+    return prompts.compile_prompts(x, 250, "score", stable=True)
+
+
+@query("j10_grid", f"{CONV} SELECT session_id, sequence, strategy FROM c, (VALUES ('naive'), ('sliding'), ('managed')) t(strategy) WHERE event_type = 'user_prompt'")
+def _(s, d):
+    names = s.createDataFrame([("naive",), ("sliding",), ("managed",)], "strategy string")
+    return evaluate.grid(conversation_events(s, d).where("event_type = 'user_prompt'").select("session_id", "sequence"), names)
+
+
+@query("u3_replaced_children", f"{NODE}, p AS (SELECT session_id, parent_id, list(node_id ORDER BY node_id) AS ids FROM n WHERE parent_id <> '' GROUP BY ALL) SELECT session_id, parent_id, array_to_string(list_append(ids[2:], 'compressed_' || parent_id), ',') AS children FROM p")
+def _(s, d):
+    p = log_nodes(s, d).where("parent_id <> ''").groupBy("session_id", "parent_id").agg(F.sort_array(F.collect_list("node_id")).alias("ids"))
+    new = store.replace_children(F.col("ids"), F.slice("ids", 1, 1), F.concat(F.lit("compressed_"), "parent_id"))
+    return p.select("session_id", "parent_id", F.array_join(new, ",").alias("children"))
+
+
+@query("v5_v7_live_index", "SELECT label::VARCHAR AS session_id, count(*) AS n FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 10 <> 0 GROUP BY 1")
+def _(s, d):
+    v = vector_nodes(s, d)
+    gone = v.where(F.col("node_id").endswith("0")).select("session_id", "node_id")
+    live = index.valid(store.node_embeddings(v, False), 64).join(gone, ["session_id", "node_id"], "left_anti")
+    return live.groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query("st_session_stream")
+def _(s, d):
+    from quillon.streaming.sessions import conversation_stream
+
+    return conversation_stream(s, d, Policy(budget=300))
+
+
 # --- vectors ---------------------------------------------------------------------------
 
 

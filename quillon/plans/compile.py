@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.scoring import bucket_rank
+from quillon.functions.scoring import bucket_rank, effective_score
 from quillon.functions.text import token_count
 from quillon.schemas import SECTION_LABELS
 
@@ -77,6 +77,15 @@ def compile_prompts(nodes: DataFrame, budget: int, score: str = "retention_score
     return out.withColumn("compiled_tokens", F.col("reserved") + token_count(F.col("prompt"))).drop("reserved")
 
 
+def compile_with_hits(scored: DataFrame, hits: DataFrame, budget: int, weight: float = 0.2, reserved: Column | None = None, stable: bool = False) -> DataFrame:
+    """Prompts of scored nodes whose order similarity hits (session_id, node_id, hit) change.
+
+    Without a hit, or with weight 0, a node keeps its retention score."""
+    both = scored.join(hits.select("session_id", "node_id", "hit"), ["session_id", "node_id"], "left")
+    score = effective_score(F.col("retention_score"), F.col("semantic"), F.col("hit"), weight)
+    return compile_prompts(both.withColumn("effective", F.round(score, 9)), budget, "effective", reserved, stable)
+
+
 def history_section(turns: DataFrame, kept: DataFrame) -> DataFrame:
     """The context section of kept turns (session_id, sequence, role, content) in order."""
     lines = turns.join(kept.select("session_id", "sequence"), ["session_id", "sequence"], "left_semi")

@@ -12,8 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+def conversation_events(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    c = table(spark, sf_dir, "conversations") if rows is None else rows
     return c.select(F.col("conv_id").cast("string").alias("session_id"), (F.col("turn") + 1).cast("long").alias("sequence"), text.event_type_of_role(F.col("role")).alias("event_type"), "role", F.col("text").alias("payload"), text.token_count(F.col("text")).alias("token_count"))
 
 

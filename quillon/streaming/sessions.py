@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillon.plans import fold
 from quillon.plans.replay import TURN_STATS, prepared
 from quillon.schemas import Policy
+from quillon.sources.folders import shared_folder
 
 IDLE_MS = 1800 * 1000
 
@@ -54,3 +56,14 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append")
     """Writes all that is available as Parquet and stops."""
     query = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def conversation_stream(spark: SparkSession, sf_dir: str, policy: Policy = Policy()) -> DataFrame:
+    """Turn statistics of the conversations table read as a stream, to its end, by way of Parquet files."""
+    from quillon.sources.tables import conversation_events
+
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.par*")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    run_to_end(session_stream(conversation_events(spark, sf_dir, stream), policy), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(TURN_STATS).parquet(f"{folder}/out")
