@@ -9,8 +9,9 @@ no further apart than the threshold allows) has similarity aligned / (n1 + n2 -
 0.8 or more: the Jaccard similarity of five-word shingles, but for moved passages.
 
 Search: equal word sequences are one text. In each bucket all texts are compared with the
-smallest; what is then still in different classes, shares a bucket and a second key, is
-compared too, every pair of it. Nothing is capped.
+smallest. In buckets that then hold several classes still, every pair of different classes
+that shares a second key is compared, within tasks that hold two blocks of the bucket and
+return only links that join classes. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.spark_util import Scratch, components, documents
-from quillon.llm.text import U64, Words, chunks, cut_words, mix, span_hash
+from quillon.llm.text import U64, Words, chunks, cut_words, mix, span_hash, string_buffers
 
 K, ROUNDS, PICKED, SIMILARITY = 5, 16, 3, 0.8
 _SEEDS = mix(np.arange(1, 2 * ROUNDS + 1, dtype=U64) * U64(0x9FB21C651E98DF25)).reshape(2, ROUNDS)
 _SECOND = 0xC2B2AE3D27D4EB4F
+BLOCK = 2048  # texts of a bucket that are compared in one task
 _EXPECTED = 24  # k-mers of a text that a round's threshold lets through on average
 
 
@@ -143,6 +145,60 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return wide.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, similarity double")
 
 
+def _within(least: float):
+    """Links that join classes among the texts of a bucket's two blocks (or of one).
+
+    A pair is compared in the bucket of the first round whose key both have, if they share a
+    second key, their lengths allow the threshold and they are not joined yet."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        key, low, high = (table[c][0].as_py() for c in ("key", "low", "high"))
+        rep, own = table["rep"].to_numpy(), table["block"].to_numpy()
+        keys = np.asarray(table["keys"].combine_chunks().flatten()).reshape(len(rep), ROUNDS)
+        _, parent = np.unique(table["class"].to_numpy(), return_inverse=True)
+        raw, offsets = string_buffers(table["text"])
+        mers, first = labelled(cut_words(raw, offsets))
+        size = np.diff(first)
+        sets = [mers[x:y] for x, y in zip(first[:-1], first[1:], strict=True)]
+        up = list(range(int(parent.max()) + 1))
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        found = []
+        for i in range(len(rep) - 1):
+            rest = slice(i + 1, None)
+            same = keys[rest] == keys[i]
+            shared = same.sum(axis=1)
+            fits = np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i])
+            todo = (shared > 1) & (keys[i][same.argmax(axis=1)] == key) & fits
+            if low != high:
+                todo &= own[rest] != own[i]
+            at = np.flatnonzero(todo)
+            for j in (at[np.argsort(-shared[at], kind="stable")] + i + 1).tolist():
+                a, b = root(parent[i]), root(parent[j])
+                if a != b and _similar(sets[i], sets[j], least):
+                    up[max(a, b)] = min(a, b)
+                    found.append((int(rep[i]), int(rep[j])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
+def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the alignment of two texts' labelled k-mers has the similarity."""
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if len(i) < least * (len(a) + len(b) - len(i)):
+        return False
+    j = j[np.argsort(i)]
+    n = _increasing(j)
+    return n >= least * (len(a) + len(b) - n)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), copy_of (smallest doc_id with the same words), n_words, kept (doc_id = class_id).
 
@@ -161,18 +217,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     tested = scratch.keep(_verified(docs, scratch.keep(tested, "pairs-1")), "tested-1")
     links = tested.where(F.col("similarity") >= similarity).select("a", "b")
     class_of = scratch.keep(components(scratch, links, "c1"), "classes-1")
-    # what is in different classes still and shares two keys
-    placed = texts.join(class_of, F.col("rep") == F.col("id"), "left").select("rep", "keys", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.select("rep", "c", F.explode("keys").alias("key")).groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    inside = placed.select("rep", "c", "keys", F.explode("keys").alias("key")).join(mixed, "key")
-    double = inside.select("rep", "c", "key", F.explode("keys").alias("other")).where("key < other").select("rep", "c", F.xxhash64("key", "other").alias("key")).distinct()
-    mixed = double.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    double = scratch.keep(double.join(mixed, "key"), "double")
-    left, right = double.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")), double.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    rest = scratch.keep(rest, "pairs-2")
-    if not rest.isEmpty():
-        more = scratch.keep(_verified(docs, rest), "tested-2").where(F.col("similarity") >= similarity).select("a", "b")
+    # buckets that hold several classes still: every pair of different classes is compared there, in blocks
+    placed = texts.join(class_of, F.col("rep") == F.col("id"), "left").select("rep", "keys", F.coalesce("component", "rep").alias("class"))
+    mixed = placed.select("rep", "class", F.explode("keys").alias("key")).groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    inside = scratch.keep(placed.select("rep", "class", "keys", F.explode("keys").alias("key")).distinct().join(mixed, "key"), "mixed")
+    if not inside.isEmpty():
+        block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        inside = inside.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        inside = inside.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "class", "keys", "text")
+        more = inside.groupBy("key", "low", "high").applyInArrow(_within(similarity), "a long, b long")
         class_of = scratch.keep(components(scratch, links.unionByName(more), "c2"), "classes-2")
     classes = texts.join(class_of, F.col("rep") == F.col("id"), "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("class_id"))
     out = rows.alias("r").join(classes.alias("c"), (F.col("r.h1") == F.col("c.h1")) & (F.col("r.h2") == F.col("c.h2")) & (F.col("r.n_words") > 0), "left")
