@@ -11,8 +11,8 @@ probabilities of words sum to one. State starts at zero with each document and i
 through its windows to its end.
 
 Training: truncated backpropagation in numpy, started from the unigram distribution. In each
-round, tasks train on their documents of the round (a fixed share of all training
-documents, by hash) from the same parameters, which are then averaged by tokens in Spark.
+round, tasks train on their documents of the round from the same parameters, which are then
+averaged by tokens in Spark. Rounds are dealt by hash; every training document is in one.
 
 Scoring: one pass; counts of frequent words (at most `HEAD` of them) go to the tasks, all
 other words meet their counts in a join.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ HEAD = 1 << 18
 CLASSES, MEMBERS, BUCKETS = 32, 32, 64
 SYMBOLS = CLASSES * MEMBERS
 EMBED, HIDDEN, WINDOW, LANES = 16, 24, 32, 512
-TRAIN_ROUNDS, TRAIN_SHARE = 4, 64  # a round takes one in TRAIN_SHARE of the documents
+TRAIN_ROUNDS = 4  # each takes one in TRAIN_ROUNDS of the training documents
+RUN = 8  # chunks of text that are trained on or scored together
 RATE = 0.01
 END = U64(0x5851F42D4C957F2D)  # hash that stands for a document's end
 LOG10 = float(np.log(10))
@@ -162,7 +164,7 @@ def forward(p: dict[str, np.ndarray], table: np.ndarray, inputs: np.ndarray, beg
     """States after each step of a window; with keep, what backpropagation needs."""
     steps, lanes = inputs.shape
     out = np.empty((steps, lanes, HIDDEN), np.float32)
-    kept = []
+    kept = np.empty((5, *out.shape), np.float32) if keep else None
     for t in range(steps):
         if begin[t].any():
             h = np.where(begin[t][:, None], np.float32(0), h)
@@ -172,45 +174,55 @@ def forward(p: dict[str, np.ndarray], table: np.ndarray, inputs: np.ndarray, beg
         n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
         new = n + z * (h - n)
         if keep:
-            kept.append((h, z, r, n, u[:, 2 * HIDDEN :]))
+            for k, v in enumerate((h, z, r, n, u[:, 2 * HIDDEN :])):
+                kept[k, t] = v
         out[t] = h = new
     return out, h, kept
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _chosen(x: np.ndarray, at: np.ndarray, grads: bool) -> np.ndarray:
+    """Log softmax over rows of x (a column per target) at one row each; with grads, x becomes its negative gradient."""
+    columns = np.arange(len(at))
+    x -= x.max(axis=0)
+    log = x[at, columns]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    log -= np.log(total)
+    if grads:
+        x /= total
+        x[at, columns] -= 1
+    return log
 
 
 def output(p: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None, scale: float = 1.0):
     """Natural log probability of each target; with grads, adds to them and returns the states' gradient too."""
-    kind, member = target // MEMBERS, target % MEMBERS
-    c = _log_softmax(states @ p["class"] + p["class_bias"])
-    rows = np.arange(len(target))
-    log = c[rows, kind]
-    back = None
-    if grads is not None:
-        d = np.exp(c)
-        d[rows, kind] -= 1
-        d *= scale
-        grads["class"] += states.T @ d
-        grads["class_bias"] += d.sum(axis=0)
-        back = d @ p["class"].T
+    kind, member = (target // MEMBERS).astype(np.int16), target % MEMBERS
     order = np.argsort(kind, kind="stable")
     cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+    s, kind, member = states[order], kind[order], member[order]
+    d = p["class"].T @ s.T + p["class_bias"][:, None]
+    sorted_log, back = _chosen(d, kind, grads is not None), None
+    if grads is not None:
+        d *= scale
+        grads["class"] += (d @ s).T
+        grads["class_bias"] += d.sum(axis=1)
+        back = d.T @ p["class"].T
     for k in range(CLASSES):
-        at = order[cuts[k] : cuts[k + 1]]
-        if len(at):
-            s, m, own = states[at], member[at], np.arange(len(at))
-            w = _log_softmax(s @ p["word"][k] + p["word_bias"][k])
-            log[at] += w[own, m]
+        at = slice(cuts[k], cuts[k + 1])
+        if cuts[k] < cuts[k + 1]:
+            d = p["word"][k].T @ s[at].T + p["word_bias"][k][:, None]
+            sorted_log[at] += _chosen(d, member[at], grads is not None)
             if grads is not None:
-                d = np.exp(w)
-                d[own, m] -= 1
                 d *= scale
-                grads["word"][k] += s.T @ d
-                grads["word_bias"][k] += d.sum(axis=0)
-                back[at] += d @ p["word"][k].T
+                grads["word"][k] += (d @ s[at]).T
+                grads["word_bias"][k] += d.sum(axis=1)
+                back[at] += d.T @ p["word"][k].T
+    log = np.empty_like(sorted_log)
+    log[order] = sorted_log
+    if grads is not None:
+        by_target = np.empty_like(back)
+        by_target[order] = back
+        back = by_target
     return log, back
 
 
@@ -228,42 +240,47 @@ def log_probabilities(p: dict[str, np.ndarray], symbols: np.ndarray, first: np.n
     return out.ravel()[lanes.flat].astype(np.float64) / LOG10
 
 
-def train(p: dict[str, np.ndarray], symbols: np.ndarray, first: np.ndarray, end: int, rate: float = RATE) -> dict[str, np.ndarray]:
-    """One pass of truncated backpropagation over the documents, by Adam."""
+def train(p: dict[str, np.ndarray], symbols: np.ndarray, first: np.ndarray, end: int, rate: float = RATE, moments: dict | None = None) -> dict[str, np.ndarray]:
+    """One pass of truncated backpropagation over the documents, by Adam, whose state is in moments between calls."""
     p = {k: v.copy() for k, v in p.items()}
     lanes = Lanes(symbols, first, end)
-    one, two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    moments = {} if moments is None else moments
+    one, two = (moments.setdefault(x, {k: np.zeros_like(v) for k, v in p.items()}) for x in ("one", "two"))
     h = np.zeros((lanes.shape[1], HIDDEN), np.float32)
-    for step, t in enumerate(range(0, lanes.shape[0], WINDOW), 1):
+    for t in range(0, lanes.shape[0], WINDOW):
+        step = moments["step"] = moments.get("step", 0) + 1
         part = slice(t, t + WINDOW)
         inputs, begin, target = lanes.input[part], lanes.begin[part], lanes.target[part]
         table = p["embed"] @ p["input"] + p["gates"]
-        states, h, kept = forward(p, table, inputs, begin, h, True)
+        states, h, (before, z, r, n, u) = forward(p, table, inputs, begin, h, True)
         some = target >= 0
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         back = np.zeros_like(states)
         back[some] = output(p, states[some], target[some], grads, np.float32(1 / some.sum()))[1]
         flow = np.zeros_like(h)
-        gate = np.zeros((*inputs.shape, 3 * HIDDEN), np.float32)
-        for s in range(len(kept) - 1, -1, -1):
-            before, z, r, n, u = kept[s]
+        of_n, of_z, of_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), u * r * (1 - r)
+        gate, on = (np.empty((*inputs.shape, 3 * HIDDEN), np.float32) for _ in range(2))
+        back_state = np.ascontiguousarray(p["state"].T)
+        for s in range(len(inputs) - 1, -1, -1):
             d = back[s] + flow
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            gate[s] = np.concatenate([dz, dr, dn], axis=1)
-            on = np.concatenate([dz, dr, dn * r], axis=1)
-            grads["state"] += before.T @ on
-            flow = d * z + on @ p["state"].T
+            dn = d * of_n[s]
+            on[s, :, :HIDDEN] = d * of_z[s]
+            on[s, :, HIDDEN : 2 * HIDDEN] = dn * of_r[s]
+            on[s, :, 2 * HIDDEN :] = dn * r[s]
+            gate[s, :, 2 * HIDDEN :] = dn
+            flow = d * z[s] + on[s] @ back_state
             if begin[s].any():
                 flow = np.where(begin[s][:, None], np.float32(0), flow)
+        gate[:, :, : 2 * HIDDEN] = on[:, :, : 2 * HIDDEN]
+        grads["state"] += before.reshape(-1, HIDDEN).T @ on.reshape(-1, 3 * HIDDEN)
         g = gate.reshape(-1, 3 * HIDDEN)
-        x = inputs.ravel()
+        x = inputs.ravel().astype(np.int16)
         grads["gates"] += g.sum(axis=0)
-        grads["input"] += p["embed"][x].T @ g
         order = np.argsort(x, kind="stable")
         heads = np.flatnonzero(np.concatenate([[True], x[order][1:] != x[order][:-1]]))
-        grads["embed"][x[order][heads]] += np.add.reduceat((g @ p["input"].T)[order], heads, axis=0)
+        used, by_symbol = x[order][heads], np.add.reduceat(g[order], heads, axis=0)
+        grads["input"] += p["embed"][used].T @ by_symbol
+        grads["embed"][used] += by_symbol @ p["input"].T
         norm = np.sqrt(sum(float((v * v).sum()) for v in grads.values()))
         clip = min(1.0, 1.0 / max(norm, 1e-9))
         for k, v in grads.items():
@@ -294,15 +311,21 @@ def _read(column: pa.Array, stats: Statistics) -> Iterator[tuple[np.ndarray, np.
         yield np.insert(stats.symbols(w, place), w.first[1:], stats.end_symbol).astype(np.int16), w.first, w.hashes, place
 
 
+def _runs(column: pa.Array, stats: Statistics) -> Iterator[list]:
+    """What _read gives, RUN at a time, so that memory doesn't grow with the batch."""
+    parts = _read(column, stats)
+    while run := list(islice(parts, RUN)):
+        yield run
+
+
 def _train(p: dict[str, np.ndarray], stats: Statistics):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tokens = p, 0
+        now, tokens, moments = p, 0, {}
         for batch in batches:
-            parts = list(_read(batch.column(0), stats))
-            if parts:
+            for parts in _runs(batch.column(0), stats):
                 symbols = np.concatenate([x[0] for x in parts]).astype(np.int64)
                 sizes = np.concatenate([np.diff(x[1]) + 1 for x in parts])
-                now = train(now, symbols, np.concatenate([[0], np.cumsum(sizes)]), stats.end_symbol)
+                now = train(now, symbols, np.concatenate([[0], np.cumsum(sizes)]), stats.end_symbol, moments=moments)
                 tokens += len(symbols)
         if tokens:
             flat = _flat(now).astype(np.float64)
@@ -315,42 +338,42 @@ def _score(p: dict[str, np.ndarray], stats: Statistics):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            parts = list(_read(batch.column(1), stats))
-            if not parts:
-                continue
-            size = np.concatenate([np.diff(x[1]) for x in parts])
-            first = np.concatenate([[0], np.cumsum(size + 1)])
-            log = log_probabilities(p, np.concatenate([x[0] for x in parts]).astype(np.int64), first, stats.end_symbol)
-            model = np.add.reduceat(log, first[:-1])
-            sums = np.zeros((3, len(size)))  # base of frequent words; base of the model's words; bucket masses
-            known, rare, rare_first, d = np.zeros(len(size), np.int64), [], [np.zeros(1, np.int64)], 0
-            for symbols, cuts, hashes, place in parts:
-                n = len(cuts) - 1
-                doc = np.repeat(np.arange(n), np.diff(cuts))
-                head, own = place >= 0, (place >= 0) & (place < len(stats.word_symbol))
-                sums[0, d : d + n] = np.bincount(doc[head], stats.base[place[head]], n) + stats.end_base
-                sums[1, d : d + n] = np.bincount(doc[own], stats.base[place[own]], n) + stats.end_base
-                of_symbol = np.zeros(SYMBOLS)
-                of_symbol[stats.bucket_symbol] = stats.bucket_log
-                words = np.delete(symbols, cuts[1:] + np.arange(n))
-                sums[2, d : d + n] = np.bincount(doc[~own], of_symbol[words[~own]], n)
-                known[d : d + n] = np.bincount(doc[head], minlength=n) + 1
-                rare.append(hashes[~head])
-                rare_first.append(np.cumsum(np.bincount(doc[~head], minlength=n)) + rare_first[-1][-1])
-                d += n
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(rare_first), pa.int32()), pa.array(np.concatenate(rare).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(size))), batch.column(0), pa.array(size + 1), pa.array(known), pa.array(sums[0]), pa.array(model - sums[2] - sums[1]), lists], names=["row", "doc_id", "n_tokens", "known", "base", "beyond", "rare"])
-            row += len(size)
+            done = 0
+            for parts in _runs(batch.column(1), stats):
+                size = np.concatenate([np.diff(x[1]) for x in parts])
+                first = np.concatenate([[0], np.cumsum(size + 1)])
+                log = log_probabilities(p, np.concatenate([x[0] for x in parts]).astype(np.int64), first, stats.end_symbol)
+                model = np.add.reduceat(log, first[:-1])
+                sums = np.zeros((3, len(size)))  # base of frequent words; base of the model's words; bucket masses
+                known, rare, rare_first, d = np.zeros(len(size), np.int64), [], [np.zeros(1, np.int64)], 0
+                for symbols, cuts, hashes, place in parts:
+                    n = len(cuts) - 1
+                    doc = np.repeat(np.arange(n), np.diff(cuts))
+                    head, own = place >= 0, (place >= 0) & (place < len(stats.word_symbol))
+                    sums[0, d : d + n] = np.bincount(doc[head], stats.base[place[head]], n) + stats.end_base
+                    sums[1, d : d + n] = np.bincount(doc[own], stats.base[place[own]], n) + stats.end_base
+                    of_symbol = np.zeros(SYMBOLS)
+                    of_symbol[stats.bucket_symbol] = stats.bucket_log
+                    words = np.delete(symbols, cuts[1:] + np.arange(n))
+                    sums[2, d : d + n] = np.bincount(doc[~own], of_symbol[words[~own]], n)
+                    known[d : d + n] = np.bincount(doc[head], minlength=n) + 1
+                    rare.append(hashes[~head])
+                    rare_first.append(np.cumsum(np.bincount(doc[~head], minlength=n)) + rare_first[-1][-1])
+                    d += n
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(rare_first), pa.int32()), pa.array(np.concatenate(rare).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(size))), batch.column(0).slice(done, len(size)), pa.array(size + 1), pa.array(known), pa.array(sums[0]), pa.array(model - sums[2] - sums[1]), lists], names=["row", "doc_id", "n_tokens", "known", "base", "beyond", "rare"])
+                row, done = row + len(size), done + len(size)
 
     return run
 
 
-def lm_scores(docs: DataFrame, rounds: int = TRAIN_ROUNDS, share: int = TRAIN_SHARE) -> DataFrame:
+def lm_scores(docs: DataFrame, rounds: int = TRAIN_ROUNDS, share: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     A null or empty text is the end alone. A null doc_id belongs to the fold of the empty
     string. Repeated rows count and are scored each. With no training document all counts
-    are zero and the model is uniform over its symbols. An empty table gives an empty result."""
+    are zero and the model is uniform over its symbols. An empty table gives an empty result.
+    A round trains on one in `share` of the training documents; without it the rounds take all."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     training = docs.where(~held_out(F.col("doc_id")))
@@ -370,7 +393,7 @@ def lm_scores(docs: DataFrame, rounds: int = TRAIN_ROUNDS, share: int = TRAIN_SH
     del head
     p = initial(stats.weights)
     for r in range(rounds):
-        chosen = training.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(share)) == r).select("text")
+        chosen = training.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(share or rounds)) == r).select("text")
         mean = chosen.mapInArrow(_train(p, stats), "i int, v double, w long").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()
         if len(mean):
             p = _shaped(mean.sort_values("i")["v"].to_numpy(), p)

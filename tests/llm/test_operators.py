@@ -403,3 +403,11 @@ def test_null_ids(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, small, name):
     assert spark_rows(queries.queries()[name](spark, small)) == duck_rows(connect(small), queries.oracle_sql()[name])
+
+
+def test_every_training_document_is_trained_on(spark):
+    """Documents of no round of one in 64 teach the model too."""
+    ids = [r[0] for r in spark.range(400).where("pmod(xxhash64('round', id), 64) >= 4").collect()]
+    df = spark.createDataFrame([(k, " ".join(f"w{(k + j) % 37}" for j in range(300))) for k in ids], "doc_id long, text string")
+    got = [r for r in lm.lm_scores(df).collect() if r["held_out"]]
+    assert np.mean([(r["score"] - r["base_score"]) / r["n_tokens"] for r in got]) > 0.3
