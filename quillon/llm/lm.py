@@ -367,6 +367,35 @@ def _score(p: dict[str, np.ndarray], stats: Statistics):
     return run
 
 
+def _cut(rows: DataFrame, column: str, most: int, bits: int) -> tuple[int, int] | None:
+    """The largest value that not all rows of can be among the `most` of largest column, and how many are above it; None if all rows fit.
+
+    By counts of the leading bits, then of the next ones within the class that is cut."""
+    above, within, shift = 0, F.lit(True), max(0, bits - 14)
+    while True:
+        found = {r["v"]: r["n"] for r in rows.where(within).groupBy(F.shiftright(column, shift).alias("v")).agg(F.count("*").alias("n")).collect()}
+        for v in sorted(found, reverse=True):
+            if above + found[v] > most:
+                break
+            above += found[v]
+        else:
+            return None
+        if not shift:
+            return v, above
+        within, shift = F.shiftright(column, shift) == v, max(0, shift - 14)
+
+
+def _most_frequent(words: DataFrame, most: int, total: int) -> DataFrame:
+    """The `most` words of largest count; of equal counts, those of largest hash."""
+    cut = _cut(words, "c", most, total.bit_length())
+    if cut is None:
+        return words
+    count, above = cut
+    ties = words.where(F.col("c") == count)
+    least = _cut(ties, "h", most - above, 64)  # never None: the ties don't all fit
+    return words.where((F.col("c") > count) | ((F.col("c") == count) & (F.col("h") > least[0])))
+
+
 def lm_scores(docs: DataFrame, rounds: int = TRAIN_ROUNDS, share: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
@@ -381,13 +410,7 @@ def lm_scores(docs: DataFrame, rounds: int = TRAIN_ROUNDS, share: int | None = N
     counts = scratch.keep(counts.groupBy("h").agg(F.min("bucket").alias("bucket"), F.sum("c").alias("c")), "counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("bucket") < 0, F.col("c"))), F.lit(0))).first()
     words = counts.where("bucket >= 0")
-    many, least = 0, 1 << 62
-    for r in sorted(words.groupBy(F.least("c", F.lit(4096)).alias("c")).count().collect(), key=lambda r: -r["c"]):
-        many += r["count"]
-        if many > HEAD:
-            break
-        least = r["c"]
-    head = [tuple(r) for r in words.where(F.col("c") >= least).select("h", "bucket", "c").collect()]
+    head = [tuple(r) for r in _most_frequent(words, HEAD, int(totals[0])).select("h", "bucket", "c").collect()]
     mass = {r["bucket"]: r["m"] for r in words.groupBy("bucket").agg((F.sum("c") + 0.5 * F.count("*")).alias("m")).collect()}
     stats = Statistics(totals[0], totals[1], totals[2], [(int(np.int64(h).astype(U64)), b, c) for h, b, c in head], mass)
     del head

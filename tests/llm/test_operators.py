@@ -411,3 +411,11 @@ def test_every_training_document_is_trained_on(spark):
     df = spark.createDataFrame([(k, " ".join(f"w{(k + j) % 37}" for j in range(300))) for k in ids], "doc_id long, text string")
     got = [r for r in lm.lm_scores(df).collect() if r["held_out"]]
     assert np.mean([(r["score"] - r["base_score"]) / r["n_tokens"] for r in got]) > 0.3
+
+
+def test_head_holds_the_most_frequent_words_whatever_their_counts(spark):
+    counts = {h: c for h, c in enumerate([5000] * 8 + [4096] * 9 + [9000, 70_000, 3, 3, 1])}
+    df = spark.createDataFrame([(h * 7 - 40, 0, c) for h, c in counts.items()], "h long, bucket int, c long")
+    ranked = sorted(((c, h * 7 - 40) for h, c in counts.items()), reverse=True)
+    for n in (1, 5, 10, 12, 20, 30):
+        assert sorted(((r["c"], r["h"]) for r in lm._most_frequent(df, n, 10**6).collect()), reverse=True) == ranked[:n]
