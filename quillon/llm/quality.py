@@ -5,7 +5,8 @@ frequent in a host if more than `line_docs` of the host's documents hold it. Cop
 many documents: equal texts count once, and a line must be held beside as many different
 contents - the longest other line of the document - as `line_contexts` of these documents,
 so that near copies of one text don't make their own lines frequent. A document whose words
-stand in frequent lines for more than `depleted` of them is rejected.
+stand in frequent lines for more than `depleted` of them is rejected; the others lose these
+lines in `kept_texts`.
 """
 
 from __future__ import annotations
@@ -31,22 +32,34 @@ def _repeat_positions(grams: Column, keyed: Column, mask: Column) -> Column:
     return F.flatten(F.transform(same, covered))
 
 
+def _normal(line: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, _SPACES, " "))), _SPACES, " ")
+
+
+def _host() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
+def _text_key(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("h"), F.octet_length(text).alias("n"))
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, host, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and lines (distinct normalised lines with hash and words).
 
     3-word windows are compared by hash: sorted as (high hash bits, position) in one long
     each, neighbours are then compared by the whole 64 bits."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host().alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumns({"words": F.filter(F.split("text", _SPACES), lambda w: w != ""), "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(_SOLID))})
     docs = docs.withColumns({"hashes": F.transform("words", lambda w: F.xxhash64(w)), "n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long")})
     docs = docs.withColumn("grams", F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("hashes") - 3), lambda i: F.xxhash64(F.col("hashes")[i], F.col("hashes")[i + 1], F.col("hashes")[i + 2]))))
     docs = docs.withColumn("mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.greatest("n_words", F.lit(2)))).cast("int")) - 1)
     docs = docs.withColumn("keyed", F.sort_array(F.transform("grams", lambda g, i: g.bitwiseAND(F.bitwise_not(F.col("mask"))).bitwiseOR(i.cast("long")))))
-    clean = F.transform("lines", lambda x: F.regexp_replace(F.lower(F.trim(F.regexp_replace(x, _SPACES, " "))), _SPACES, " "))
+    clean = F.transform("lines", _normal)
     return docs.select(
         "doc_id",
         "host",
-        F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")).alias("text_key"),
+        _text_key(F.col("text")).alias("text_key"),
         "n_words",
         "word_chars",
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -67,7 +80,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def judge(counts: DataFrame, line_docs: int = LINE_DOCS, line_contexts: float = LINE_CONTEXTS, depleted: float = DEPLETED) -> DataFrame:
-    """counts plus n_frequent_words, base_failed and kept.
+    """counts plus lost (words in frequent lines), gone (hashes of these lines), base_failed and kept.
 
     Line counts are aggregated before they are shuffled; documents meet them by a join on
     (host, line), which Spark splits where one line is in very many documents."""
@@ -77,9 +90,9 @@ def judge(counts: DataFrame, line_docs: int = LINE_DOCS, line_contexts: float =
     by_context = held.groupBy("host", "h", "context").agg(F.count("*").alias("docs"))
     frequent = by_context.groupBy("host", "h").agg(F.sum("docs").alias("docs"), F.count("*").alias("contexts")).where((F.col("docs") > line_docs) & (F.col("contexts") >= F.col("docs") * line_contexts)).select("host", "h")
     rows = lines.select("doc_id", "text_key", "host", "pos", F.col("line.h").alias("h"), F.col("line.words").alias("words")).distinct()  # a repeated row counts once
-    lost = rows.join(frequent, ["host", "h"]).groupBy("doc_id", "text_key", "host").agg(F.sum("words").alias("lost"))
+    lost = rows.join(frequent, ["host", "h"]).groupBy("doc_id", "text_key", "host").agg(F.sum("words").alias("lost"), F.collect_set("h").alias("gone"))
     out = counts.alias("c").join(lost.alias("l"), F.col("c.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("c.text_key") == F.col("l.text_key")) & (F.col("c.host") == F.col("l.host")), "left")
-    out = out.select(*(f"c.{x}" for x in ("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.coalesce("lost", F.lit(0)).alias("lost"))
+    out = out.select(*(f"c.{x}" for x in ("doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.coalesce("lost", F.lit(0)).alias("lost"), "gone")
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= F.col("n_words") * depleted))
 
@@ -92,7 +105,23 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     empty table gives an empty result; further columns are ignored."""
     scratch = Scratch(docs.sparkSession)
     counts = scratch.keep(base_counts(docs), "counts")
-    return judge(counts, **limits).drop("host").withColumnRenamed("lost", "n_frequent_words")
+    return judge(counts, **limits).drop("host", "text_key", "gone").withColumnRenamed("lost", "n_frequent_words")
+
+
+def kept_texts(docs: DataFrame, **limits) -> DataFrame:
+    """Rows of docs that are kept, plus kept_text: the text without its frequent lines.
+
+    Rows are judged by doc_id: where one of an id is not kept, none is. A text that has no
+    frequent line stays as it is."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(judge(scratch.keep(base_counts(docs), "counts"), **limits), "judged")
+    bad = rows.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_doc")).distinct()
+    lost = rows.where("gone is not null").groupBy(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("text_key").alias("_key")).agg(F.first("gone").alias("_gone"))
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    left = docs.join(bad, doc == F.col("_doc"), "left_anti")
+    left = left.join(lost, doc.eqNullSafe(F.col("_doc")) & (_host() == F.col("_host")) & (_text_key(text) == F.col("_key")), "left")
+    lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(_normal(x))))
+    return left.select(*docs.columns, F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")).alias("kept_text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

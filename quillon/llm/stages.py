@@ -17,8 +17,12 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return _without(docs, quality.quality_rules(docs).where("not kept"))
+    """Documents that the rules keep, without the lines that are frequent in their host. Untouched texts stay as they are."""
+    kept = quality.kept_texts(docs)
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("kept_text") != F.col("text"), F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.withColumns(new).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

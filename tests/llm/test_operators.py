@@ -419,3 +419,17 @@ def test_head_holds_the_most_frequent_words_whatever_their_counts(spark):
     ranked = sorted(((c, h * 7 - 40) for h, c in counts.items()), reverse=True)
     for n in (1, 5, 10, 12, 20, 30):
         assert sorted(((r["c"], r["h"]) for r in lm._most_frequent(df, n, 10**6).collect()), reverse=True) == ranked[:n]
+
+
+def test_kept_documents_lose_their_frequent_lines(spark):
+    from quillon.llm import stages
+
+    r = random.Random(4)
+    body = [" ".join(f"v{r.randrange(10**6)}" for _ in range(30)) for _ in range(90)]
+    rows = [(k, f"{body[3 * k]}\nHome   About us\n\n{body[3 * k + 1]}\n{body[3 * k + 2]}\n home about US ", "h", 7) for k in range(29)]
+    rows += [(29, f"{body[87]}\nhome about us\n{body[88]}", "other", 7), (None, rows[0][1], "h", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in stages.quality_rules(spark, df, "").collect()}
+    for k, text, host, _ in rows:
+        cut = text if host == "other" else "\n".join(x for x in text.split("\n") if "bout" not in x)
+        assert (got[k]["text"], got[k]["n_chars"]) == (cut, 7 if host == "other" else len(cut))
