@@ -76,15 +76,11 @@ class Model:
         return self.__dict__ | {"_tools": None, "_seen": {}}
 
     def evidence(self, window: bytes, without: int = -1) -> float:
-        """Mean bytes saved by the toxic dictionaries; 0 if the first two save none."""
+        """Mean bytes saved by the toxic dictionaries of all pairs."""
         if self._tools is None:
             self._tools = [(_sizes(a), _sizes(b)) for a, b in self.pairs]
-        window, saved = window + _TAIL, []
-        for k, (ordinary, toxic) in enumerate(self._tools):
-            if k != without:
-                saved.append(max(-2, min(6, ordinary(window) - toxic(window))))
-                if len(saved) == 2 and max(saved) <= 0:
-                    return 0.0
+        window += _TAIL
+        saved = [max(-2, min(6, ordinary(window) - toxic(window))) for k, (ordinary, toxic) in enumerate(self._tools) if k != without]
         return max(0.0, sum(saved) / len(saved))
 
     def features(self, raw: np.ndarray, offsets: np.ndarray, without: int = -1) -> np.ndarray:

@@ -433,3 +433,12 @@ def test_kept_documents_lose_their_frequent_lines(spark):
     for k, text, host, _ in rows:
         cut = text if host == "other" else "\n".join(x for x in text.split("\n") if "bout" not in x)
         assert (got[k]["text"], got[k]["n_chars"]) == (cut, 7 if host == "other" else len(cut))
+
+
+def test_evidence_asks_all_pairs():
+    """The mean saving does not depend on which pairs know a word."""
+    plain = toxicity._content([b"some ordinary words of no kind"], 1 << 10, 0)
+    known = toxicity._content([b"some ordinary words scumbaggery"], 1 << 10, 0)
+    pairs = [(plain, plain), (plain, plain), (plain, known), (plain, known)]
+    one, other = (toxicity.Model(x).evidence(b" scumbaggery ") for x in (pairs, pairs[::-1]))
+    assert one == other > 0
