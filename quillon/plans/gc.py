@@ -12,19 +12,20 @@ from quillon.functions.text import dedupe, facts_prefix, token_count
 from quillon.schemas import Policy
 
 
-def tree_depth(nodes: DataFrame, most: int = 1000) -> DataFrame:
+def tree_depth(nodes: DataFrame) -> DataFrame:
     """(session_id, max_depth) of the tree by parent_id, status ignored; roots are 0 deep.
 
-    Walks down a level at a time; ends when a level is empty."""
-    nodes = nodes.select("session_id", "node_id", "parent_id")
-    level = nodes.where(F.coalesce("parent_id", F.lit("")) == "").select("session_id", "node_id")
-    depths = level.groupBy("session_id").agg(F.lit(0).alias("depth"))
-    for depth in range(1, most):
-        level = nodes.join(level.withColumnRenamed("node_id", "parent_id"), ["session_id", "parent_id"]).select("session_id", "node_id")
-        if level.isEmpty():
-            break
-        depths = depths.unionByName(level.groupBy("session_id").agg(F.lit(depth).alias("depth")))
-    return depths.groupBy("session_id").agg(F.max("depth").cast("long").alias("max_depth"))
+    Each node points to an ancestor twice as far up in every round, until all that hang on a
+    root have reached it; what hangs on no root has no depth."""
+    root = F.coalesce("parent_id", F.lit("")) == ""
+    rows = nodes.select("session_id", "node_id", F.when(~root, F.col("parent_id")).alias("up"), F.when(root, 0).otherwise(1).cast("long").alias("depth")).distinct().localCheckpoint()
+    reached, last = rows.where("up is null").count(), -1
+    while reached != last:
+        above = rows.select("session_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        moved = rows.where("up is not null").join(above, ["session_id", "up"]).select("session_id", "node_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        rows = rows.where("up is null").unionByName(moved).groupBy("session_id", "node_id", "up").agg(F.max("depth").alias("depth")).localCheckpoint()
+        reached, last = rows.where("up is null").count(), reached
+    return rows.where("up is null").groupBy("session_id").agg(F.max("depth").alias("max_depth"))
 
 
 def tree_stats(nodes: DataFrame) -> DataFrame:

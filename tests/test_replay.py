@@ -102,3 +102,11 @@ def test_windowed_counts(spark, small, tmp_path):
     query = windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("select sum(n) from w").first()[0] == events.count()
+
+
+def test_depth_of_a_chain_of_over_a_thousand(spark):
+    from quillon.plans.gc import tree_depth
+
+    rows = [("a", str(k), str(k - 1) if k else "") for k in range(1500)] + [("b", "x", None), ("b", "y", "x"), ("b", "u", "v"), ("b", "v", "u"), ("b", "o", "gone")]
+    got = tree_depth(spark.createDataFrame(rows, "session_id string, node_id string, parent_id string")).collect()
+    assert sorted(map(tuple, got)) == [("a", 1499), ("b", 1)]
