@@ -21,16 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.spark_util import Scratch, components, documents
-from quillon.llm.text import U64, Words, chunks, cut_words, mix, span_hash, string_buffers
+from quillon.llm.text import U64, Words, chunks, cut_words, forget, mix, string_buffers, window_hash
 
 K, ROUNDS, PICKED, SIMILARITY = 5, 16, 3, 0.8
 _SEEDS = mix(np.arange(1, 2 * ROUNDS + 1, dtype=U64) * U64(0x9FB21C651E98DF25)).reshape(2, ROUNDS)
-_SECOND = 0xC2B2AE3D27D4EB4F
-BLOCK = 2048  # texts of a bucket that are compared in one task
+BLOCK, BLOCK_WORDS = 2048, 1 << 20  # texts of a bucket, and their words, that a block holds on average; a task compares two
 _EXPECTED = 24  # k-mers of a text that a round's threshold lets through on average
 
 
@@ -41,7 +41,7 @@ def labelled(words: Words, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(size)])
     doc = np.repeat(np.arange(len(n)), size)
     at = words.first[doc] + np.arange(len(doc)) - first[doc]
-    mers = span_hash(words.hashes, at, at + np.minimum(k, n[doc]))
+    mers = window_hash(words.hashes, at, np.minimum(k, n[doc]))
     own = mix(mers + doc.astype(U64) * U64(0xD6E8FEB86659FD93))
     order = np.sort(own)
     repeats = order[1:][order[1:] == order[:-1]]
@@ -83,13 +83,15 @@ def sketches(mers: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for d, e, raw, offsets in chunks(batch.column(1)):
             words = cut_words(raw, offsets)
             keys = sketches(*labelled(words)).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, ROUNDS), pa.int32()), pa.array(keys.ravel()))
             a, b = words.first[:-1], words.first[1:]
-            h = [span_hash(words.hashes, a, b), span_hash(words.hashes, a, b, _SECOND, pow(_SECOND, -1, 1 << 64))]
+            whole = words.hashes.tobytes()
+            h = np.array([(x >> 64, x & (1 << 64) - 1) for x in (xxhash.xxh3_128_intdigest(whole[8 * x : 8 * y]) for x, y in zip(a.tolist(), b.tolist(), strict=True))], U64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(d, e - d), pa.array(b - a, pa.int64()), *(pa.array(x.astype(np.int64)) for x in h), lists], names=["doc_id", "n_words", "h1", "h2", "keys"])
 
 
@@ -104,10 +106,8 @@ def _increasing(values: np.ndarray) -> int:
     return len(tails)
 
 
-def similarities(a: Words, b: Words, least: float = SIMILARITY) -> np.ndarray:
-    """Similarity of text d of a and text d of b; it may be given too low where it is under least."""
-    mers_a, first_a = labelled(a)
-    mers_b, first_b = labelled(b)
+def similarities(mers_a: np.ndarray, first_a: np.ndarray, mers_b: np.ndarray, first_b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Similarity of text d of a and text d of b, given as labelled k-mers; it may be given too low where it is under least."""
     size_a, size_b = np.diff(first_a), np.diff(first_b)
     pair_a, pair_b = (np.repeat(np.arange(len(s)), s) for s in (size_a, size_b))
     key_a, key_b = (mix(m + p.astype(U64) * U64(0xD6E8FEB86659FD93)) for m, p in ((mers_a, pair_a), (mers_b, pair_b)))
@@ -128,21 +128,32 @@ def similarities(a: Words, b: Words, least: float = SIMILARITY) -> np.ndarray:
     return count / np.maximum(size_a + size_b - count, 1)
 
 
+def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
+    for batch in batches:
+        for d, e, raw, offsets in chunks(batch.column(1)):
+            mers, first = labelled(cut_words(raw, offsets))
+            data = mers.tobytes()
+            blobs = [data[8 * x : 8 * y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(d, e - d), pa.array(blobs, pa.binary())], names=["rep", "mers"])
+
+
+def _read_mers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw, offsets = string_buffers(column)
+    return np.frombuffer(raw.tobytes(), U64), offsets // 8
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column = batch.column(2)
-        for d, e, raw, offsets in chunks(column, 1 << 20):
-            other = batch.column(3).slice(d, e - d)
-            parts = list(chunks(other, 1 << 62))
-            words_b = cut_words(parts[0][2], parts[0][3])
-            found = similarities(cut_words(raw, offsets), words_b)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(d, e - d), batch.column(1).slice(d, e - d), pa.array(found)], names=["a", "b", "similarity"])
+        for d, e, _, _ in chunks(batch.column(2), 8 << 20):
+            one, other = (_read_mers(batch.column(k).slice(d, e - d)) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(d, e - d), batch.column(1).slice(d, e - d), pa.array(similarities(*one, *other))], names=["a", "b", "similarity"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(mers: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with their similarity."""
-    wide = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return wide.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, similarity double")
+    wide = pairs.join(mers.select(F.col("rep").alias("b"), F.col("mers").alias("mers_b")), "b").join(mers.select(F.col("rep").alias("a"), F.col("mers").alias("mers_a")), "a")
+    return wide.select("a", "b", "mers_a", "mers_b").mapInArrow(_verify, "a long, b long, similarity double")
 
 
 def _within(least: float):
@@ -157,8 +168,7 @@ def _within(least: float):
         rep, own = table["rep"].to_numpy(), table["block"].to_numpy()
         keys = np.asarray(table["keys"].combine_chunks().flatten()).reshape(len(rep), ROUNDS)
         _, parent = np.unique(table["class"].to_numpy(), return_inverse=True)
-        raw, offsets = string_buffers(table["text"])
-        mers, first = labelled(cut_words(raw, offsets))
+        mers, first = _read_mers(table["mers"])
         size = np.diff(first)
         sets = [mers[x:y] for x, y in zip(first[:-1], first[1:], strict=True)]
         up = list(range(int(parent.max()) + 1))
@@ -210,23 +220,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.keep(docs.mapInArrow(_sketch, "doc_id long, n_words long, h1 long, h2 long, keys array<long>"), "sketches")
     full = rows.where("doc_id is not null and n_words > 0")
-    texts = scratch.keep(full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "keys")).alias("s")).select("h1", "h2", F.col("s.doc_id").alias("rep"), F.col("s.keys").alias("keys")), "texts")
+    texts = scratch.keep(full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "keys", "n_words")).alias("s")).select("h1", "h2", F.col("s.doc_id").alias("rep"), F.col("s.keys").alias("keys"), F.col("s.n_words").alias("n_words")), "texts")
     keyed = texts.select("rep", F.explode("keys").alias("key")).distinct()
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    tested = keyed.join(leaders, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    tested = scratch.keep(_verified(docs, scratch.keep(tested, "pairs-1")), "tested-1")
+    tested = scratch.keep(keyed.join(leaders, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    # the k-mers of the texts that share a key with another; all comparisons read these
+    members = tested.select(F.col("a").alias("doc_id")).unionByName(tested.select(F.col("b").alias("doc_id"))).distinct()
+    mers = scratch.keep(docs.join(members, "doc_id", "left_semi").mapInArrow(_kmers, "rep long, mers binary"), "mers")
+    tested = scratch.keep(_verified(mers, tested), "tested")
     links = tested.where(F.col("similarity") >= similarity).select("a", "b")
     class_of = scratch.keep(components(scratch, links, "c1"), "classes-1")
     # buckets that hold several classes still: every pair of different classes is compared there, in blocks
-    placed = texts.join(class_of, F.col("rep") == F.col("id"), "left").select("rep", "keys", F.coalesce("component", "rep").alias("class"))
-    mixed = placed.select("rep", "class", F.explode("keys").alias("key")).groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = texts.join(class_of, F.col("rep") == F.col("id"), "left").select("rep", "keys", "n_words", F.coalesce("component", "rep").alias("class"))
+    mixed = placed.select("rep", "class", "n_words", F.explode("keys").alias("key")).groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), F.sum("n_words").alias("words")).where("low < high")
+    mixed = mixed.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int").alias("blocks"))
     inside = scratch.keep(placed.select("rep", "class", "keys", F.explode("keys").alias("key")).distinct().join(mixed, "key"), "mixed")
     if not inside.isEmpty():
         block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
         inside = inside.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        inside = inside.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "class", "keys", "text")
-        more = inside.groupBy("key", "low", "high").applyInArrow(_within(similarity), "a long, b long")
+        inside = inside.join(mers, "rep").select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "class", "keys", "mers")
+        more = scratch.keep(inside.groupBy("key", "low", "high").applyInArrow(_within(similarity), "a long, b long"), "more")
+        scratch.drop("mixed", "mers")
         class_of = scratch.keep(components(scratch, links.unionByName(more), "c2"), "classes-2")
+    scratch.drop("pairs", "tested")
     classes = texts.join(class_of, F.col("rep") == F.col("id"), "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("class_id"))
     out = rows.alias("r").join(classes.alias("c"), (F.col("r.h1") == F.col("c.h1")) & (F.col("r.h2") == F.col("c.h2")) & (F.col("r.n_words") > 0), "left")
     mine = F.when(F.col("r.doc_id").isNotNull(), F.coalesce("c.class_id", "r.doc_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.spark_util import documents
-from quillon.llm.text import _BYTE, U64, HashIndex, chunks, span_hash
+from quillon.llm.text import U64, HashIndex, chunks, distinct, held
 
 SPACE = "▁"
 LONGEST = 200  # characters of a cut that the table is filled for with others at a time
@@ -235,12 +235,12 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.ids: list[bytes] = []
         self.text: list[bytes] = []
         self.count = np.zeros(1 << 16, np.int64)
 
-    def _add(self, hashes: list[int], texts: list[bytes]) -> None:
+    def _add(self, texts: list[bytes]) -> None:
         v = self.vocabulary
         found = v.encode([t.decode().replace(" ", SPACE) for t in texts])
         n = len(self.index)
@@ -249,7 +249,7 @@ class Encoder:
         self.count[n : n + len(found)] = np.fromiter(map(len, found), np.int64, len(found))
         self.ids += [b" ".join([v.number[i] for i in one]) for one in found]
         self.text += [v.decode(one) for one in found]
-        self.index.update(zip(hashes, range(n, n + len(found)), strict=True))
+        self.index.update(zip(texts, range(n, n + len(found)), strict=True))
 
     def run(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
         """(ids with the end id, decimal ids joined by a space, decoded text) of each text."""
@@ -267,19 +267,14 @@ class Encoder:
                 cut[1:n] |= wide
         cut[offsets] = True
         edges = np.flatnonzero(cut)
-        starts, ends = edges[:-1], edges[1:]
-        whole = raw.tobytes()
+        starts = edges[:-1]
         if len(starts):
-            unique, first, inverse = np.unique(span_hash(_BYTE[raw], starts, ends), return_index=True, return_inverse=True)
-            if len(self.index) + len(unique) > KEEP:
+            keys, inverse = distinct(raw, edges)
+            if len(self.index) + len(keys) > KEEP:
                 self._clear()
-            keys = unique.tolist()
-            new = [k for k, h in enumerate(keys) if h not in self.index]
-            if new:
-                a, b = starts[first].tolist(), ends[first].tolist()
-                for k in range(0, len(new), 1 << 16):
-                    some = new[k : k + (1 << 16)]
-                    self._add([keys[k] for k in some], [whole[a[k] : b[k]] for k in some])
+            new = [t for t in keys if t not in self.index]
+            for k in range(0, len(new), 1 << 16):
+                self._add(new[k : k + (1 << 16)])
             at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[inverse]
         else:
             at = np.zeros(0, np.int64)
@@ -292,16 +287,12 @@ class Encoder:
             yield int(total[b] - total[a]) + 1, b" ".join([ids[k] for k in own] + [end]), b"".join([text[k] for k in own])[1:]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
+        tool = held(("pieces", path), lambda: Encoder(path))
         for batch in batches:
             for d, e, raw, offsets in chunks(batch.column(1)):
-                rows = [(n, hashlib.sha256(i).hexdigest(), hashlib.sha256(t).hexdigest()) for n, i, t in _ENCODERS[path].run(raw, offsets)]
+                rows = [(n, hashlib.sha256(i).hexdigest(), hashlib.sha256(t).hexdigest()) for n, i, t in tool.run(raw, offsets)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(d, e - d), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from quillon.llm.text import U64, mix, span_hash
+from quillon.llm.text import U64, mix, window_hash
 
 ROUNDS = 5
 _RUN, _PAIR_A, _PAIR_B = U64(0x8CB92BA72F3D8DD7), U64(0xD1342543DE82EF95), U64(0xAF251AF3B0F025B5)
@@ -57,7 +57,7 @@ def anchors(words: np.ndarray, first: np.ndarray, at: np.ndarray, width: int, ro
         return np.zeros(0, U64), np.zeros(0, np.int64)
     levels = parse(words, first, rounds)
     low, high = at.astype(np.int64), at.astype(np.int64) + width
-    best = span_hash(words, low, high) ^ U64(1)  # a window with no certain name is its own anchor
+    best = window_hash(words, low, width) ^ U64(1)  # a window with no certain name is its own anchor
     start = low.copy()
     for level, (names, starts) in enumerate(levels):
         if level == 0:  # a run at an end of the window may go on outside it

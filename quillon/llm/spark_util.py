@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a temporary folder, which only a local master may use."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), f"quillon-{os.getpid()}")
+from quillon.sources.folders import shared_folder
 
 
 class Scratch:
@@ -66,7 +56,7 @@ def components(scratch: Scratch, links: DataFrame, name: str = "components") ->
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         step += 1
         edges = scratch.keep(small, f"{name}-{step}")
-        state = edges.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}-{step - 1}")
         if state == last:
             break

@@ -13,7 +13,8 @@ from quillon.llm import order_minhash, packing, quality, substring, toxicity
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs but for the ids of gone; null ids stay."""
+    return docs.join(gone.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +39,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that a smaller id has; what has no words left goes. Untouched texts stay as they are."""
-    cut = substring.substring_dedup(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_text"), (F.col("n_removed") == F.col("n_words")).alias("_empty"))
-    joined = docs.join(cut, "doc_id", "left").where("not coalesce(_empty, false)")
-    new = {"text": F.coalesce("_text", "text")}
+    cut = substring.substring_dedup(docs).where("n_removed > 0")
+    cut = cut.groupBy("doc_id", "text_key").agg(F.min("kept_text").alias("kept_text"), F.min(F.col("n_removed") == F.col("n_words")).alias("empty"))
+    names = {c: f"_{c}_{len(docs.columns)}{''.join(docs.columns).count('_')}_" for c in cut.columns}
+    cut = cut.select(*(F.col(c).alias(n) for c, n in names.items()))
+    new_text, empty = F.col(names["kept_text"]), F.coalesce(F.col(names["empty"]), F.lit(False))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(names["doc_id"])) & (F.xxhash64(docs["text"].cast("string")) == F.col(names["text_key"]))
+    joined = docs.join(cut, same, "left").where(~empty)
+    new = {"text": F.coalesce(new_text, F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(new_text.isNotNull(), F.length(new_text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return joined.withColumns(new).select(*docs.columns)
 
 

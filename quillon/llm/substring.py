@@ -28,12 +28,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm.recompress import anchors
 from quillon.llm.spark_util import parts_for
-from quillon.llm.text import U64, Words, cut_words, mix, span_hash, string_buffers
+from quillon.llm.text import SECOND, U64, Words, cut_words, forget, mix, string_buffers, window_hash
 
 WIDTH = 13
 GROUP_BYTES = 6 << 20
-_SECOND = 0xC2B2AE3D27D4EB4F
-_SECOND_INVERSE = pow(_SECOND, -1, 1 << 64)
 _MESSAGE = "gid int, bucket int, kind int, blob binary"
 _ARROW = pa.schema([("gid", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 NAMES, WINDOWS, MARKS = 0, 1, 2
@@ -57,7 +55,7 @@ class _Group:
         text = text.take(pa.array(order))
         raw, offsets = string_buffers(text)
         self.words: Words = cut_words(raw, offsets)
-        n, first = len(self.words.hashes), self.words.first
+        n, first = len(self.words.kind), self.words.first
         self.doc = np.repeat(np.arange(len(ids)), np.diff(first))
         ok = np.zeros(n, bool)
         if n >= width:
@@ -69,7 +67,7 @@ class _Group:
 
     def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = self.words.hashes
-        return span_hash(h, at, at + self.width), span_hash(h, at, at + self.width, _SECOND, _SECOND_INVERSE).astype(np.uint32)
+        return window_hash(h, at, self.width), window_hash(h, at, self.width, SECOND).astype(np.uint32)
 
 
 def _unique_keys(group: _Group, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +115,7 @@ def _dealt_names(group: _Group, buckets: int) -> tuple[np.ndarray, np.ndarray, n
 
 def _step_names(width: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        forget()
         gid = table["gid"][0].as_py()
         names, many, cuts, _ = _dealt_names(_Group(table, width), buckets)
         out = [_message(gid, b, NAMES, names[cuts[b] : cuts[b + 1]].tobytes() + np.packbits(many[cuts[b] : cuts[b + 1]]).tobytes()) for b in range(buckets) if cuts[b + 1] > cuts[b]]
@@ -205,7 +204,7 @@ def _step_remove(width: int, buckets: int, with_text: bool, fields: pa.Schema):
             return fields.empty_table()
         group = _Group(docs, width)
         w = group.words
-        gone = np.zeros(len(w.hashes) + 1, np.int64)
+        gone = np.zeros(len(w.kind) + 1, np.int64)
         kinds = marks["kind"].to_pylist() if len(marks) else []
         if MARKS in kinds:
             blobs, places = marks["blob"].to_pylist(), marks["bucket"].to_pylist()
@@ -242,14 +241,15 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True,
     Null and empty texts have no words (kept_sha256 of the empty string). Repeated rows of a
     doc_id are judged alike: a window that stands only in rows of the same id stays. A null
     doc_id counts as id 0. Fewer than `width` words: nothing goes. An empty table gives an
-    empty result; further columns are ignored."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    empty result; further columns are ignored. With text, text_key is the input text's
+    xxhash64: rows of one id and text_key have equal results."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     total = docs.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
     n = parts_for(total, group_bytes)
-    dealt = docs.withColumn("gid", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    dealt = docs.withColumn("gid", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(n)).cast("int"))  # also deals out the rows of one id
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, text_key long" * with_text
     kinds = {"kept_sha256": pa.string(), "kept_text": pa.string()}
-    fields = pa.schema([(c, kinds.get(c, pa.int64())) for c in ("doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text)])
+    fields = pa.schema([(c, kinds.get(c, pa.int64())) for c in ("doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text", "text_key"] * with_text)])
     names = dealt.groupBy("gid").applyInArrow(_step_names(width, n), _MESSAGE)
     shared = names.groupBy("bucket").applyInArrow(_bucket_names, _MESSAGE)
     windows = dealt.groupBy("gid").cogroup(shared.groupBy("gid")).applyInArrow(_step_windows(width, n), _MESSAGE)

@@ -1,25 +1,29 @@
 """Vectorised word handling on Arrow string batches (numpy over the raw UTF-8 bytes).
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; nulls count as empty
-texts. Words get a 64-bit content hash that is the same on every executor.
+texts. Equal spans are found by their bytes (Arrow's dictionary encoding); words then get a
+64-bit content hash that is the same on every executor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE = U64(0x9E3779B97F4A7C15)
+SECOND = U64(0xC2B2AE3D27D4EB4F)  # another base, for keys of more than 64 bits
+_KEY = 0x51F15EED
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,45 +33,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def distinct(raw: np.ndarray, edges: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct ones among the spans raw[edges[k]:edges[k+1]] by their bytes, in order of appearance, and each span's place among them."""
+    spans = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+    coded = spans.dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
 
 
-def powers(n: int, base: int = _BASE, inverse: int = _INVERSE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(10, int(n - 1).bit_length())
-        up, down = np.full(size, base, U64), np.full(size, inverse, U64)
-        up[0] = down[0] = 1
-        np.multiply.accumulate(up, out=up)
-        np.multiply.accumulate(down, out=down)
-        if size > 1 << 22:  # one huge text: don't keep tables of that size
-            return up, down
-        have = _POWERS[base] = (up, down)
-    return have
+def digest64(texts: list[bytes]) -> np.ndarray:
+    """64-bit content hash of each text (keyed xxh3), the same on every executor."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(t, _KEY) for t in texts), U64, len(texts))
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE, inverse: int = _INVERSE) -> np.ndarray:
-    """Position-independent hash of values[start:end] for each span; values are uint64."""
-    up, down = powers(len(values) + 1, base, inverse)
-    total = np.empty(len(values) + 1, U64)
-    total[0] = 0
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+def window_hash(values: np.ndarray, at: np.ndarray, lengths: np.ndarray | int, base: np.uint64 = _BASE) -> np.ndarray:
+    """Hash of values[a:a+n] for each short window; values are uint64 hashes themselves."""
+    same = isinstance(lengths, int)
+    most = lengths if same else int(lengths.max(initial=0))
+    out = np.zeros(len(at), U64) + np.asarray(lengths).astype(U64)
+    for k in range(most):
+        if same:
+            out = out * base + values[at + k]
+        else:
+            some = lengths > k
+            out[some] = out[some] * base + values[at[some] + k]
+    return mix(out)
 
 
 @dataclass
 class Words:
-    """Words of a run of texts: byte spans in raw, hash, and first[d]:first[d+1] of each text."""
+    """Words of a run of texts: byte spans in raw, and first[d]:first[d+1] of each text.
+
+    kind has each word's place in vocabulary, the distinct words, whose hashes are in own."""
 
     raw: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    hashes: np.ndarray
+    kind: np.ndarray
+    vocabulary: list[bytes]
+    own: np.ndarray
     first: np.ndarray
     offsets: np.ndarray
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return self.own[self.kind]
+
     def text(self, d: int) -> bytes:
         return self.raw[self.offsets[d] : self.offsets[d + 1]].tobytes()
 
@@ -93,12 +103,13 @@ def cut_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Word
         raw = _LOWER[raw]
     n = len(raw)
     solid = np.zeros(n + 2, bool)
-    solid[1:-1] = ~_SPACE[raw]
+    np.logical_not(_SPACE[raw], out=solid[1:-1])
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(solid[1:] & (~solid[:-1] | edge))
     ends = np.flatnonzero(solid[:-1] & (~solid[1:] | edge))
-    return Words(raw, starts, ends, span_hash(_BYTE[raw], starts, ends), np.searchsorted(starts, offsets), offsets)
+    vocabulary, kind = distinct(raw[solid[1:-1]], np.concatenate([[0], np.cumsum(ends - starts)]))
+    return Words(raw, starts, ends, kind, vocabulary, digest64(vocabulary), np.searchsorted(starts, offsets), offsets)
 
 
 def chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -156,3 +167,19 @@ class HashIndex:
             more = (got >= 0) & (self.keys[at] != keys[off])
             off, at = off[more], at[more]
         return out
+
+
+_HELD: list = [None, None]
+
+
+def held(key: tuple, make: Callable):
+    """What make() gives, kept by the worker until another key is asked for: one operator's caches at a time."""
+    if _HELD[0] != key:
+        forget()
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
+def forget() -> None:
+    """Frees what `held` keeps, for operators that need the memory themselves."""
+    _HELD[:] = [None, None]
