@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from quillon.llm.spark_util import Scratch, components, parts_for
 
 COSINE = 0.95
-TILE, CELLS, FAN = 4096, 1024, 4  # vectors of a tile, most cells, parts that an axis splits a cell into
+TILE, CELLS, FAN = 4096, 4096, 4  # vectors of a tile, most cells (their boxes are compared on the driver), parts that an axis splits a cell into
 STEPS = (8, 24)  # leading axes after which pairs are dropped
 MARGIN = 1e-9
 BLOCK = 512
@@ -66,19 +66,18 @@ def _leading(axes: np.ndarray, n: int):
     return run
 
 
-def _cells(points: DataFrame, count: int, n: int) -> tuple[DataFrame, int]:
-    """points with their cell: cells are split in FAN parts by quantiles of one leading axis after the other."""
-    cell, cells, axis = F.lit(0), 1, 0
+def _cells(spark, points: DataFrame, count: int, n: int) -> DataFrame:
+    """points with their cell: cells are split in FAN parts by quantiles of one leading axis after the other.
+
+    The quantiles, one row a cell, are broadcast: at most CELLS rows."""
+    points, cells, axis = points.withColumn("cell", F.lit(0)), 1, 0
     while cells < min(CELLS, count / TILE) and axis < n:
-        at = points.select(cell.alias("cell"), F.col("p")[axis].alias("x"))
-        cuts = {r["cell"]: r["q"] for r in at.groupBy("cell").agg(F.percentile_approx("x", [k / FAN for k in range(1, FAN)], 1000).alias("q")).collect()}
-        part = F.lit(0)
-        for k, q in cuts.items():
-            own = sum((F.when(F.col("p")[axis] >= x, 1).otherwise(0) for x in q), F.lit(0))
-            part = F.when(cell == k, own).otherwise(part)
-        points = points.withColumn("cell", (cell * FAN + part).cast("int"))
-        cell, cells, axis = F.col("cell"), cells * FAN, axis + 1
-    return points.withColumn("cell", cell.cast("int")), axis
+        cuts = points.groupBy("cell").agg(F.percentile_approx(F.col("p")[axis], [k / FAN for k in range(1, FAN)], 1000).alias("q")).collect()
+        cuts = spark.createDataFrame([(r["cell"], list(r["q"])) for r in cuts], "cell int, q array<double>")
+        x = F.col("p")[axis]
+        points = points.join(F.broadcast(cuts), "cell").withColumn("cell", (F.col("cell") * FAN + F.size(F.filter("q", lambda q: x >= q))).cast("int")).drop("q")
+        cells, axis = cells * FAN, axis + 1
+    return points
 
 
 def _pack(d: int, kind: str):
@@ -185,25 +184,27 @@ def _compared(scratch: Scratch, distinct: DataFrame, d: int, kind: str, cosine:
     axes = _axes(distinct, d)
     n = min(8, d)
     kept = scratch.keep(distinct.mapInArrow(_leading(axes, n), f"rep long, copies long, v array<{'float' if kind == 'f4' else 'double'}>, p array<double>"), f"points-{d}")
-    points, split = _cells(kept, kept.count(), n)
+    points = _cells(spark, kept, kept.count(), n)
     boxes = _boxes(points, n)
     reach = 2 - 2 * cosine + MARGIN  # squared distance of unit vectors at the threshold
     names = sorted(boxes)
     low, high = (np.array([boxes[c][k] for c in names]) for k in (1, 2))
+    tiles = {c: parts_for(boxes[c][0], TILE) for c in names}
     pairs = []
     for k, c in enumerate(names):
         gap = np.maximum(0, np.maximum(low[k:] - high[k], low[k] - high[k:]))
-        pairs += [(c, names[k + m]) for m in np.flatnonzero((gap**2).sum(axis=1) <= reach).tolist()]
-    tiles = F.lit(1)
-    for c, (count, *_) in boxes.items():
-        if count > TILE:
-            tiles = F.when(F.col("cell") == c, F.lit(parts_for(count, TILE))).otherwise(tiles)
-    packed = points.withColumn("tile", F.pmod(F.xxhash64("rep"), tiles).cast("int")).groupBy("cell", "tile").applyInArrow(_pack(d, kind), "cell int, tile int, n int, blob binary")
+        pairs += [(c, tiles[c], names[k + m], tiles[names[k + m]]) for m in np.flatnonzero((gap**2).sum(axis=1) <= reach).tolist()]
+    of_cell = spark.createDataFrame(list(tiles.items()), "cell int, tiles int")
+    packed = points.join(F.broadcast(of_cell), "cell").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).groupBy("cell", "tile").applyInArrow(_pack(d, kind), "cell int, tile int, n int, blob binary")
     packed = scratch.keep(packed, f"tiles-{d}")
-    side = lambda s: packed.select(F.col("cell").alias(f"cell_{s}"), (F.col("cell").cast("long") * (1 << 31) + F.col("tile")).alias(f"tile_{s}"), F.col("n").alias(f"n_{s}"), F.col("blob").alias(f"blob_{s}"))
-    todo = spark.createDataFrame(pairs, "cell_a int, cell_b int").join(side("a"), "cell_a").join(side("b"), "cell_b").where("tile_a <= tile_b or cell_a <> cell_b")
-    todo = todo.repartition(parts_for(max(1, sum(-(-boxes[a][0] // TILE) * -(-boxes[b][0] // TILE) for a, b in pairs)), 2), "tile_a", "tile_b")
-    return todo.select("tile_a", "n_a", "blob_a", "tile_b", "n_b", "blob_b").mapInArrow(_compare(d, kind, axes, cosine), "kind int, a long, b long")
+    scratch.drop(f"points-{d}")
+    side = lambda s: packed.select(F.col("cell").alias(f"cell_{s}"), F.col("tile").alias(f"t_{s}"), F.col("n").alias(f"n_{s}"), F.col("blob").alias(f"blob_{s}"))
+    every = lambda s: F.explode(F.sequence(F.lit(0), F.col(f"tiles_{s}") - 1)).alias(f"t_{s}")
+    todo = spark.createDataFrame(pairs, "cell_a int, tiles_a int, cell_b int, tiles_b int").select("cell_a", "cell_b", "tiles_b", every("a")).select("cell_a", "t_a", "cell_b", every("b")).where("cell_a <> cell_b or t_a <= t_b")
+    todo = todo.join(side("a"), ["cell_a", "t_a"]).join(side("b"), ["cell_b", "t_b"])
+    todo = todo.repartition(parts_for(max(1, sum(ta * tb for _, ta, _, tb in pairs)), 2), "cell_a", "t_a", "cell_b", "t_b")
+    tile = lambda s: (F.col(f"cell_{s}").cast("long") * (1 << 31) + F.col(f"t_{s}")).alias(f"tile_{s}")
+    return todo.select(tile("a"), "n_a", "blob_a", tile("b"), "n_b", "blob_b").mapInArrow(_compare(d, kind, axes, cosine), "kind int, a long, b long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -220,19 +221,23 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     sound = F.coalesce((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (square > 0) & (square < float("inf")), F.lit(False))
     rows = rows.withColumn("sound", sound)
-    distinct = scratch.keep(rows.where("sound and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "v"), "distinct")
+    distinct = rows.where("sound and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    # rep numbers the distinct vectors; it is fixed by the table that is written
+    distinct = scratch.keep(distinct.select(F.monotonically_increasing_id().alias("rep"), "vec_id", "copies", "v"), "distinct")
     found = None
     for r in distinct.groupBy(F.size("v").alias("d")).count().collect():
-        part = scratch.keep(_compared(scratch, distinct.where(F.size("v") == r["d"]), r["d"], kind, cosine), f"found-{r['d']}")
+        part = scratch.keep(_compared(scratch, distinct.where(F.size("v") == r["d"]).select("rep", "copies", "v"), r["d"], kind, cosine), f"found-{r['d']}")
+        scratch.drop(f"tiles-{r['d']}")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "kind int, a long, b long")
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     class_of = components(scratch, found.where("kind = 1").select("a", "b"))
-    known = distinct.select("v", "rep", "copies").join(links, F.col("rep") == F.col("a"), "left").join(class_of, F.col("rep") == F.col("id"), "left")
-    known = known.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"), F.lit(True).alias("sound"))
+    known = distinct.join(links, F.col("rep") == F.col("a"), "left").join(class_of, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = known.groupBy("component").agg(F.min("vec_id").alias("smallest"))
+    known = known.join(smallest, "component").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "smallest", F.lit(True).alias("sound"))
     out = rows.join(known, ["v", "sound"], "left")
-    mine = F.coalesce("component", "vec_id")
+    mine = F.coalesce("smallest", "vec_id")
     return out.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), mine).alias("component_id"), F.coalesce(mine == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
