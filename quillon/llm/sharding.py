@@ -4,8 +4,12 @@ Documents are points: log size, source and language (categories are placed by ha
 is split at the weighted median of its widest dimension, weights being bytes, until each
 leaf has its share. Medians come from distributed histograms: 4096 bins between a node's
 bounds, then 4096 within the bin that holds the median, until that bin weighs next to
-nothing. Only one line a node is collected. Equal texts share one point, so copies stay
-together; where the copies of a text weigh much of a shard, each row is a point of its own.
+nothing. Only one line a node is collected.
+
+Equal texts are one unit, so copies stay together. A unit of more than `UNIT` of a shard's
+bytes (there are at most shards / UNIT of these) is placed by itself, largest first, in the
+shard with the most room left, and the medians then give each leaf the rest of its share. Only
+where the copies of one text weigh more than a whole shard is each of their rows a unit.
 """
 
 from __future__ import annotations
@@ -16,23 +20,33 @@ from pyspark.sql import functions as F
 from quillon.llm.spark_util import Scratch, documents, parts_for
 
 SHARDS, BINS, ROUNDS = 16, 4096, 5
-TOLERANCE, TOGETHER = 0.0005, 0.01  # shares of a leaf's bytes: that a split may be off; that a text's copies may weigh and stay together
+TOLERANCE, UNIT = 0.0005, 0.005  # shares of a leaf's bytes: that a split may be off; that a unit may weigh and be placed by the medians
+KEY = ("h", "size", "text_crc32")
 SLOT_ROWS = 20_000
 DIMENSIONS = ("size", "source", "lang", "spread")
 
 
-def _points(docs: DataFrame, shards: int) -> DataFrame:
-    """doc_id, size, text_crc32 and the coordinates; each is a whole number plus a fraction that the unit's hash gives."""
+def _points(docs: DataFrame, shards: int) -> tuple[DataFrame, list[float]]:
+    """doc_id, size, text_crc32, own (the shard of a heavy unit) and the coordinates, each a whole number plus a fraction that the unit's hash gives; and the bytes of each shard that heavy units leave."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")))
-    groups = rows.groupBy("h", "size", "text_crc32").agg(F.sum("size").alias("weight"), F.min("source").alias("source"), F.min("lang").alias("lang"))
-    total = rows.agg(F.sum("size")).alias("t")
-    rows = rows.select("doc_id", "h", "size", "text_crc32").join(groups, ["h", "size", "text_crc32"])
-    leaf = (total.first()[0] or 0) / shards
-    unit = F.when(F.col("weight") > leaf * TOGETHER, F.xxhash64("h", "doc_id")).otherwise(F.xxhash64("h"))
+    leaf = (rows.agg(F.sum("size")).first()[0] or 0) / shards
+    groups = rows.groupBy(*KEY).agg(F.sum("size").alias("weight"), *(f(c).alias(f"{k}_{c}") for c in ("source", "lang") for k, f in (("min", F.min), ("max", F.max))))
+    # only units that are heavy or whose copies differ in their metadata need a join
+    odd = groups.where((F.col("weight") > leaf * UNIT) | (F.col("min_source") < F.col("max_source")) | (F.col("min_lang") < F.col("max_lang"))).select(*KEY, "weight", "min_source", "min_lang")
+    heavy = odd.where((F.col("weight") > leaf * UNIT) & (F.col("weight") <= leaf)).select(*KEY, "weight").collect()
+    room, placed = [leaf] * shards, []
+    for r in sorted(heavy, key=lambda r: (-r["weight"], r["h"])):
+        k = room.index(max(room))
+        room[k] -= r["weight"]
+        placed.append((r["h"], r["size"], r["text_crc32"], k))
+    rows = rows.join(odd, list(KEY), "left").join(F.broadcast(spark.createDataFrame(placed, "h long, size long, text_crc32 long, own int")), list(KEY), "left")
+    unit = F.when(F.col("weight") > leaf, F.xxhash64("h", "doc_id")).otherwise(F.xxhash64("h"))
     rows = rows.withColumn("u", F.shiftrightunsigned(unit, 31) / F.lit(float(1 << 33)))
-    place = lambda c: F.shiftrightunsigned(F.xxhash64(F.lit(c), c), 44)
-    return rows.select("doc_id", "size", "text_crc32", (F.floor(F.log2("size") * 1024) + F.col("u")).alias("x_size"), (place("source") + F.col("u")).alias("x_source"), (place("lang") + F.col("u")).alias("x_lang"), F.col("u").alias("x_spread"))
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(F.lit(c), F.coalesce(f"min_{c}", c)), 44)
+    points = rows.select("doc_id", "size", "text_crc32", "own", (F.floor(F.log2("size") * 1024) + F.col("u")).alias("x_size"), (place("source") + F.col("u")).alias("x_source"), (place("lang") + F.col("u")).alias("x_lang"), F.col("u").alias("x_spread"))
+    return points, [max(0.0, x) for x in room]
 
 
 class _Node:
@@ -49,7 +63,7 @@ def _leaf(nodes: dict[int, _Node], node: int = 1) -> Column:
     return F.when(F.col(f"x_{n.dimension}") < n.at, _leaf(nodes, 2 * node)).otherwise(_leaf(nodes, 2 * node + 1))
 
 
-def _split(points: DataFrame, nodes: dict[int, _Node], open_: dict[int, _Node], whole: dict[str, float]) -> None:
+def _split(points: DataFrame, nodes: dict[int, _Node], open_: dict[int, _Node], whole: dict[str, float], room: list[float]) -> None:
     """Gives each open node its dimension and place of the split."""
     at = points.withColumn("node", _leaf(nodes)).where(F.col("node").isin(list(open_)))
     bounds = {r["node"]: r for r in at.groupBy("node").agg(F.sum("size").alias("weight"), *(f(f"x_{d}").alias(f"{s}_{d}") for d in DIMENSIONS for s, f in (("min", F.min), ("max", F.max)))).collect()}
@@ -63,7 +77,7 @@ def _split(points: DataFrame, nodes: dict[int, _Node], open_: dict[int, _Node],
         d = max(width, key=lambda k: (width[k], k))
         n.dimension = d if width[d] > 0 else "spread"
         low, high = b[f"min_{n.dimension}"], b[f"max_{n.dimension}"]
-        state[node] = {"low": low, "high": high + max(1e-9, (high - low) * 1e-9), "below": 0.0, "goal": b["weight"] * (n.leaves // 2) / n.leaves, "near": b["weight"] / n.leaves * TOLERANCE}
+        state[node] = {"low": low, "high": high + max(1e-9, (high - low) * 1e-9), "below": 0.0, "goal": b["weight"] * sum(room[n.first : n.first + n.leaves // 2]) / max(1e-9, sum(room[n.first : n.first + n.leaves])), "near": b["weight"] / n.leaves * TOLERANCE}
     for _ in range(ROUNDS):
         going = {k: s for k, s in state.items() if "done" not in s}
         if not going:
@@ -95,16 +109,18 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row.
 
     Null texts are empty (size 1), null source and lang are ''. Repeated rows and copies share
-    a point and so a shard, unless a text's copies weigh over TOGETHER of a shard. slot counts
+    a shard, unless a text's copies weigh more than a shard. slot counts
     from 0 in each shard: by hash bucket, then doc_id. An empty table gives an empty result."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    points = scratch.keep(_points(docs, shards), "points")
+    points, room = _points(docs, shards)
+    every = scratch.keep(points, "points")
+    points = every.where("own is null")
     nodes: dict[int, _Node] = {1: _Node(0, shards)}
     ends = points.agg(F.count("*").alias("n"), *(f(f"x_{d}").alias(f"{s}_{d}") for d in DIMENSIONS for s, f in (("min", F.min), ("max", F.max)))).first()
     whole = {d: int(ends[f"max_{d}"]) - int(ends[f"min_{d}"]) if ends["n"] else 0 for d in DIMENSIONS}
     while open_ := {k: n for k, n in nodes.items() if n.leaves > 1 and n.dimension is None}:
-        _split(points, nodes, open_, whole)
+        _split(points, nodes, open_, whole, room)
         for k, n in open_.items():
             nodes[2 * k] = _Node(n.first, n.leaves // 2)
             nodes[2 * k + 1] = _Node(n.first + n.leaves // 2, n.leaves - n.leaves // 2)
@@ -112,8 +128,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     for k, n in nodes.items():
         if n.leaves == 1:
             shard = F.when(F.col("node") == k, F.lit(n.first)).otherwise(shard)
-    buckets = parts_for(ends["n"], SLOT_ROWS)
-    rows = points.withColumn("node", _leaf(nodes)).select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
+    buckets = parts_for(every.count(), SLOT_ROWS)
+    rows = every.withColumn("node", _leaf(nodes)).select("doc_id", "size", "text_crc32", F.coalesce("own", shard.cast("int")).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
     before = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = before.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")))
