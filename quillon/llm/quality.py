@@ -1,12 +1,10 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Each document is reduced to its counts and to the hashes of its normalised lines. A line is
-frequent in a host if more than `line_docs` of the host's documents hold it. Copies are not
-many documents: equal texts count once, and a line must be held beside as many different
-contents - the longest other line of the document - as `line_contexts` of these documents,
-so that near copies of one text don't make their own lines frequent. A document whose words
-stand in frequent lines for more than `depleted` of them is rejected; the others lose these
-lines in `kept_texts`.
+frequent in a host if more than `line_docs` distinct documents of the host hold it; rows of
+equal text are one document, for exact copies are no boilerplate. Frequent lines are removed.
+A document of whose words more than a share `depleted` stands in frequent lines is rejected;
+the others lose these lines in `kept_texts`.
 """
 
 from __future__ import annotations
@@ -16,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.spark_util import Scratch, documents
 
-LINE_DOCS, LINE_CONTEXTS, DEPLETED = 20, 0.5, 0.5
+LINE_DOCS, DEPLETED = 20, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SPACES, _SOLID = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
@@ -65,30 +63,19 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("n_words") >= 4, F.size(F.array_distinct(_repeat_positions(F.col("grams"), F.col("keyed"), F.col("mask"))))).otherwise(0).cast("long").alias("n_repeat_words"),
-        F.transform(clean, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"))).alias("lines"),
-    ).withColumns(
-        {
-            "first": F.array_max("lines"),
-            "second": F.array_max(F.filter("lines", lambda x: x["line"] != F.array_max("lines")["line"])),
-        }
-    ).select(
-        *("doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
-        F.xxhash64(F.col("first.line")).alias("longest"),
-        F.xxhash64(F.col("second.line")).alias("other"),
-        F.transform("lines", lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), x["words"].cast("long").alias("words"))).alias("lines"),
+        F.transform(clean, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"))).alias("lines"),
     )
 
 
-def judge(counts: DataFrame, line_docs: int = LINE_DOCS, line_contexts: float = LINE_CONTEXTS, depleted: float = DEPLETED) -> DataFrame:
+def judge(counts: DataFrame, line_docs: int = LINE_DOCS, depleted: float = DEPLETED) -> DataFrame:
     """counts plus lost (words in frequent lines), gone (hashes of these lines), base_failed and kept.
 
     Line counts are aggregated before they are shuffled; documents meet them by a join on
     (host, line), which Spark splits where one line is in very many documents."""
     keys = ("doc_id", "host", "text_key")
-    lines = counts.select(*keys, "longest", "other", F.posexplode("lines").alias("pos", "line"))
-    held = lines.select("host", "text_key", F.col("line.h").alias("h"), F.when(F.col("line.h") == F.col("longest"), F.col("other")).otherwise(F.col("longest")).alias("context")).distinct()
-    by_context = held.groupBy("host", "h", "context").agg(F.count("*").alias("docs"))
-    frequent = by_context.groupBy("host", "h").agg(F.sum("docs").alias("docs"), F.count("*").alias("contexts")).where((F.col("docs") > line_docs) & (F.col("contexts") >= F.col("docs") * line_contexts)).select("host", "h")
+    lines = counts.select(*keys, F.posexplode("lines").alias("pos", "line"))
+    held = lines.select("host", "text_key", F.col("line.h").alias("h")).distinct()
+    frequent = held.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs).select("host", "h")
     rows = lines.select("doc_id", "text_key", "host", "pos", F.col("line.h").alias("h"), F.col("line.words").alias("words")).distinct()  # a repeated row counts once
     lost = rows.join(frequent, ["host", "h"]).groupBy("doc_id", "text_key", "host").agg(F.sum("words").alias("lost"), F.collect_set("h").alias("gone"))
     out = counts.alias("c").join(lost.alias("l"), F.col("c.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("c.text_key") == F.col("l.text_key")) & (F.col("c.host") == F.col("l.host")), "left")
@@ -138,12 +125,8 @@ dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY doc_id),
 norm AS (SELECT doc_id, host, text, list_transform(lines, lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')))) AS lines FROM w),
 ln AS (SELECT doc_id, host, text, unnest(lines) AS line FROM norm),
-once AS (SELECT DISTINCT doc_id, host, text, line FROM ln),
-rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, host, text ORDER BY length(line) DESC, line DESC) AS r FROM once),
-best AS (SELECT doc_id, host, text, max(line) FILTER (WHERE r = 1) AS longest, max(line) FILTER (WHERE r = 2) AS other FROM rk GROUP BY ALL),
-held AS (SELECT DISTINCT o.host, o.text, o.line, CASE WHEN o.line = b.longest THEN coalesce(b.other, '') ELSE b.longest END AS context
-         FROM once o JOIN best b USING (doc_id, host, text)),
-freq AS (SELECT host, line FROM held GROUP BY host, line HAVING count(*) > 20 AND count(DISTINCT context) >= count(*) * 0.5),
+held AS (SELECT DISTINCT host, text, line FROM ln),
+freq AS (SELECT host, line FROM held GROUP BY host, line HAVING count(*) > 20),
 lost AS (SELECT l.doc_id, sum(length(l.line) - length(replace(l.line, ' ', '')) + 1)::BIGINT AS lost
          FROM ln l JOIN freq USING (host, line) GROUP BY l.doc_id),
 base AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
