@@ -1,22 +1,28 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-A window is `WINDOW` words, lowered, followed by a fixed text that all dictionaries hold (a
-compressor finds no match in an input's last bytes). Its distance is the compressed size
-with a dictionary of ordinary text less that with one of toxic text. There are `FOLDS_K`
-pairs of dictionaries, each from other labelled documents, and a window's evidence is their
-mean saving, so that chance finds of one document's words weigh little.
-A document's features are its three best windows and its length; a logistic curve,
-calibrated on labelled documents by dictionaries that don't hold them, gives the score.
-
-Learning is bounded: at most SAMPLE labelled documents of each kind from the training folds
-(by hash), whose words fill dictionaries of set sizes. Scoring covers every window of every
-text; equal windows are compressed once by a worker.
+Evidence of a window is its compressed length with a dictionary of ordinary text less that
+with one of toxic text. Windows are lowered and joined by one space; they have two scales.
+
+* `WINDOW` running words, the next window beginning `STRIDE` words on, so that they overlap
+  (a compressor finds no match in an input's last bytes, which are the next window's first).
+  Both dictionaries are trained (`zstandard.train_dictionary`) on running text of their kind
+  and stand before one and the same background of ordinary running text, so that chance finds
+  of common syllables weigh alike on both sides.
+* Single words, by `FOLDS_K` pairs of dictionaries of the words of toxic and of ordinary
+  documents, each pair from other documents; evidence is the mean over all pairs, so that
+  chance finds of one document's words weigh little.
+
+A document's features are its `TOP` best windows of each scale and its length; a logistic
+curve, fitted to labelled documents by dictionaries that don't hold them, gives the score.
+
+Learning is bounded: at most `SAMPLE` labelled documents of each kind from the training folds
+(by hash) and `SAMPLE_BYTES` of their text. Scoring covers every window of every text; equal
+words are compressed once by a worker.
 """
 
 from __future__ import annotations
 
 import random
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,38 +32,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.spark_util import documents
-from quillon.llm.text import _BYTE, chunks, cut_words, span_hash
+from quillon.llm.text import chunks, cut_words, forget, ragged
 
 FOLDS, HELD_OUT = 3, 1
-SAMPLE = {1: 4000, 0: 6000}  # labelled documents that are read to learn from: toxic, ordinary
-WINDOW, FOLDS_K, TOP = 1, 4, 3
-CALIBRATE = 3000  # ordinary documents that the curve is fitted to, or as many as toxic ones if these are more
-ORDINARY_BYTES, TOXIC_BYTES = 1000 << 10, 300 << 10
+SAMPLE = {1: 4000, 0: 8000}  # labelled documents that are read to learn from: toxic, ordinary
+SAMPLE_BYTES = {1: 10 << 20, 0: 20 << 20}  # and bytes of their texts; a longer text than what is left of these isn't learned from
+WINDOW, STRIDE, FOLDS_K, TOP = 4, 3, 4, 3
+FEATURES = 2 * TOP + 2
+KEEP = 1 << 20  # distinct words held by a worker before it starts anew
+TRAINED_BYTES, BACKGROUND_BYTES = 100 << 10, 700 << 10
+ORDINARY_BYTES, TOXIC_BYTES = 1000 << 10, 300 << 10  # of words, in a dictionary of a pair
 THRESHOLD = 0.7
 WRONG = 3.0  # how much worse a marked clean document is than a missed toxic one, as shares of their kinds
-KEEP = 1 << 20  # distinct windows held by a worker before it starts anew
-_TAIL = b"~0Qz7#kV9@xJ4^mW2&yB8*hG5%tR1=cD3+pL6_nS!fK?wZaEoU"
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+MOST = 6.0  # bytes of evidence that count of a window
+CHUNK = 1 << 20
+_END = b" " + bytes(8)  # after a text's last word
+_TAIL = b"~0Qz7#kV9@xJ4^mW2&yB8*hG5%tR1=cD3+pL6_nS!fK?wZaEoU"  # after a single word; all dictionaries of words hold it
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
-def _sizes(content: bytes):
-    """Compressed size with a raw-content dictionary."""
+def _compressor(content: bytes, **search):
     import zstandard as z
 
-    parameters = z.ZstdCompressionParameters.from_level(3, window_log=21, strategy=z.STRATEGY_LAZY2, min_match=4, search_log=6, hash_log=19, chain_log=19, write_content_size=0, write_checksum=0, write_dict_id=0)
-    compress = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=parameters).compress
-    return lambda window: len(compress(window))
+    parameters = z.ZstdCompressionParameters.from_level(3, window_log=21, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0, **search)
+    return z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=parameters)
+
+
+def _of_windows(content: bytes):
+    import zstandard as z
+
+    return _compressor(content, strategy=z.STRATEGY_GREEDY, search_log=3, hash_log=18, chain_log=18)
+
+
+def _of_words(content: bytes):
+    import zstandard as z
+
+    return _compressor(content, strategy=z.STRATEGY_LAZY2, search_log=6, hash_log=19, chain_log=19)
+
+
+def _lengths(compressor, data: bytes, segments: np.ndarray) -> np.ndarray:
+    """Compressed length of each segment (offset, length) of data."""
+    import zstandard as z
+
+    out = compressor.multi_compress_to_buffer(z.BufferWithSegments(data, segments.astype("<u8").tobytes()), threads=1)
+    return np.fromiter(map(len, out), np.float64, len(segments))
+
+
+def _trained(texts: list[bytes]) -> bytes:
+    """A dictionary of the running text; the text itself where there is too little to train on."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(TRAINED_BYTES, texts).as_bytes()
+    except z.ZstdError:
+        return b" ".join(texts)[-TRAINED_BYTES:]
 
 
 def _content(texts: list[bytes], size: int, seed: int) -> bytes:
     """The distinct words of texts, the most widespread last, cut to size; then the fixed tail."""
     spread: Counter = Counter()
     for t in texts:
-        spread.update(set(_WORD.findall(t)))
+        spread.update(set(t.split()))
     words = sorted(spread)
     random.Random(seed).shuffle(words)
     words.sort(key=spread.__getitem__)
@@ -65,51 +103,75 @@ def _content(texts: list[bytes], size: int, seed: int) -> bytes:
 
 
 class Model:
-    """Pairs of dictionaries and the weights of the logistic curve."""
+    """Dictionaries of windows (ordinary, toxic), pairs of them for words, and the weights of the logistic curve."""
+
+    def __init__(self, windows: tuple[bytes, bytes], pairs: list[tuple[bytes, bytes]]):
+        self.windows, self.pairs, self.weights = windows, pairs, np.zeros(FEATURES)
+        self._clear()
 
-    def __init__(self, pairs: list[tuple[bytes, bytes]]):
-        self.pairs, self.weights, self.key = pairs, np.zeros(TOP + 2), hash(tuple(pairs))
-        self._tools: list | None = None
-        self._seen: dict[int, float] = {}
+    def _clear(self) -> None:
+        self._tools: tuple | None = None
+        self._seen: dict[bytes, float] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_tools": None, "_seen": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_tools", "_seen")}
 
-    def evidence(self, window: bytes, without: int = -1) -> float:
-        """Mean bytes saved by the toxic dictionaries of all pairs."""
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._clear()
+
+    def _compressors(self) -> tuple:
         if self._tools is None:
-            self._tools = [(_sizes(a), _sizes(b)) for a, b in self.pairs]
-        window += _TAIL
-        saved = [max(-2, min(6, ordinary(window) - toxic(window))) for k, (ordinary, toxic) in enumerate(self._tools) if k != without]
-        return max(0.0, sum(saved) / len(saved))
+            self._tools = tuple(map(_of_windows, self.windows)), [tuple(map(_of_words, pair)) for pair in self.pairs]
+        return self._tools
+
+    def evidence(self, data: bytes, segments: np.ndarray) -> np.ndarray:
+        """Bytes that the toxic dictionary saves of each window, a segment (offset, length) of data."""
+        ordinary, toxic = self._compressors()[0]
+        return np.clip(_lengths(ordinary, data, segments) - _lengths(toxic, data, segments), 0, MOST)
+
+    def words(self, vocabulary: list[bytes], without: int = -1) -> np.ndarray:
+        """Mean bytes that the toxic dictionaries of all pairs (but one) save of each word."""
+        seen = self._seen if without < 0 else {}
+        if len(seen) + len(vocabulary) > KEEP:
+            seen.clear()
+        if new := [w for w in vocabulary if w not in seen]:
+            cuts = np.cumsum([0, *(len(w) + 2 + len(_TAIL) for w in new)])
+            data, segments = b"".join([b" " + w + b" " + _TAIL for w in new]), np.stack([cuts[:-1], np.diff(cuts)], axis=1)
+            saved = [np.clip(_lengths(ordinary, data, segments) - _lengths(toxic, data, segments), -2, MOST) for k, (ordinary, toxic) in enumerate(self._compressors()[1]) if k != without]
+            seen.update(zip(new, np.maximum(0, sum(saved) / len(saved)).tolist(), strict=True))
+        return np.fromiter(map(seen.__getitem__, vocabulary), np.float64, len(vocabulary))
 
     def features(self, raw: np.ndarray, offsets: np.ndarray, without: int = -1) -> np.ndarray:
         """A row per text: best windows' evidence, log of words, 1."""
         w = cut_words(raw, offsets, lower=True)
         n = np.diff(w.first)
-        doc = np.repeat(np.arange(len(n)), -(-n // WINDOW))
-        heads = w.first[doc] + WINDOW * (np.arange(len(doc)) - np.concatenate([[0], np.cumsum(-(-n // WINDOW))])[doc])
-        tails = np.minimum(heads + WINDOW, w.first[doc + 1]) - 1
-        out = np.zeros((len(n), TOP + 2))
-        out[:, TOP], out[:, TOP + 1] = np.log1p(n), 1
-        if not len(heads):
+        out = np.zeros((len(n), FEATURES))
+        out[:, -2], out[:, -1] = np.log1p(n), 1
+        if not len(w.kind):
             return out
-        starts, ends = w.starts[heads], w.ends[tails]
-        unique, first, at = np.unique(span_hash(_BYTE[w.raw], starts, ends), return_index=True, return_inverse=True)
-        seen = self._seen if without < 0 else {}
-        if len(seen) + len(unique) > KEEP:
-            seen.clear()
-        keys, a, b, whole = unique.tolist(), starts[first].tolist(), ends[first].tolist(), w.raw.tobytes()
-        for k, h in enumerate(keys):
-            if h not in seen:
-                seen[h] = self.evidence(b" " + b" ".join(whole[a[k] : b[k]].split()) + b" ", without)
-        value = np.fromiter(map(seen.__getitem__, keys), np.float64, len(keys))[at]
-        some = np.flatnonzero(value > 0)
-        some = some[np.lexsort((-value[some], doc[some]))]
-        d = doc[some]
-        rank = np.arange(len(some)) - np.searchsorted(d, np.arange(len(n)))[d]
-        best = rank < TOP
-        out[d[best], rank[best]] = value[some][best]
+        # words with a space before each, and the end mark after each text's last
+        last = np.zeros(len(w.kind), bool)
+        last[w.first[1:][n > 0] - 1] = True
+        size = w.ends - w.starts + 1
+        after = np.cumsum(size + last * len(_END))
+        begin = after - size - last * len(_END)
+        plain = np.zeros(int(after[-1]), np.uint8)
+        plain[begin] = 0x20
+        plain[ragged(begin + 1, size - 1)] = w.raw[ragged(w.starts, size - 1)]
+        plain[(after[last] - len(_END))[:, None] + np.arange(len(_END))] = np.frombuffer(_END, np.uint8)
+        windows = np.where(n > 0, 1 + -(-np.maximum(n - WINDOW, 0) // STRIDE), 0)
+        doc = np.repeat(np.arange(len(n)), windows)
+        heads = w.first[doc] + STRIDE * (np.arange(len(doc)) - np.concatenate([[0], np.cumsum(windows)])[doc])
+        tails = np.minimum(heads + WINDOW, w.first[doc + 1]) - 1
+        value = self.evidence(plain.tobytes(), np.stack([begin[heads], after[tails] - begin[heads]], axis=1))
+        for k, (doc, value) in enumerate(((doc, value), (np.repeat(np.arange(len(n)), n), self.words(w.vocabulary, without)[w.kind]))):
+            some = np.flatnonzero(value > 0)
+            some = some[np.lexsort((-value[some], doc[some]))]
+            d = doc[some]
+            rank = np.arange(len(some)) - np.searchsorted(d, np.arange(len(n)))[d]
+            best = rank < TOP
+            out[d[best], k * TOP + rank[best]] = value[some][best]
         return out
 
     def scores(self, features: np.ndarray) -> np.ndarray:
@@ -129,25 +191,43 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
 
 
+def _sample(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text) of the labelled documents that are learned from, by hash, within SAMPLE and SAMPLE_BYTES.
+
+    Only ids and lengths of at most SAMPLE documents are collected to choose them."""
+    chosen = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(n) for k, n in SAMPLE.items()]
+    held = rows.join(chosen[0].unionByName(chosen[1]), "doc_id")
+    sizes = held.groupBy("doc_id", "toxic").agg(F.sum(F.octet_length("text")).alias("n"), F.xxhash64(F.lit("toxicity"), "doc_id").alias("h")).collect()
+    left, ids = dict(SAMPLE_BYTES), []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["n"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["n"]
+            ids.append((r["doc_id"],))
+    return held.join(F.broadcast(rows.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id").select("doc_id", "toxic", "text")
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from labelled documents of the training folds; None if a label is missing there."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(n) for k, n in SAMPLE.items()]
-    found = rows.join(chosen[0].unionByName(chosen[1]), "doc_id").select("doc_id", "toxic", "text").collect()
-    found = sorted({(r["toxic"], r["text"].encode()): r["doc_id"] for r in found}.items(), key=lambda x: (x[1], x[0]))
+    found = {(r["toxic"], r["text"].encode()): r["doc_id"] for r in _sample(rows, marked).collect()}
+    found = sorted(found.items(), key=lambda x: (x[1], x[0]))
     texts = {k: [t.lower() for (label, t), _ in found if label == k] for k in (0, 1)}
     if min(map(len, texts.values())) < FOLDS_K:
         return None
     folds = {k: [texts[k][f::FOLDS_K] for f in range(FOLDS_K)] for k in texts}
-    model = Model([(_content(folds[0][f], ORDINARY_BYTES, f), _content(folds[1][f], TOXIC_BYTES, f)) for f in range(FOLDS_K)])
+    half = FOLDS_K // 2  # windows learn from these folds, the curve from the others
+    ordinary = [t for f in range(half) for t in folds[0][f]]
+    some = max(1, len(ordinary) // 2)
+    background = b" ".join(ordinary[some:])[-BACKGROUND_BYTES:]
+    windows = tuple(_trained(x) + background for x in (ordinary[:some], [t for f in range(half) for t in folds[1][f]]))
+    model = Model(windows, [(_content(folds[0][f], ORDINARY_BYTES, f), _content(folds[1][f], TOXIC_BYTES, f)) for f in range(FOLDS_K)])
     x, y = [], []
     for k in (0, 1):
-        for f in range(FOLDS_K):
-            own = folds[k][f] if k else folds[k][f][: max(len(folds[1][f]), CALIBRATE // FOLDS_K)]
-            if own:
-                x.append(model.features(*_joined(own), without=f))
-                y.append(np.full(len(own), float(k)))
+        for f in range(half, FOLDS_K):
+            if folds[k][f]:
+                x.append(model.features(*_joined(folds[k][f]), without=f))
+                y.append(np.full(len(x[-1]), float(k)))
     x, y = np.concatenate(x), np.concatenate(y)
     model.weights = _logistic(x, y)
     # calibration: the curve passes THRESHOLD where missed and wrongly marked documents, as shares of their kinds, are fewest
@@ -156,20 +236,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     missed = np.searchsorted(np.sort(z[y == 1]), cuts) / (y == 1).sum()
     marked = 1 - np.searchsorted(np.sort(z[y == 0]), cuts) / (y == 0).sum()
-    model.weights[TOP + 1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cuts[np.argmin(missed + WRONG * marked)]
+    model.weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cuts[np.argmin(missed + WRONG * marked)]
     return model
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def _score(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = held.value
-        if model is not None:
-            model = _MODELS.setdefault(model.key, model)
         for batch in batches:
-            for d, e, raw, offsets in chunks(batch.column(1)):
+            for d, e, raw, offsets in chunks(batch.column(1), CHUNK):
                 score = model.scores(model.features(raw, offsets)) if model is not None else np.zeros(e - d)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(d, e - d), batch.column(2).slice(d, e - d), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
