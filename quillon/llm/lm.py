@@ -14,8 +14,9 @@ Training: truncated backpropagation in numpy, started from the unigram distribut
 round, tasks train on their documents of the round from the same parameters, which are then
 averaged by tokens in Spark. Rounds are dealt by hash; every training document is in one.
 
-Scoring: one pass; counts of frequent words (at most `HEAD` of them) go to the tasks, all
-other words meet their counts in a join.
+Scoring: one pass, documents side by side; long ones of a task wait for each other, so that
+a step serves many. Counts of frequent words (at most `HEAD` of them) go to the
+tasks, all other words meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -31,15 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.spark_util import Scratch, documents
-from quillon.llm.text import U64, HashIndex, Words, chunks, cut_words, mix
+from quillon.llm.text import U64, HashIndex, Words, chunks, cut_words, forget, mix
 
 FOLDS, HELD_OUT = 5, 1
 HEAD = 1 << 18
 CLASSES, MEMBERS, BUCKETS = 32, 32, 64
 SYMBOLS = CLASSES * MEMBERS
-EMBED, HIDDEN, WINDOW, LANES = 16, 24, 32, 512
+EMBED, HIDDEN, WINDOW, LANES = 16, 16, 32, 512
 TRAIN_ROUNDS = 4  # each takes one in TRAIN_ROUNDS of the training documents
+TRAIN_LANES, SEGMENT = 128, 512  # documents that are trained on side by side; a longer one is trained on in segments
 RUN = 8  # chunks of text that are trained on or scored together
+LONG, LATE = 1024, 1 << 21  # longer documents wait until so many of their tokens can be scored side by side
 RATE = 0.01
 END = U64(0x5851F42D4C957F2D)  # hash that stands for a document's end
 LOG10 = float(np.log(10))
@@ -49,12 +52,10 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
-def buckets(words: Words) -> np.ndarray:
+def buckets(vocabulary: list[bytes]) -> np.ndarray:
     """Bucket of each word, by its last three bytes."""
-    value = np.zeros(len(words.starts), U64)
-    for k in (1, 2, 3):
-        at = words.ends - k
-        value = value * U64(257) + np.where(at >= words.starts, words.raw[np.maximum(at, 0)], 0).astype(U64)
+    tails = b"".join([w[-3:].rjust(3, b"\0") for w in vocabulary])
+    value = np.frombuffer(tails, np.uint8).reshape(-1, 3).astype(U64) @ np.array([65536, 256, 1], U64)
     return (mix(value + U64(1)) % U64(BUCKETS)).astype(np.int32)
 
 
@@ -63,8 +64,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for _, e, raw, offsets in chunks(batch.column(0)):
             w = cut_words(raw, offsets, lower=True)
-            h, first, c = np.unique(w.hashes, return_index=True, return_counts=True)
-            parts.append((h, buckets(w)[first], c))
+            parts.append((w.own, buckets(w.vocabulary), np.bincount(w.kind, minlength=len(w.own))))
         if not parts:
             continue
         h, b, c = (np.concatenate([p[k] for p in parts]) for k in range(3))
@@ -104,8 +104,9 @@ class Statistics:
         return self._index.find(hashes)
 
     def symbols(self, words: Words, place: np.ndarray) -> np.ndarray:
+        """Symbol of each distinct word; place: its place in the head."""
         known = (place >= 0) & (place < len(self.word_symbol))
-        out = self.bucket_symbol[buckets(words)]
+        out = self.bucket_symbol[buckets(words.vocabulary)]
         out[known] = self.word_symbol[place[known]]
         return out
 
@@ -132,9 +133,9 @@ def initial(weights: np.ndarray) -> dict[str, np.ndarray]:
 class Lanes:
     """Documents side by side: each lane reads whole documents one after the other."""
 
-    def __init__(self, symbols: np.ndarray, first: np.ndarray, end: int):
+    def __init__(self, symbols: np.ndarray, first: np.ndarray, end: int, most: int = LANES):
         size = np.diff(first)  # with the end
-        lanes = int(np.clip(len(symbols) // max(256, int(size.max())), 1, LANES))
+        lanes = int(np.clip(len(symbols) // max(256, int(size.max())), 1, most))
         heap = [(0, k) for k in range(lanes)]
         lane, start = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         for d in np.argsort(-size, kind="stable").tolist():
@@ -241,9 +242,14 @@ def log_probabilities(p: dict[str, np.ndarray], symbols: np.ndarray, first: np.n
 
 
 def train(p: dict[str, np.ndarray], symbols: np.ndarray, first: np.ndarray, end: int, rate: float = RATE, moments: dict | None = None) -> dict[str, np.ndarray]:
-    """One pass of truncated backpropagation over the documents, by Adam, whose state is in moments between calls."""
+    """One pass of truncated backpropagation over the documents, by Adam, whose state is in moments between calls.
+
+    Documents of over SEGMENT symbols are read in segments, each from a state of zero on but
+    with the symbol before it as its first input."""
     p = {k: v.copy() for k, v in p.items()}
-    lanes = Lanes(symbols, first, end)
+    first = np.unique(np.concatenate([first, *(np.arange(a, b, SEGMENT) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True) if b - a > SEGMENT)]))
+    lanes = Lanes(symbols, first, end, TRAIN_LANES)
+    lanes.input.ravel()[lanes.flat[first[1:-1]]] = symbols[first[1:-1] - 1]  # a document's last symbol is the end
     moments = {} if moments is None else moments
     one, two = (moments.setdefault(x, {k: np.zeros_like(v) for k, v in p.items()}) for x in ("one", "two"))
     h = np.zeros((lanes.shape[1], HIDDEN), np.float32)
@@ -307,8 +313,8 @@ def _read(column: pa.Array, stats: Statistics) -> Iterator[tuple[np.ndarray, np.
     """(symbols with ends, cuts, words' hashes, words' place in the head) of runs of texts."""
     for _, _, raw, offsets in chunks(column):
         w = cut_words(raw, offsets, lower=True)
-        place = stats.find(w.hashes)
-        yield np.insert(stats.symbols(w, place), w.first[1:], stats.end_symbol).astype(np.int16), w.first, w.hashes, place
+        place = stats.find(w.own)
+        yield np.insert(stats.symbols(w, place)[w.kind], w.first[1:], stats.end_symbol).astype(np.int16), w.first, w.hashes, place[w.kind]
 
 
 def _runs(column: pa.Array, stats: Statistics) -> Iterator[list]:
@@ -320,6 +326,7 @@ def _runs(column: pa.Array, stats: Statistics) -> Iterator[list]:
 
 def _train(p: dict[str, np.ndarray], stats: Statistics):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         now, tokens, moments = p, 0, {}
         for batch in batches:
             for parts in _runs(batch.column(0), stats):
@@ -334,35 +341,56 @@ def _train(p: dict[str, np.ndarray], stats: Statistics):
     return run
 
 
+def _base_sums(parts: list, stats: Statistics) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each text: known tokens among the frequent; base of these, of the model's words, and bucket masses; hashes of rare words."""
+    size = sum(len(x[1]) - 1 for x in parts)
+    known, sums, rare, d = np.zeros(size, np.int64), np.zeros((3, size)), [], 0
+    of_symbol = np.zeros(SYMBOLS)
+    of_symbol[stats.bucket_symbol] = stats.bucket_log
+    for symbols, cuts, hashes, place in parts:
+        n = len(cuts) - 1
+        doc = np.repeat(np.arange(n), np.diff(cuts))
+        head, own = place >= 0, (place >= 0) & (place < len(stats.word_symbol))
+        sums[0, d : d + n] = np.bincount(doc[head], stats.base[place[head]], n) + stats.end_base
+        sums[1, d : d + n] = np.bincount(doc[own], stats.base[place[own]], n) + stats.end_base
+        words = np.delete(symbols, cuts[1:] + np.arange(n))
+        sums[2, d : d + n] = np.bincount(doc[~own], of_symbol[words[~own]], n)
+        known[d : d + n] = np.bincount(doc[head], minlength=n) + 1
+        rare += np.split(hashes[~head].astype(np.int64), np.cumsum(np.bincount(doc[~head], minlength=n))[:-1]) if n else []
+        d += n
+    return known, sums, rare
+
+
 def _score(p: dict[str, np.ndarray], stats: Statistics):
+    def scored(rows: list[tuple]) -> pa.RecordBatch:
+        """rows: symbols, then the columns but for the model's; of one run, or of long documents of many."""
+        first = np.cumsum([0, *(len(r[0]) for r in rows)])
+        log = log_probabilities(p, np.concatenate([r[0] for r in rows]).astype(np.int64), first, stats.end_symbol)
+        model = np.add.reduceat(log, first[:-1])
+        _, row, doc_id, n, known, base, minus, rare = zip(*rows, strict=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.array(np.concatenate(rare)))
+        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model - np.array(minus)), lists], names=["row", "doc_id", "n_tokens", "known", "base", "beyond", "rare"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        forget()
+        row, late, waiting = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
-            done = 0
+            ids, done = batch.column(0).to_pylist(), 0
             for parts in _runs(batch.column(1), stats):
-                size = np.concatenate([np.diff(x[1]) for x in parts])
-                first = np.concatenate([[0], np.cumsum(size + 1)])
-                log = log_probabilities(p, np.concatenate([x[0] for x in parts]).astype(np.int64), first, stats.end_symbol)
-                model = np.add.reduceat(log, first[:-1])
-                sums = np.zeros((3, len(size)))  # base of frequent words; base of the model's words; bucket masses
-                known, rare, rare_first, d = np.zeros(len(size), np.int64), [], [np.zeros(1, np.int64)], 0
-                for symbols, cuts, hashes, place in parts:
-                    n = len(cuts) - 1
-                    doc = np.repeat(np.arange(n), np.diff(cuts))
-                    head, own = place >= 0, (place >= 0) & (place < len(stats.word_symbol))
-                    sums[0, d : d + n] = np.bincount(doc[head], stats.base[place[head]], n) + stats.end_base
-                    sums[1, d : d + n] = np.bincount(doc[own], stats.base[place[own]], n) + stats.end_base
-                    of_symbol = np.zeros(SYMBOLS)
-                    of_symbol[stats.bucket_symbol] = stats.bucket_log
-                    words = np.delete(symbols, cuts[1:] + np.arange(n))
-                    sums[2, d : d + n] = np.bincount(doc[~own], of_symbol[words[~own]], n)
-                    known[d : d + n] = np.bincount(doc[head], minlength=n) + 1
-                    rare.append(hashes[~head])
-                    rare_first.append(np.cumsum(np.bincount(doc[~head], minlength=n)) + rare_first[-1][-1])
-                    d += n
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(rare_first), pa.int32()), pa.array(np.concatenate(rare).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(size))), batch.column(0).slice(done, len(size)), pa.array(size + 1), pa.array(known), pa.array(sums[0]), pa.array(model - sums[2] - sums[1]), lists], names=["row", "doc_id", "n_tokens", "known", "base", "beyond", "rare"])
-                row, done = row + len(size), done + len(size)
+                known, sums, rare = _base_sums(parts, stats)
+                symbols = [x for part in parts for x in np.split(part[0], (part[1][1:] + np.arange(1, len(part[1])))[:-1])]
+                rows = list(zip(symbols, range(row, row + len(known)), ids[done : done + len(known)], map(len, symbols), known.tolist(), sums[0].tolist(), (sums[1] + sums[2]).tolist(), rare, strict=True))
+                row, done = row + len(rows), done + len(rows)
+                long = [r for r in rows if len(r[0]) > LONG]
+                if len(long) < len(rows):
+                    yield scored([r for r in rows if len(r[0]) <= LONG])
+                late += [(r[0].copy(), *r[1:-1], r[-1].copy()) for r in long]
+                waiting += sum(len(r[0]) for r in long)
+                if waiting > LATE:
+                    yield scored(late)
+                    late, waiting = [], 0
+        if late:
+            yield scored(late)
 
     return run
 
