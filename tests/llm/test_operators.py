@@ -200,15 +200,17 @@ def test_quality_rules_equal_sql(spark, docs, small):
 
 
 def test_frequent_lines_reject_depleted_documents(spark):
+    """Also where pages share their two longest lines; exact copies are one document."""
     r = random.Random(3)
-    menu = [prose(r, 12) for _ in range(6)]
-    # near copies of one text are no frequent lines; a menu in many different documents is
-    near = [prose(r, 15) for _ in range(8)]
-    rows = [(k, "\n".join(menu + [prose(r, 20)]), "h") for k in range(40)]
-    rows += [(100 + k, "\n".join(near[:k % 8] + [prose(r, 15)] + near[k % 8 + 1 :]), "h") for k in range(40)]
-    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), line_contexts=0.5).collect()}
-    assert not any(got[k] for k in range(40))
-    assert sum(got[100 + k] for k in range(40)) >= 30
+    menu = [prose(r, 12) for _ in range(6)] + [prose(r, 55), prose(r, 55)]
+    copy = "\n".join(prose(r, 15) for _ in range(8))
+    rows = [(k, "\n".join([*menu, prose(r, 20)]), "h") for k in range(40)]
+    rows += [(100 + k, copy, "h") for k in range(40)]
+    rows += [(200 + k, "\n".join([menu[0], *(prose(r, 15) for _ in range(5))]), "h") for k in range(5)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[k]["kept"] for k in range(40))
+    assert all(got[100 + k]["kept"] and not got[100 + k]["n_frequent_words"] for k in range(40))
+    assert all(got[200 + k]["kept"] and got[200 + k]["n_frequent_words"] == 12 for k in range(5))
 
 
 def shingles(t):
@@ -440,5 +442,167 @@ def test_evidence_asks_all_pairs():
     plain = toxicity._content([b"some ordinary words of no kind"], 1 << 10, 0)
     known = toxicity._content([b"some ordinary words scumbaggery"], 1 << 10, 0)
     pairs = [(plain, plain), (plain, plain), (plain, known), (plain, known)]
-    one, other = (toxicity.Model(x).evidence(b" scumbaggery ") for x in (pairs, pairs[::-1]))
+    one, other = (toxicity.Model((plain, plain), x).words([b"scumbaggery"])[0] for x in (pairs, pairs[::-1]))
     assert one == other > 0
+
+
+def test_evidence_of_phrases():
+    """A phrase that only toxic text holds saves bytes, wherever it begins in the windows."""
+    r = random.Random(2)
+    ordinary = [prose(r, 60).encode() for _ in range(60)]
+    phrase = b"never trust those filthy neighbours again"
+    toxic = [b" ".join([*t.split()[:20], phrase, *t.split()[20:]]) for t in ordinary[:30]]
+    background = b" ".join(ordinary[30:])
+    model = toxicity.Model((toxicity._trained(ordinary[:30]) + background, toxicity._trained(toxic) + background), [])
+    model.words = lambda vocabulary, without=-1: np.zeros(len(vocabulary))
+    for k in range(5):
+        with_it = b" ".join([*ordinary[40].split()[: 10 + k], phrase, *ordinary[40].split()[10 + k :]])
+        x = model.features(*toxicity._joined([with_it, ordinary[40], b"", b"a"]))
+        assert x[0, 0] >= 3 > x[1, 0] and not x[2:, :-2].any()
+
+
+THUE = ["ab"[bin(k).count("1") % 2] for k in range(1024)]
+OTHER = ["ba"[bin(k).count("1") % 2] for k in range(1024)]
+
+
+def test_texts_whose_polynomial_hashes_are_equal(spark):
+    """A Thue-Morse text and its complement, as letters of one word and as words."""
+    from tokenizers import Tokenizer
+
+    texts = ["".join(THUE), "".join(OTHER), " ".join(THUE), " ".join(OTHER)]
+    df = spark.createDataFrame([(k, t, None, None) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1)
+    w = text.cut_words(*text.string_buffers(pa.array(texts[:2])))
+    assert w.hashes[0] != w.hashes[1]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool = Tokenizer.from_file(path)
+    for r in packing.pack_documents(df, path).collect():
+        ids = np.array([*tool.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0], "<u4")
+        assert zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in piece.piece_digests(df, public_tokenizers.path("piece_bpe_32k.model")).collect():
+        assert r["decoded_sha256"] == hashlib.sha256(sp.decode(sp.encode(texts[r["doc_id"]])).encode()).hexdigest()
+    assert {r["doc_id"]: r["copy_of"] for r in order_minhash.near_duplicates(df).collect()} == {k: k for k in range(4)}
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.substring_dedup(df).collect()) == removed(list(enumerate(texts)))
+
+
+def test_large_ids(spark):
+    near = 1 << 62
+    r = random.Random(1)
+    one = prose(r, 100)
+    df = spark.createDataFrame([(near + k, one) for k in range(6)] + [(near + 10 + k, one + f" end{k}") for k in range(4)], "doc_id long, text string")
+    assert {x["class_id"] for x in order_minhash.near_duplicates(df).collect()} == {near}
+    v = [[1.0, 0.01 * k] for k in range(5)]
+    got = embedding_dedup.near_vectors(vectors(spark, [(near + k, x) for k, x in enumerate(v)])).collect()
+    assert {x["component_id"] for x in got} == {near}
+
+
+def test_two_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [0.02, 1.0])]
+    got = sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in embedding_dedup.near_vectors(vectors(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
+def test_starts_of_rows_of_one_id(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    r = random.Random(4)
+    df = spark.createDataFrame([(7, prose(r, r.randint(1, 30))) for _ in range(9)] + [(None, "x y"), (8, None)], "doc_id long, text string")
+    target = f"file://{tmp_path}/one"
+    token_files.write_tokens(df, target, path, 2)
+    stored = token_files.read_tokens(spark, target).orderBy("part", "ordinal").collect()
+    at, want = 0, []
+    for x in stored:
+        want.append((x["doc_id"], at, x["n_tokens"], zlib.crc32(np.array(x["tokens"], "<u4").tobytes())))
+        at += x["n_tokens"]
+    assert sorted(map(str, map(tuple, token_files.digest(spark, target).collect()))) == sorted(map(str, want))
+    assert [x["doc_id"] for x in stored][0] is None
+
+
+def test_pages_and_row_groups_of_token_files(spark, tmp_path):
+    """Token pages are dictionary coded, metadata is delta coded, row groups have a bounded size and page indexes."""
+    import pyarrow.parquet as pq
+
+    r = random.Random(9)
+    df = spark.createDataFrame([(k, prose(r, 400)) for k in range(600)], "doc_id long, text string")
+    target = tmp_path / "pages"
+    token_files.write_tokens(df, f"file://{target}", public_tokenizers.path("word_bpe_49k.json"), 2)
+    seen = 0
+    for path in sorted(target.glob("*.parquet")):
+        meta = pq.ParquetFile(path).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 2 * token_files.ROW_GROUP_BYTES
+            columns = {group.column(c).path_in_schema.split(".")[0]: group.column(c) for c in range(group.num_columns)}
+            assert "RLE_DICTIONARY" in columns["tokens"].encodings and columns["tokens"].has_dictionary_page
+            assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings or columns["doc_id"].has_dictionary_page
+            assert columns["doc_id"].has_offset_index and columns["doc_id"].has_column_index
+            seen += group.num_rows
+    assert seen == 600
+
+
+def test_loss_limit_binds(spark):
+    """Loss-bearing ids are those after the first line; sequences are closed by their limit before they are full."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(5)
+    rows = [(k, (prose(r, 12) + "\n") * (k % 2) + prose(r, r.randint(5, 900))) for k in range(300)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    tokens, segments, loss = (Counter() for _ in range(3))
+    for x in got:
+        tokens[x["sequence_id"]] += x["length"]
+        loss[x["sequence_id"]] += x["loss_tokens"]
+        segments[x["sequence_id"]] += 1
+    assert max(tokens.values()) <= packing.TOKENS and max(loss.values()) <= packing.LOSS and max(segments.values()) <= packing.SEGMENTS
+    assert any(loss[k] == packing.LOSS and tokens[k] < packing.TOKENS for k in tokens)
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(path)
+    for k, t in rows[:40]:
+        ids = tool.encode(t, add_special_tokens=False).ids
+        prompt = len(tool.encode(t[: t.index("\n") + 1], add_special_tokens=False).ids) if "\n" in t else 0
+        assert sum(x["loss_tokens"] for x in got if x["doc_id"] == k) == len(ids) - prompt
+    assert sum(tokens.values()) > 0.97 * packing.TOKENS * len(tokens)
+
+
+def test_shards_of_documents(spark, small):
+    """Equal texts lie together and shards weigh alike, also where single documents and copies are heavy."""
+    from quillon.llm.spark_util import documents
+
+    docs = documents(spark, small)
+    rows = sharding.shard_documents(docs).join(docs.selectExpr("doc_id", "coalesce(text, '') as text"), "doc_id").collect()
+    of, sizes = defaultdict(set), Counter()
+    for x in rows:
+        of[x["text"]].add(x["shard"])
+        sizes[x["shard"]] += x["size"]
+    assert all(len(s) == 1 for s in of.values())
+    assert len(sizes) == 16 and max(sizes.values()) < 1.03 * min(sizes.values())
+
+
+def test_stage_rows_of_one_id_and_clashing_columns(spark):
+    from quillon.llm import stages
+
+    r = random.Random(7)
+    passage = prose(r, 60)
+    rows = [(1, passage, "c", 1), (2, "x " + passage, "c", 2), (2, prose(r, 5), "c", 3), (2, "x " + passage, "c", 4), (None, "y z", "c", 5), (3, None, "c", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, n_chars long")
+    got = stages.substrings(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted((str(x["doc_id"]), x["text"]) for x in got.collect() if x["text"]) == sorted([("1", passage), ("2", "x"), ("2", "x"), ("2", rows[2][1]), ("None", "y z")])
+    assert got.count() == 6
+
+
+def test_recall_of_order_minhash(spark):
+    """All pairs of similarity 0.8 and more of 240 near copies, against brute force."""
+    r = random.Random(12)
+    rows = []
+    for k in range(60):
+        w = prose(r, r.randint(40, 200), 4000).split()
+        for v in range(4):
+            copy = list(w)
+            for at in r.sample(range(len(w)), int(len(w) * 0.012 * v)):
+                copy[at] = f"new{k}x{v}x{at}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [shingles(t) for _, t in rows]
+    got = {x["doc_id"]: x["class_id"] for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if a // 4 == b // 4 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 100 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
