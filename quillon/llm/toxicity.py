@@ -36,11 +36,11 @@ from quillon.llm.text import chunks, cut_words, forget, ragged
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE = {1: 4000, 0: 8000}  # labelled documents that are read to learn from: toxic, ordinary
-SAMPLE_BYTES = {1: 10 << 20, 0: 20 << 20}  # and bytes of their texts; a longer text than what is left of these isn't learned from
-WINDOW, STRIDE, FOLDS_K, TOP = 4, 3, 4, 3
+SAMPLE_BYTES = {1: 6 << 20, 0: 10 << 20}  # and bytes of their texts; a longer text than what is left of these isn't learned from
+WINDOW, STRIDE, FOLDS_K, TOP = 4, 3, 3, 3
 FEATURES = 2 * TOP + 2
 KEEP = 1 << 20  # distinct words held by a worker before it starts anew
-TRAINED_BYTES, BACKGROUND_BYTES = 100 << 10, 700 << 10
+TRAINED_BYTES, BACKGROUND_BYTES, TRAIN_BYTES = 100 << 10, 700 << 10, 2 << 20
 ORDINARY_BYTES, TOXIC_BYTES = 1000 << 10, 300 << 10  # of words, in a dictionary of a pair
 THRESHOLD = 0.7
 WRONG = 3.0  # how much worse a marked clean document is than a missed toxic one, as shares of their kinds
@@ -82,9 +82,10 @@ def _lengths(compressor, data: bytes, segments: np.ndarray) -> np.ndarray:
 
 
 def _trained(texts: list[bytes]) -> bytes:
-    """A dictionary of the running text; the text itself where there is too little to train on."""
+    """A dictionary of the running text (TRAIN_BYTES of it at most); the text itself where there is too little to train on."""
     import zstandard as z
 
+    texts = [t for t, n in zip(texts, np.cumsum([len(t) for t in texts]).tolist(), strict=True) if n <= TRAIN_BYTES] or texts[:1]
     try:
         return z.train_dictionary(TRAINED_BYTES, texts).as_bytes()
     except z.ZstdError:
@@ -130,9 +131,9 @@ class Model:
         ordinary, toxic = self._compressors()[0]
         return np.clip(_lengths(ordinary, data, segments) - _lengths(toxic, data, segments), 0, MOST)
 
-    def words(self, vocabulary: list[bytes], without: int = -1) -> np.ndarray:
-        """Mean bytes that the toxic dictionaries of all pairs (but one) save of each word."""
-        seen = self._seen if without < 0 else {}
+    def words(self, vocabulary: list[bytes], without: int = -1, seen: dict[bytes, float] | None = None) -> np.ndarray:
+        """Mean bytes that the toxic dictionaries of all pairs (but one) save of each word; seen: those known already."""
+        seen = self._seen if seen is None else seen
         if len(seen) + len(vocabulary) > KEEP:
             seen.clear()
         if new := [w for w in vocabulary if w not in seen]:
@@ -142,7 +143,7 @@ class Model:
             seen.update(zip(new, np.maximum(0, sum(saved) / len(saved)).tolist(), strict=True))
         return np.fromiter(map(seen.__getitem__, vocabulary), np.float64, len(vocabulary))
 
-    def features(self, raw: np.ndarray, offsets: np.ndarray, without: int = -1) -> np.ndarray:
+    def features(self, raw: np.ndarray, offsets: np.ndarray, without: int = -1, seen: dict[bytes, float] | None = None) -> np.ndarray:
         """A row per text: best windows' evidence, log of words, 1."""
         w = cut_words(raw, offsets, lower=True)
         n = np.diff(w.first)
@@ -165,7 +166,7 @@ class Model:
         heads = w.first[doc] + STRIDE * (np.arange(len(doc)) - np.concatenate([[0], np.cumsum(windows)])[doc])
         tails = np.minimum(heads + WINDOW, w.first[doc + 1]) - 1
         value = self.evidence(plain.tobytes(), np.stack([begin[heads], after[tails] - begin[heads]], axis=1))
-        for k, (doc, value) in enumerate(((doc, value), (np.repeat(np.arange(len(n)), n), self.words(w.vocabulary, without)[w.kind]))):
+        for k, (doc, value) in enumerate(((doc, value), (np.repeat(np.arange(len(n)), n), self.words(w.vocabulary, without, seen)[w.kind]))):
             some = np.flatnonzero(value > 0)
             some = some[np.lexsort((-value[some], doc[some]))]
             d = doc[some]
@@ -191,6 +192,18 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
 
 
+def _features_of(model: Model, texts: list[bytes], fold: int) -> np.ndarray:
+    """Features of texts of a fold, a few at a time: the driver holds no more."""
+    found, seen, part, size = [], {}, [], 0
+    for k, t in enumerate(texts):
+        part.append(t)
+        size += len(t)
+        if size > CHUNK // 4 or k == len(texts) - 1:
+            found.append(model.features(*_joined(part), fold, seen))
+            part, size = [], 0
+    return np.concatenate(found)
+
+
 def _sample(rows: DataFrame, marked: DataFrame) -> DataFrame:
     """(doc_id, toxic, text) of the labelled documents that are learned from, by hash, within SAMPLE and SAMPLE_BYTES.
 
@@ -226,8 +239,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     for k in (0, 1):
         for f in range(half, FOLDS_K):
             if folds[k][f]:
-                x.append(model.features(*_joined(folds[k][f]), without=f))
-                y.append(np.full(len(x[-1]), float(k)))
+                part = _features_of(model, folds[k][f], f)
+                x.append(part)
+                y.append(np.full(len(part), float(k)))
+    model._clear()
     x, y = np.concatenate(x), np.concatenate(y)
     model.weights = _logistic(x, y)
     # calibration: the curve passes THRESHOLD where missed and wrongly marked documents, as shares of their kinds, are fewest
