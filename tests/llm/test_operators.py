@@ -454,7 +454,7 @@ def test_evidence_of_phrases():
     toxic = [b" ".join([*t.split()[:20], phrase, *t.split()[20:]]) for t in ordinary[:30]]
     background = b" ".join(ordinary[30:])
     model = toxicity.Model((toxicity._trained(ordinary[:30]) + background, toxicity._trained(toxic) + background), [])
-    model.words = lambda vocabulary, without=-1: np.zeros(len(vocabulary))
+    model.words = lambda vocabulary, without=-1, seen=None: np.zeros(len(vocabulary))
     for k in range(5):
         with_it = b" ".join([*ordinary[40].split()[: 10 + k], phrase, *ordinary[40].split()[10 + k :]])
         x = model.features(*toxicity._joined([with_it, ordinary[40], b"", b"a"]))
