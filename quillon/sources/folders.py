@@ -1,11 +1,12 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and intermediate tables in it."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,3 +17,23 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), f"quillon-{os.getpid()}")
+
+
+class Scratch:
+    """Intermediate tables as Parquet in the shared folder: they cut the lineage and outlive lost executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(path)
+        self._fs.deleteOnExit(path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)

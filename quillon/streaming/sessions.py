@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillon.plans import fold
 from quillon.plans.replay import TURN_STATS, prepared
 from quillon.schemas import Policy
-from quillon.sources.folders import shared_folder
+from quillon.sources.folders import Scratch
 
 IDLE_MS = 1800 * 1000
 
@@ -64,6 +63,6 @@ def conversation_stream(spark: SparkSession, sf_dir: str, policy: Policy = Polic
 
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.par*")
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = Scratch(spark).root  # goes when the application ends
     run_to_end(session_stream(conversation_events(spark, sf_dir, stream), policy), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(TURN_STATS).parquet(f"{folder}/out")
