@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.schemas import CONSTRAINT_WORDS, LEXICON, STANDALONE
+from quillon.schemas import CONSTRAINT_WORDS, LASTING_ERRORS, LEXICON, STANDALONE, TRANSIENT_ERRORS
 
 CAP = 16
 
@@ -103,9 +103,16 @@ def first_sentence(text: Column) -> Column:
     whole = trimmed(text)
     line = F.regexp_extract(whole, r"^([^\n]*)\n", 1)
     has_line = whole.contains("\n")
-    # full stops before a space or the end, in order; the first whose text before it is long enough
-    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(whole), F.lit(1))), lambda i: (F.substring(whole, i, F.lit(1)) == ".") & (F.substring(whole, i + 1, F.lit(1)).isin("", " ", "\n")) & (F.octet_length(trimmed(F.substring(whole, F.lit(1), i - 1))) > 30))
-    stop = F.when(F.size(ends) > 0, trimmed(F.substring(whole, F.lit(1), F.element_at(ends, 1) - 1))).otherwise(whole)
+    # what full stops before a space or the end close, joined until it is long enough
+    closed = F.split(whole, r"\.(?=[ \n]|\z)")
+    closed = F.slice(closed, 1, F.size(closed) - 1)
+
+    def join(a: Column, x: Column) -> Column:
+        joined = F.when(a["done"], a["text"]).when(a["first"], x).otherwise(F.concat(a["text"], F.lit("."), x))
+        return F.struct(joined.alias("text"), (a["done"] | (F.octet_length(trimmed(joined)) > 30)).alias("done"), F.lit(False).alias("first"))
+
+    found = F.aggregate(closed, F.struct(F.lit("").alias("text"), F.lit(False).alias("done"), F.lit(True).alias("first")), join)
+    stop = F.when(found["done"], trimmed(found["text"])).otherwise(whole)
     return F.left(F.when(has_line, trimmed(line)).otherwise(stop), F.lit(220))
 
 
@@ -154,6 +161,12 @@ def encoding_for_model(model: Column) -> Column:
     return F.when((model == "") | model.rlike("^(gpt-4o|gpt-5|o1|o3|o4)"), "o200k_base").otherwise("cl100k_base")
 
 
+def is_transient(message: Column) -> Column:
+    """Whether a failed call may be tried again; false without a message."""
+    has = lambda words: any_of([F.contains(message, F.lit(w)) for w in words])
+    return F.coalesce(has(TRANSIENT_ERRORS) & ~has(LASTING_ERRORS), F.lit(False))
+
+
 def is_reasoning_model(model: Column) -> Column:
     return model.rlike("^(o1|o3|gpt-5)")
 

@@ -27,8 +27,9 @@ def hit_score(a: Column, b: Column) -> Column:
 
 
 def fnv1a(word: Column) -> Column:
-    """FNV-1a, 32 bits, over the characters' codes (bytes for ASCII)."""
-    codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """FNV-1a, 32 bits, over the UTF-8 bytes."""
+    pairs = F.regexp_extract_all(F.hex(word), F.lit("([0-9A-F]{2})"), F.lit(1))
+    codes = F.transform(pairs, lambda c: F.conv(c, 16, 10).cast("long"))
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
 
 

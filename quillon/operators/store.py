@@ -50,9 +50,11 @@ def nodes_by_parent(nodes: DataFrame, session, parent: str) -> DataFrame:
     return nodes.where((F.col("session_id") == session) & (F.col("parent_id") == parent))
 
 
-def set_status(nodes: DataFrame, session, node_id: str, status: str) -> DataFrame:
-    here = (F.col("session_id") == session) & (F.col("node_id") == node_id)
-    return nodes.withColumn("status", F.when(here, F.lit(status)).otherwise(F.col("status")))
+def set_status(nodes: DataFrame, session, node_id: str, status: str, at: Column | None = None) -> DataFrame:
+    """All nodes, one with another status and time of change."""
+    here = F.coalesce((F.col("session_id") == session) & (F.col("node_id") == node_id), F.lit(False))
+    now = F.current_timestamp() if at is None else at
+    return nodes.withColumns({"status": F.when(here, F.lit(status)).otherwise(F.col("status")), "updated_at": F.when(here, now).otherwise(F.col("updated_at"))})
 
 
 def archive(nodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -68,14 +70,41 @@ def node_embeddings(nodes: DataFrame, archived: bool) -> DataFrame:
 
 
 def snapshot(nodes: DataFrame, at: Column) -> DataFrame:
-    """One row a session with its nodes (S16); sessions without nodes have none."""
-    return nodes.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "status", "turn_number"))).alias("nodes")).withColumn("snapshot_at", at)
+    """One row a session with its whole nodes (S16); sessions without nodes have none."""
+    first = ["node_id", "status", "turn_number"]
+    node = F.struct(*first, *(c for c in nodes.columns if c not in (*first, "session_id")))
+    return nodes.groupBy("session_id").agg(F.sort_array(F.collect_list(node)).alias("nodes")).withColumn("snapshot_at", at)
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("session_id").agg(F.max_by("nodes", "snapshot_at").alias("nodes"), F.max("snapshot_at").alias("snapshot_at"))
 
 
+def snapshot_times(snapshots: DataFrame, n: int) -> DataFrame:
+    """The newest n times of each session, newest first, without the nodes."""
+    return recent(snapshots.select("session_id", "snapshot_at"), n, F.col("snapshot_at").desc(), "session_id")
+
+
+def restore(snapshots: DataFrame) -> DataFrame:
+    """The nodes of each session's latest snapshot."""
+    return latest_snapshot(snapshots).select("session_id", F.explode("nodes").alias("_n")).select("session_id", "_n.*")
+
+
+def tree_state(nodes: DataFrame) -> DataFrame:
+    """(session_id, root_id, turn_count): the earliest node without a parent, null where none is, and the last turn."""
+    root = F.when(F.coalesce("parent_id", F.lit("")) == "", F.struct("turn_number", "node_id"))
+    return nodes.groupBy("session_id").agg(F.min(root)["node_id"].alias("root_id"), F.max("turn_number").alias("turn_count"))
+
+
+def branches_by_session(branches: DataFrame, session) -> DataFrame:
+    """A session's branches, newest first."""
+    return branches.where(F.col("session_id") == session).orderBy(F.col("created_at").desc(), "branch_id")
+
+
+def branch_by_id(branches: DataFrame, branch_id: str) -> DataFrame:
+    return branches.where(F.col("branch_id") == branch_id).limit(1)
+
+
 def count_by_type(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id", "event_type").agg(F.count("*").alias("n"))
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import budget, evaluation, scoring, text, vectors
+from quillon.functions import budget, evaluation, providers, scoring, text, vectors
 from quillon.operators import index, store
 from quillon.plans import compile as prompts
 from quillon.plans import evaluate, gc, replay
@@ -45,6 +45,21 @@ def oracle_sql() -> dict[str, str]:
 CONV, LOG, NODE = f"WITH {CONV_SQL}", f"WITH {LOG_SQL}", f"WITH {NODE_SQL}"
 RNODE = f"WITH RECURSIVE {NODE_SQL}"
 
+CONV_TEXTS = f"{CONV}, t AS (SELECT session_id || '/' || sequence AS id, event_type, payload FROM c)"
+
+
+def texts_query(name: str, sql: str):
+    """Registers f(texts: id, event_type, payload) over the inline texts and over all conversations."""
+
+    def keep(f: Callable[[DataFrame], DataFrame]):
+        query(name, TEXTS_SQL + sql)(lambda s, d: f(texts(s)))
+        whole = lambda s, d: f(conversation_events(s, d).select(F.concat_ws("/", "session_id", "sequence").alias("id"), "event_type", "payload"))
+        query(f"{name}_conversations", CONV_TEXTS + sql)(whole)
+        return f
+
+    return keep
+
+
 # --- event store ---------------------------------------------------------------------
 
 
@@ -86,9 +101,10 @@ def _(s, d):
     return store.nodes_by_parent(log_nodes(s, d), SESSION, "node_7_0003").select("node_id")
 
 
-@query("s11_update_status", f"{NODE} SELECT node_id, CASE WHEN node_id = 'node_7_0002' THEN 'resolved' ELSE status END AS status FROM n WHERE session_id = '7'")
+@query("s11_update_status", f"{NODE} SELECT node_id, CASE WHEN node_id = 'node_7_0002' THEN 'resolved' ELSE status END AS status, node_id = 'node_7_0002' AS changed FROM n")
 def _(s, d):
-    return store.set_status(log_nodes(s, d), SESSION, "node_7_0002", "resolved").where(F.col("session_id") == SESSION).select("node_id", "status")
+    at = F.lit("2100-01-01").cast("timestamp")
+    return store.set_status(log_nodes(s, d), SESSION, "node_7_0002", "resolved", at).select("node_id", "status", (F.col("updated_at") == at).alias("changed"))
 
 
 @query("s12_archive_nodes", f"{NODE} SELECT node_id, CASE WHEN turn_number <= 10 THEN 'archived' ELSE status END AS status FROM n")
@@ -124,6 +140,30 @@ def _(s, d):
     return store.latest_snapshot(both).select("session_id", F.size("nodes").cast("long").alias("n_nodes"), F.col("nodes")[0]["node_id"].alias("first_node"))
 
 
+@query("s15_branch_reads", f"{LOG}, b AS (SELECT session_id, 'branch_' || session_id AS branch_id, max(created_at) AS created_at FROM e GROUP BY 1) SELECT branch_id, session_id FROM b WHERE session_id = '7' UNION ALL SELECT branch_id, session_id FROM b WHERE branch_id = 'branch_8'")
+def _(s, d):
+    b = log_events(s, d).groupBy("session_id").agg(F.max("created_at").alias("created_at")).withColumn("branch_id", F.concat(F.lit("branch_"), "session_id"))
+    return store.branches_by_session(b, SESSION).unionByName(store.branch_by_id(b, "branch_8")).select("branch_id", "session_id")
+
+
+def _snapshots(s: SparkSession, d: str) -> DataFrame:
+    """Three snapshots of each session: its first five nodes, its first ten, all."""
+    nodes = log_nodes(s, d)
+    return store.snapshot(nodes.where("turn_number <= 5"), F.lit(1)).unionByName(store.snapshot(nodes.where("turn_number <= 10"), F.lit(2))).unionByName(store.snapshot(nodes, F.lit(3)))
+
+
+@query("s16_snapshot_times", f"{NODE} SELECT DISTINCT session_id, unnest([3, 2])::INT AS snapshot_at FROM n")
+def _(s, d):
+    return store.snapshot_times(_snapshots(s, d), 2)
+
+
+@query("g2_restore", f"{NODE} SELECT session_id, 'node_' || session_id || '_0001' AS root_id, max(turn_number) AS turn_count, count(*) FILTER (WHERE status = 'active') AS active, sum(token_count)::BIGINT AS tokens FROM n GROUP BY 1")
+def _(s, d):
+    nodes = store.restore(_snapshots(s, d))
+    sums = nodes.groupBy("session_id").agg(F.count_if(F.col("status") == "active").alias("active"), F.sum("token_count").cast("long").alias("tokens"))
+    return store.tree_state(nodes).join(sums, "session_id")
+
+
 @query("s17_gc_history", f"{LOG} SELECT session_id, event_id FROM e WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, event_id DESC) <= 2")
 def _(s, d):
     rows = log_events(s, d).where("event_type = 'error'").withColumn("at", F.struct("created_at", "event_id"))
@@ -150,9 +190,9 @@ def _(s, d):
 # --- projections and text ------------------------------------------------------------
 
 
-@query("p1_classify", f"{TEXTS_SQL} SELECT id, CASE WHEN event_type = 'user_prompt' THEN CASE WHEN regexp_matches(lower(payload), 'must|always|never|require|constraint') THEN 'constraint' ELSE 'goal' END WHEN event_type = 'tool_call' THEN 'attempt' WHEN event_type = 'tool_result' THEN 'tool_result' WHEN event_type = 'llm_response' THEN 'decision' WHEN event_type IN ('error', 'retry') THEN 'issue' ELSE 'background' END AS node_type FROM t")
-def _(s, d):
-    return texts(s).select("id", text.classify(F.col("event_type"), F.col("payload")).alias("node_type"))
+@texts_query("p1_classify", f" SELECT id, CASE WHEN event_type = 'user_prompt' THEN CASE WHEN regexp_matches(lower(payload), 'must|always|never|require|constraint') THEN 'constraint' ELSE 'goal' END WHEN event_type = 'tool_call' THEN 'attempt' WHEN event_type = 'tool_result' THEN 'tool_result' WHEN event_type = 'llm_response' THEN 'decision' WHEN event_type IN ('error', 'retry') THEN 'issue' ELSE 'background' END AS node_type FROM t")
+def _(t):
+    return t.select("id", text.classify(F.col("event_type"), F.col("payload")).alias("node_type"))
 
 
 @query("p1_classify_log", f"{NODE} SELECT node_type, count(*) AS n FROM n GROUP BY 1")
@@ -222,6 +262,13 @@ def _(s, d):
     return m.select("model", text.is_reasoning_model(F.col("model")).alias("reasoning"), text.encoding_for_model(F.col("model")).alias("encoding"))
 
 
+@query("p15_transient", "SELECT event_id, regexp_matches(m, 'status (429|500|502|503|504)|timeout|deadline exceeded|connection reset|EOF') AND NOT contains(m, 'insufficient_quota') AS transient FROM (SELECT event_id, 'status ' || (400 + event_id % 110) || CASE WHEN event_id % 13 = 0 THEN ' insufficient_quota' ELSE '' END || CASE WHEN event_id % 17 = 0 THEN ' timeout' ELSE '' END AS m FROM events)")
+def _(s, d):
+    n = F.col("event_id")
+    message = F.concat(F.lit("status "), (400 + n % 110).cast("string"), F.when(n % 13 == 0, " insufficient_quota").otherwise(""), F.when(n % 17 == 0, " timeout").otherwise(""))
+    return table(s, d, "events").select("event_id", text.is_transient(message).alias("transient"))
+
+
 @query("f1_tokens", f"{CONV} SELECT session_id, sequence, token_count FROM c")
 def _(s, d):
     return conversation_events(s, d).select("session_id", "sequence", "token_count")
@@ -242,26 +289,26 @@ REFS = lambda c: (
 )
 
 
-@query("f3_user_facts", f"""{TEXTS_SQL}, l AS (SELECT id, payload, unnest(string_split(payload, chr(10))) AS line, generate_subscripts(string_split(payload, chr(10)), 1) AS k FROM t WHERE event_type = 'user_prompt'),
+@texts_query("f3_user_facts", f""", l AS (SELECT id, payload, unnest(string_split(payload, chr(10))) AS line, generate_subscripts(string_split(payload, chr(10)), 1) AS k FROM t WHERE event_type = 'user_prompt'),
 m AS (SELECT id, payload, k, {TRIM('line')} AS line FROM l),
 p AS (SELECT id, any_value(payload) AS payload, flatten(list(list_concat(CASE WHEN starts_with(lower(line), 'decision') AND regexp_extract(line, '(?im)^\\s*decision\\s*\\d+\\s*[:-]\\s*(.+)$', 1) <> '' THEN [regexp_extract(line, '(?im)^\\s*decision\\s*\\d+\\s*[:-]\\s*(.+)$', 1)] ELSE [] END, {REFS('line')}) ORDER BY k)) AS found FROM m GROUP BY id),
 q AS (SELECT id, list_filter(list_transform(list_concat(found, regexp_extract_all(payload, '(?i)\\b(ADR[-_]?\\d+)\\b', 1)), lambda z: {TRIM('z')}), lambda z: z <> '') AS f FROM p)
 SELECT id, array_to_string({DEDUPE('f')}, '|') AS facts FROM q""")
-def _(s, d):
-    return texts(s).where("event_type = 'user_prompt'").select("id", F.array_join(text.user_facts(F.col("payload")), "|").alias("facts"))
+def _(t):
+    return t.where("event_type = 'user_prompt'").select("id", F.array_join(text.user_facts(F.col("payload")), "|").alias("facts"))
 
 
 FIRST = f"""left(CASE WHEN contains(w, chr(10)) THEN {TRIM("regexp_extract(w, '^([^' || chr(10) || ']*)' || chr(10), 1)")}
   ELSE coalesce({TRIM("left(w, (list_filter(range(1, length(w) + 1), lambda i: substr(w, i, 1) = '.' AND substr(w, i + 1, 1) IN ('', ' ') AND strlen(regexp_replace(left(w, i - 1), '^\\s+|\\s+$', '', 'g')) > 30))[1] - 1)")}, w) END, 220)"""
 
 
-@query("f4_f5_assistant_decisions", f"""{TEXTS_SQL}, a AS (SELECT id, {TRIM('payload')} AS w FROM t WHERE event_type = 'llm_response' AND {TRIM('payload')} <> ''),
+@texts_query("f4_f5_assistant_decisions", f""", a AS (SELECT id, {TRIM('payload')} AS w FROM t WHERE event_type = 'llm_response' AND {TRIM('payload')} <> ''),
 n AS (SELECT id, w, list_filter(list_transform(string_split(w, chr(10)), lambda z: {TRIM('z')}), lambda z: starts_with(lower(z), 'noted')) AS lines FROM a),
 f AS (SELECT id, w, list_filter(list_transform(lines, lambda z: {TRIM("CASE WHEN contains(z, ':') THEN substr(z, strpos(z, ':') + 1) WHEN starts_with(lower(z), 'noted -') THEN substr(z, 8) ELSE z END")}), lambda z: z <> '' AND lower(z) <> 'noted') AS found FROM n),
-g AS (SELECT id, CASE WHEN len(found) > 0 THEN found ELSE [{FIRST}] END AS f FROM f)
+g AS (SELECT id, CASE WHEN len(found) > 0 THEN found ELSE [{TRIM(FIRST)}] END AS f FROM f)
 SELECT id, array_to_string({DEDUPE('f')}, '|') AS decisions FROM g""")
-def _(s, d):
-    t = texts(s).where((F.col("event_type") == "llm_response") & (text.trimmed(F.col("payload")) != ""))
+def _(t):
+    t = t.where((F.col("event_type") == "llm_response") & (text.trimmed(F.col("payload")) != ""))
     return t.select("id", F.array_join(text.assistant_decisions(F.col("payload")), "|").alias("decisions"))
 
 
@@ -271,15 +318,15 @@ def _(s, d):
     return e.select("session_id", "sequence", text.first_sentence(F.col("payload")).alias("sentence"))
 
 
-@query("f7_f8_lexicon", f"{TEXTS_SQL} SELECT id, array_to_string({REFS('payload')}, '|') AS refs FROM t")
-def _(s, d):
-    return texts(s).select("id", F.array_join(text.lexicon_refs(F.col("payload")), "|").alias("refs"))
+@texts_query("f7_f8_lexicon", f" SELECT id, array_to_string({REFS('payload')}, '|') AS refs FROM t")
+def _(t):
+    return t.select("id", F.array_join(text.lexicon_refs(F.col("payload")), "|").alias("refs"))
 
 
-@query("f9_extract_routing", f"{TEXTS_SQL}, r AS (SELECT id, event_type, payload, list_filter({REFS('payload')}, lambda z: z <> '') AS f FROM t WHERE event_type <> 'user_prompt') SELECT id, CASE WHEN {TRIM('payload')} = '' THEN '' ELSE array_to_string({DEDUPE('f')}, '|') END AS facts, event_type = 'llm_response' AND {TRIM('payload')} <> '' AS has_decisions FROM r")
-def _(s, d):
+@texts_query("f9_extract_routing", f", r AS (SELECT id, event_type, payload, list_filter({REFS('payload')}, lambda z: z <> '') AS f FROM t WHERE event_type <> 'user_prompt') SELECT id, CASE WHEN {TRIM('payload')} = '' THEN '' ELSE array_to_string({DEDUPE('f')}, '|') END AS facts, event_type = 'llm_response' AND {TRIM('payload')} <> '' AS has_decisions FROM r")
+def _(t):
     facts, decisions = text.extract(F.col("event_type"), F.col("payload"))
-    return texts(s).where("event_type <> 'user_prompt'").select("id", F.array_join(facts, "|").alias("facts"), (F.size(decisions) > 0).alias("has_decisions"))
+    return t.where("event_type <> 'user_prompt'").select("id", F.array_join(facts, "|").alias("facts"), (F.size(decisions) > 0).alias("has_decisions"))
 
 
 @query("f10_facts_prefix", "SELECT * FROM (VALUES (1, 'Verified facts (verbatim): a, b' || chr(10) || chr(10)), (2, '')) t(id, prefix)")
@@ -485,6 +532,11 @@ def _(s, d):
     return a.select("pairs", "wins", "wins_star", "ties", "losses", "baseline_wins", F.round("token_reduction_pct", 6).alias("token_reduction_pct"), "regressions", F.round("quality_delta", 6).alias("quality_delta"), F.round("ipt_delta_pct", 6).alias("ipt_delta_pct"))
 
 
+@query("k10_report", f"WITH {SCORES_SQL}, {PAIR_SQL} SELECT scenario_id, probe_id, strategy_cand, verdict FROM pairs ORDER BY scenario_id, probe_id, strategy_cand")
+def _(s, d):
+    return evaluate.report(evaluate.pairs(answers(s, d), "naive")).select("scenario_id", "probe_id", "strategy_cand", "verdict")
+
+
 @query("a12_strategy_aggregate", f"WITH {SCORES_SQL}, m AS (SELECT strategy, count(*) AS probes, avg(score) AS quality, avg(tokens) AS t, avg(score * 1000 / tokens) AS ipt FROM r GROUP BY 1), f AS (SELECT quality AS rq, t AS rt, ipt AS ri FROM m WHERE strategy = 'naive') SELECT strategy, probes, round(quality, 6) AS quality, round(ipt, 6) AS ipt, round(CASE WHEN strategy <> 'naive' THEN quality - rq ELSE 0 END, 6) AS quality_delta, round(CASE WHEN strategy <> 'naive' THEN (rt - t) * 100 / rt ELSE 0 END, 6) AS token_reduction_pct, round(CASE WHEN strategy <> 'naive' THEN (ipt - ri) * 100 / ri ELSE 0 END, 6) AS ipt_delta_pct FROM m, f")
 def _(s, d):
     a = evaluate.aggregate_strategies(answers(s, d), "naive")
@@ -704,12 +756,24 @@ def _(s, d):
     return v.select("node_id", F.round(scoring.effective_score(F.lit(0.4), F.lit(0.1), F.col("hit"), 0.2), 6).alias("effective"))
 
 
-@query("v8_mock_embedding")
+VECTOR_SQL = f"""{CONV}, w AS (SELECT session_id, sequence, list_filter(regexp_split_to_array(payload, '[ \\n\\t.,:;!?]'), lambda z: z <> '') AS words FROM c),
+h AS (SELECT session_id, sequence, list_transform(words, lambda z: list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(strlen(z)), lambda i: ('0x' || substr(hex(z), 2 * i + 1, 2))::BIGINT)), lambda a, b: (xor(a, b) * 16777619) & 4294967295) % 16) AS slots FROM w),
+n AS (SELECT session_id, sequence, list_transform(range(16), lambda k: len(list_filter(slots, lambda z: z = k))::DOUBLE) AS counts FROM h)
+SELECT session_id, sequence, list_transform(range(16), lambda k: CASE WHEN list_sum(counts) = 0 THEN CASE WHEN k = 0 THEN 1.0 ELSE 0.0 END ELSE round(counts[k + 1] / sqrt(list_sum(list_transform(counts, lambda z: z * z))), 6) END::DOUBLE) AS embedding FROM n"""
+
+
+@query("v8_mock_embedding", VECTOR_SQL)
 def _(s, d):
     e = conversation_events(s, d)
     return e.select("session_id", "sequence", F.transform(vectors.mock_embedding(F.col("payload"), 16), lambda x: F.round(x, 6)).alias("embedding"))
 
 
+@query("v9_embedding_provider", f"SELECT * FROM ({VECTOR_SQL}) WHERE (session_id, sequence) IN ({CONV} SELECT session_id, sequence FROM c WHERE payload <> '')")
+def _(s, d):
+    e = conversation_events(s, d).select("session_id", "sequence", providers.embedding(F.col("payload"), lambda: providers.MockProvider(16)).alias("v"))
+    return e.where("v is not null").select("session_id", "sequence", F.transform("v", lambda x: F.round(x, 6)).alias("embedding"))
+
+
 # --- answers ---------------------------------------------------------------------------
 
 

@@ -41,6 +41,11 @@ def aggregate_pairs(rows: DataFrame) -> DataFrame:
     return out.withColumn("quality_delta", F.col("quality_cand") - F.col("quality_ref")).withColumn("ipt_delta_pct", percent(F.col("ipt_cand") - F.col("ipt_ref"), F.col("ipt_ref")))
 
 
+def report(rows: DataFrame) -> DataFrame:
+    """Pairs in a report's order: scenario, probe, strategy."""
+    return rows.orderBy("scenario_id", "probe_id", "strategy_cand")
+
+
 def aggregate_strategies(scored: DataFrame, reference: str) -> DataFrame:
     """Means of each strategy and its change against the reference's means (A12). The reference side is one row."""
     means = scored.groupBy("strategy").agg(F.count("*").alias("probes"), F.avg("score").alias("quality"), F.avg("tokens").alias("prompt_tokens"), F.avg(ipt(F.col("score"), F.col("tokens"))).alias("ipt"))

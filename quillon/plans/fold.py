@@ -27,6 +27,7 @@ class Node:
     status: str = "active"
     score: float = 0.0
     children: int = 0
+    dependencies: tuple[str, ...] = ()
 
 
 @dataclass
@@ -154,7 +155,7 @@ def step(s: Session, event: dict, policy: Policy, compile_each: bool = True) ->
 
 
 def coherency(s: Session, payloads: list[str], policy: Policy) -> float:
-    """Share of passed checks: goals and constraints kept, recent turns in the prompt, prompt not empty, budget held."""
+    """Share of passed checks: goals and constraints kept, recent turns in the prompt, dependencies there (where active nodes have any), prompt not empty, budget held."""
     if not payloads:
         return 1.0
     checks = []
@@ -165,4 +166,7 @@ def coherency(s: Session, payloads: list[str], policy: Policy) -> float:
     size, chosen = compiled(s, policy.budget, payloads[-1])
     prompt = "\n".join((n.summary or n.title) for n in s.nodes if n.node_id in set(chosen))
     checks += [any(p[:50] in prompt for p in payloads[-3:]), bool(chosen), size <= policy.budget]
+    there, asked = {n.node_id for n in s.nodes}, {d for n in s.active() for d in n.dependencies}
+    if asked:
+        checks.append(asked <= there)
     return sum(checks) / len(checks)

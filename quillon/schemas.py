@@ -31,6 +31,8 @@ STRATEGY_ALIASES = {"naive": "naive_full_history", "baseline": "naive_full_histo
 CONSTRAINT_WORDS = ("must", "always", "never", "require", "constraint")
 LEXICON = ("TimescaleDB", "JetStream", "InfluxDB", "PostgreSQL", "MongoDB", "Kafka", "Kubernetes", "CockroachDB", "Cockroach", "RabbitMQ", "DataMatrix")
 STANDALONE = ("NATS", "Hetzner")
+TRANSIENT_ERRORS = ("status 429", "status 500", "status 502", "status 503", "status 504", "timeout", "deadline exceeded", "connection reset", "EOF")
+LASTING_ERRORS = ("insufficient_quota",)
 TYPE_PRIORITY = {"goal": 1.0, "constraint": 0.95, "decision": 0.80, "issue": 0.70, "summary": 0.60, "compressed_branch": 0.60, "tool_result": 0.50, "attempt": 0.40, "background": 0.20}
 OTHER_PRIORITY = 0.30
 WEIGHTS = {"recency": 0.25, "type_priority": 0.20, "dependency_weight": 0.15, "unresolved_boost": 0.15, "semantic": 0.20, "redundancy": -0.10, "resolved_penalty": -0.20, "stale_penalty": -0.15, "size_penalty": -0.05}
