@@ -1,33 +1,11 @@
-"""Shared Spark helpers: scratch tables in the shared folder, exact copies, connected components."""
+"""Shared Spark helpers: scratch tables (from the engine), partition counts, connected components."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.sources.folders import shared_folder
-
-
-class Scratch:
-    """Intermediate tables as Parquet in the shared folder: they cut the lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(path)
-        self._fs.deleteOnExit(path)
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
+from quillon.sources.folders import Scratch
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
