@@ -1,89 +1,78 @@
-"""Recompression of word sequences and the anchors that it gives to windows.
+"""Recompression of word sequences: the parts that need no exchange.
 
-Round 0 names maximal runs of one word. Each later round splits the names at hand into
-"left" and "right" ones by a hash bit of the round and names every adjacent (left, right)
-pair. A name is a 64-bit hash of what it stands for, so that all executors give equal
-names with no exchange. Whether two neighbours merge depends on these two alone: inside
-two equal substrings the parses are equal, but for a margin at either end that follows
-from the substring itself. `anchors` gives each window the widest name of the highest
-round that lies within its margins. Equal windows thus have equal anchors.
+Symbols have names: integers that Spark rounds assign (`substring`), equal for equal words
+everywhere and different for different ones. Round 0 has a symbol for each maximal run of one
+word. Each later round splits the names at hand into "left" and "right" ones by a hash bit of
+name and round and makes one symbol of every adjacent (left, right) pair. Whether two
+neighbours merge depends on their names alone: inside two equal substrings the parses are
+equal, but for a margin at either end that follows from the substring itself. `anchors` gives
+each window the widest symbol of the highest round that lies within its margins. Equal windows
+thus have equal anchors.
+
+A name of 0 is dead: its words stand in one document only, or their name was not asked for. It
+never merges, and nothing that holds it is repeated in another document.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from quillon.llm.text import U64, mix, window_hash
+from quillon.llm.text import U64, mix
+
+ROUNDS = 4  # of pairs
+
+
+def rights(names: np.ndarray, level: int) -> np.ndarray:
+    return (mix(names.astype(U64) + U64((level * 0x9E3779B97F4A7C15) & (2**64 - 1))) >> U64(40)) & U64(1) == 1
 
-ROUNDS = 5
-_RUN, _PAIR_A, _PAIR_B = U64(0x8CB92BA72F3D8DD7), U64(0xD1342543DE82EF95), U64(0xAF251AF3B0F025B5)
 
+def runs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Starts of the maximal runs of one word, and len(words); none spans two texts."""
+    head = np.ones(len(words), bool)
+    head[1:] = words[1:] != words[:-1]
+    head[first[first < len(words)]] = True
+    return np.append(np.flatnonzero(head), len(words))
 
-def _right(names: np.ndarray, level: int) -> np.ndarray:
-    return (mix(names + U64((level * 0x9E3779B97F4A7C15) & (2**64 - 1))) >> U64(40)) & U64(1) == 1
 
+def pairs(names: np.ndarray, starts: np.ndarray, first: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols that stay or begin a pair, whether they begin one); pairs never span two texts."""
+    right = rights(names, level)
+    merge = np.zeros(len(names) + 1, bool)  # merge[k]: symbol k goes into symbol k-1
+    merge[1:-1] = ~right[:-1] & right[1:] & (names[:-1] > 0) & (names[1:] > 0) & ~np.isin(starts[1:-1], first)
+    keep = np.flatnonzero(~merge[:-1])
+    return keep, merge[keep + 1]
 
-def parse(words: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """[(names, starts)] by round; starts has a last entry len(words). Names never span two texts."""
-    n = len(words)
-    if not n:
-        return [(words, np.zeros(1, np.int64))] * (rounds + 1)
-    new_text = np.zeros(n + 1, bool)
-    new_text[first] = True
-    head = np.ones(n, bool)
-    head[1:] = (words[1:] != words[:-1]) | new_text[1:n]
-    starts = np.append(np.flatnonzero(head), n)
-    count = np.diff(starts).astype(U64)
-    names = words[starts[:-1]]
-    names = np.where(count > 1, mix(names ^ (count * _RUN)), names)
-    out = [(names, starts)]
-    for level in range(1, rounds + 1):
-        right = _right(names, level)
-        merge = np.zeros(len(names) + 1, bool)  # merge[k]: name k goes into name k-1
-        merge[1:-1] = ~right[:-1] & right[1:] & ~new_text[starts[1:-1]]
-        keep = np.flatnonzero(~merge[:-1])
-        joined = merge[keep + 1]
-        nxt = names[np.minimum(keep + 1, len(names) - 1)]
-        names = np.where(joined, mix(names[keep] * _PAIR_A + nxt * _PAIR_B), names[keep])
-        starts = np.append(starts[keep], n)
-        out.append((names, starts))
-    return out
 
+def anchors(levels: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first word, one past the last) of the anchor of each window of `width` words from `at`; the name is -1 where no symbol is certain.
 
-def anchors(words: np.ndarray, first: np.ndarray, at: np.ndarray, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(name, start) of the anchor of each window words[at:at+width]; at is ascending and each window lies in one text."""
-    n = len(words)
+    levels: (names, starts) by round, starts with a last entry, the number of words. Each window lies in one text."""
+    n = int(levels[0][1][-1])
+    name, start, end = np.full(len(at), -1, np.int64), at.copy(), at.copy()
     if not len(at):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    levels = parse(words, first, rounds)
-    low, high = at.astype(np.int64), at.astype(np.int64) + width
-    best = window_hash(words, low, width) ^ U64(1)  # a window with no certain name is its own anchor
-    start = low.copy()
+        return name, start, end
     for level, (names, starts) in enumerate(levels):
         if level == 0:  # a run at an end of the window may go on outside it
-            index = np.cumsum(np.bincount(starts[:-1], minlength=n)) - 1  # of the name over each word
-            low_k, high_k = index[low] + 1, index[high - 1]  # first certain name, one past the last
+            index = np.repeat(np.arange(len(names)), np.diff(starts))
+            low, high = index[at] + 1, index[at + width - 1]  # first certain symbol, one past the last
         else:
             names_before, starts_before = levels[level - 1]
-            right = _right(names_before, level)
+            right = rights(names_before, level)
             m = len(names_before)
-            some = high_k > low_k
-            low_k = low_k + (some & right[np.minimum(low_k, m - 1)])
-            high_k = high_k - (some & (high_k > low_k) & ~right[np.maximum(high_k - 1, 0)])
-            some = high_k > low_k
-            # the certain names begin and end at names of this round
-            low_w, high_w = starts_before[np.minimum(low_k, m)], starts_before[np.clip(high_k, 0, m)]
-            index = np.full(n + 1, -1, np.int64)
-            index[starts[:-1]] = np.arange(len(names))
-            index[n] = len(names)
-            low_k = np.where(some, index[low_w], 0)
-            high_k = np.where(some, index[high_w], 0)
-        some = high_k > low_k
+            some = high > low
+            low = low + (some & right[np.minimum(low, m - 1)])
+            high = high - (some & (high > low) & ~right[np.maximum(high - 1, 0)])
+            some = high > low
+            # the certain symbols begin and end at symbols of this round
+            index = np.zeros(n + 1, np.int64)
+            index[starts] = np.arange(len(starts))
+            low = np.where(some, index[starts_before[np.minimum(low, m)]], 0)
+            high = np.where(some, index[starts_before[np.clip(high, 0, m)]], 0)
+        some = high > low
         if not some.any():
             break
-        a, b = np.where(some, low_k, 0), np.where(some, high_k - 1, 0)
+        a, b = np.where(some, low, 0), np.where(some, high - 1, 0)
         wide_a, wide_b = starts[a + 1] - starts[a], starts[b + 1] - starts[b]
         pick = np.where((wide_b > wide_a) | ((wide_b == wide_a) & (names[b] < names[a])), b, a)
-        best = np.where(some, names[pick], best)
-        start = np.where(some, starts[pick], start)
-    return best, start
+        name, start, end = np.where(some, names[pick], name), np.where(some, starts[pick], start), np.where(some, starts[pick + 1], end)
+    return name, start, end

@@ -3,216 +3,328 @@
 A window is `width` consecutive words of one document. A word goes if a window that covers
 it also starts in a document with a smaller id. Work is dealt in groups of documents:
 
-1. Each group parses its texts by recompression rounds (`recompress`) and sends the names
-   that anchor its windows, each once, to name buckets.
-2. A bucket tells each group which of its names stand in two documents or more.
-3. Each group hashes the windows of such names to 96 bits and sends every key once, with
-   its smallest document id, to key buckets.
-4. A bucket tells each group for which keys another group has a smaller document.
-5. Each group removes the covered words.
-
-A group contributes a name or key at most once, so a passage in a third of all documents is
-no heavier for a bucket than one in a document of each group. The texts are dealt once; all
-three steps read the same exchange.
+1. Rounds (`recompress`): each group sends what it wants named to name buckets, each thing
+   once: in round 0 its words and runs of a word, in a later round its pairs of names. A bucket
+   compares them by their bytes, or by their two names, and numbers those that stand in two
+   documents or more. Names are thus the same in all groups, and two names are equal only where
+   the words are; what one document alone has gets no name and is not followed any further.
+2. Each group looks for the windows whose anchor, a symbol of a high round, has a name, and
+   whose words all have. Such a window is sent as its anchor's name and the names of the words
+   before and after it, once, with its smallest document id, to window buckets. These compare
+   whole windows in this form, which is exact, and tell each group for which of its windows
+   another group has a smaller document.
+3. Each group removes the covered words.
+
+A group contributes a name or window at most once, so a passage in a third of all documents is
+no heavier for a bucket than one in a document of each group. What a round leaves is a table in
+the shared folder; a repeated task gives equal names, as buckets number in sorted order.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.recompress import anchors
-from quillon.llm.spark_util import parts_for
-from quillon.llm.text import SECOND, U64, Words, cut_words, forget, mix, string_buffers, window_hash
+from quillon.llm.recompress import ROUNDS, anchors, pairs, runs
+from quillon.llm.spark_util import Scratch, parts_for
+from quillon.llm.text import U64, Words, cut_words, digest64, forget, mix, string_buffers, window_hash
 
 WIDTH = 13
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 5 << 20
+BUCKET_BYTES = 8 << 20  # of text for each bucket
 _MESSAGE = "gid int, bucket int, kind int, blob binary"
 _ARROW = pa.schema([("gid", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
-NAMES, WINDOWS, MARKS = 0, 1, 2
+STATE, NAMES, ASK, REPLY = range(4)
+_PAIR_A, _PAIR_B = U64(0xD1342543DE82EF95), U64(0xAF251AF3B0F025B5)
 
 
-def _message(gid: int, bucket: int, kind: int, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([gid], pa.int32()), pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], schema=_ARROW)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Integer arrays as one blob: bytes of equal weight stand together, so that small numbers take little."""
+    head = np.array([len(arrays), *map(len, arrays)], np.int64).tobytes()
+    body = [np.ascontiguousarray(a, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
+    return zstandard.compress(b"".join([head, *body]), 1)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(blob)
+    sizes = np.frombuffer(raw, np.int64, 1 + int(np.frombuffer(raw, np.int64, 1)[0]))[1:].tolist()
+    out, at = [], 8 * (1 + len(sizes))
+    for n in sizes:
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).ravel())
+        at += 8 * n
+    return out
+
+
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    """(gid, bucket, kind, blob) rows."""
+    return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []], schema=_ARROW)
+
+
+def _blobs(table: pa.Table, kind: int) -> list[bytes]:
+    """Blobs of a kind, by bucket."""
+    rows = [r for r in zip(table["bucket"].to_pylist(), table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True) if r[1] == kind]
+    return [r[2] for r in sorted(rows, key=lambda r: r[0])]
+
+
+def _replies(table: pa.Table) -> np.ndarray:
+    """The answers of all buckets in the order in which they were asked for."""
+    found = [unpack(b)[0] for b in _blobs(table, REPLY)]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _starts(widths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(widths)]).astype(np.int64)
 
 
 class _Group:
-    """The texts of a group, by (doc_id, text), and their windows."""
+    """The texts of a group, by (doc_id, text), and their words."""
 
-    def __init__(self, table: pa.Table, width: int):
+    def __init__(self, table: pa.Table):
         docs, text = table["doc_id"], table["text"].combine_chunks()
         self.null_id = np.asarray(docs.is_null())
         ids = docs.fill_null(0).to_numpy()
         raw, offsets = string_buffers(text)
         order = np.lexsort(([raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], ids)) if len(np.unique(ids)) < len(ids) else np.argsort(ids, kind="stable")
-        self.order, self.ids, self.width = order, ids[order], width
-        # texts are handled in their own order; rank gives a document's place by (doc_id, text)
+        self.order, self.ids = order, ids[order]
+        # texts are handled in their own order
         text = text.take(pa.array(order))
         raw, offsets = string_buffers(text)
         self.words: Words = cut_words(raw, offsets)
-        n, first = len(self.words.kind), self.words.first
-        self.doc = np.repeat(np.arange(len(ids)), np.diff(first))
-        ok = np.zeros(n, bool)
-        if n >= width:
-            ok[: n - width + 1] = self.doc[: n - width + 1] == self.doc[width - 1 :]
-        self.at = np.flatnonzero(ok)
-
-    def names(self) -> np.ndarray:
-        return anchors(self.words.hashes, self.words.first, self.at, self.width)[0]
-
-    def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = self.words.hashes
-        return window_hash(h, at, self.width), window_hash(h, at, self.width, SECOND).astype(np.uint32)
-
-
-def _unique_keys(group: _Group, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by bucket and key: (high, low, smallest document's place, first place of each bucket), and the key's index of each window."""
-    high, low = group.keys(at)
-    bucket = (high % U64(buckets)).astype(np.int64)
-    order = np.lexsort((low, high, bucket))
-    h, w = high[order], low[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-    heads = np.flatnonzero(new)
-    index = np.empty(len(order), np.int64)
-    index[order] = np.cumsum(new) - 1
-    least = np.minimum.reduceat(group.doc[at][order], heads) if len(heads) else np.zeros(0, np.int64)
-    return h[heads], w[heads], least, np.searchsorted(bucket[order][heads], np.arange(buckets + 1)), index
-
-
-def _marked(blobs: dict[int, bytes], cuts: np.ndarray) -> np.ndarray:
-    """Bits of all buckets, one after the other."""
-    out = np.zeros(cuts[-1], bool)
-    for bucket, blob in blobs.items():
-        a, b = cuts[bucket], cuts[bucket + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(blob, np.uint8), count=b - a).astype(bool)
-    return out
 
 
-def _dealt_names(group: _Group, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names, sorted by bucket and name, with a flag if two documents here have it; bucket cuts; each window's name index."""
-    names = group.names()
-    order = np.argsort(names)
-    s, d = names[order], group.doc[group.at][order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    heads = np.flatnonzero(new)
-    index = np.empty(len(s), np.int64)
-    index[order] = np.cumsum(new) - 1
-    s = s[heads]
-    many = (np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)) if len(heads) else np.zeros(0, bool)
-    bucket = (mix(s) % U64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    place = np.empty(len(by), np.int64)
-    place[by] = np.arange(len(by))
-    return s[by], many[by], np.searchsorted(bucket[by], np.arange(buckets + 1)), place[index]
-
-
-def _step_names(width: int, buckets: int):
+def _many(index: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of n things, seen as index[k] in document doc[k], stands in two documents."""
+    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    np.minimum.at(least, index, doc)
+    np.maximum.at(most, index, doc)
+    return least < most
+
+
+def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by bucket, place of each in that order, cuts between buckets)."""
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return order, place, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _step_runs(buckets: int):
+    """Round 0: asks for names of words and runs, and keeps the runs."""
+
     def run(table: pa.Table) -> pa.Table:
         forget()
-        gid = table["gid"][0].as_py()
-        names, many, cuts, _ = _dealt_names(_Group(table, width), buckets)
-        out = [_message(gid, b, NAMES, names[cuts[b] : cuts[b + 1]].tobytes() + np.packbits(many[cuts[b] : cuts[b + 1]]).tobytes()) for b in range(buckets) if cuts[b + 1] > cuts[b]]
-        return pa.Table.from_batches(out, schema=_ARROW)
+        gid, group = table["gid"][0].as_py(), _Group(table)
+        w = group.words
+        starts = runs(w.kind, w.first[:-1])
+        kind, count = w.kind[starts[:-1]].astype(np.int64), np.diff(starts)
+        doc = np.searchsorted(w.first, starts[:-1], "right") - 1
+        long = np.flatnonzero(count > 1)
+        longer, back = np.unique(np.stack([kind[long], count[long]], axis=1), axis=0, return_inverse=True) if len(long) else (np.zeros((0, 2), np.int64), long)
+        keys = [*w.vocabulary, *(w.vocabulary[k] + b" %d" % c for k, c in longer.tolist())]  # a word has no space
+        symbol = kind.copy()
+        symbol[long] = len(w.vocabulary) + back.ravel()
+        many = _many(np.concatenate([kind, symbol[long]]), np.concatenate([doc, doc[long]]), len(keys))
+        order, place, cuts = _by_bucket((digest64(keys) % U64(buckets)).astype(np.int64), buckets)
+        lines = [(b"1" if many[k] else b"0") + keys[k] for k in order.tolist()]
+        out = [(gid, b, ASK, zstandard.compress(b"\n".join(lines[cuts[b] : cuts[b + 1]]), 1)) for b in range(buckets) if cuts[b + 1] > cuts[b]]
+        out.append((gid, 0, STATE, pack(place[symbol], count, w.first, group.ids, place[kind] - place[symbol])))
+        return _rows(out)
 
     return run
 
 
-def _bucket_names(table: pa.Table) -> pa.Table:
-    bucket = table["bucket"][0].as_py()
-    gids, blobs = table["gid"].to_pylist(), table["blob"].to_pylist()
-    names, many, counts = [], [], []
-    for blob in blobs:
-        n = len(blob) * 8 // 65  # 8 bytes and a bit each
-        names.append(np.frombuffer(blob, U64, n))
-        many.append(np.unpackbits(np.frombuffer(blob, np.uint8, offset=8 * n), count=n).astype(bool))
-        counts.append(n)
-    s, m = np.concatenate(names), np.concatenate(many)
-    order = np.argsort(s)
-    t = s[order]
-    shared = m[order]
-    same = t[1:] == t[:-1]
-    shared[1:] |= same
-    shared[:-1] |= same
-    back = np.empty(len(s), bool)
-    back[order] = shared
-    # a flag of one group holds for all groups with the name: equal neighbours are flagged already
-    out, p = [], 0
-    for gid, n in zip(gids, counts, strict=True):
-        if back[p : p + n].any():
-            out.append(_message(gid, bucket, NAMES, np.packbits(back[p : p + n]).tobytes()))
-        p += n
-    return pa.Table.from_batches(out, schema=_ARROW)
+def _name(rank: np.ndarray, bucket: int, buckets: int, level: int) -> np.ndarray:
+    return (rank * buckets + bucket) * (ROUNDS + 1) + level + 1
 
 
-def _step_windows(width: int, buckets: int):
-    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        if not len(docs):
+def _name_words(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        bucket, gids = table["bucket"][0].as_py(), table["gid"].to_pylist()
+        asked = [zstandard.decompress(b).split(b"\n") for b in table["blob"].to_pylist()]
+        seen: dict[bytes, int] = {}
+        for lines in asked:
+            for line in lines:
+                seen[line[1:]] = seen.get(line[1:], 0) + 1 + (line[0] == 0x31)
+        shared = sorted(k for k, n in seen.items() if n > 1)
+        names = dict(zip(shared, _name(np.arange(len(shared)), bucket, buckets, 0).tolist(), strict=True))
+        return _rows([(gid, bucket, REPLY, pack(np.fromiter((names.get(x[1:], 0) for x in lines), np.int64, len(lines)))) for gid, lines in zip(gids, asked, strict=True)])
+
+    return run
+
+
+def _name_pairs(buckets: int, level: int):
+    def run(table: pa.Table) -> pa.Table:
+        bucket, gids = table["bucket"][0].as_py(), table["gid"].to_pylist()
+        asked = [unpack(b) for b in table["blob"].to_pylist()]
+        a, b, many = (np.concatenate([x[k] for x in asked]) for k in range(3))
+        order = np.lexsort((b, a))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        group = np.cumsum(new) - 1
+        shared = np.bincount(group, 1 + many[order]) > 1
+        of = np.where(shared, _name(np.cumsum(shared) - 1, bucket, buckets, level), 0)
+        names = np.empty(len(a), np.int64)
+        names[order] = of[group]
+        parts = np.split(names, np.cumsum([len(x[0]) for x in asked])[:-1])
+        return _rows([(gid, bucket, REPLY, pack(part)) for gid, part in zip(gids, parts, strict=True)])
+
+    return run
+
+
+def _resolved(symbols: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Symbols are places in the answers, or -1 less the name that they had."""
+    out = -1 - symbols
+    asked = symbols >= 0
+    out[asked] = names[symbols[asked]]
+    return out
+
+
+def _named(state: list[np.ndarray], names: np.ndarray, level: int) -> list[np.ndarray]:
+    """A level's arrays with names in the place of symbols; level 0 also has the words' names."""
+    symbols, widths, *rest = state
+    if level == 0:
+        rest[2] = _resolved(symbols + rest[2], names)
+    return [_resolved(symbols, names), widths, *rest]
+
+
+def _step_pairs(buckets: int, level: int):
+    """A later round: names of the round before, pairs of them, and what to ask for."""
+
+    def run(states: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(states):
             return _ARROW.empty_table()
-        gid = docs["gid"][0].as_py()
-        if not len(marks):
+        gid = states["gid"][0].as_py()
+        level_before = _named(unpack(_blobs(states, STATE)[0]), _replies(replies), level - 1)
+        names, widths, first = level_before[:3]
+        starts = _starts(widths)
+        keep, joined = pairs(names, starts, first, level)
+        at = keep[joined]
+        a, b = names[at], names[at + 1]
+        order = np.lexsort((b, a))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        index = np.empty(len(a), np.int64)
+        index[order] = np.cumsum(new) - 1
+        heads = order[new]
+        many = _many(index, np.searchsorted(first, starts[at], "right") - 1, len(heads))
+        a, b = a[heads], b[heads]
+        order, place, cuts = _by_bucket((mix(a.astype(U64) * _PAIR_A + b.astype(U64) * _PAIR_B) % U64(buckets)).astype(np.int64), buckets)
+        out = [(gid, k, ASK, pack(*(x[order][cuts[k] : cuts[k + 1]] for x in (a, b, many)))) for k in range(buckets) if cuts[k + 1] > cuts[k]]
+        symbols = -1 - names[keep]
+        symbols[joined] = place[index]
+        # level 0 keeps what the windows need: texts, ids and words
+        out.append((gid, level - 1, NAMES, pack(*(level_before if level == 1 else level_before[:2]))))
+        out.append((gid, 0, STATE, pack(symbols, np.diff(np.append(starts[keep], starts[-1])), first)))
+        return _rows(out)
+
+    return run
+
+
+class _Windows:
+    """Windows at `at`, each seen as its anchor's name in the place of the anchor's words."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, width: int, name: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.words, self.at, self.width, self.name, self.start, self.end = words, at, width, name, start, end
+        self.hash = window_hash(words.astype(U64), at, width)
+
+    def column(self, k: int, some: np.ndarray) -> np.ndarray:
+        place = self.at[some] + k
+        start = self.start[some]
+        held = (place >= start) & (place < self.end[some])
+        return np.where(held, np.where(place == start, -self.name[some], 0), self.words[place])
+
+
+def _equal_runs(key: np.ndarray, column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether a new value begins there): equal values stand together. Values are equal where all their columns are; key is a hash of them."""
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    new = ~same
+    for k in range(width):
+        c = column(k, order)
+        new |= c[1:] != c[:-1]
+    if (new & same).any():  # different values of one hash: sort by the values themselves
+        everything = np.arange(len(key))
+        columns = [column(k, everything) for k in range(width)]
+        order = np.lexsort([*columns, key])
+        new = np.zeros(max(len(key) - 1, 0), bool)
+        for c in columns:
+            new |= c[order][1:] != c[order][:-1]
+    return order, np.concatenate([np.ones(min(1, len(key)), bool), new])
+
+
+def _step_windows(width: int, buckets: int):
+    def run(states: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(states):
             return _ARROW.empty_table()
-        group = _Group(docs, width)
-        _, _, cuts, index = _dealt_names(group, buckets)
-        shared = _marked(dict(zip(marks["bucket"].to_pylist(), marks["blob"].to_pylist(), strict=True)), cuts)
-        chosen = shared[index]
-        at = group.at[chosen]
-        high, low, least, cuts, _ = _unique_keys(group, at, buckets)
-        docs_of = group.ids[least] if len(least) else np.zeros(0, np.int64)
-        out = [_message(gid, b, WINDOWS, high[a:z].tobytes() + low[a:z].tobytes() + docs_of[a:z].tobytes()) for b in range(buckets) for a, z in [(cuts[b], cuts[b + 1])] if z > a]
-        out.append(_message(gid, gid % buckets, MARKS, np.packbits(chosen).tobytes()))
-        return pa.Table.from_batches(out, schema=_ARROW)
+        forget()
+        gid = states["gid"][0].as_py()
+        levels = [unpack(b) for b in _blobs(states, NAMES)]
+        _, widths, first, ids, words = levels[0]
+        words = np.repeat(words, widths)
+        levels.append(_named(unpack(_blobs(states, STATE)[0]), _replies(replies), ROUNDS))
+        levels = [(x[0], _starts(x[1])) for x in levels]
+        n = len(words)
+        at = np.zeros(0, np.int64)
+        if n >= width:
+            doc = np.repeat(np.arange(len(ids)), np.diff(first))
+            dead = _starts(words == 0)
+            at = np.flatnonzero((doc[: n - width + 1] == doc[width - 1 :]) & (dead[width:] == dead[: n - width + 1]))
+        name, start, end = anchors(levels, at, width)
+        del levels
+        chosen = name != 0
+        at, name, start, end = at[chosen], name[chosen], start[chosen], end[chosen]
+        windows = _Windows(words, at, width, name, start, end)
+        order, new = _equal_runs(windows.hash, windows.column, width)
+        index = np.empty(len(at), np.int64)
+        index[order] = np.cumsum(new) - 1
+        heads = order[new]
+        doc = ids[np.searchsorted(first, at, "right") - 1] if len(at) else at
+        least = np.minimum.reduceat(doc[order], np.flatnonzero(new)) if len(heads) else doc
+        inside = least[index] < doc
+        by, place, cuts = _by_bucket((windows.hash[heads] % U64(buckets)).astype(np.int64), buckets)
+        out = []
+        for b in range(buckets):
+            if cuts[b + 1] > cuts[b]:
+                part = by[cuts[b] : cuts[b + 1]]
+                out.append((gid, b, ASK, pack(windows.hash[heads[part]].view(np.int64), least[part], *(windows.column(k, heads[part]) for k in range(width)))))
+        out.append((gid, 0, STATE, pack(np.diff(at, prepend=0), place[index], inside)))
+        return _rows(out)
 
     return run
 
 
-def _bucket_windows(table: pa.Table) -> pa.Table:
-    bucket = table["bucket"][0].as_py()
-    out, parts = [], []
-    for gid, kind, blob in zip(table["gid"].to_pylist(), table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True):
-        if kind == MARKS:
-            out.append(_message(gid, -1, MARKS, blob))
-        else:
-            n = len(blob) // 20
-            parts.append((gid, np.frombuffer(blob, U64, n), np.frombuffer(blob, np.uint32, n, 8 * n), np.frombuffer(blob[12 * n :], np.int64)))
-    if parts:
-        high, low, docs = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-        order = np.lexsort((low, high))
-        h, w = high[order], low[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-        least = np.minimum.reduceat(docs[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        smaller = np.empty(len(h), bool)
-        smaller[order] = least < docs[order]
-        p = 0
-        for gid, own, *_ in parts:
-            if smaller[p : p + len(own)].any():
-                out.append(_message(gid, bucket, WINDOWS, np.packbits(smaller[p : p + len(own)]).tobytes()))
-            p += len(own)
-    return pa.Table.from_batches(out, schema=_ARROW)
-
-
-def _step_remove(width: int, buckets: int, with_text: bool, fields: pa.Schema):
+def _judge_windows(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        bucket, gids = table["bucket"][0].as_py(), table["gid"].to_pylist()
+        asked = [unpack(b) for b in table["blob"].to_pylist()]
+        cuts = np.cumsum([len(x[0]) for x in asked])[:-1]
+        key, least, *columns = (np.concatenate([x[k] for x in asked]) for k in range(width + 2))
+        del asked
+        order, new = _equal_runs(key, lambda k, some: columns[k][some], width)
+        smallest = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        smaller = np.empty(len(key), np.int64)
+        smaller[order] = smallest < least[order]
+        return _rows([(gid, bucket, REPLY, pack(part)) for gid, part in zip(gids, np.split(smaller, cuts), strict=True)])
+
+    return run
+
+
+def _step_remove(width: int, with_text: bool, fields: pa.Schema):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         if not len(docs):
             return fields.empty_table()
-        group = _Group(docs, width)
+        forget()
+        group = _Group(docs)
         w = group.words
         gone = np.zeros(len(w.kind) + 1, np.int64)
-        kinds = marks["kind"].to_pylist() if len(marks) else []
-        if MARKS in kinds:
-            blobs, places = marks["blob"].to_pylist(), marks["bucket"].to_pylist()
-            chosen = np.unpackbits(np.frombuffer(blobs[kinds.index(MARKS)], np.uint8), count=len(group.at)).astype(bool)
-            at = group.at[chosen]
-            _, _, least, cuts, index = _unique_keys(group, at, buckets)
-            outside = _marked({b: x for b, x, k in zip(places, blobs, kinds, strict=True) if k == WINDOWS}, cuts)
-            hit = at[outside[index] | (group.ids[least[index]] < group.ids[group.doc[at]])] if len(at) else at
+        steps, place, inside = unpack(_blobs(marks, STATE)[0])
+        if len(steps):
+            hit = np.cumsum(steps)[(inside > 0) | (_replies(marks)[place] > 0)]
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + width, -1)
         removed = np.cumsum(gone)[:-1] > 0
@@ -235,7 +347,14 @@ def _step_remove(width: int, buckets: int, with_text: bool, fields: pa.Schema):
 _TO_SPACE = bytes(0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def _written(scratch: Scratch, df: DataFrame, name: str) -> DataFrame:
+    """Messages as a table with a folder for each kind, so that what is used up can go."""
+    path = f"{scratch.root}/{name}"
+    df.write.partitionBy("kind").parquet(path)
+    return scratch.spark.read.schema("gid int, bucket int, blob binary, kind int").parquet(path).select("gid", "bucket", "kind", "blob")
+
+
+def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text (kept words joined by one space).
 
     Null and empty texts have no words (kept_sha256 of the empty string). Repeated rows of a
@@ -245,16 +364,29 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True,
     xxhash64: rows of one id and text_key have equal results."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     total = docs.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
-    n = parts_for(total, group_bytes)
+    n, m = parts_for(total, group_bytes), parts_for(total, bucket_bytes)
     dealt = docs.withColumn("gid", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(n)).cast("int"))  # also deals out the rows of one id
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, text_key long" * with_text
     kinds = {"kept_sha256": pa.string(), "kept_text": pa.string()}
     fields = pa.schema([(c, kinds.get(c, pa.int64())) for c in ("doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text", "text_key"] * with_text)])
-    names = dealt.groupBy("gid").applyInArrow(_step_names(width, n), _MESSAGE)
-    shared = names.groupBy("bucket").applyInArrow(_bucket_names, _MESSAGE)
-    windows = dealt.groupBy("gid").cogroup(shared.groupBy("gid")).applyInArrow(_step_windows(width, n), _MESSAGE)
-    repeats = windows.groupBy("bucket").applyInArrow(_bucket_windows, _MESSAGE)
-    return dealt.groupBy("gid").cogroup(repeats.groupBy("gid")).applyInArrow(_step_remove(width, n, with_text, fields), schema)
+    scratch = Scratch(docs.sparkSession)
+    last = _written(scratch, dealt.groupBy("gid").applyInArrow(_step_runs(m), _MESSAGE), "round-0")
+    names = []
+    for level in range(ROUNDS + 1):
+        replies = last.where(F.col("kind") == ASK).groupBy("bucket").applyInArrow(_name_pairs(m, level) if level else _name_words(m), _MESSAGE)
+        state = last.where(F.col("kind") == STATE)
+        if level < ROUNDS:
+            last = _written(scratch, state.groupBy("gid").cogroup(replies.groupBy("gid")).applyInArrow(_step_pairs(m, level + 1), _MESSAGE), f"round-{level + 1}")
+            names.append(last.where(F.col("kind") == NAMES))
+        else:
+            for x in names:
+                state = state.unionByName(x)
+            last = _written(scratch, state.groupBy("gid").cogroup(replies.groupBy("gid")).applyInArrow(_step_windows(width, m), _MESSAGE), "windows")
+        scratch.drop(*(f"round-{level}/kind={k}" for k in (STATE, ASK)))
+    scratch.drop(*(f"round-{k}" for k in range(ROUNDS + 1)))
+    replies = last.where(F.col("kind") == ASK).groupBy("bucket").applyInArrow(_judge_windows(width), _MESSAGE)
+    marks = last.where(F.col("kind") == STATE).unionByName(replies)
+    return dealt.groupBy("gid").cogroup(marks.groupBy("gid")).applyInArrow(_step_remove(width, with_text, fields), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -75,19 +75,66 @@ def test_words_and_hashes():
     assert w.hashes[w.first[3]] == w.hashes[w.first[3] + 1] != w.hashes[0]
 
 
+def named_levels(sequences):
+    """Levels of each word sequence, named by dictionaries that all sequences share."""
+    ids, out = {}, []
+    for seq in sequences:
+        first, name = np.array([0, len(seq)]), lambda *key: ids.setdefault(key, len(ids) + 1)
+        starts = recompress.runs(np.array(seq), first[:-1])
+        names = np.array([name(0, seq[a], b - a) for a, b in zip(starts[:-1], starts[1:])])
+        levels = [(names, starts)]
+        for level in range(1, recompress.ROUNDS + 1):
+            keep, joined = recompress.pairs(names, starts, first, level)
+            names, starts = np.array([name(level, names[k], names[k + 1]) if j else names[k] for k, j in zip(keep, joined)]), np.append(starts[keep], starts[-1])
+            levels.append((names, starts))
+        out.append(levels)
+    return out
+
+
 def test_equal_windows_have_equal_anchors():
     r = random.Random(2)
     for _ in range(30):
         window = [r.randrange(4) for _ in range(13)]
+        around = [[[r.randrange(4) for _ in range(r.randrange(20))] for _ in range(2)] for _ in range(6)]
         found = set()
-        for _ in range(6):
-            left, right = ([r.randrange(4) for _ in range(r.randrange(20))] for _ in range(2))
-            h = text.mix(np.array(left + window + right, np.uint64) + np.uint64(1))
-            name, start = recompress.anchors(h, np.array([0, len(h)]), np.array([len(left)]), 13)
-            found.add((int(name[0]), int(start[0]) - len(left)))
+        for (left, _), levels in zip(around, named_levels([a + window + b for a, b in around])):
+            name, start, end = recompress.anchors(levels, np.array([len(left)]), 13)
+            assert 0 <= start[0] - len(left) <= end[0] - len(left) <= 13
+            found.add((int(name[0]), int(start[0]) - len(left), int(end[0]) - len(left)))
         assert len(found) == 1
 
 
+def test_names_are_exact():
+    """Buckets name what two documents have, by its bytes or its two names, and nothing else."""
+    blob = lambda *lines: substring.zstandard.compress(b"\n".join(lines))
+    asked = substring._rows([(0, 1, substring.ASK, blob(b"0a", b"0b", b"1c", b"0a 2")), (5, 1, substring.ASK, blob(b"0a", b"0d", b"0a 3"))])
+    got = [substring.unpack(x)[0].tolist() for x in substring._name_words(3)(asked)["blob"].to_pylist()]
+    assert got[0][0] == got[1][0] > 0 and got[0][2] > 0 and got[0][0] != got[0][2]
+    assert got[0][1] == got[0][3] == got[1][1] == got[1][2] == 0
+    pairs = [([1, 2, 7], [2, 1, 7], [0, 0, 1]), ([1, 2, 2], [2, 2, 1], [0, 0, 0])]
+    asked = substring._rows([(g, 1, substring.ASK, substring.pack(*map(np.array, p))) for g, p in enumerate(pairs)])
+    got = [substring.unpack(x)[0].tolist() for x in substring._name_pairs(3, 2)(asked)["blob"].to_pylist()]
+    assert got[0][0] == got[1][0] > 0 and got[0][1] == got[1][2] > 0 and got[0][2] > 0 and got[1][1] == 0
+    assert len({got[0][0], got[0][1], got[0][2]}) == 3
+
+
+def test_windows_of_one_hash_are_kept_apart():
+    columns = [np.array([1, 2, 1, 2, 1]), np.array([5, 5, 5, 5, 6])]
+    order, new = substring._equal_runs(np.zeros(5, np.uint64), lambda k, some: columns[k][some], 2)
+    assert [sorted(x.tolist()) for x in np.split(order, np.flatnonzero(new)[1:])] in ([[0, 2], [1, 3], [4]], [[0, 2], [4], [1, 3]])
+
+
+def test_substring_dedup_over_few_words(spark):
+    """Runs, single-word texts and windows without a certain symbol, against brute force."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice("ab") for _ in range(r.randrange(40))) for _ in range(60)]
+    texts += [" ".join("a" * n) for n in (12, 13, 14, 30)] + [" ".join("a" * n + "b" * n) for n in (6, 7, 13, 20)] + [" ".join(f"w{k}" for k in range(40))] * 3
+    rows = list(enumerate(texts))
+    for group_bytes, bucket_bytes in ((1 << 20, 1 << 20), (200, 700)):
+        got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=group_bytes, bucket_bytes=bucket_bytes)
+        assert sorted((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got.collect()) == removed(rows)
+
+
 def removed(rows, width=13):
     first = {}
     for i, t in sorted(rows, key=lambda x: x[0]):
