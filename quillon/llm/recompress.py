@@ -38,7 +38,9 @@ def pairs(names: np.ndarray, starts: np.ndarray, first: np.ndarray, level: int)
     """(symbols that stay or begin a pair, whether they begin one); pairs never span two texts."""
     right = rights(names, level)
     merge = np.zeros(len(names) + 1, bool)  # merge[k]: symbol k goes into symbol k-1
-    merge[1:-1] = ~right[:-1] & right[1:] & (names[:-1] > 0) & (names[1:] > 0) & ~np.isin(starts[1:-1], first)
+    begins = np.zeros(int(starts[-1]) + 1, bool)
+    begins[first] = True
+    merge[1:-1] = ~right[:-1] & right[1:] & (names[:-1] > 0) & (names[1:] > 0) & ~begins[starts[1:-1]]
     keep = np.flatnonzero(~merge[:-1])
     return keep, merge[keep + 1]
 

@@ -23,11 +23,13 @@ the shared folder; a repeated task gives equal names, as buckets number in sorte
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.recompress import ROUNDS, anchors, pairs, runs
@@ -39,24 +41,32 @@ GROUP_BYTES = 5 << 20
 BUCKET_BYTES = 8 << 20  # of text for each bucket
 _MESSAGE = "gid int, bucket int, kind int, blob binary"
 _ARROW = pa.schema([("gid", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
-STATE, NAMES, ASK, REPLY = range(4)
+STATE, ASK, REPLY = range(3)  # names of round k are of kind REPLY + k
 _PAIR_A, _PAIR_B = U64(0xD1342543DE82EF95), U64(0xAF251AF3B0F025B5)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as one blob: bytes of equal weight stand together, so that small numbers take little."""
-    head = np.array([len(arrays), *map(len, arrays)], np.int64).tobytes()
-    body = [np.ascontiguousarray(a, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
-    return zstandard.compress(b"".join([head, *body]), 1)
+    """Integer arrays as one blob: each as narrow as it can be, bytes of equal weight together."""
+    head, body = [len(arrays)], []
+    for a in arrays:
+        least, most = (int(a.min()), int(a.max())) if len(a) else (0, 0)
+        size = next(n for n in (1, 2, 4, 8) if -(1 << 8 * n - 1) <= least and most < 1 << 8 * n - 1)
+        raw = np.ascontiguousarray(a, f"<i{size}").view(np.uint8)
+        head += [len(a), size]
+        body += [raw[k::size].tobytes() for k in range(size)]
+    return zstandard.compress(b"".join([np.array(head, np.int64).tobytes(), *body]), 1)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.decompress(blob)
-    sizes = np.frombuffer(raw, np.int64, 1 + int(np.frombuffer(raw, np.int64, 1)[0]))[1:].tolist()
-    out, at = [], 8 * (1 + len(sizes))
-    for n in sizes:
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).ravel())
-        at += 8 * n
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    at, out = 8 * (1 + 2 * n), []
+    for length, size in raw[8:at].view(np.int64).reshape(n, 2).tolist():
+        a = np.empty(length * size, np.uint8)
+        for k in range(size):
+            a[k::size] = raw[at + k * length : at + (k + 1) * length]
+        out.append(a.view(f"<i{size}").astype(np.int64))
+        at += length * size
     return out
 
 
@@ -71,9 +81,9 @@ def _blobs(table: pa.Table, kind: int) -> list[bytes]:
     return [r[2] for r in sorted(rows, key=lambda r: r[0])]
 
 
-def _replies(table: pa.Table) -> np.ndarray:
+def _replies(table: pa.Table, level: int = 0) -> np.ndarray:
     """The answers of all buckets in the order in which they were asked for."""
-    found = [unpack(b)[0] for b in _blobs(table, REPLY)]
+    found = [unpack(b)[0] for b in _blobs(table, REPLY + level)]
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
@@ -125,11 +135,12 @@ def _step_runs(buckets: int):
         doc = np.searchsorted(w.first, starts[:-1], "right") - 1
         long = np.flatnonzero(count > 1)
         longer, back = np.unique(np.stack([kind[long], count[long]], axis=1), axis=0, return_inverse=True) if len(long) else (np.zeros((0, 2), np.int64), long)
-        keys = [*w.vocabulary, *(w.vocabulary[k] + b" %d" % c for k, c in longer.tolist())]  # a word has no space
+        more = [w.vocabulary[k] + b" %d" % c for k, c in longer.tolist()]  # a word has no space
+        keys = [*w.vocabulary, *more]
         symbol = kind.copy()
         symbol[long] = len(w.vocabulary) + back.ravel()
         many = _many(np.concatenate([kind, symbol[long]]), np.concatenate([doc, doc[long]]), len(keys))
-        order, place, cuts = _by_bucket((digest64(keys) % U64(buckets)).astype(np.int64), buckets)
+        order, place, cuts = _by_bucket((np.concatenate([w.own, digest64(more)]) % U64(buckets)).astype(np.int64), buckets)
         lines = [(b"1" if many[k] else b"0") + keys[k] for k in order.tolist()]
         out = [(gid, b, ASK, zstandard.compress(b"\n".join(lines[cuts[b] : cuts[b + 1]]), 1)) for b in range(buckets) if cuts[b + 1] > cuts[b]]
         out.append((gid, 0, STATE, pack(place[symbol], count, w.first, group.ids, place[kind] - place[symbol])))
@@ -171,37 +182,38 @@ def _name_pairs(buckets: int, level: int):
         names = np.empty(len(a), np.int64)
         names[order] = of[group]
         parts = np.split(names, np.cumsum([len(x[0]) for x in asked])[:-1])
-        return _rows([(gid, bucket, REPLY, pack(part)) for gid, part in zip(gids, parts, strict=True)])
+        return _rows([(gid, bucket, REPLY + level, pack(part)) for gid, part in zip(gids, parts, strict=True)])
 
     return run
 
 
-def _resolved(symbols: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Symbols are places in the answers, or -1 less the name that they had."""
-    out = -1 - symbols
-    asked = symbols >= 0
-    out[asked] = names[symbols[asked]]
-    return out
-
-
-def _named(state: list[np.ndarray], names: np.ndarray, level: int) -> list[np.ndarray]:
-    """A level's arrays with names in the place of symbols; level 0 also has the words' names."""
-    symbols, widths, *rest = state
-    if level == 0:
-        rest[2] = _resolved(symbols + rest[2], names)
-    return [_resolved(symbols, names), widths, *rest]
+def _levels(states: pa.Table, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(first word of each text, ids, names of the words, [(names, starts)] by round) from what the rounds left and were answered."""
+    records = [unpack(b) for b in _blobs(states, STATE)]
+    symbols, widths, first, ids, word = records[0]
+    named = _replies(replies)
+    levels = [(named[symbols], _starts(widths))]
+    words = np.repeat(named[symbols + word], widths)
+    for level, (joined, place) in enumerate(records[1:], 1):
+        names, starts = levels[-1]
+        joined = joined > 0
+        keep = _starts(1 + joined)[:-1]
+        names = names[keep]
+        names[joined] = _replies(replies, level)[place]
+        levels.append((names, np.append(starts[keep], starts[-1])))
+    return first, ids, words, levels
 
 
 def _step_pairs(buckets: int, level: int):
-    """A later round: names of the round before, pairs of them, and what to ask for."""
+    """A later round: the names of the round before, pairs of them, and what to ask for."""
 
     def run(states: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(states):
             return _ARROW.empty_table()
         gid = states["gid"][0].as_py()
-        level_before = _named(unpack(_blobs(states, STATE)[0]), _replies(replies), level - 1)
-        names, widths, first = level_before[:3]
-        starts = _starts(widths)
+        first, _, _, levels = _levels(states, replies)
+        names, starts = levels[-1]
+        del levels
         keep, joined = pairs(names, starts, first, level)
         at = keep[joined]
         a, b = names[at], names[at + 1]
@@ -215,11 +227,7 @@ def _step_pairs(buckets: int, level: int):
         a, b = a[heads], b[heads]
         order, place, cuts = _by_bucket((mix(a.astype(U64) * _PAIR_A + b.astype(U64) * _PAIR_B) % U64(buckets)).astype(np.int64), buckets)
         out = [(gid, k, ASK, pack(*(x[order][cuts[k] : cuts[k + 1]] for x in (a, b, many)))) for k in range(buckets) if cuts[k + 1] > cuts[k]]
-        symbols = -1 - names[keep]
-        symbols[joined] = place[index]
-        # level 0 keeps what the windows need: texts, ids and words
-        out.append((gid, level - 1, NAMES, pack(*(level_before if level == 1 else level_before[:2]))))
-        out.append((gid, 0, STATE, pack(symbols, np.diff(np.append(starts[keep], starts[-1])), first)))
+        out.append((gid, level, STATE, pack(joined, place[index])))
         return _rows(out)
 
     return run
@@ -263,11 +271,7 @@ def _step_windows(width: int, buckets: int):
             return _ARROW.empty_table()
         forget()
         gid = states["gid"][0].as_py()
-        levels = [unpack(b) for b in _blobs(states, NAMES)]
-        _, widths, first, ids, words = levels[0]
-        words = np.repeat(words, widths)
-        levels.append(_named(unpack(_blobs(states, STATE)[0]), _replies(replies), ROUNDS))
-        levels = [(x[0], _starts(x[1])) for x in levels]
+        first, ids, words, levels = _levels(states, replies)
         n = len(words)
         at = np.zeros(0, np.int64)
         if n >= width:
@@ -354,6 +358,18 @@ def _written(scratch: Scratch, df: DataFrame, name: str) -> DataFrame:
     return scratch.spark.read.schema("gid int, bucket int, blob binary, kind int").parquet(path).select("gid", "bucket", "kind", "blob")
 
 
+@contextmanager
+def _freed_shuffles(spark: SparkSession):
+    """Within, an action's shuffle files go when it ends: rounds are read from their tables alone."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text (kept words joined by one space).
 
@@ -370,20 +386,18 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True,
     kinds = {"kept_sha256": pa.string(), "kept_text": pa.string()}
     fields = pa.schema([(c, kinds.get(c, pa.int64())) for c in ("doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text", "text_key"] * with_text)])
     scratch = Scratch(docs.sparkSession)
-    last = _written(scratch, dealt.groupBy("gid").applyInArrow(_step_runs(m), _MESSAGE), "round-0")
-    names = []
-    for level in range(ROUNDS + 1):
-        replies = last.where(F.col("kind") == ASK).groupBy("bucket").applyInArrow(_name_pairs(m, level) if level else _name_words(m), _MESSAGE)
-        state = last.where(F.col("kind") == STATE)
-        if level < ROUNDS:
-            last = _written(scratch, state.groupBy("gid").cogroup(replies.groupBy("gid")).applyInArrow(_step_pairs(m, level + 1), _MESSAGE), f"round-{level + 1}")
-            names.append(last.where(F.col("kind") == NAMES))
-        else:
-            for x in names:
-                state = state.unionByName(x)
-            last = _written(scratch, state.groupBy("gid").cogroup(replies.groupBy("gid")).applyInArrow(_step_windows(width, m), _MESSAGE), "windows")
-        scratch.drop(*(f"round-{level}/kind={k}" for k in (STATE, ASK)))
-    scratch.drop(*(f"round-{k}" for k in range(ROUNDS + 1)))
+    with _freed_shuffles(docs.sparkSession):
+        last = _written(scratch, dealt.groupBy("gid").applyInArrow(_step_runs(m), _MESSAGE), "round-0")
+        states, names = [], []
+        for level in range(ROUNDS + 1):
+            name = _name_pairs(m, level) if level else _name_words(m)
+            names.append(scratch.keep(last.where(F.col("kind") == ASK).groupBy("bucket").applyInArrow(name, _MESSAGE), f"names-{level}"))
+            scratch.drop(f"round-{level}/kind={ASK}")
+            states.append(last.where(F.col("kind") == STATE))
+            step, made = (_step_pairs(m, level + 1), f"round-{level + 1}") if level < ROUNDS else (_step_windows(width, m), "windows")
+            known = [reduce(DataFrame.unionByName, x).groupBy("gid") for x in (states, names)]
+            last = _written(scratch, known[0].cogroup(known[1]).applyInArrow(step, _MESSAGE), made)
+        scratch.drop(*(f"{x}-{k}" for x in ("round", "names") for k in range(ROUNDS + 1)))
     replies = last.where(F.col("kind") == ASK).groupBy("bucket").applyInArrow(_judge_windows(width), _MESSAGE)
     marks = last.where(F.col("kind") == STATE).unionByName(replies)
     return dealt.groupBy("gid").cogroup(marks.groupBy("gid")).applyInArrow(_step_remove(width, with_text, fields), schema)
