@@ -46,11 +46,12 @@ def pairs(names: np.ndarray, starts: np.ndarray, first: np.ndarray, level: int)
 
 
 def anchors(levels: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first word, one past the last) of the anchor of each window of `width` words from `at`; the name is -1 where no symbol is certain.
+    """(name, first word, one past the last) of the anchor of each window of `width` words from `at`; the name is -1 where no symbol is certain, and 0 where a certain one of any round is dead.
 
     levels: (names, starts) by round, starts with a last entry, the number of words. Each window lies in one text."""
     n = int(levels[0][1][-1])
     name, start, end = np.full(len(at), -1, np.int64), at.copy(), at.copy()
+    bad = np.zeros(len(at), bool)
     if not len(at):
         return name, start, end
     for level, (names, starts) in enumerate(levels):
@@ -73,8 +74,10 @@ def anchors(levels: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray, width:
         some = high > low
         if not some.any():
             break
+        dead = np.concatenate([[0], np.cumsum(names == 0)])
+        bad |= some & (dead[high] > dead[low])
         a, b = np.where(some, low, 0), np.where(some, high - 1, 0)
         wide_a, wide_b = starts[a + 1] - starts[a], starts[b + 1] - starts[b]
         pick = np.where((wide_b > wide_a) | ((wide_b == wide_a) & (names[b] < names[a])), b, a)
         name, start, end = np.where(some, names[pick], name), np.where(some, starts[pick], start), np.where(some, starts[pick + 1], end)
-    return name, start, end
+    return np.where(bad, 0, name), start, end

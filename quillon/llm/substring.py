@@ -295,7 +295,7 @@ def _step_windows(width: int, buckets: int):
         for b in range(buckets):
             if cuts[b + 1] > cuts[b]:
                 part = by[cuts[b] : cuts[b + 1]]
-                out.append((gid, b, ASK, pack(windows.hash[heads[part]].view(np.int64), least[part], *(windows.column(k, heads[part]) for k in range(width)))))
+                out.append((gid, b, ASK, pack(least[part], *(windows.column(k, heads[part]) for k in range(width)))))
         out.append((gid, 0, STATE, pack(np.diff(at, prepend=0), place[index], inside)))
         return _rows(out)
 
@@ -307,8 +307,11 @@ def _judge_windows(width: int):
         bucket, gids = table["bucket"][0].as_py(), table["gid"].to_pylist()
         asked = [unpack(b) for b in table["blob"].to_pylist()]
         cuts = np.cumsum([len(x[0]) for x in asked])[:-1]
-        key, least, *columns = (np.concatenate([x[k] for x in asked]) for k in range(width + 2))
+        least, *columns = (np.concatenate([x[k] for x in asked]) for k in range(width + 1))
         del asked
+        key = np.zeros(len(least), U64)
+        for c in columns:
+            key = key * _PAIR_A + c.astype(U64)
         order, new = _equal_runs(key, lambda k, some: columns[k][some], width)
         smallest = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         smaller = np.empty(len(key), np.int64)
