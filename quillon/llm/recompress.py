@@ -5,9 +5,8 @@ everywhere and different for different ones. Round 0 has a symbol for each maxim
 word. Each later round splits the names at hand into "left" and "right" ones by a hash bit of
 name and round and makes one symbol of every adjacent (left, right) pair. Whether two
 neighbours merge depends on their names alone: inside two equal substrings the parses are
-equal, but for a margin at either end that follows from the substring itself. `anchors` gives
-each window the widest symbol of the highest round that lies within its margins. Equal windows
-thus have equal anchors.
+equal, but for a margin at either end that follows from the substring itself. `certain` gives
+the symbols of each round within a window's margins. Equal windows thus have equal ones.
 
 A name of 0 is dead: its words stand in one document only, or their name was not asked for. It
 never merges, and nothing that holds it is repeated in another document.
@@ -45,15 +44,15 @@ def pairs(names: np.ndarray, starts: np.ndarray, first: np.ndarray, level: int)
     return keep, merge[keep + 1]
 
 
-def anchors(levels: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first word, one past the last) of the anchor of each window of `width` words from `at`; the name is -1 where no symbol is certain, and 0 where a certain one of any round is dead.
+def certain(levels: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray, width: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """([(first word, one past the last)] by round, whether all are named) of the certain symbols of each window of `width` words from `at`.
 
+    Those are the symbols that any text would have there, whatever stands around the window.
     levels: (names, starts) by round, starts with a last entry, the number of words. Each window lies in one text."""
     n = int(levels[0][1][-1])
-    name, start, end = np.full(len(at), -1, np.int64), at.copy(), at.copy()
-    bad = np.zeros(len(at), bool)
+    ranges, good = [], np.ones(len(at), bool)
     if not len(at):
-        return name, start, end
+        return [(at, at)] * len(levels), good
     for level, (names, starts) in enumerate(levels):
         if level == 0:  # a run at an end of the window may go on outside it
             index = np.repeat(np.arange(len(names)), np.diff(starts))
@@ -72,12 +71,8 @@ def anchors(levels: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray, width:
             low = np.where(some, index[starts_before[np.minimum(low, m)]], 0)
             high = np.where(some, index[starts_before[np.clip(high, 0, m)]], 0)
         some = high > low
-        if not some.any():
-            break
+        low, high = np.where(some, low, 0), np.where(some, high, 0)
         dead = np.concatenate([[0], np.cumsum(names == 0)])
-        bad |= some & (dead[high] > dead[low])
-        a, b = np.where(some, low, 0), np.where(some, high - 1, 0)
-        wide_a, wide_b = starts[a + 1] - starts[a], starts[b + 1] - starts[b]
-        pick = np.where((wide_b > wide_a) | ((wide_b == wide_a) & (names[b] < names[a])), b, a)
-        name, start, end = np.where(some, names[pick], name), np.where(some, starts[pick], start), np.where(some, starts[pick + 1], end)
-    return np.where(bad, 0, name), start, end
+        good &= dead[high] == dead[low]
+        ranges.append((starts[low], starts[high]))
+    return ranges, good

@@ -8,10 +8,10 @@ it also starts in a document with a smaller id. Work is dealt in groups of docum
    compares them by their bytes, or by their two names, and numbers those that stand in two
    documents or more. Names are thus the same in all groups, and two names are equal only where
    the words are; what one document alone has gets no name and is not followed any further.
-2. Each group looks for the windows whose anchor, a symbol of a high round, has a name, and
-   whose words all have. Such a window is sent as its anchor's name and the names of the words
-   before and after it, once, with its smallest document id, to window buckets. These compare
-   whole windows in this form, which is exact, and tell each group for which of its windows
+2. Each group looks for the windows whose words and certain symbols, of all rounds, have names.
+   Such a window is sent as its symbols of the highest rounds, with those of lower rounds and at
+   last words in its margins, once, with its smallest document id, to window buckets. These
+   compare windows in this form, which is exact, and tell each group for which of its windows
    another group has a smaller document.
 3. Each group removes the covered words.
 
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.recompress import ROUNDS, anchors, pairs, runs
+from quillon.llm.recompress import ROUNDS, certain, pairs, runs
 from quillon.llm.spark_util import Scratch, parts_for
 from quillon.llm.text import U64, Words, cut_words, digest64, forget, mix, string_buffers, window_hash
 
@@ -54,7 +54,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         raw = np.ascontiguousarray(a, f"<i{size}").view(np.uint8)
         head += [len(a), size]
         body += [raw[k::size].tobytes() for k in range(size)]
-    return zstandard.compress(b"".join([np.array(head, np.int64).tobytes(), *body]), 1)
+    return zstandard.compress(b"".join([np.array(head, np.int64).tobytes(), *body]), 3)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -81,10 +81,20 @@ def _blobs(table: pa.Table, kind: int) -> list[bytes]:
     return [r[2] for r in sorted(rows, key=lambda r: r[0])]
 
 
-def _replies(table: pa.Table, level: int = 0) -> np.ndarray:
-    """The answers of all buckets in the order in which they were asked for."""
-    found = [unpack(b)[0] for b in _blobs(table, REPLY + level)]
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+def _answer(ranks: np.ndarray) -> bytes:
+    """A bucket's answer: ranks of what it named, which ascend in the order asked; -1 for the rest."""
+    named = ranks >= 0
+    return pack(named, np.diff(ranks[named], prepend=0))
+
+
+def _replies(table: pa.Table, level: int = 0, buckets: int = 1) -> np.ndarray:
+    """Names in the order in which they were asked for: different ones for different ranks, buckets and rounds; 0 for what has none."""
+    out = [np.zeros(0, np.int64)]
+    for bucket, named, steps in sorted(((b, *unpack(x)) for b, k, x in zip(table["bucket"].to_pylist(), table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True) if k == REPLY + level), key=lambda x: x[0]):
+        names = np.zeros(len(named), np.int64)
+        names[named > 0] = (np.cumsum(steps) * buckets + bucket) * (ROUNDS + 1) + level + 1
+        out.append(names)
+    return np.concatenate(out)
 
 
 def _starts(widths: np.ndarray) -> np.ndarray:
@@ -140,7 +150,11 @@ def _step_runs(buckets: int):
         symbol = kind.copy()
         symbol[long] = len(w.vocabulary) + back.ravel()
         many = _many(np.concatenate([kind, symbol[long]]), np.concatenate([doc, doc[long]]), len(keys))
-        order, place, cuts = _by_bucket((np.concatenate([w.own, digest64(more)]) % U64(buckets)).astype(np.int64), buckets)
+        by_key = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+        order, rank, cuts = _by_bucket((np.concatenate([w.own, digest64(more)]) % U64(buckets)).astype(np.int64)[by_key], buckets)
+        place = np.empty(len(keys), np.int64)
+        place[by_key] = rank
+        order = by_key[order]
         lines = [(b"1" if many[k] else b"0") + keys[k] for k in order.tolist()]
         out = [(gid, b, ASK, zstandard.compress(b"\n".join(lines[cuts[b] : cuts[b + 1]]), 1)) for b in range(buckets) if cuts[b + 1] > cuts[b]]
         out.append((gid, 0, STATE, pack(place[symbol], count, w.first, group.ids, place[kind] - place[symbol])))
@@ -149,11 +163,7 @@ def _step_runs(buckets: int):
     return run
 
 
-def _name(rank: np.ndarray, bucket: int, buckets: int, level: int) -> np.ndarray:
-    return (rank * buckets + bucket) * (ROUNDS + 1) + level + 1
-
-
-def _name_words(buckets: int):
+def _name_words():
     def run(table: pa.Table) -> pa.Table:
         bucket, gids = table["bucket"][0].as_py(), table["gid"].to_pylist()
         asked = [zstandard.decompress(b).split(b"\n") for b in table["blob"].to_pylist()]
@@ -162,36 +172,37 @@ def _name_words(buckets: int):
             for line in lines:
                 seen[line[1:]] = seen.get(line[1:], 0) + 1 + (line[0] == 0x31)
         shared = sorted(k for k, n in seen.items() if n > 1)
-        names = dict(zip(shared, _name(np.arange(len(shared)), bucket, buckets, 0).tolist(), strict=True))
-        return _rows([(gid, bucket, REPLY, pack(np.fromiter((names.get(x[1:], 0) for x in lines), np.int64, len(lines)))) for gid, lines in zip(gids, asked, strict=True)])
+        ranks = dict(zip(shared, range(len(shared)), strict=True))
+        return _rows([(gid, bucket, REPLY, _answer(np.fromiter((ranks.get(x[1:], -1) for x in lines), np.int64, len(lines)))) for gid, lines in zip(gids, asked, strict=True)])
 
     return run
 
 
-def _name_pairs(buckets: int, level: int):
+def _name_pairs(level: int):
     def run(table: pa.Table) -> pa.Table:
         bucket, gids = table["bucket"][0].as_py(), table["gid"].to_pylist()
         asked = [unpack(b) for b in table["blob"].to_pylist()]
-        a, b, many = (np.concatenate([x[k] for x in asked]) for k in range(3))
+        a = np.concatenate([np.cumsum(x[0]) for x in asked])
+        b, many = (np.concatenate([x[k] for x in asked]) for k in (1, 2))
         order = np.lexsort((b, a))
         new = np.ones(len(a), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
         group = np.cumsum(new) - 1
         shared = np.bincount(group, 1 + many[order]) > 1
-        of = np.where(shared, _name(np.cumsum(shared) - 1, bucket, buckets, level), 0)
+        of = np.where(shared, np.cumsum(shared) - 1, -1)
         names = np.empty(len(a), np.int64)
         names[order] = of[group]
         parts = np.split(names, np.cumsum([len(x[0]) for x in asked])[:-1])
-        return _rows([(gid, bucket, REPLY + level, pack(part)) for gid, part in zip(gids, parts, strict=True)])
+        return _rows([(gid, bucket, REPLY + level, _answer(part)) for gid, part in zip(gids, parts, strict=True)])
 
     return run
 
 
-def _levels(states: pa.Table, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def _levels(states: pa.Table, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """(first word of each text, ids, names of the words, [(names, starts)] by round) from what the rounds left and were answered."""
     records = [unpack(b) for b in _blobs(states, STATE)]
     symbols, widths, first, ids, word = records[0]
-    named = _replies(replies)
+    named = _replies(replies, 0, buckets)
     levels = [(named[symbols], _starts(widths))]
     words = np.repeat(named[symbols + word], widths)
     for level, (joined, place) in enumerate(records[1:], 1):
@@ -199,7 +210,7 @@ def _levels(states: pa.Table, replies: pa.Table) -> tuple[np.ndarray, np.ndarray
         joined = joined > 0
         keep = _starts(1 + joined)[:-1]
         names = names[keep]
-        names[joined] = _replies(replies, level)[place]
+        names[joined] = _replies(replies, level, buckets)[place]
         levels.append((names, np.append(starts[keep], starts[-1])))
     return first, ids, words, levels
 
@@ -211,9 +222,8 @@ def _step_pairs(buckets: int, level: int):
         if not len(states):
             return _ARROW.empty_table()
         gid = states["gid"][0].as_py()
-        first, _, _, levels = _levels(states, replies)
+        first, _, _, levels = _levels(states, replies, buckets)
         names, starts = levels[-1]
-        del levels
         keep, joined = pairs(names, starts, first, level)
         at = keep[joined]
         a, b = names[at], names[at + 1]
@@ -226,25 +236,24 @@ def _step_pairs(buckets: int, level: int):
         many = _many(index, np.searchsorted(first, starts[at], "right") - 1, len(heads))
         a, b = a[heads], b[heads]
         order, place, cuts = _by_bucket((mix(a.astype(U64) * _PAIR_A + b.astype(U64) * _PAIR_B) % U64(buckets)).astype(np.int64), buckets)
-        out = [(gid, k, ASK, pack(*(x[order][cuts[k] : cuts[k + 1]] for x in (a, b, many)))) for k in range(buckets) if cuts[k + 1] > cuts[k]]
+        asked = [[x[order][cuts[k] : cuts[k + 1]] for x in (a, b, many)] for k in range(buckets)]
+        out = [(gid, k, ASK, pack(np.diff(x, prepend=0), y, z)) for k, (x, y, z) in enumerate(asked) if len(x)]
         out.append((gid, level, STATE, pack(joined, place[index])))
         return _rows(out)
 
     return run
 
 
-class _Windows:
-    """Windows at `at`, each seen as its anchor's name in the place of the anchor's words."""
-
-    def __init__(self, words: np.ndarray, at: np.ndarray, width: int, name: np.ndarray, start: np.ndarray, end: np.ndarray):
-        self.words, self.at, self.width, self.name, self.start, self.end = words, at, width, name, start, end
-        self.hash = window_hash(words.astype(U64), at, width)
-
-    def column(self, k: int, some: np.ndarray) -> np.ndarray:
-        place = self.at[some] + k
-        start = self.start[some]
-        held = (place >= start) & (place < self.end[some])
-        return np.where(held, np.where(place == start, -self.name[some], 0), self.words[place])
+def _columns(words: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], ranges: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray, width: int) -> list[np.ndarray]:
+    """Windows, a column for each of their words: the name of the highest certain symbol that begins there, 0 where one goes on, the word's name where there is none."""
+    columns = [words[at + k] for k in range(width)]
+    for (names, starts), (low, high) in zip(levels, ranges, strict=True):
+        begins = np.zeros(len(words), np.int64)
+        begins[starts[:-1]] = names
+        for k, column in enumerate(columns):
+            held = (at + k >= low) & (at + k < high)
+            column[held] = begins[at[held] + k]
+    return columns
 
 
 def _equal_runs(key: np.ndarray, column, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,31 +280,27 @@ def _step_windows(width: int, buckets: int):
             return _ARROW.empty_table()
         forget()
         gid = states["gid"][0].as_py()
-        first, ids, words, levels = _levels(states, replies)
+        first, ids, words, levels = _levels(states, replies, buckets)
         n = len(words)
         at = np.zeros(0, np.int64)
         if n >= width:
             doc = np.repeat(np.arange(len(ids)), np.diff(first))
             dead = _starts(words == 0)
             at = np.flatnonzero((doc[: n - width + 1] == doc[width - 1 :]) & (dead[width:] == dead[: n - width + 1]))
-        name, start, end = anchors(levels, at, width)
-        del levels
-        chosen = name != 0
-        at, name, start, end = at[chosen], name[chosen], start[chosen], end[chosen]
-        windows = _Windows(words, at, width, name, start, end)
-        order, new = _equal_runs(windows.hash, windows.column, width)
+        ranges, good = certain(levels, at, width)
+        at, ranges = at[good], [(low[good], high[good]) for low, high in ranges]
+        key = window_hash(words.astype(U64), at, width)
+        order, new = _equal_runs(key, lambda k, some: words[at[some] + k], width)
         index = np.empty(len(at), np.int64)
         index[order] = np.cumsum(new) - 1
         heads = order[new]
         doc = ids[np.searchsorted(first, at, "right") - 1] if len(at) else at
         least = np.minimum.reduceat(doc[order], np.flatnonzero(new)) if len(heads) else doc
         inside = least[index] < doc
-        by, place, cuts = _by_bucket((windows.hash[heads] % U64(buckets)).astype(np.int64), buckets)
-        out = []
-        for b in range(buckets):
-            if cuts[b + 1] > cuts[b]:
-                part = by[cuts[b] : cuts[b + 1]]
-                out.append((gid, b, ASK, pack(least[part], *(windows.column(k, heads[part]) for k in range(width)))))
+        by, place, cuts = _by_bucket((key[heads] % U64(buckets)).astype(np.int64), buckets)
+        heads, least = heads[by], least[by]
+        columns = _columns(words, levels, [(low[heads], high[heads]) for low, high in ranges], at[heads], width)
+        out = [(gid, b, ASK, pack(*(x[cuts[b] : cuts[b + 1]] for x in (least, *columns)))) for b in range(buckets) if cuts[b + 1] > cuts[b]]
         out.append((gid, 0, STATE, pack(np.diff(at, prepend=0), place[index], inside)))
         return _rows(out)
 
@@ -316,7 +321,7 @@ def _judge_windows(width: int):
         smallest = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         smaller = np.empty(len(key), np.int64)
         smaller[order] = smallest < least[order]
-        return _rows([(gid, bucket, REPLY, pack(part)) for gid, part in zip(gids, np.split(smaller, cuts), strict=True)])
+        return _rows([(gid, bucket, REPLY, pack(np.packbits(part > 0), np.array([len(part)]))) for gid, part in zip(gids, np.split(smaller, cuts), strict=True)])
 
     return run
 
@@ -331,7 +336,9 @@ def _step_remove(width: int, with_text: bool, fields: pa.Schema):
         gone = np.zeros(len(w.kind) + 1, np.int64)
         steps, place, inside = unpack(_blobs(marks, STATE)[0])
         if len(steps):
-            hit = np.cumsum(steps)[(inside > 0) | (_replies(marks)[place] > 0)]
+            bits = [unpack(b) for b in _blobs(marks, REPLY)]
+            outside = np.concatenate([np.unpackbits(x.astype(np.uint8), count=int(n[0])) for x, n in bits]) > 0
+            hit = np.cumsum(steps)[(inside > 0) | outside[place]]
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + width, -1)
         removed = np.cumsum(gone)[:-1] > 0
@@ -393,7 +400,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True,
         last = _written(scratch, dealt.groupBy("gid").applyInArrow(_step_runs(m), _MESSAGE), "round-0")
         states, names = [], []
         for level in range(ROUNDS + 1):
-            name = _name_pairs(m, level) if level else _name_words(m)
+            name = _name_pairs(level) if level else _name_words()
             names.append(scratch.keep(last.where(F.col("kind") == ASK).groupBy("bucket").applyInArrow(name, _MESSAGE), f"names-{level}"))
             scratch.drop(f"round-{level}/kind={ASK}")
             states.append(last.where(F.col("kind") == STATE))

@@ -91,31 +91,32 @@ def named_levels(sequences):
     return out
 
 
-def test_equal_windows_have_equal_anchors():
+def test_equal_windows_have_equal_symbols():
     r = random.Random(2)
     for _ in range(30):
         window = [r.randrange(4) for _ in range(13)]
         around = [[[r.randrange(4) for _ in range(r.randrange(20))] for _ in range(2)] for _ in range(6)]
         found = set()
-        for (left, _), levels in zip(around, named_levels([a + window + b for a, b in around])):
-            name, start, end = recompress.anchors(levels, np.array([len(left)]), 13)
-            assert 0 <= start[0] - len(left) <= end[0] - len(left) <= 13
-            found.add((int(name[0]), int(start[0]) - len(left), int(end[0]) - len(left)))
+        for (left, right), levels in zip(around, named_levels([a + window + b for a, b in around])):
+            at = np.array([len(left)])
+            ranges, good = recompress.certain(levels, at, 13)
+            words = np.array(left + window + right) + 1000
+            assert good.all() and all(0 <= low[0] - len(left) <= high[0] - len(left) <= 13 for low, high in ranges if high[0] > low[0])
+            found.add(tuple(int(c[0]) for c in substring._columns(words, levels, ranges, at, 13)))
         assert len(found) == 1
 
 
 def test_names_are_exact():
     """Buckets name what two documents have, by its bytes or its two names, and nothing else."""
     blob = lambda *lines: substring.zstandard.compress(b"\n".join(lines))
-    asked = substring._rows([(0, 1, substring.ASK, blob(b"0a", b"0b", b"1c", b"0a 2")), (5, 1, substring.ASK, blob(b"0a", b"0d", b"0a 3"))])
-    got = [substring.unpack(x)[0].tolist() for x in substring._name_words(3)(asked)["blob"].to_pylist()]
-    assert got[0][0] == got[1][0] > 0 and got[0][2] > 0 and got[0][0] != got[0][2]
-    assert got[0][1] == got[0][3] == got[1][1] == got[1][2] == 0
-    pairs = [([1, 2, 7], [2, 1, 7], [0, 0, 1]), ([1, 2, 2], [2, 2, 1], [0, 0, 0])]
-    asked = substring._rows([(g, 1, substring.ASK, substring.pack(*map(np.array, p))) for g, p in enumerate(pairs)])
-    got = [substring.unpack(x)[0].tolist() for x in substring._name_pairs(3, 2)(asked)["blob"].to_pylist()]
-    assert got[0][0] == got[1][0] > 0 and got[0][1] == got[1][2] > 0 and got[0][2] > 0 and got[1][1] == 0
-    assert len({got[0][0], got[0][1], got[0][2]}) == 3
+    named = lambda table, level: [substring._replies(table.filter(pa.array([g == k for g in table["gid"].to_pylist()])), level, 3).tolist() for k in (0, 5)]
+    asked = substring._rows([(0, 1, substring.ASK, blob(b"0a", b"0a 2", b"0b", b"1c")), (5, 1, substring.ASK, blob(b"0a", b"0a 3", b"0d"))])
+    x, y = named(substring._name_words()(asked), 0)
+    assert x[0] == y[0] > 0 and x[3] > 0 and x[0] != x[3] and x[1] == x[2] == y[1] == y[2] == 0
+    pairs = {0: [([1, 2, 7]), [2, 1, 7], [0, 0, 1]], 5: [[1, 2, 2], [2, 1, 2], [0, 0, 0]]}
+    asked = substring._rows([(g, 1, substring.ASK, substring.pack(np.diff(p[0], prepend=0), *map(np.array, p[1:]))) for g, p in pairs.items()])
+    x, y = named(substring._name_pairs(2)(asked), 2)
+    assert x[0] == y[0] > 0 and x[1] == y[1] > 0 and x[2] > 0 and y[2] == 0 and len({*x}) == 3
 
 
 def test_windows_of_one_hash_are_kept_apart():
