@@ -408,7 +408,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True,
             known = [reduce(DataFrame.unionByName, x).groupBy("gid") for x in (states, names)]
             last = _written(scratch, known[0].cogroup(known[1]).applyInArrow(step, _MESSAGE), made)
         scratch.drop(*(f"{x}-{k}" for x in ("round", "names") for k in range(ROUNDS + 1)))
-    replies = last.where(F.col("kind") == ASK).groupBy("bucket").applyInArrow(_judge_windows(width), _MESSAGE)
+        replies = scratch.keep(last.where(F.col("kind") == ASK).groupBy("bucket").applyInArrow(_judge_windows(width), _MESSAGE), "judged")
+        scratch.drop(f"windows/kind={ASK}")
     marks = last.where(F.col("kind") == STATE).unionByName(replies)
     return dealt.groupBy("gid").cogroup(marks.groupBy("gid")).applyInArrow(_step_remove(width, with_text, fields), schema)
 
