@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, and SQL where it can express one."""
+"""The training operators as registered queries, and SQL where it can express one."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ MODULES = {
     "op8_order_minhash": "order_minhash",
     "op9_prefix_table_pieces": "piece",
     "op10_compression_toxicity": "toxicity",
+    "op11_prefix_trie": "trie",
 }
 
 
