@@ -20,6 +20,7 @@ MODULES = {
     "op9_prefix_table_pieces": "piece",
     "op10_compression_toxicity": "toxicity",
     "op11_prefix_trie": "trie",
+    "op12_hard_negatives": "hard_negatives",
 }
 
 
