@@ -21,6 +21,7 @@ MODULES = {
     "op10_compression_toxicity": "toxicity",
     "op11_prefix_trie": "trie",
     "op12_hard_negatives": "hard_negatives",
+    "op13_chat_format": "chat",
 }
 
 
