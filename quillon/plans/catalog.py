@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import budget, evaluation, providers, scoring, text, vectors
-from quillon.operators import index, store
+from quillon.operators import asof, index, store
 from quillon.plans import compile as prompts
 from quillon.plans import evaluate, gc, replay
 from quillon.plans.fixtures import NODES_SQL, PROBES_SQL, TEXTS_SQL, injected, probes, texts
@@ -823,3 +823,43 @@ def _(s, d):
 @query("a18_t1_coherency")
 def _(s, d):
     return replay.coherency(log_events(s, d), LOG_POLICY)
+
+
+@query("g17_semantic_replay")
+def _(s, d):
+    return replay.semantic_replay(replay.embedded(conversation_events(s, d)), Policy(budget=300))
+
+
+@query("g17_turn_hits")
+def _(s, d):
+    hits = replay.turn_hits(replay.embedded(log_events(s, d)), LOG_POLICY)
+    return hits.withColumn("hit", F.round("hit", 9))
+
+
+@query("c3_managed_question")
+def _(s, d):
+    events = conversation_events(s, d)
+    last = F.max("sequence").over(Window.partitionBy("session_id"))
+    asked = events.where("role <> 'system'").withColumn("last", last).where("sequence = last").select("session_id", "sequence", F.col("payload").alias("question"))
+    system = events.where("role = 'system'").groupBy("session_id").agg(F.min_by("payload", "sequence").alias("system_text"))
+    history = events.where("role <> 'system'").join(asked.select("session_id", "sequence"), ["session_id", "sequence"], "left_anti")
+    return replay.managed(history, asked.join(system, "session_id", "left"), Policy(budget=300))
+
+
+LIVES = """l AS (SELECT label::VARCHAR AS session_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS node_turn, vec_id, embedding FROM embeddings),
+  n AS (SELECT *, CASE WHEN node_turn % 3 = 0 THEN node_turn + 5 + vec_id % 20 END AS swept FROM l)"""
+
+
+@query("g17_v3_asof_hits", f"""WITH {LIVES}, p AS (
+    SELECT q.session_id, q.node_turn AS turn_number, n.node_turn, coalesce(n.swept <= q.node_turn, false) AS archived,
+      greatest(0, least(1, round(coalesce(array_cosine_similarity(q.embedding::DOUBLE[64], n.embedding::DOUBLE[64]), 0), 12))) AS hit
+    FROM n q JOIN n ON q.session_id = n.session_id AND n.node_turn <= q.node_turn)
+  SELECT session_id, turn_number, node_turn, archived, round(hit, 9) AS hit, (row_number() OVER (PARTITION BY session_id, turn_number, archived ORDER BY hit DESC, node_turn))::INTEGER AS rank
+  FROM p QUALIFY row_number() OVER (PARTITION BY session_id, turn_number, archived ORDER BY hit DESC, node_turn) <= 12""")
+def _(s, d):
+    v = table(s, d, "embeddings")
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long")
+    nodes = v.select(F.col("label").cast("string").alias("session_id"), turn.alias("node_turn"), turn.alias("made"), "vec_id", F.col("embedding").alias("vector"))
+    nodes = nodes.withColumn("swept", F.when(F.col("node_turn") % 3 == 0, F.col("node_turn") + 5 + F.col("vec_id") % 20))
+    hits = asof.asof_top_k(nodes.select("session_id", F.col("node_turn").alias("turn_number"), "vector"), nodes)
+    return hits.withColumn("hit", F.round("hit", 9))

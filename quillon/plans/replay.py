@@ -1,14 +1,18 @@
-"""Replay of whole sessions in batch: one group a session, small columns only into Python."""
-
-from __future__ import annotations
+"""Replay of whole sessions in batch: one group a session, small columns only into Python.
 
+With vectors, nodes are scored against the last user's vector and every user's turn searches the
+session's nodes. What it may find depends on when nodes were made and swept, but not the other
+way round: a first pass of the reducer gives the nodes' lifetimes, an as-of similarity join the
+hits of all turns, and a second pass compiles with them."""
 
+from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import text
+from quillon.functions import text, vectors
+from quillon.operators import asof
 from quillon.plans import fold
 from quillon.schemas import Policy
 
@@ -22,29 +26,102 @@ def prepared(events: DataFrame) -> DataFrame:
     return events.select("session_id", "sequence", kind.alias("kind"), text.title(F.col("event_type"), F.col("payload")).alias("title"), text.summary(F.col("payload")).alias("summary"), "payload", "token_count", ((F.size(facts) <= 0) & (F.size(decisions) <= 0)).alias("bare"))
 
 
+def embedded(events: DataFrame, dim: int = 32) -> DataFrame:
+    """events with the vector of their payload by the offline embedder; any column of vectors may take its place."""
+    return events.withColumn("vector", vectors.mock_embedding(F.coalesce("payload", F.lit("")), dim))
+
+
 def _ordered(pdf: pd.DataFrame) -> list[dict]:
     return pdf.sort_values("sequence").to_dict("records")
 
 
 def replay(events: DataFrame, policy: Policy = Policy(), compile_each: bool = True) -> DataFrame:
-    """A row for each event: sizes, saving and collections after it (G17). A session is one group; sessions are the unit of work."""
+    """A row for each event: sizes, saving and collections after it (G17). A session is one group; its time grows with its events."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = fold.Session(pdf["session_id"].iloc[0])
-        return pd.DataFrame([{"session_id": s.session_id} | fold.step(s, e, policy, compile_each) for e in _ordered(pdf)])
+        s = fold.Session(pdf["session_id"].iloc[0], policy)
+        return pd.DataFrame([{"session_id": s.session_id} | fold.step(s, e, compile_each) for e in _ordered(pdf)])
 
     return prepared(events).groupBy("session_id").applyInPandas(run, TURN_STATS)
 
 
+def _with_vectors(events: DataFrame) -> DataFrame:
+    extra = events.select("session_id", "sequence", "vector", (F.col("event_type") == "user_prompt").alias("is_user"))
+    return prepared(events).join(extra, ["session_id", "sequence"])
+
+
+def lifetimes(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """(session_id, node_turn, made, swept) of each node of events with a vector, scored with it: alive at turns made <= t < swept, archived from swept on."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = fold.Session(pdf["session_id"].iloc[0], policy, semantic=True)
+        for e in _ordered(pdf):
+            fold.ingest(s, e)
+        rows = [(s.session_id, n.turn, n.turn, n.swept) for n in s.nodes.values() if n.vector is not None]
+        return pd.DataFrame(rows, columns=["session_id", "node_turn", "made", "swept"]).astype({"swept": "Int64"})
+
+    small = _with_vectors(events).drop("payload").withColumn("summary", F.lit(""))
+    return small.groupBy("session_id").applyInPandas(run, "session_id string, node_turn long, made long, swept long")
+
+
+def turn_hits(events: DataFrame, policy: Policy = Policy(), k: int = asof.TOP_K) -> DataFrame:
+    """(session_id, turn_number, node_turn, archived, hit, rank): the k nearest live and the k nearest archived nodes of each user's turn that has a text, the turn's own node among the live ones."""
+    order = Window.partitionBy("session_id").orderBy("sequence")
+    turns = events.select("session_id", F.row_number().over(order).cast("long").alias("node_turn"), "event_type", "payload", "vector")
+    nodes = lifetimes(events, policy).join(turns.select("session_id", "node_turn", "vector"), ["session_id", "node_turn"])
+    asked = turns.where("event_type = 'user_prompt' and payload <> ''").select("session_id", F.col("node_turn").alias("turn_number"), "vector")
+    return asof.asof_top_k(asked, nodes, k)
+
+
+def semantic_replay(events: DataFrame, policy: Policy = Policy(), k: int = asof.TOP_K) -> DataFrame:
+    """The replay of events with a vector: scored against the last user's vector, each user's prompt compiled with its hits (G17 with its semantic arm)."""
+    of_turn = turn_hits(events, policy, k).groupBy("session_id", "turn_number").agg(F.collect_list(F.struct("node_turn", "hit")).alias("hits"))
+    order = Window.partitionBy("session_id").orderBy("sequence")
+    rows = _with_vectors(events).withColumn("turn_number", F.row_number().over(order).cast("long")).join(of_turn, ["session_id", "turn_number"], "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = fold.Session(pdf["session_id"].iloc[0], policy, semantic=True)
+        out = []
+        for e in _ordered(pdf):
+            e["hits"] = [(h["node_turn"], h["hit"]) for h in e["hits"]] if e["hits"] is not None else []
+            out.append({"session_id": s.session_id} | fold.step(s, e))
+        return pd.DataFrame(out)
+
+    return rows.groupBy("session_id").applyInPandas(run, TURN_STATS)
+
+
+MANAGED = "session_id string, original_tokens long, compiled_tokens long, included long, excluded long"
+
+
+def managed(events: DataFrame, questions: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """The managed strategy (C3): the history is replayed without prompts, then one prompt is compiled for a question that is no part of it.
+
+    questions (session_id, question, system_text), one a session; both texts take their tokens
+    from the budget. A session without history has its root only."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        s = fold.Session(first["session_id"], policy)
+        for e in _ordered(pdf[pdf["sequence"].notna()]):
+            fold.ingest(s, e)
+        asked = fold.tokens(first["question"]) + fold.tokens(first["system_text"])
+        size, chosen = s.compiled(policy.budget, first["question"], first["system_text"])
+        return pd.DataFrame([(s.session_id, asked + s.tokens, size, len(chosen), s.n_active - len(chosen))], columns=[c.split()[0] for c in MANAGED.split(", ")])
+
+    texts = questions.select("session_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("question", "system_text")))
+    rows = texts.join(prepared(events).drop("payload"), "session_id", "left").withColumns({"bare": F.coalesce("bare", F.lit(True)), "token_count": F.coalesce("token_count", F.lit(0))})
+    return rows.groupBy("session_id").applyInPandas(run, MANAGED)
+
+
 def coherency(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """(session_id, coherency) after the last event."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = _ordered(pdf)
-        s = fold.Session(pdf["session_id"].iloc[0])
+        s = fold.Session(pdf["session_id"].iloc[0], policy)
         for e in rows:
-            fold.step(s, e, policy, False)
-        return pd.DataFrame([{"session_id": s.session_id, "coherency": fold.coherency(s, [e["payload"] for e in rows], policy)}])
+            fold.ingest(s, e)
+        return pd.DataFrame([{"session_id": s.session_id, "coherency": fold.coherency(s, [e["payload"] for e in rows])}])
 
     return prepared(events).groupBy("session_id").applyInPandas(run, "session_id string, coherency double")
 

@@ -1,65 +1,75 @@
-import math
 import random
+import time
 
 from quillon.plans import fold, replay
-from quillon.schemas import OTHER_PRIORITY, TYPE_PRIORITY, Policy
+from quillon.schemas import Policy
 from quillon.sources.tables import log_events
-from quillon.streaming.sessions import run_to_end, session_stream, windowed_counts
+from quillon.streaming.sessions import keyed_session, run_to_end, session_stream, windowed_counts
+from tests import session_model
 
 KINDS = ["goal", "constraint", "decision", "attempt", "tool_result", "issue", "background"]
 
 
-def slow(events, policy):
-    """An independent reading: dictionaries, everything recomputed at each event."""
-    nodes = {0: {"kind": "goal", "title": "Session Root", "tokens": 0, "up": None, "bare": True, "on": True}}
-    out = []
-    for turn, (kind, title, tokens, bare) in enumerate(events, 1):
-        live = [t for t in nodes if nodes[t]["on"]]
-        up = 0 if kind in ("goal", "constraint") or not live else max(live)
-        nodes[turn] = {"kind": kind, "title": title, "tokens": tokens, "up": up, "bare": bare, "on": True}
-
-        def value(t, turn=turn):
-            live = [x for x in nodes if nodes[x]["on"]]
-            n, far = nodes[t], turn - t
-            twins = sum(nodes[x]["title"].lower() == n["title"].lower() for x in live)
-            v = 0.25 * math.exp(-0.1 * far) + 0.2 * TYPE_PRIORITY.get(n["kind"], OTHER_PRIORITY)
-            v -= 0.1 * (min(0.3 * (twins - 1), 1) if twins > 1 else 0)
-            v -= 0.15 * (min((far - 15) / 15, 1) if far > 15 else 0)
-            v -= 0.05 * (min(n["tokens"] / 2000 - 1, 1) if n["tokens"] > 2000 else 0)
-            return max(0.0, min(1.0, v))
-
-        def depth(t):
-            return 0 if nodes[t]["up"] is None else 1 + depth(nodes[t]["up"])
-
-        live = [t for t in nodes if nodes[t]["on"]]
-        values = {t: value(t) for t in live}
-        used = sum(nodes[t]["tokens"] for t in live)
-        widest = max(sum(n["up"] == t for n in nodes.values()) for t in nodes)
-        fire = used > policy.budget or used > int(policy.budget * policy.headroom) or len(live) > policy.max_active or max(map(depth, nodes)) > policy.max_depth or widest > policy.max_children or sum(values.values()) / len(live) < policy.threshold
-        swept = [t for t in live if fire and nodes[t]["bare"] and (max(values[t], 0.2) if nodes[t]["kind"] == "decision" else values[t]) < policy.threshold]
-        for t in swept:
-            nodes[t]["on"] = False
-        out.append((sum(n["on"] for n in nodes.values()), len(swept), sum(nodes[t]["tokens"] for t in swept)))
-    return out
-
-
-def test_fold_equals_independent_model():
+def random_events(r, n, twins="abcdefgh"):
+    return [{"kind": r.choice(KINDS), "title": r.choice(twins), "summary": r.choice(["", "a summary " * r.randint(1, 9)]), "payload": "what now" * r.randint(0, 3), "token_count": r.choice([0, 3, 12, 60, 2500]), "bare": r.random() < 0.6} for _ in range(n)]
+
+
+def test_fold_equals_plain_model():
+    """All columns, sessions short and longer than OLD, few and many twins, budgets that bind and that don't."""
     r = random.Random(5)
-    for case in range(25):
-        policy = Policy(budget=r.choice([200, 6000]), max_depth=r.choice([4, 10]), max_active=r.choice([8, 25]))
-        events = [(r.choice(KINDS), r.choice("abcdefgh"), r.randint(0, 60), r.random() < 0.7) for _ in range(r.randint(1, 60))]
-        s = fold.Session(str(case))
-        got = [fold.step(s, {"kind": k, "title": t, "summary": t, "payload": t, "token_count": n, "bare": b}, policy, False) for k, t, n, b in events]
-        assert [(g["active_nodes"], g["gc_nodes_swept"], g["gc_tokens_freed"]) for g in got] == slow(events, policy)
+    for case in range(40):
+        policy = Policy(budget=r.choice([200, 1500, 6000]), max_depth=r.choice([4, 10, 10**6]), max_children=r.choice([50, 10**6]), max_active=r.choice([0, 8, 25, 10**6]), threshold=r.choice([0.3, 0.3, 0.12]), decision_floor=r.choice([0.2, 0.5, 0.0]), headroom=r.choice([0.6, 0.0]))
+        events = random_events(r, 700 if case % 8 == 0 else r.randint(1, 120), r.choice(["abcdefgh", [str(k) for k in range(300)]]))
+        s, m = fold.Session(str(case), policy), session_model.Session(str(case))
+        for e in events:
+            assert fold.step(s, e) == session_model.step(m, e, policy)
+        assert fold.coherency(s, [e["payload"] for e in events]) == session_model.coherency(m, [e["payload"] for e in events], policy)
+
+
+def test_time_is_linear_in_events():
+    """A session of five times as many events, two thirds of whose nodes stay, takes five times as long, with room for noise."""
+
+    def seconds(n):
+        r, s = random.Random(1), fold.Session("long", Policy())
+        kinds = ["decision", "decision", "tool_result"]
+        start = time.process_time()
+        for k in range(n):
+            kind = kinds[k % 3]
+            fold.step(s, {"kind": kind, "title": f"title {r.randrange(n)}", "summary": "s" * r.randint(1, 40), "payload": "q", "token_count": r.randint(5, 40), "bare": kind != "decision"})
+        assert s.n_active > n // 2
+        return time.process_time() - start
+
+    assert seconds(25_000) < 12 * seconds(5_000)
+
+
+def test_group_finds_what_fits():
+    r = random.Random(8)
+    for _ in range(30):
+        g, held = fold.Group(), {}
+        for _ in range(r.randint(1, 1500)):
+            if held and r.random() < 0.3:
+                turn = r.choice(list(held))
+                g.remove(turn)
+                del held[turn]
+            else:
+                turn = r.randrange(10**6)
+                if turn not in held:
+                    held[turn] = r.randint(0, 50)
+                    g.add(turn, held[turn])
+        room, want = 200, []
+        for turn in sorted(held):
+            if held[turn] <= room:
+                want.append((turn, held[turn]))
+                room -= held[turn]
+        assert list(g.fitting(200)) == want and g.count == len(held)
 
 
 def test_selected_cost_fits_and_stays_in_budget():
     s = fold.Session("x")
     for k in range(30):
         fold.add(s, KINDS[k % 7], f"t{k}", f"summary {k}", 20 + k, True)
-    size, chosen = fold.compiled(s, 300, "what now")
-    by_id = {n.node_id: n for n in s.nodes}
-    assert sum(by_id[c].tokens for c in chosen) <= 300 - fold.tokens("what now")
+    size, chosen = s.compiled(300, "what now")
+    assert sum(s.nodes[t].tokens for t in chosen) <= 300 - fold.tokens("what now")
     assert size > 0
 
 
@@ -69,12 +79,12 @@ def test_assistant_turns_are_never_swept(spark, small):
 
 
 def test_stream_equals_batch(spark, small, tmp_path):
+    spark = keyed_session(spark)
     events = log_events(spark, small).where("cast(session_id as int) % 5 = 0")
     source = str(tmp_path / "in")
     columns = ["session_id", "sequence", "event_type", "payload", "token_count"]
     events.where("sequence <= 20").select(*columns).coalesce(1).write.parquet(source)
     events.where("sequence > 20").select(*columns).coalesce(1).write.mode("append").parquet(source)
-    # one file a batch, the earlier first
     stream = spark.readStream.schema(events.select(*columns).schema).option("maxFilesPerTrigger", 100).parquet(source)
     run_to_end(session_stream(stream), str(tmp_path / "out"), str(tmp_path / "check"))
     key = lambda r: (r["session_id"], r["turn_number"])
@@ -83,6 +93,7 @@ def test_stream_equals_batch(spark, small, tmp_path):
 
 
 def test_state_is_carried_between_batches(spark, tmp_path):
+    spark = keyed_session(spark)
     schema = "session_id string, sequence long, event_type string, payload string, token_count long"
     rows = [("a", k, "user_prompt", f"text number {k}", 5) for k in range(1, 9)]
     source = str(tmp_path / "in")
