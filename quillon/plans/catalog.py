@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import budget, evaluation, providers, scoring, text, vectors
-from quillon.operators import asof, index, store
+from quillon.operators import ann, asof, index, store
 from quillon.plans import compile as prompts
 from quillon.plans import evaluate, gc, replay
 from quillon.plans.fixtures import NODES_SQL, PROBES_SQL, TEXTS_SQL, injected, probes, texts
 from quillon.schemas import Policy
+from quillon.sources.folders import Scratch
 from quillon.sources.tables import CONV_SQL, LOG_SQL, NODE_SQL, conversation_events, log_events, log_nodes, table, vector_nodes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -863,3 +864,35 @@ def _(s, d):
     nodes = nodes.withColumn("swept", F.when(F.col("node_turn") % 3 == 0, F.col("node_turn") + 5 + F.col("vec_id") % 20))
     hits = asof.asof_top_k(nodes.select("session_id", F.col("node_turn").alias("turn_number"), "vector"), nodes)
     return hits.withColumn("hit", F.round("hit", 9))
+
+
+def nearest_sql(rows: str) -> str:
+    """The 12 nearest of `rows` for each vector whose id is divisible by 50."""
+    return f"""WITH {VECTORS}, h AS ({rows}), p AS (SELECT q.node_id AS query_id, h.node_id,
+      greatest(0, least(1, round(array_cosine_similarity(q.embedding::DOUBLE[64], h.embedding::DOUBLE[64]), 12))) AS hit
+    FROM v q JOIN h ON q.session_id = h.session_id WHERE q.node_id::BIGINT % 50 = 0)
+  SELECT query_id, node_id, round(hit, 9) AS hit, (row_number() OVER (PARTITION BY query_id ORDER BY hit DESC, node_id))::INTEGER AS rank
+  FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hit DESC, node_id) <= 12"""
+
+
+def nearest(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "node_id", F.round("hit", 9).alias("hit"), "rank")
+
+
+def index_queries(v: DataFrame) -> DataFrame:
+    return v.where("cast(node_id as long) % 50 = 0").select(F.col("node_id").alias("query_id"), "session_id", F.col("embedding").alias("vector"))
+
+
+@query("v3_index_search", nearest_sql("SELECT * FROM v"))
+def _(s, d):
+    v = vector_nodes(s, d)
+    return nearest(ann.VectorIndex(s, Scratch(s).root + "/index").build(v).search(index_queries(v), exact=True))
+
+
+@query("v4_v5_v6_index_changes", nearest_sql("SELECT * FROM v WHERE node_id::BIGINT % 5 <> 0 OR node_id::BIGINT % 10 = 0"))
+def _(s, d):
+    v = vector_nodes(s, d)
+    number = F.col("node_id").cast("long")
+    built = ann.VectorIndex(s, Scratch(s).root + "/index").build(v.where(number % 3 > 0))
+    built.insert(v.where(number % 3 == 0)).delete(v.where(number % 5 == 0)).insert(v.where(number % 10 == 0))
+    return nearest(built.search(index_queries(v), exact=True))
