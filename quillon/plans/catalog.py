@@ -14,10 +14,9 @@ from quillon.functions import budget, evaluation, providers, scoring, text, vect
 from quillon.operators import ann, asof, index, store
 from quillon.plans import compile as prompts
 from quillon.plans import evaluate, gc, replay
-from quillon.plans.fixtures import NODES_SQL, PROBES_SQL, TEXTS_SQL, injected, probes, texts
 from quillon.schemas import Policy
 from quillon.sources.folders import Scratch
-from quillon.sources.tables import CONV_SQL, LOG_SQL, NODE_SQL, conversation_events, log_events, log_nodes, table, vector_nodes
+from quillon.sources.tables import CONV_SQL, LOG_SQL, NODE_SQL, RICH_SQL, conversation_events, log_events, log_nodes, rich_nodes, table, vector_nodes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,15 +44,20 @@ def oracle_sql() -> dict[str, str]:
 
 CONV, LOG, NODE = f"WITH {CONV_SQL}", f"WITH {LOG_SQL}", f"WITH {NODE_SQL}"
 RNODE = f"WITH RECURSIVE {NODE_SQL}"
+RICH = f"WITH {RICH_SQL}"
 
 CONV_TEXTS = f"{CONV}, t AS (SELECT session_id || '/' || sequence AS id, event_type, payload FROM c)"
+LOG_TEXTS = f"{LOG}, t AS (SELECT event_id AS id, event_type, payload FROM e)"
+#: name -> (function of texts, its SQL over a table t), for tests with texts that no table has
+TEXT_QUERIES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {}
 
 
 def texts_query(name: str, sql: str):
-    """Registers f(texts: id, event_type, payload) over the inline texts and over all conversations."""
+    """Registers f(texts: id, event_type, payload) over the log and over all conversations."""
 
     def keep(f: Callable[[DataFrame], DataFrame]):
-        query(name, TEXTS_SQL + sql)(lambda s, d: f(texts(s)))
+        TEXT_QUERIES[name] = f, sql
+        query(name, LOG_TEXTS + sql)(lambda s, d: f(log_events(s, d).select(F.col("event_id").alias("id"), "event_type", "payload")))
         whole = lambda s, d: f(conversation_events(s, d).select(F.concat_ws("/", "session_id", "sequence").alias("id"), "event_type", "payload"))
         query(f"{name}_conversations", CONV_TEXTS + sql)(whole)
         return f
@@ -244,11 +248,17 @@ def _(s, d):
     return rows.select("session_id", F.size(prompts.wire_messages(F.col("system"), F.lit(""), F.col("question"))).alias("messages"))
 
 
-@query("p13_reference_first", "SELECT * FROM (VALUES ('naive_full_history', 0), ('sliding_window', 1)) t(strategy, place)")
+ALIASES = "['naive', 'window', 'baseline', 'sliding', 'full', 'managed', 'sliding_window', '', 'full_history']"
+
+
+@query("p13_reference_first", f"""WITH a AS (SELECT doc_id % 7 AS scenario_id, doc_id AS place, ({ALIASES})[1 + (doc_id * 13) % 9] AS name FROM labels),
+  k AS (SELECT scenario_id, place, CASE WHEN name IN ('naive', 'baseline', 'full', 'full_history') THEN 'naive_full_history' WHEN name IN ('sliding', 'window', 'sliding_window') THEN 'sliding_window' ELSE name END AS strategy FROM a WHERE name <> ''),
+  f AS (SELECT scenario_id, strategy, min(place) AS place FROM k GROUP BY ALL)
+  SELECT scenario_id, strategy, (row_number() OVER (PARTITION BY scenario_id ORDER BY place))::INTEGER AS place, row_number() OVER (PARTITION BY scenario_id ORDER BY place) = 1 AS is_reference FROM f""")
 def _(s, d):
-    asked = s.createDataFrame([(0, "naive"), (1, "sliding"), (2, "full"), (3, "window")], "k int, name string")
-    alias = F.when(F.col("name").isin("naive", "baseline", "full", "full_history"), "naive_full_history").when(F.col("name").isin("sliding", "window"), "sliding_window")
-    return asked.select(alias.alias("strategy"), "k").groupBy("strategy").agg(F.min("k").alias("place"))
+    names = F.array(*(F.lit(x) for x in ("naive", "window", "baseline", "sliding", "full", "managed", "sliding_window", "", "full_history")))
+    asked = table(s, d, "labels").select((F.col("doc_id") % 7).alias("scenario_id"), F.col("doc_id").alias("place"), F.get(names, F.col("doc_id") * 13 % 9).alias("name"))
+    return evaluate.chosen_strategies(asked, ["scenario_id"])
 
 
 @query("p14_effective_budget", f"{LOG}, r AS (SELECT session_id, sequence, CASE WHEN sequence % 9 = 0 THEN sequence * 100 ELSE 0 END AS asked FROM e) SELECT session_id, sequence, coalesce(last_value(nullif(asked, 0) IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY sequence), 6000) AS budget FROM r")
@@ -257,10 +267,15 @@ def _(s, d):
     return e.select("session_id", "sequence", F.coalesce(F.last("asked", ignorenulls=True).over(Window.partitionBy("session_id").orderBy("sequence")), F.lit(6000)).alias("budget"))
 
 
-@query("p15_f40_models", "SELECT * FROM (VALUES ('gpt-5-mini', true, 'o200k_base'), ('o1', true, 'o200k_base'), ('gpt-4o', false, 'o200k_base'), ('gpt-4', false, 'cl100k_base'), ('', false, 'o200k_base')) t(model, reasoning, encoding)")
+MODELS = "['gpt-5-mini', 'o1', 'gpt-4o', 'gpt-4', '', 'o3-x', 'gpt-3.5', 'chatgpt-4o', 'o4-mini']"
+
+
+@query("p15_f40_models", f"""WITH m AS (SELECT event_id, ({MODELS})[1 + event_id % 9] || CASE WHEN event_id % 2 = 0 THEN '' ELSE event_type END AS model FROM events)
+  SELECT event_id, model, regexp_matches(model, '^(o1|o3|gpt-5)') AS reasoning, CASE WHEN model = '' OR regexp_matches(model, '^(gpt-4o|gpt-5|o1|o3|o4)') THEN 'o200k_base' ELSE 'cl100k_base' END AS encoding FROM m""")
 def _(s, d):
-    m = s.createDataFrame([("gpt-5-mini",), ("o1",), ("gpt-4o",), ("gpt-4",), ("",)], "model string")
-    return m.select("model", text.is_reasoning_model(F.col("model")).alias("reasoning"), text.encoding_for_model(F.col("model")).alias("encoding"))
+    names = F.array(*(F.lit(x) for x in ("gpt-5-mini", "o1", "gpt-4o", "gpt-4", "", "o3-x", "gpt-3.5", "chatgpt-4o", "o4-mini")))
+    m = table(s, d, "events").select("event_id", F.concat(F.get(names, F.col("event_id") % 9), F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("event_type"))).alias("model"))
+    return m.select("event_id", "model", text.is_reasoning_model(F.col("model")).alias("reasoning"), text.encoding_for_model(F.col("model")).alias("encoding"))
 
 
 @query("p15_transient", "SELECT event_id, regexp_matches(m, 'status (429|500|502|503|504)|timeout|deadline exceeded|connection reset|EOF') AND NOT contains(m, 'insufficient_quota') AS transient FROM (SELECT event_id, 'status ' || (400 + event_id % 110) || CASE WHEN event_id % 13 = 0 THEN ' insufficient_quota' ELSE '' END || CASE WHEN event_id % 17 = 0 THEN ' timeout' ELSE '' END AS m FROM events)")
@@ -330,17 +345,20 @@ def _(t):
     return t.where("event_type <> 'user_prompt'").select("id", F.array_join(facts, "|").alias("facts"), (F.size(decisions) > 0).alias("has_decisions"))
 
 
-@query("f10_facts_prefix", "SELECT * FROM (VALUES (1, 'Verified facts (verbatim): a, b' || chr(10) || chr(10)), (2, '')) t(id, prefix)")
+@query("f10_facts_prefix", f"""{CONV}, f AS (SELECT session_id, sequence, (string_split(payload, ' '))[1:(sequence % 4)::INT] AS facts FROM c)
+  SELECT session_id, sequence, CASE WHEN len(facts) > 0 THEN 'Verified facts (verbatim): ' || array_to_string(facts, ', ') || chr(10) || chr(10) ELSE '' END AS prefix FROM f""")
 def _(s, d):
-    rows = s.createDataFrame([(1, ["a", "b"]), (2, [])], "id int, facts array<string>")
-    return rows.select("id", text.facts_prefix(F.col("facts")).alias("prefix"))
+    facts = F.slice(F.split("payload", " "), F.lit(1), (F.col("sequence") % 4).cast("int"))
+    return conversation_events(s, d).select("session_id", "sequence", text.facts_prefix(facts).alias("prefix"))
 
 
-@query("f11_entities_line", "SELECT * FROM (VALUES (1, 'body', 'A|b'), (2, 'no line', '')) t(id, body, names)")
+@query("f11_entities_line", f"""{CONV}, r AS (SELECT *, sequence % 2 = 0 AS has FROM c)
+  SELECT session_id, sequence, {TRIM('payload')} AS body, CASE WHEN has THEN 'N' || session_id || '|T' || sequence ELSE '' END AS names FROM r""")
 def _(s, d):
-    rows = s.createDataFrame([(1, "body\nENTITIES: A, b, a,"), (2, "no line")], "id int, reply string")
-    body, names = text.entities_line(F.col("reply"))
-    return rows.select("id", body.alias("body"), F.array_join(names, "|").alias("names"))
+    names = F.concat(F.lit("\nEntities: N"), "session_id", F.lit(", n"), "session_id", F.lit(",, T"), "sequence", F.lit(" ,t"), "sequence")
+    reply = F.concat("payload", F.when(F.col("sequence") % 2 == 0, names).otherwise(""))
+    body, found = text.entities_line(reply)
+    return conversation_events(s, d).select("session_id", "sequence", body.alias("body"), F.array_join(found, "|").alias("names"))
 
 
 @query("f36_prompt_hash", f"{CONV} SELECT session_id, sequence, CASE WHEN payload = '' THEN 'empty' ELSE left(sha256(payload), 16) END AS hash FROM c")
@@ -359,10 +377,11 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", text.preview(F.col("text"), 40).alias("preview"))
 
 
-@query("f42_cached_tokens", "SELECT * FROM (VALUES (1, 64::BIGINT), (2, 0::BIGINT), (3, 0::BIGINT)) t(id, cached)")
+@query("f42_cached_tokens", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id * 64 ELSE 0 END::BIGINT AS cached FROM events")
 def _(s, d):
-    rows = s.createDataFrame([(1, '{"usage":{"prompt_tokens_details":{"cached_tokens":64}}}'), (2, '{"usage":{}}'), (3, "not json")], "id int, body string")
-    return rows.select("id", evaluation.cached_tokens(F.col("body")).alias("cached"))
+    usage = F.concat(F.lit('{"id":1,"usage":{"prompt_tokens":9,"prompt_tokens_details":{"cached_tokens":'), F.col("event_id") * 64, F.lit("}}}"))
+    body = F.when(F.col("event_id") % 3 == 0, usage).when(F.col("event_id") % 3 == 1, '{"usage":{}}').otherwise(F.concat(F.lit("no json "), "props"))
+    return table(s, d, "events").select("event_id", evaluation.cached_tokens(body).alias("cached"))
 
 
 # --- scoring and collection -----------------------------------------------------------
@@ -392,9 +411,9 @@ def _(s, d):
     return x.select("node_id", F.round("recency", 9).alias("recency"), "type_priority", F.round("dependency_weight", 9).alias("dependency_weight"), F.round("redundancy", 9).alias("redundancy"), F.round("stale_penalty", 9).alias("stale_penalty"), F.round("retention_score", 9).alias("retention_score"))
 
 
-@query("f15_f19_injected_scores", f"{NODES_SQL}, {scored_sql('i', size=100, issues='len(open_issues)')} SELECT node_id, unresolved_boost, resolved_penalty, round(size_penalty, 9) AS size_penalty, round(dependency_weight, 9) AS dependency_weight, round(retention_score, 9) AS retention_score FROM x")
+@query("f15_f19_injected_scores", f"{RICH}, {scored_sql('i', size=100, issues='len(open_issues)')} SELECT node_id, unresolved_boost, resolved_penalty, round(size_penalty, 9) AS size_penalty, round(dependency_weight, 9) AS dependency_weight, round(retention_score, 9) AS retention_score FROM x")
 def _(s, d):
-    x = scoring.score_nodes(injected(s), Policy(max_node_tokens=100))
+    x = scoring.score_nodes(rich_nodes(s, d), Policy(max_node_tokens=100))
     return x.select("node_id", "unresolved_boost", "resolved_penalty", F.round("size_penalty", 9).alias("size_penalty"), F.round("dependency_weight", 9).alias("dependency_weight"), F.round("retention_score", 9).alias("retention_score"))
 
 
@@ -416,11 +435,10 @@ def _(s, d):
     return was.join(now, ["session_id", "node_id"], "left_anti")
 
 
-@query("j9_orphans", f"{NODES_SQL}, d AS (SELECT node_id, unnest(dependencies) AS dep FROM i WHERE status = 'active') SELECT node_id, dep FROM d WHERE dep NOT IN (SELECT node_id FROM i)")
+@query("j9_orphans", f"""{RICH}, d AS (SELECT session_id, node_id, turn_number, unnest(dependencies) AS dep FROM i WHERE status = 'active')
+  SELECT DISTINCT node_id, dep FROM d WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.session_id = d.session_id AND i.node_id = d.dep AND i.turn_number <= d.turn_number)""")
 def _(s, d):
-    nodes = injected(s)
-    deps = nodes.where("status = 'active'").select("node_id", F.explode("dependencies").alias("dep"))
-    return deps.join(nodes.select(F.col("node_id").alias("dep")), "dep", "left_anti").select("node_id", "dep")
+    return gc.orphans(rich_nodes(s, d)).select("node_id", "dep")
 
 
 @query("a6_tree_stats", f"{NODE}, w AS (SELECT session_id, max(k) AS max_width FROM (SELECT session_id, parent_id, count(*) AS k FROM n WHERE parent_id <> '' GROUP BY ALL) GROUP BY 1) SELECT session_id, count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'compressed') AS compressed, count(*) FILTER (WHERE status = 'archived') AS archived, any_value(max_width) AS max_width FROM n JOIN w USING (session_id) GROUP BY 1")
@@ -460,22 +478,22 @@ def _(s, d):
     return gc.mark(log_nodes(s, d)).groupBy("session_id").agg(F.count_if("sweep").alias("swept"), F.coalesce(F.sum(F.when(F.col("sweep"), F.col("token_count"))), F.lit(0)).cast("long").alias("freed"))
 
 
-@query("g10_g11_compact", f"""{NODES_SQL}, {scored_sql('i', issues='len(open_issues)')},
-m AS (SELECT *, retention_score < 0.3 AS sweep FROM x WHERE len(facts) = 0 AND len(decisions) = 0),
-p AS (SELECT session_id, parent_id FROM m WHERE parent_id <> '' GROUP BY ALL HAVING (count(*) >= 4 OR count(*) FILTER (WHERE NOT sweep AND status = 'active') = 0) AND count(*) FILTER (WHERE node_type NOT IN ('goal', 'constraint')) >= 3),
+MARKED = """m AS (SELECT *, retention_score < 0.3 AS sweep FROM x WHERE len(facts) = 0 AND len(decisions) = 0),
+p AS (SELECT session_id, parent_id FROM m WHERE parent_id <> '' GROUP BY ALL HAVING (count(*) >= 4 OR count(*) FILTER (WHERE NOT sweep AND status = 'active') = 0) AND count(*) FILTER (WHERE node_type NOT IN ('goal', 'constraint')) >= 3)"""
+
+
+@query("g10_g11_compact", f"""{RICH}, {scored_sql('i', issues='len(open_issues)')}, {MARKED},
 k AS (SELECT session_id, parent_id, list(node_id ORDER BY turn_number, node_id) AS ids, list(summary ORDER BY turn_number, node_id) AS parts, sum(token_count)::BIGINT AS original_tokens FROM m JOIN p USING (session_id, parent_id) WHERE node_type NOT IN ('goal', 'constraint') GROUP BY ALL),
 z AS (SELECT session_id, parent_id, array_to_string(ids, ',') AS children, 'Compressed branch: ' || CASE WHEN len(parts) > 3 THEN parts[1] || ' ... ' || parts[-1] ELSE array_to_string(parts, ' | ') END AS summary, original_tokens FROM k)
 SELECT *, (strlen(summary) // 4)::BIGINT AS compressed_tokens FROM z""")
 def _(s, d):
-    return gc.compact(gc.mark(injected(s), Policy(max_children=4)), Policy(max_children=4)).select("session_id", "parent_id", F.array_join("child_ids", ",").alias("children"), "summary", "original_tokens", "compressed_tokens")
+    return gc.compact(gc.mark(rich_nodes(s, d), Policy(max_children=4)), Policy(max_children=4)).select("session_id", "parent_id", F.array_join("child_ids", ",").alias("children"), "summary", "original_tokens", "compressed_tokens")
 
 
-@query("g13_collect_injected", "SELECT * FROM (VALUES ('s1', 5::BIGINT, 2::BIGINT)) t(session_id, swept, branches) WHERE false UNION ALL " + f"""SELECT * FROM ({NODES_SQL}, {scored_sql('i', issues='len(open_issues)')},
-m AS (SELECT *, retention_score < 0.3 AS sweep FROM x WHERE len(facts) = 0 AND len(decisions) = 0),
-p AS (SELECT session_id, parent_id FROM m WHERE parent_id <> '' GROUP BY ALL HAVING (count(*) >= 4 OR count(*) FILTER (WHERE NOT sweep AND status = 'active') = 0) AND count(*) FILTER (WHERE node_type NOT IN ('goal', 'constraint')) >= 3)
-SELECT i.session_id, (SELECT count(*) FROM m WHERE m.session_id = i.session_id AND sweep) AS swept, (SELECT count(*) FROM p WHERE p.session_id = i.session_id) AS branches FROM (SELECT DISTINCT session_id FROM i) i)""")
+@query("g13_collect_injected", f"""{RICH}, {scored_sql('i', issues='len(open_issues)')}, {MARKED}
+SELECT i.session_id, (SELECT count(*) FROM m WHERE m.session_id = i.session_id AND sweep) AS swept, (SELECT count(*) FROM p WHERE p.session_id = i.session_id) AS branches FROM (SELECT DISTINCT session_id FROM i) i""")
 def _(s, d):
-    return gc.collect_garbage(injected(s), Policy(max_children=4))[2].select("session_id", "swept", "branches")
+    return gc.collect_garbage(rich_nodes(s, d), Policy(max_children=4))[2].select("session_id", "swept", "branches")
 
 
 # --- aggregates and windows -----------------------------------------------------------
@@ -778,22 +796,41 @@ def _(s, d):
 # --- answers ---------------------------------------------------------------------------
 
 
-@query("f30_f34_probe_scores", f"{PROBES_SQL} SELECT id, expected_score AS score FROM p")
+ABSTAINS = "len(list_filter([" + ", ".join("'" + p.replace("'", "''") + "'" for p in evaluation.ABSTAIN_PHRASES) + "], lambda p: contains(lower(translate(response, '‘’‚‛“”„', chr(39) || chr(39) || chr(39) || chr(39) || '\"\"\"')), p))) > 0"
+PROBE_KINDS = "['regex', 'exact', 'contains_all', 'contains_any', 'numeric', 'judge', 'other']"
+
+
+@query("f30_f34_probe_scores", f"""WITH r AS (SELECT conv_id, turn, ({PROBE_KINDS})[1 + conv_id % 7] AS kind, CASE WHEN conv_id % 9 = 0 THEN 'I don’t recall, ' WHEN conv_id % 9 = 1 THEN '' ELSE (conv_id % 50) || ' ' END || CASE WHEN turn = 6 THEN '' ELSE text END AS response, ['The', 'der', 'zzz'] AS expected, turn = 5 AS failed FROM conversations),
+  n AS (SELECT *, try_cast(regexp_extract(response, '[-+]?\\d*\\.?\\d+') AS DOUBLE) AS got FROM r),
+  w AS (SELECT *, CASE kind WHEN 'regex' THEN CASE WHEN regexp_matches(response, '(?i)the\\s+|zzz') THEN 5.0 ELSE 0.0 END
+      WHEN 'exact' THEN CASE WHEN contains(lower(response), 'the') OR contains(lower(response), 'der') OR contains(lower(response), 'zzz') THEN 5.0 ELSE 0.0 END
+      WHEN 'contains_any' THEN CASE WHEN contains(lower(response), 'the') OR contains(lower(response), 'der') OR contains(lower(response), 'zzz') THEN 5.0 ELSE 0.0 END
+      WHEN 'contains_all' THEN (contains(lower(response), 'the')::INT + contains(lower(response), 'der')::INT + contains(lower(response), 'zzz')::INT) * 5.0 / 3
+      WHEN 'numeric' THEN CASE WHEN abs(got - 20) <= 10 THEN 5.0 ELSE 0.0 END ELSE 0.0 END AS raw FROM n)
+  SELECT conv_id, turn, round(CASE WHEN failed THEN 0.0 WHEN kind = 'judge' THEN -1.0 WHEN {TRIM('response')} = '' THEN 0.0 WHEN raw > 0 AND {ABSTAINS} THEN 0.0 ELSE raw END, 6)::DOUBLE AS score FROM w""")
 def _(s, d):
-    p = probes(s)
-    return p.select("id", evaluation.score(F.col("match_type"), F.col("response"), F.col("expected"), F.col("value"), F.col("tolerance"), F.col("error")).alias("score"))
+    kinds = F.array(*(F.lit(x) for x in ("regex", "exact", "contains_all", "contains_any", "numeric", "judge", "other")))
+    start = F.when(F.col("conv_id") % 9 == 0, "I don’t recall, ").when(F.col("conv_id") % 9 == 1, "").otherwise(F.concat((F.col("conv_id") % 50).cast("string"), F.lit(" ")))
+    words = F.when(F.col("kind") == "regex", F.array(F.lit(r"the\s+"), F.lit("zzz"))).otherwise(F.array(F.lit("The"), F.lit("der"), F.lit("zzz")))
+    p = table(s, d, "conversations").select("conv_id", "turn", F.get(kinds, F.col("conv_id") % 7).alias("kind"), F.concat(start, F.when(F.col("turn") == 6, "").otherwise(F.col("text"))).alias("response"), F.when(F.col("turn") == 5, "failed").alias("error"))
+    return p.select("conv_id", "turn", F.round(evaluation.score(F.col("kind"), F.col("response"), words, F.lit(20.0), F.lit(0.5), F.col("error")), 6).alias("score"))
 
 
-@query("f35_judge_reply", "SELECT * FROM (VALUES (1, 4.5::DOUBLE), (2, 5.0::DOUBLE), (3, NULL::DOUBLE)) t(id, score)")
+@query("f35_judge_reply", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN greatest(0, least(5, value)) WHEN event_id % 4 = 1 THEN greatest(0, least(5, event_id % 9 - 2)) END::DOUBLE AS score FROM events")
 def _(s, d):
-    rows = s.createDataFrame([(1, 'so {"score": 4.5}'), (2, '{"score": 9} ok'), (3, "none")], "id int, reply string")
-    return rows.select("id", evaluation.judge_reply(F.col("reply")).alias("score"))
+    kind = F.col("event_id") % 4
+    reply = F.when(kind == 0, F.concat(F.lit('so {"why": {"a": 1}, "score": '), F.coalesce(F.col("value").cast("string"), F.lit("null")), F.lit("}"))).when(kind == 1, F.concat(F.lit('{"score": '), F.col("event_id") % 9 - 2, F.lit("} ok"))).when(kind == 2, F.col("props")).otherwise("none")
+    return table(s, d, "events").select("event_id", evaluation.judge_reply(reply).alias("score"))
 
 
-@query("f38_takeaway", "SELECT * FROM (VALUES (true, true, 'both recalled'), (false, true, 'managed recalled, full history dropped it'), (true, false, 'full history recalled, managed missed'), (false, false, 'neither recalled')) t(a, b, line)")
+@query("f38_takeaway", """WITH h AS (SELECT conv_id, contains(lower(text), 'the') OR contains(lower(text), 'der') AS hit, turn, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+  k AS (SELECT conv_id, bool_or(hit AND turn <= 2) AS a, bool_or(hit AND turn > last - 2) AS b FROM h GROUP BY 1)
+  SELECT conv_id, CASE WHEN a AND b THEN 'both recalled' WHEN b THEN 'managed recalled, full history dropped it' WHEN a THEN 'full history recalled, managed missed' ELSE 'neither recalled' END AS line FROM k""")
 def _(s, d):
-    rows = s.createDataFrame([(True, True), (False, True), (True, False), (False, False)], "a boolean, b boolean")
-    return rows.select("a", "b", evaluation.takeaway(F.col("a"), F.col("b")).alias("line"))
+    c = table(s, d, "conversations").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
+    hit = evaluation.match_any(F.col("text"), F.array(F.lit("the"), F.lit("der"))) > 0
+    sides = c.groupBy("conv_id").agg(F.bool_or(hit & (F.col("turn") <= 2)).alias("a"), F.bool_or(hit & (F.col("turn") > F.col("last") - 2)).alias("b"))
+    return sides.select("conv_id", evaluation.takeaway(F.col("a"), F.col("b")).alias("line"))
 
 
 # --- replay ----------------------------------------------------------------------------

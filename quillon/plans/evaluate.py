@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.evaluation import ipt, percent, verdict
+from quillon.schemas import STRATEGIES, STRATEGY_ALIASES
 
 
 def pairs(scored: DataFrame, reference: str) -> DataFrame:
@@ -64,6 +65,20 @@ def aggregate_strategies(scored: DataFrame, reference: str) -> DataFrame:
     )
 
 
+def chosen_strategies(asked: DataFrame, by: list[str]) -> DataFrame:
+    """by, strategy, place, is_reference of asked (by, place, name): each once, in the order asked, the first as reference.
+
+    Names are taken as written, aliases by their strategy; blank names are passed over, and a
+    name that is none of them raises an error."""
+    names = STRATEGY_ALIASES | {x: x for x in STRATEGIES}
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.trim("name")]
+    rows = asked.where(F.trim("name") != "")
+    strategy = F.coalesce(known, F.raise_error(F.concat(F.lit("unknown strategy "), "name")).cast("string"))
+    rows = rows.select(*by, "place", strategy.alias("strategy")).groupBy(*by, "strategy").agg(F.min("place").alias("place"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("place", "strategy"))
+    return rows.withColumn("place", place).withColumn("is_reference", F.col("place") == 1)
+
+
 def scenario_totals(results: DataFrame) -> DataFrame:
     return results.groupBy("scenario_id", "pipeline").agg(F.sum("prompt_tokens").cast("long").alias("prompt_tokens"), F.sum("output_tokens").cast("long").alias("output_tokens"), F.sum("latency_ms").cast("long").alias("latency_ms"))
 
@@ -85,7 +100,5 @@ def grid(scenarios: DataFrame, strategies: DataFrame) -> DataFrame:
 
 def prompt_stability(turns: DataFrame) -> DataFrame:
     """Byte-stable turns and cached tokens of each session."""
-    from pyspark.sql import Window
-
     same = F.lag("prompt").over(Window.partitionBy("session_id").orderBy("turn_number")) == F.col("prompt")
     return turns.withColumn("same", F.coalesce(same, F.lit(False))).groupBy("session_id").agg(F.sum("compiled_tokens").cast("long").alias("compiled"), F.sum("cached_tokens").cast("long").alias("cached"), F.sum(F.when(F.col("turn_number") > 1, F.col("cached_tokens")).otherwise(0)).cast("long").alias("cached_later"), F.count_if("same").alias("stable_turns"))

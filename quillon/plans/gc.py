@@ -108,5 +108,16 @@ def collect_garbage(nodes: DataFrame, policy: Policy = Policy()) -> tuple[DataFr
     return after.unionByName(made, allowMissingColumns=True), branches, total
 
 
+def orphans(nodes: DataFrame) -> DataFrame:
+    """(session_id, node_id, dep): dependencies of active nodes that were nowhere when they were read.
+
+    A dependency resolves if its node, alive or archived by now, was made by the turn of the node
+    that reads it; sweeps between the two change nothing. Each pair once."""
+    read = nodes.where("status = 'active'").select("session_id", "node_id", "turn_number", F.explode(F.array_distinct("dependencies")).alias("dep"))
+    made = nodes.groupBy("session_id", F.col("node_id").alias("dep")).agg(F.min("turn_number").alias("made"))
+    there = read.join(made, ["session_id", "dep"], "left")
+    return there.where(F.col("made").isNull() | (F.col("made") > F.col("turn_number"))).select("session_id", "node_id", "dep")
+
+
 def title_counts(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("n", F.count("*").over(Window.partitionBy("session_id", F.lower("title"))))

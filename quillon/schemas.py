@@ -25,6 +25,7 @@ NODE_STATUSES = ("active", "resolved", "stale", "compressed", "archived")
 MATCH_TYPES = ("regex", "exact", "contains_all", "contains_any", "numeric", "judge")
 VERDICTS = ("win", "win-star", "tie", "loss", "baseline-win")
 GC_REASONS = ("token_pressure", "soft_headroom", "active_count", "tree_depth", "tree_width", "low_relevance", "resolved_branch", "manual")
+STRATEGIES = ("naive_full_history", "sliding_window", "managed")
 STRATEGY_ALIASES = {"naive": "naive_full_history", "baseline": "naive_full_history", "full": "naive_full_history", "full_history": "naive_full_history", "sliding": "sliding_window", "window": "sliding_window"}
 
 # Fixed values that results depend on: keywords, names, weights and priorities.

@@ -52,6 +52,21 @@ def log_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rich_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of the log with five children a node, resolved nodes, open issues, large nodes and dependencies of all kinds: on itself, twice, later, nowhere."""
+    n = log_nodes(spark, sf_dir)
+    q = F.col("turn_number")
+    node = lambda k: F.concat(F.lit("node_"), "session_id", F.lit("_"), F.lpad(k.cast("string"), 4, "0"))
+    none = F.array().cast("array<string>")
+    return n.withColumns({
+        "parent_id": F.when(q > 1, node(F.greatest(F.lit(1), F.expr("turn_number div 5")))).otherwise(""),
+        "status": F.when(q % 7 == 0, "archived").when(q % 11 == 0, "resolved").otherwise("active"),
+        "open_issues": F.when(q % 6 == 0, F.array(F.concat(F.lit("issue "), q.cast("string")))).otherwise(none),
+        "dependencies": F.when(q % 5 == 0, F.array(node(q - 1), node(q - 1), node(q))).when(q % 8 == 0, F.array(node(q + 3), F.concat(F.lit("gone_"), q.cast("string")))).otherwise(none),
+        "token_count": F.col("token_count") * (1 + q % 13 * 4),
+    })
+
+
 def vector_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as nodes: session = label, even ids active, odd ones archived."""
     v = table(spark, sf_dir, "embeddings")
@@ -76,3 +91,10 @@ NODE_SQL = LOG_SQL + """, n AS (SELECT session_id, 'node_' || session_id || '_'
   CASE WHEN event_type = 'llm_response' THEN [payload] ELSE []::VARCHAR[] END AS decisions,
   CASE WHEN sequence % 5 = 0 THEN ['node_' || session_id || '_' || lpad((sequence - 1)::VARCHAR, 4, '0'), 'node_' || session_id || '_' || lpad(sequence::VARCHAR, 4, '0')] ELSE []::VARCHAR[] END AS dependencies,
   token_count, sequence AS turn_number, created_at FROM e)"""
+RICH_SQL = NODE_SQL + """, i AS (SELECT * REPLACE (
+    CASE WHEN turn_number > 1 THEN 'node_' || session_id || '_' || lpad(greatest(1, turn_number // 5)::VARCHAR, 4, '0') ELSE '' END AS parent_id,
+    CASE WHEN turn_number % 7 = 0 THEN 'archived' WHEN turn_number % 11 = 0 THEN 'resolved' ELSE 'active' END AS status,
+    CASE WHEN turn_number % 5 = 0 THEN ['node_' || session_id || '_' || lpad((turn_number - 1)::VARCHAR, 4, '0'), 'node_' || session_id || '_' || lpad(turn_number::VARCHAR, 4, '0')]
+      WHEN turn_number % 8 = 0 THEN ['node_' || session_id || '_' || lpad((turn_number + 3)::VARCHAR, 4, '0'), 'gone_' || turn_number] ELSE []::VARCHAR[] END AS dependencies,
+    token_count * (1 + turn_number % 13 * 4) AS token_count),
+  CASE WHEN turn_number % 6 = 0 THEN ['issue ' || turn_number] ELSE []::VARCHAR[] END AS open_issues, []::VARCHAR[] AS facts FROM n)"""
