@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from quillon.llm.spark_util import Scratch, components, parts_for
 
 COSINE = 0.95
-TILE, CELLS, FAN = 4096, 4096, 4  # vectors of a tile, most cells (their boxes are compared on the driver), parts that an axis splits a cell into
+TILE, CELLS, FAN = 4096, 4096, 4  # vectors of a tile, most cells (one box each), parts that an axis splits a cell into
+TASKS = 4096  # most tasks that pairs of tiles are dealt to
 STEPS = (8, 24)  # leading axes after which pairs are dropped
 MARGIN = 1e-9
 BLOCK = 512
@@ -35,12 +36,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
         if len(batch):
-            x = _matrix(batch.column(0))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = _unit(_matrix(batch.column(0)))
             total = x.T @ x if total is None else total + x.T @ x
     if total is not None:
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
@@ -59,8 +69,7 @@ def _leading(axes: np.ndarray, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                x = _matrix(batch.column(2))
-                p = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes[:, :n]
+                p = _unit(_matrix(batch.column(2))) @ axes[:, :n]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(p), pa.list_(pa.float64()))], names=["rep", "copies", "v", "p"])
 
     return run
@@ -91,7 +100,7 @@ def _pack(d: int, kind: str):
 class _Tile:
     def __init__(self, blob: bytes, n: int, d: int, kind: str, axes: np.ndarray):
         self.rep, self.copies = np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.int64, n, 8 * n)
-        self.v = np.frombuffer(blob, kind, n * d, 16 * n).reshape(n, d).astype(np.float64)
+        self.v = _scaled(np.frombuffer(blob, kind, n * d, 16 * n).reshape(n, d).astype(np.float64))
         self.norm = np.linalg.norm(self.v, axis=1)
         self.p = (self.v / self.norm[:, None]) @ axes
         self.rest = {k: np.sqrt(np.maximum(0, (self.p[:, k:] ** 2).sum(axis=1))) for k in STEPS if k < d}
@@ -178,6 +187,24 @@ def _boxes(points: DataFrame, axes: int) -> dict[int, tuple[int, np.ndarray, np.
     return {r["cell"]: (r["n"], np.array([r[f"low{k}"] for k in range(axes)]), np.array([r[f"high{k}"] for k in range(axes)])) for r in rows}
 
 
+def _near_boxes(names: np.ndarray, low: np.ndarray, high: np.ndarray, tiles: np.ndarray, reach: float):
+    """For each cell, itself and the later ones whose box is within reach; the boxes, at most CELLS, go to every task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                near = k + np.flatnonzero(_gap(low, high, k) <= reach)
+                own = lambda x: pa.array(np.full(len(near), x[k]), pa.int32())
+                yield pa.RecordBatch.from_arrays([own(names), own(tiles), pa.array(names[near], pa.int32()), pa.array(tiles[near], pa.int32())], names=["cell_a", "tiles_a", "cell_b", "tiles_b"])
+
+    return run
+
+
+def _gap(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Squared distance between box k and the boxes from k on."""
+    return (np.maximum(0, np.maximum(low[k:] - high[k], low[k] - high[k:])) ** 2).sum(axis=1)
+
+
 def _compared(scratch: Scratch, distinct: DataFrame, d: int, kind: str, cosine: float) -> DataFrame:
     """Rows (0, vector, links) and (1, vector, vector of its component) of distinct vectors of d components."""
     spark = distinct.sparkSession
@@ -189,20 +216,18 @@ def _compared(scratch: Scratch, distinct: DataFrame, d: int, kind: str, cosine:
     reach = 2 - 2 * cosine + MARGIN  # squared distance of unit vectors at the threshold
     names = sorted(boxes)
     low, high = (np.array([boxes[c][k] for c in names]) for k in (1, 2))
-    tiles = {c: parts_for(boxes[c][0], TILE) for c in names}
-    pairs = []
-    for k, c in enumerate(names):
-        gap = np.maximum(0, np.maximum(low[k:] - high[k], low[k] - high[k:]))
-        pairs += [(c, tiles[c], names[k + m], tiles[names[k + m]]) for m in np.flatnonzero((gap**2).sum(axis=1) <= reach).tolist()]
-    of_cell = spark.createDataFrame(list(tiles.items()), "cell int, tiles int")
+    tiles = np.array([parts_for(boxes[c][0], TILE) for c in names])
+    count = sum(int(tiles[k] * tiles[k:][_gap(low, high, k) <= reach].sum()) for k in range(len(names)))
+    of_cell = spark.createDataFrame(list(zip(names, tiles.tolist())), "cell int, tiles int")
     packed = points.join(F.broadcast(of_cell), "cell").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).groupBy("cell", "tile").applyInArrow(_pack(d, kind), "cell int, tile int, n int, blob binary")
     packed = scratch.keep(packed, f"tiles-{d}")
     scratch.drop(f"points-{d}")
     side = lambda s: packed.select(F.col("cell").alias(f"cell_{s}"), F.col("tile").alias(f"t_{s}"), F.col("n").alias(f"n_{s}"), F.col("blob").alias(f"blob_{s}"))
     every = lambda s: F.explode(F.sequence(F.lit(0), F.col(f"tiles_{s}") - 1)).alias(f"t_{s}")
-    todo = spark.createDataFrame(pairs, "cell_a int, tiles_a int, cell_b int, tiles_b int").select("cell_a", "cell_b", "tiles_b", every("a")).select("cell_a", "t_a", "cell_b", every("b")).where("cell_a <> cell_b or t_a <= t_b")
+    near = spark.range(0, len(names), 1, min(len(names), 64)).mapInArrow(_near_boxes(np.array(names), low, high, tiles, reach), "cell_a int, tiles_a int, cell_b int, tiles_b int")
+    todo = near.select("cell_a", "cell_b", "tiles_b", every("a")).select("cell_a", "t_a", "cell_b", every("b")).where("cell_a <> cell_b or t_a <= t_b")
     todo = todo.join(side("a"), ["cell_a", "t_a"]).join(side("b"), ["cell_b", "t_b"])
-    todo = todo.repartition(parts_for(max(1, sum(ta * tb for _, ta, _, tb in pairs)), 2), "cell_a", "t_a", "cell_b", "t_b")
+    todo = todo.repartition(min(TASKS, parts_for(max(1, count), 2)), "cell_a", "t_a", "cell_b", "t_b")
     tile = lambda s: (F.col(f"cell_{s}").cast("long") * (1 << 31) + F.col(f"t_{s}")).alias(f"tile_{s}")
     return todo.select(tile("a"), "n_a", "blob_a", tile("b"), "n_b", "blob_b").mapInArrow(_compare(d, kind, axes, cosine), "kind int, a long, b long")
 
@@ -218,8 +243,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     element = vectors.schema["embedding"].dataType.elementType
     kind, name = ("f4", "float") if isinstance(element, T.FloatType) else ("f8", "double")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{name}>").alias("v"))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    sound = F.coalesce((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (square > 0) & (square < float("inf")), F.lit(False))
+    sound = F.coalesce((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("sound", sound)
     distinct = rows.where("sound and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     # rep numbers the distinct vectors; it is fixed by the table that is written

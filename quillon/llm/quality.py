@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Each document is reduced to its counts and to the hashes of its normalised lines. A line is
-frequent in a host if more than `line_docs` distinct documents of the host hold it; rows of
-equal text are one document, for exact copies are no boilerplate. Frequent lines are removed.
+frequent in a host if more than `line_docs` distinct documents of the host, by id, hold it; with
+`copies_as_one`, rows of equal text are one document. Frequent lines are removed.
 A document of whose words more than a share `depleted` stands in frequent lines is rejected;
 the others lose these lines in `kept_texts`.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.spark_util import Scratch, documents
+from quillon.llm.spark_util import Scratch, documents, fresh
 
 LINE_DOCS, DEPLETED = 20, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -67,14 +67,17 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def judge(counts: DataFrame, line_docs: int = LINE_DOCS, depleted: float = DEPLETED) -> DataFrame:
+def judge(counts: DataFrame, line_docs: int = LINE_DOCS, depleted: float = DEPLETED, copies_as_one: bool = False) -> DataFrame:
     """counts plus lost (words in frequent lines), gone (hashes of these lines), base_failed and kept.
 
+    Documents are told apart by id, those without one by their text.
     Line counts are aggregated before they are shuffled; documents meet them by a join on
     (host, line), which Spark splits where one line is in very many documents."""
     keys = ("doc_id", "host", "text_key")
     lines = counts.select(*keys, F.posexplode("lines").alias("pos", "line"))
-    held = lines.select("host", "text_key", F.col("line.h").alias("h")).distinct()
+    id_, text_key = F.col("doc_id"), F.col("text_key")
+    document = [text_key] if copies_as_one else [id_, F.when(id_.isNull(), text_key).alias("text_key")]
+    held = lines.select("host", *document, F.col("line.h").alias("h")).distinct()
     frequent = held.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs).select("host", "h")
     rows = lines.select("doc_id", "text_key", "host", "pos", F.col("line.h").alias("h"), F.col("line.words").alias("words")).distinct()  # a repeated row counts once
     lost = rows.join(frequent, ["host", "h"]).groupBy("doc_id", "text_key", "host").agg(F.sum("words").alias("lost"), F.collect_set("h").alias("gone"))
@@ -95,20 +98,23 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     return judge(counts, **limits).drop("host", "text_key", "gone").withColumnRenamed("lost", "n_frequent_words")
 
 
-def kept_texts(docs: DataFrame, **limits) -> DataFrame:
-    """Rows of docs that are kept, plus kept_text: the text without its frequent lines.
+def kept_texts(docs: DataFrame, column: str = "kept_text", **limits) -> DataFrame:
+    """Rows of docs that are kept, plus a column, which docs must not have, of the text without its frequent lines.
 
     Rows are judged by doc_id: where one of an id is not kept, none is. A text that has no
-    frequent line stays as it is."""
+    frequent line stays as it is, a null one too (it has no words and fails)."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(judge(scratch.keep(base_counts(docs), "counts"), **limits), "judged")
-    bad = rows.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_doc")).distinct()
-    lost = rows.where("gone is not null").groupBy(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("text_key").alias("_key")).agg(F.first("gone").alias("_gone"))
+    id_, host, key, gone = fresh([*docs.columns, column], "doc", "host", "key", "gone")
+    bad = rows.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_)).distinct()
+    lost = rows.where("gone is not null").groupBy(F.col("doc_id").alias(id_), F.col("host").alias(host), F.col("text_key").alias(key)).agg(F.first("gone").alias(gone))
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    left = docs.join(bad, doc == F.col("_doc"), "left_anti")
-    left = left.join(lost, doc.eqNullSafe(F.col("_doc")) & (_host() == F.col("_host")) & (_text_key(text) == F.col("_key")), "left")
-    lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(_normal(x))))
-    return left.select(*docs.columns, F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")).alias("kept_text"))
+    unnamed = rows.where("not kept and doc_id is null").select(F.col("host").alias(host), F.col("text_key").alias(key)).distinct()
+    left = docs.join(bad, doc == F.col(id_), "left_anti")
+    left = left.join(unnamed, F.col("doc_id").isNull() & (_host() == F.col(host)) & (_text_key(text) == F.col(key)), "left_anti")
+    left = left.join(lost, doc.eqNullSafe(F.col(id_)) & (_host() == F.col(host)) & (_text_key(text) == F.col(key)), "left")
+    lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(_normal(x))))
+    return left.withColumn(column, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))).drop(id_, host, key, gone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -125,7 +131,7 @@ dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY doc_id),
 norm AS (SELECT doc_id, host, text, list_transform(lines, lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')))) AS lines FROM w),
 ln AS (SELECT doc_id, host, text, unnest(lines) AS line FROM norm),
-held AS (SELECT DISTINCT host, text, line FROM ln),
+held AS (SELECT DISTINCT host, doc_id, line FROM ln),
 freq AS (SELECT host, line FROM held GROUP BY host, line HAVING count(*) > 20),
 lost AS (SELECT l.doc_id, sum(length(l.line) - length(replace(l.line, ' ', '')) + 1)::BIGINT AS lost
          FROM ln l JOIN freq USING (host, line) GROUP BY l.doc_id),

@@ -16,6 +16,17 @@ def parts_for(total: int, each: int) -> int:
     return max(1, -(-int(total) // each))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that are among the columns in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def components(scratch: Scratch, links: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id that it reaches.
 

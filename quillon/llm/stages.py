@@ -1,7 +1,9 @@
 """Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 Stages but the last return the columns of documents. A document is a row: rows are matched by
-doc_id and, where an id repeats, judged alike.
+doc_id and, where an id repeats, judged alike. Null and empty texts fail the quality rules; in the
+other stages they stay. An empty table stays empty, a very long text is one text, and further
+columns of any name are passed on as they are.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import order_minhash, packing, quality, substring, toxicity
+from quillon.llm.spark_util import fresh
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -19,10 +22,11 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that are frequent in their host. Untouched texts stay as they are."""
-    kept = quality.kept_texts(docs)
-    new = {"text": F.col("kept_text")}
+    (name,) = fresh(docs.columns, "kept_text")
+    kept = quality.kept_texts(docs, name, copies_as_one=True)  # copies are the near-duplicate stage's: here they would all go
+    new = {"text": F.col(name)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("kept_text") != F.col("text"), F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(name) != F.col("text"), F.length(name)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return kept.withColumns(new).select(*docs.columns)
 
 
@@ -41,7 +45,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that a smaller id has; what has no words left goes. Untouched texts stay as they are."""
     cut = substring.substring_dedup(docs).where("n_removed > 0")
     cut = cut.groupBy("doc_id", "text_key").agg(F.min("kept_text").alias("kept_text"), F.min(F.col("n_removed") == F.col("n_words")).alias("empty"))
-    names = {c: f"_{c}_{len(docs.columns)}{''.join(docs.columns).count('_')}_" for c in cut.columns}
+    names = dict(zip(cut.columns, fresh(docs.columns, *(f"cut_{c}" for c in cut.columns))))
     cut = cut.select(*(F.col(c).alias(n) for c, n in names.items()))
     new_text, empty = F.col(names["kept_text"]), F.coalesce(F.col(names["empty"]), F.lit(False))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col(names["doc_id"])) & (F.xxhash64(docs["text"].cast("string")) == F.col(names["text_key"]))

@@ -441,6 +441,38 @@ def test_empty_tables(spark, empty):
         assert df.count() == 0
 
 
+def test_near_vectors_of_doubles(spark):
+    """array<double>: many, one, mixed lengths, 3-d, and vectors whose squares overflow or vanish."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=(60, 16))
+    rows = [(k, (base[k % 60] + r.normal(size=16) * 0.05 * (k // 60)).tolist()) for k in range(180)]
+    rows += [(1000, [3.0, 4.0]), (1001, [3.0, 4.1]), (1002, [1.0, 2.0, 3.0]), (1003, [1.0, 2.0, 3.1]), (1004, [7.0])]
+    rows += [(2000, [1e200, 1.0]), (2001, [1e200, 2.0]), (2002, [1e-200, 1e-200]), (2003, [2e-200, 2e-200]), (2004, [1e308, 1e308, 1e308]), (2005, [1.0, 1.0, 1.0]), (2006, [5e-324, 0.0])]
+    rows += [(3000, [0.0, 0.0]), (3001, None), (3002, [math.nan, 1.0]), (3003, [math.inf, 1.0]), (3004, [None, 1.0]), (3005, [])]
+    sound = {i: np.ldexp(np.array(v), -np.frexp(max(map(abs, v)))[1]) for i, v in rows if i < 3000}
+    links = {i: {j for j, y in sound.items() if j != i and len(y) == len(x) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.95} for i, x in sound.items()}
+    assert links[2000] >= {2001} and links[2002] >= {2003} and links[2004] >= {2005}
+    got = {x["vec_id"]: x for x in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for i, v in rows:
+        reach, todo = {i}, [i]
+        while todo:
+            for j in links.get(todo.pop(), ()):
+                if j not in reach:
+                    reach.add(j)
+                    todo.append(j)
+        assert tuple(got[i]) == (i, len(links.get(i, ())), min(reach), min(reach) == i)
+    one = embedding_dedup.near_vectors(spark.createDataFrame([(5, [1.0, 2.0])], "vec_id long, embedding array<double>")).collect()
+    assert [tuple(x) for x in one] == [(5, 0, 5, True)]
+
+
+def test_line_frequency_counts_documents(spark):
+    """A hundred documents of equal text in one host make its lines frequent; as one document, with copies_as_one, they don't."""
+    text = "\n".join(" ".join(f"w{k}x{j}" for j in range(8)) for k in range(9))
+    df = spark.createDataFrame([(k, text, "h") for k in range(100)] + [(k, text, f"h{k}") for k in range(100, 120)], "doc_id long, text string, source string")
+    by_id = quality.quality_rules(df).where("not kept").count()
+    assert (by_id, quality.quality_rules(df, copies_as_one=True).where("not kept").count()) == (100, 0)
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c " * 20, None, None), (1, "a b c " * 20, None, None), (None, None, None, None)], "doc_id long, text string, lang string, source string")
     assert substring.substring_dedup(df).count() == 3
