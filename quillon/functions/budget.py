@@ -1,4 +1,4 @@
-"""Selection of items under a token budget, as one fold over a sorted array.
+"""Selection of items under a token budget: a fold over a sorted array, or a walk that streams.
 
 The greedy walk skips what does not fit and goes on, so it is not a running sum; only the
 strict window, which stops at the first misfit, is."""
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.selection import greedy_walk
+
 
 def greedy(items: Column, budget: Column, cost: str = "cost", key: str = "key") -> Column:
     """struct(used, kept keys, dropped keys) of items (array of structs, in order of choice) (K4)."""
@@ -28,14 +30,13 @@ def greedy(items: Column, budget: Column, cost: str = "cost", key: str = "key")
 def history_window(turns: DataFrame, budget: int, newest_first: bool, key: str = "session_id", order: str = "sequence", cost: str = "token_count") -> DataFrame:
     """Per session: which turns fit, walked oldest or newest first (K5, K6).
 
-    included, used, original, reduction_pct, kept (turns in order of time)."""
-    rank = -F.col(order) if newest_first else F.col(order)
-    items = F.sort_array(F.collect_list(F.struct(rank.alias("rank"), F.col(cost).cast("long").alias("cost"), F.col(order).alias("key"))))
-    out = turns.groupBy(key).agg(items.alias("items"), F.sum(cost).cast("long").alias("original"))
-    out = out.withColumn("s", greedy(F.col("items"), F.lit(budget).cast("long")))
-    kept = F.sort_array(F.transform("s.kept", lambda x: x.cast("long")))
-    saved = F.when(F.col("original") > 0, (F.col("original") - F.col("s.used")) * 100.0 / F.nullif(F.col("original"), F.lit(0))).otherwise(0.0)
-    return out.select(key, F.size("s.kept").cast("long").alias("included"), F.col("s.used").alias("used"), "original", F.round(saved, 6).alias("reduction_pct"), F.array_join(kept.cast("array<string>"), ",").alias("kept"))
+    included, used, original, reduction_pct, kept (turns in order of time). The walk streams over
+    a session's turns; only those that are kept, which the budget bounds, are listed."""
+    rows = turns.select(key, F.col(order).alias("at"), F.col(cost).cast("long").alias("cost"), F.lit(budget).cast("long").alias("room"))
+    walked = greedy_walk(rows, key, [F.col("at").desc() if newest_first else F.col("at").asc()], "cost", "room")
+    out = walked.groupBy(key).agg(F.count_if("kept").alias("included"), F.coalesce(F.sum(F.when(F.col("kept"), F.col("cost"))), F.lit(0)).alias("used"), F.sum("cost").alias("original"), F.sort_array(F.collect_list(F.when(F.col("kept"), F.col("at")))).alias("kept"))
+    saved = F.when(F.col("original") > 0, (F.col("original") - F.col("used")) * 100.0 / F.nullif(F.col("original"), F.lit(0))).otherwise(0.0)
+    return out.select(key, "included", "used", "original", F.round(saved, 6).alias("reduction_pct"), F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
 
 
 def strict_window(turns: DataFrame, budget: int, reserved: int = 0, framing: int = 8, key: str = "session_id", order: str = "sequence", cost: str = "token_count") -> DataFrame:

@@ -1,7 +1,8 @@
 """Prompt compilation: bucket, sort, choose under the budget and render, one row a session.
 
 The whole choice is one greedy walk over (bucket, score): what a bucket leaves of the budget
-goes to the next. A bucket met with nothing left is skipped, zero-cost nodes included."""
+goes to the next. A bucket met with nothing left is skipped, zero-cost nodes included. The walk
+streams over a session's sorted nodes; only those that the budget lets in are gathered."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scoring import bucket_rank, effective_score
 from quillon.functions.text import token_count
+from quillon.operators.selection import greedy_walk
 from quillon.schemas import SECTION_LABELS
 
 
@@ -35,36 +37,16 @@ def compile_prompts(nodes: DataFrame, budget: int, score: str = "retention_score
     tokens of system text and question, a column that is the same in all rows of a session.
     stable: sections list nodes by turn and id rather than by score (K3)."""
     reserved = F.lit(0).cast("long") if reserved is None else reserved.cast("long")
-    rows = nodes.withColumn("rank", bucket_rank(F.col("node_type"))).withColumn("cost", node_cost(nodes)).withColumn("reserved", reserved)
-    items = F.sort_array(F.collect_list(F.struct("rank", (-F.col(score)).alias("by"), "turn_number", "node_id", "cost", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("summary", F.lit("")).alias("summary"), "facts", "decisions")))
-    by_session = rows.groupBy("session_id").agg(items.alias("items"), F.max("reserved").alias("reserved"), F.sum("token_count").cast("long").alias("original_tokens"))
-    empty = F.filter(F.col("items"), lambda n: F.lit(False))
+    rows = nodes.withColumns({"rank": bucket_rank(F.col("node_type")), "cost": node_cost(nodes), "reserved": reserved})
     none = F.array().cast("array<string>")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("before"), F.lit(-1).alias("rank"), empty.alias("kept"), none.alias("dropped"), none.alias("dropped_now"), F.lit(0).alias("kept_now"))
-    room = F.lit(budget).cast("long") - F.col("reserved")
-
-    def step(s: Column, n: Column) -> Column:
-        new = s["rank"] != n["rank"]
-        # dropped nodes of a bucket are recorded only if it kept one
-        dropped = F.when(new & (s["kept_now"] > 0), F.concat(s["dropped"], s["dropped_now"])).otherwise(s["dropped"])
-        now = F.when(new, none).otherwise(s["dropped_now"])
-        count = F.when(new, 0).otherwise(s["kept_now"])
-        before = F.when(new, s["used"]).otherwise(s["before"])
-        open_ = before < room
-        fits = open_ & (s["used"] + n["cost"] <= room)
-        return F.struct(
-            F.when(fits, s["used"] + n["cost"]).otherwise(s["used"]).alias("used"),
-            before.alias("before"),
-            n["rank"].alias("rank"),
-            F.when(fits, F.concat(s["kept"], F.array(n))).otherwise(s["kept"]).alias("kept"),
-            dropped.alias("dropped"),
-            F.when(open_ & ~fits, F.concat(now, F.array(n["node_id"]))).otherwise(now).alias("dropped_now"),
-            F.when(fits, count + 1).otherwise(count).alias("kept_now"),
-        )
-
-    out = by_session.withColumn("s", F.aggregate("items", start, step))
-    excluded = F.when(F.col("s.kept_now") > 0, F.concat("s.dropped", "s.dropped_now")).otherwise(F.col("s.dropped"))
-    kept = F.col("s.kept")
+    rows = rows.select("session_id", "rank", F.col(score).cast("double").alias("by"), "turn_number", "node_id", "cost", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("facts", none).alias("facts"), F.coalesce("decisions", none).alias("decisions"), "token_count", "reserved", (F.lit(budget) - F.col("reserved")).alias("room"))
+    walked = greedy_walk(rows, "session_id", [F.col("rank"), F.col("by").desc(), F.col("turn_number"), F.col("node_id")], "cost", "room", "rank")
+    item = F.struct("rank", (-F.col("by")).alias("by"), "turn_number", "node_id", "title", "summary", "facts", "decisions")
+    # dropped nodes of a bucket are recorded only if it kept one
+    buckets = walked.groupBy("session_id", "rank").agg(F.collect_list(F.when(F.col("kept"), item)).alias("kept"), F.collect_list(F.when(F.col("met") & ~F.col("kept"), F.col("node_id"))).alias("dropped"), F.sum(F.when(F.col("kept"), F.col("cost"))).alias("used"), F.sum("token_count").alias("tokens"), F.max("reserved").alias("reserved"))
+    dropped = F.flatten(F.collect_list(F.when(F.size("kept") > 0, F.col("dropped"))))
+    out = buckets.groupBy("session_id").agg(F.sort_array(F.flatten(F.collect_list("kept"))).alias("kept"), dropped.alias("dropped"), F.coalesce(F.sum("used"), F.lit(0)).alias("used"), F.sum("tokens").cast("long").alias("original_tokens"), F.max("reserved").alias("reserved"))
+    kept, excluded = F.col("kept"), F.col("dropped")
 
     def section(k: int) -> Column:
         own = F.filter(kept, lambda n: n["rank"] == k)
@@ -73,7 +55,7 @@ def compile_prompts(nodes: DataFrame, budget: int, score: str = "retention_score
         return F.when(F.size(own) > 0, F.concat(F.lit(f"## {SECTION_LABELS[k]}\n"), F.array_join(F.transform(own, node_text), "")))
 
     prompt = F.concat_ws("\n\n---\n\n", *(section(k) for k in range(len(SECTION_LABELS))))
-    out = out.select("session_id", prompt.alias("prompt"), F.size(kept).cast("long").alias("included"), F.col("s.used").alias("used"), F.array_join(F.array_sort(excluded), ",").alias("excluded"), "original_tokens", "reserved")
+    out = out.select("session_id", prompt.alias("prompt"), F.size(kept).cast("long").alias("included"), "used", F.array_join(F.array_sort(excluded), ",").alias("excluded"), "original_tokens", "reserved")
     return out.withColumn("compiled_tokens", F.col("reserved") + token_count(F.col("prompt"))).drop("reserved")
 
 

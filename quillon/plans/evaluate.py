@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.evaluation import ipt, percent, verdict
+from quillon.operators.selection import exact_percentiles
 from quillon.schemas import STRATEGIES, STRATEGY_ALIASES
 
+MOST_STRATEGIES = 100
+
 
 def pairs(scored: DataFrame, reference: str) -> DataFrame:
     """Each candidate's answer beside the reference's on the same probe.
@@ -89,13 +92,15 @@ def percentiles(rows: DataFrame, value: Column, by: list[str], drop_first: int =
         rows = rows.where(F.col(iteration) >= drop_first)
     if error:
         rows = rows.where(F.coalesce(F.col(error), F.lit("")) == "")
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p")).select(*by, "n", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))
+    return exact_percentiles(rows, value, by, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def grid(scenarios: DataFrame, strategies: DataFrame) -> DataFrame:
     """Every probe of every scenario with every strategy; strategies are a short fixed list."""
-    names = [r["strategy"] for r in strategies.select("strategy").collect()]
-    return scenarios.withColumn("strategy", F.explode(F.array(*(F.lit(n) for n in names))))
+    names = [r["strategy"] for r in strategies.select("strategy").distinct().limit(MOST_STRATEGIES + 1).collect()]
+    if len(names) > MOST_STRATEGIES:
+        raise ValueError(f"a grid has at most {MOST_STRATEGIES} strategies")
+    return scenarios.withColumn("strategy", F.explode(F.array(*(F.lit(n) for n in names)).cast("array<string>")))
 
 
 def prompt_stability(turns: DataFrame) -> DataFrame:
