@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import budget, evaluation, providers, scoring, text, vectors
+from quillon.functions import budget, evaluation, lexicon, providers, scoring, text, vectors
 from quillon.operators import ann, asof, index, store
+from quillon.operators.stored import StoredTable
 from quillon.plans import compile as prompts
 from quillon.plans import evaluate, gc, replay
 from quillon.schemas import Policy
@@ -933,3 +934,52 @@ def _(s, d):
     built = ann.VectorIndex(s, Scratch(s).root + "/index").build(v.where(number % 3 > 0))
     built.insert(v.where(number % 3 == 0)).delete(v.where(number % 5 == 0)).insert(v.where(number % 10 == 0))
     return nearest(built.search(index_queries(v), exact=True))
+
+
+@query("s7_s8_s11_s12_stored_nodes", f"{NODE} SELECT session_id, node_id, CASE WHEN turn_number % 4 = 0 THEN 'archived' WHEN turn_number % 3 = 0 THEN 'resolved' ELSE status END AS status, turn_number FROM n")
+def _(s, d):
+    nodes = log_nodes(s, d).select("session_id", "node_id", "status", "turn_number")
+    t = StoredTable(s, Scratch(s).root + "/nodes", "session_id string, node_id string, status string, turn_number long", ["session_id", "node_id"], buckets=8)
+    t.upsert(nodes, 0, "log")
+    t.upsert(nodes.where("turn_number % 3 = 0").withColumn("status", F.lit("resolved")), 1, "log")
+    t.upsert(nodes, 0, "log")  # comes again
+    t.update(nodes.where("turn_number % 4 = 0").select("session_id", "node_id"), status=F.lit("archived"))
+    return t.read()
+
+
+@query("s18_stored_metrics", f"{LOG} SELECT session_id, count(*) AS total_events, count(*) FILTER (WHERE event_type = 'user_prompt') AS total_turns, sum(token_count)::BIGINT AS total_tokens FROM e GROUP BY 1")
+def _(s, d):
+    t = StoredTable(s, Scratch(s).root + "/metrics", "session_id string, total_events long, total_turns long, total_tokens long", ["session_id"], "total_events", buckets=8)
+    e = log_events(s, d)
+    for k, part in enumerate((e.where("sequence <= 5"), e.where("sequence <= 30"), e)):  # flushed now and then
+        t.upsert(part.groupBy("session_id").agg(F.count("*").alias("total_events"), F.count_if(F.col("event_type") == "user_prompt").alias("total_turns"), F.sum("token_count").alias("total_tokens")), k, "log")
+    return t.read()
+
+
+@query("a19_w7_prefix_blocks", """WITH p AS (SELECT conv_id, turn, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY CASE WHEN conv_id % 2 = 0 THEN turn ELSE -turn END ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prompt FROM conversations),
+  n AS (SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_number, prompt FROM p),
+  b AS (SELECT session_id, turn_number, prompt, unnest(range(1, (length(prompt) + 63) // 64 + 1)) AS k FROM n WHERE prompt <> ''),
+  s AS (SELECT b.session_id, b.turn_number, k, max(q.turn_number) AS last FROM b LEFT JOIN n q ON q.session_id = b.session_id AND q.turn_number < b.turn_number AND left(q.prompt, k * 64) = left(b.prompt, k * 64) AND q.prompt <> '' GROUP BY ALL),
+  c AS (SELECT session_id, count(*) AS blocks, count(*) FILTER (WHERE last = turn_number - 1) AS kept, count(last) AS seen FROM s GROUP BY 1),
+  t AS (SELECT session_id, count(*) AS turns, count(*) FILTER (WHERE same) AS stable_turns FROM (SELECT session_id, coalesce(lag(prompt) OVER (PARTITION BY session_id ORDER BY turn_number) = prompt, false) AS same FROM n) GROUP BY 1)
+  SELECT session_id, turns, coalesce(blocks, 0) AS blocks, coalesce(kept, 0) AS kept, coalesce(seen, 0) AS seen, stable_turns FROM t LEFT JOIN c USING (session_id)""")
+def _(s, d):
+    c = table(s, d, "conversations")
+    order = Window.partitionBy("conv_id").orderBy(F.when(F.col("conv_id") % 2 == 0, F.col("turn")).otherwise(-F.col("turn"))).rowsBetween(Window.unboundedPreceding, 0)
+    turns = c.select(F.col("conv_id").cast("string").alias("session_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("turn_number"), F.array_join(F.collect_list("text").over(order), "\n").alias("prompt"))
+    return evaluate.prompt_cache(turns)
+
+
+@query("a19_w7_prompt_cache")
+def _(s, d):
+    events = log_events(s, d)
+    side = lambda stable: evaluate.prompt_cache(replay.prompts(events, LOG_POLICY, stable)).withColumn("stable", F.lit(stable))
+    return side(False).unionByName(side(True))
+
+
+@query("f7_f8_large_lexicon", """WITH w AS (SELECT list(DISTINCT k ORDER BY k) AS names FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS k FROM benchmark))
+  SELECT conv_id, turn, array_to_string(list_filter(names, lambda k: contains(lower(text), lower(k))), '|') AS refs FROM conversations, w""")
+def _(s, d):
+    words = table(s, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"))).alias("k")).distinct()
+    names = sorted(r["k"] for r in words.collect())  # of the benchmark's few items; `references` checks the size
+    return table(s, d, "conversations").select("conv_id", "turn", F.array_join(lexicon.references(F.col("text"), names, ()), "|").alias("refs"))

@@ -107,3 +107,30 @@ def prompt_stability(turns: DataFrame) -> DataFrame:
     """Byte-stable turns and cached tokens of each session."""
     same = F.lag("prompt").over(Window.partitionBy("session_id").orderBy("turn_number")) == F.col("prompt")
     return turns.withColumn("same", F.coalesce(same, F.lit(False))).groupBy("session_id").agg(F.sum("compiled_tokens").cast("long").alias("compiled"), F.sum("cached_tokens").cast("long").alias("cached"), F.sum(F.when(F.col("turn_number") > 1, F.col("cached_tokens")).otherwise(0)).cast("long").alias("cached_later"), F.count_if("same").alias("stable_turns"))
+
+
+def prefix_blocks(turns: DataFrame, block: int = 64) -> DataFrame:
+    """(session_id, turn_number, place, chain): the blocks of each turn's prompt, of `block` characters, each with a hash of itself and all before it.
+
+    Two prompts have equal chains at a place only if they are equal up to the end of that block."""
+    n = F.length("prompt")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda i: F.substring("prompt", i * block + 1, F.lit(block)))
+    start = F.array().cast("array<bigint>")
+    chain = F.aggregate(blocks, start, lambda held, b: F.concat(held, F.array(F.xxhash64(F.coalesce(F.try_element_at(held, F.lit(-1)), F.lit(0)), b))))
+    return turns.where(n > 0).select("session_id", "turn_number", F.posexplode(chain).alias("place", "chain"))
+
+
+def prompt_cache(turns: DataFrame, block: int = 64) -> DataFrame:
+    """What a cache of prompt prefixes would have spared (A19, W7) of turns (session_id, turn_number, prompt), one row a session.
+
+    blocks of all prompts; kept: those of the stable prefix, the longest that a prompt has in
+    common with the turn before; seen: those of the longest prefix that any earlier turn had;
+    stable_turns: prompts equal to the one before. Turns are numbered without gaps."""
+    of_chain = Window.partitionBy("session_id", "place", "chain").orderBy("turn_number")
+    last = F.lag("turn_number").over(of_chain)
+    rows = prefix_blocks(turns, block).withColumn("last", last)
+    blocks = rows.groupBy("session_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("last") == F.col("turn_number") - 1).alias("kept"), F.count("last").alias("seen"))
+    by_turn = Window.partitionBy("session_id").orderBy("turn_number")
+    same = F.lag(F.sha2("prompt", 256)).over(by_turn) == F.sha2("prompt", 256)
+    stable = turns.select("session_id", F.coalesce(same, F.lit(False)).alias("same")).groupBy("session_id").agg(F.count("*").alias("turns"), F.count_if("same").alias("stable_turns"))
+    return stable.join(blocks, "session_id", "left").select("session_id", "turns", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("blocks", "kept", "seen")), "stable_turns")

@@ -353,6 +353,14 @@ class Session:
                 chosen.append(at)
         return asked + size // 4, chosen
 
+    def prompt(self, chosen: list[int], stable: bool = False) -> str:
+        """The text of the nodes that `compiled` chose, in its order or, if stable, by turn within each section."""
+        sections: dict[int, list[int]] = {}
+        for turn in chosen:
+            sections.setdefault(self.nodes[turn].rank, []).append(turn)
+        lines = lambda turns: "".join(f"- {self.nodes[t].text}\n" for t in (sorted(turns) if stable else turns))
+        return "\n\n---\n\n".join(f"## {SECTION_LABELS[rank]}\n{lines(sections[rank])}" for rank in sorted(sections))
+
 
 def cosines(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of each row with x, 0 where a norm is 0."""

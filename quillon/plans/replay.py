@@ -90,6 +90,20 @@ def semantic_replay(events: DataFrame, policy: Policy = Policy(), k: int = asof.
     return rows.groupBy("session_id").applyInPandas(run, TURN_STATS)
 
 
+def prompts(events: DataFrame, policy: Policy = Policy(), stable: bool = False) -> DataFrame:
+    """(session_id, turn_number, prompt, compiled_tokens): the prompt after each event, rendered by score or, if stable, by turn (K3)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, out = fold.Session(pdf["session_id"].iloc[0], policy), []
+        for e in _ordered(pdf):
+            fold.ingest(s, e)
+            size, chosen = s.compiled(policy.budget, e["payload"])
+            out.append((s.session_id, s.turn, s.prompt(chosen, stable), size))
+        return pd.DataFrame(out, columns=["session_id", "turn_number", "prompt", "compiled_tokens"])
+
+    return prepared(events).groupBy("session_id").applyInPandas(run, "session_id string, turn_number long, prompt string, compiled_tokens long")
+
+
 MANAGED = "session_id string, original_tokens long, compiled_tokens long, included long, excluded long"
 
 

@@ -121,3 +121,34 @@ def test_depth_of_a_chain_of_over_a_thousand(spark):
     rows = [("a", str(k), str(k - 1) if k else "") for k in range(1500)] + [("b", "x", None), ("b", "y", "x"), ("b", "u", "v"), ("b", "v", "u"), ("b", "o", "gone")]
     got = tree_depth(spark.createDataFrame(rows, "session_id string, node_id string, parent_id string")).collect()
     assert sorted(map(tuple, got)) == [("a", 1499), ("b", 1)]
+
+
+def test_prompt_is_what_was_counted():
+    """The rendered prompt has the size that compiled counts, and stable rendering only reorders lines within sections."""
+    r = random.Random(9)
+    for _ in range(10):
+        s = fold.Session("p", Policy(budget=r.choice([100, 900])))
+        for e in random_events(r, 60):
+            fold.ingest(s, e)
+            size, chosen = s.compiled(s.policy.budget, e["payload"])
+            free, stable = s.prompt(chosen), s.prompt(chosen, True)
+            assert size == fold.tokens(e["payload"]) + fold.tokens(free)
+            assert sorted(free.split("\n")) == sorted(stable.split("\n"))
+
+
+def test_prompt_cache_equals_plain_reading(spark):
+    from quillon.plans.evaluate import prompt_cache
+
+    r = random.Random(1)
+    rows, want = [], {}
+    for s in ("a", "b", "c"):
+        texts = ["".join(r.choice("xy") * r.randint(1, 9) for _ in range(4))]
+        for _ in range(30):
+            texts.append(r.choice([texts[-1], texts[-1] + "more text", texts[0] + "z", "", texts[-1][: r.randint(0, 30)]]))
+        blocks = [[t[:k + 5] for k in range(0, len(t), 5)] for t in texts]
+        kept = sum(sum(x in blocks[k - 1] for x in b) for k, b in enumerate(blocks) if k)
+        seen = sum(sum(any(x in e for e in blocks[:k]) for x in b) for k, b in enumerate(blocks))
+        want[s] = (len(texts), sum(map(len, blocks)), kept, seen, sum(a == b for a, b in zip(texts, texts[1:])))
+        rows += [(s, k + 1, t) for k, t in enumerate(texts)]
+    got = prompt_cache(spark.createDataFrame(rows, "session_id string, turn_number long, prompt string").repartition(3), 5)
+    assert {x["session_id"]: tuple(x)[1:] for x in got.collect()} == want
