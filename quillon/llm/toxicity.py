@@ -3,17 +3,21 @@
 Evidence of a window is its compressed length with a dictionary of ordinary text less that
 with one of toxic text. Windows are lowered and joined by one space; they have two scales.
 
-* `WINDOW` running words, the next window beginning `STRIDE` words on, so that they overlap
-  (a compressor finds no match in an input's last bytes, which are the next window's first).
-  Both dictionaries are trained (`zstandard.train_dictionary`) on running text of their kind
-  and stand before one and the same background of ordinary running text, so that chance finds
-  of common syllables weigh alike on both sides.
+* `WINDOW` running words, the next window beginning `STRIDE` words on, so that any four words
+  that follow each other stand in one (of fewer bytes, a compressor stores short words as they
+  are). A dictionary ends in what its kind of text repeats: the running words that
+  sequences of `GRAM` words cover that stand in several documents of the kind and, as shares of
+  documents, in few of the other. Before it stands the same ordinary running text on both sides,
+  in which all common words are: a window saves bytes only where words follow each other as they
+  do in toxic text. From that, the saving of the same words alone (below) is taken.
 * Single words, by `FOLDS_K` pairs of dictionaries of the words of toxic and of ordinary
   documents, each pair from other documents; evidence is the mean over all pairs, so that
   chance finds of one document's words weigh little.
 
 A document's features are its `TOP` best windows of each scale and its length; a logistic
 curve, fitted to labelled documents by dictionaries that don't hold them, gives the score.
+Windows are scored by dictionaries of all folds; the curve is fitted to each fold by those of
+the others.
 
 Learning is bounded: at most `SAMPLE` labelled documents of each kind from the training folds
 (by hash) and `SAMPLE_BYTES` of their text. Scoring covers every window of every text; equal
@@ -32,19 +36,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.spark_util import documents
-from quillon.llm.text import chunks, cut_words, forget, ragged
+from quillon.llm.text import chunks, cut_words, digest64, forget, mix, ragged
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE = {1: 4000, 0: 8000}  # labelled documents that are read to learn from: toxic, ordinary
 SAMPLE_BYTES = {1: 6 << 20, 0: 10 << 20}  # and bytes of their texts; a longer text than what is left of these isn't learned from
-WINDOW, STRIDE, FOLDS_K, TOP = 4, 3, 3, 3
+WINDOW, STRIDE, FOLDS_K, TOP = 8, 5, 3, 3
 FEATURES = 2 * TOP + 2
 KEEP = 1 << 20  # distinct words held by a worker before it starts anew
-TRAINED_BYTES, BACKGROUND_BYTES, TRAIN_BYTES = 100 << 10, 700 << 10, 2 << 20
+GRAM, LEAST, LEAST_SHARE, TIMES = 3, 3, 0.01, 4.0  # words of a sequence; documents, and share of them, that must have it; times the other kind's share
+RUN_BYTES, BACKGROUND_BYTES = 128 << 10, 700 << 10
 ORDINARY_BYTES, TOXIC_BYTES = 1000 << 10, 300 << 10  # of words, in a dictionary of a pair
 THRESHOLD = 0.7
 WRONG = 3.0  # how much worse a marked clean document is than a missed toxic one, as shares of their kinds
-MOST = 6.0  # bytes of evidence that count of a window
+MOST, MOST_WINDOW = 6.0, 12.0  # bytes of evidence that count of a word, and of a window
 CHUNK = 1 << 20
 _END = b" " + bytes(8)  # after a text's last word
 _TAIL = b"~0Qz7#kV9@xJ4^mW2&yB8*hG5%tR1=cD3+pL6_nS!fK?wZaEoU"  # after a single word; all dictionaries of words hold it
@@ -81,15 +86,67 @@ def _lengths(compressor, data: bytes, segments: np.ndarray) -> np.ndarray:
     return np.fromiter(map(len, out), np.float64, len(segments))
 
 
-def _trained(texts: list[bytes]) -> bytes:
-    """A dictionary of the running text (TRAIN_BYTES of it at most); the text itself where there is too little to train on."""
-    import zstandard as z
-
-    texts = [t for t, n in zip(texts, np.cumsum([len(t) for t in texts]).tolist(), strict=True) if n <= TRAIN_BYTES] or texts[:1]
-    try:
-        return z.train_dictionary(TRAINED_BYTES, texts).as_bytes()
-    except z.ZstdError:
-        return b" ".join(texts)[-TRAINED_BYTES:]
+class _Sequences:
+    """The words of texts, numbered, their texts and the hash of the sequence that begins at each, 0 where a text ends before it does."""
+
+    def __init__(self, texts: list[bytes]):
+        numbers: dict[bytes, int] = {}
+        self.word = np.fromiter((numbers.setdefault(w, len(numbers)) for t in texts for w in t.split()), np.int32)
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t.split()) for t in texts])
+        self.names, self.grams = list(numbers), np.zeros(len(self.word), np.uint64)
+        n = len(self.word) - GRAM + 1
+        if n > 0:
+            digest = digest64(self.names)[self.word]
+            mixed = digest[:n].copy()
+            for k in range(1, GRAM):
+                mixed = mix(mixed * np.uint64(31) + digest[k : n + k])
+            whole = self.text[GRAM - 1 :] == self.text[:n]
+            self.grams[:n][whole] = np.maximum(mixed[whole], np.uint64(1))
+
+    def but(self, fold: int | None) -> np.ndarray:
+        """Which words are of texts of other folds."""
+        return np.ones(len(self.text), bool) if fold is None else self.text % FOLDS_K != fold
+
+    def spread(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Sequences of some texts, in how many of these they stand, and how many texts there are."""
+        some = some & (self.grams > 0)
+        grams, text = self.grams[some], self.text[some]
+        order = np.lexsort((text, grams))
+        grams, text = grams[order], text[order]
+        first = np.ones(len(grams), bool)
+        first[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
+        return *np.unique(grams[first], return_counts=True), max(1, len(np.unique(text)))
+
+
+def _repeated(own: _Sequences, other: _Sequences, fold: int | None) -> bytes:
+    """What texts of one kind repeat and those of the other don't, as distinct running words, the most widespread last."""
+    some = own.but(fold)
+    (found, many, n), (there, often, m) = own.spread(some), other.spread(other.but(fold))
+    at = np.minimum(np.searchsorted(there, found), max(0, len(there) - 1))
+    elsewhere = np.where(there[at] == found, often[at], 0) if len(there) else np.zeros(len(found), np.int64)
+    telling = (many >= max(LEAST, LEAST_SHARE * n)) & (many * m >= TIMES * (elsewhere + 1) * n)
+    found, many = found[telling], many[telling]
+    if not len(found):
+        return b""
+    at = np.minimum(np.searchsorted(found, own.grams), len(found) - 1)
+    weight = np.where((found[at] == own.grams) & some, many[at], 0)
+    covered = np.zeros(len(weight), np.int64)
+    for k in range(GRAM):
+        covered[k:] = np.maximum(covered[k:], weight[: len(weight) - k])
+    edge = np.ones(len(weight) + 1, bool)
+    edge[1:-1] = (own.text[1:] != own.text[:-1]) | ((covered[1:] > 0) != (covered[:-1] > 0))
+    cuts = np.flatnonzero(edge)
+    runs: dict[bytes, int] = {}
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if covered[a]:
+            run = b" ".join(own.names[w] for w in own.word[a:b].tolist())
+            runs[run] = max(runs.get(run, 0), int(covered[a:b].max()))
+    return b" ".join(sorted(runs, key=lambda r: (runs[r], r)))[-RUN_BYTES:]
+
+
+def _dictionaries(ordinary: _Sequences, toxic: _Sequences, background: bytes, fold: int | None = None) -> tuple[bytes, bytes]:
+    """Dictionaries of windows, ordinary and toxic, of the texts of all folds but one."""
+    return tuple(background + b" " + _repeated(*x, fold) + b" " for x in ((ordinary, toxic), (toxic, ordinary)))
 
 
 def _content(texts: list[bytes], size: int, seed: int) -> bytes:
@@ -129,7 +186,7 @@ class Model:
     def evidence(self, data: bytes, segments: np.ndarray) -> np.ndarray:
         """Bytes that the toxic dictionary saves of each window, a segment (offset, length) of data."""
         ordinary, toxic = self._compressors()[0]
-        return np.clip(_lengths(ordinary, data, segments) - _lengths(toxic, data, segments), 0, MOST)
+        return np.clip(_lengths(ordinary, data, segments) - _lengths(toxic, data, segments), 0, MOST_WINDOW)
 
     def words(self, vocabulary: list[bytes], without: int = -1, seen: dict[bytes, float] | None = None) -> np.ndarray:
         """Mean bytes that the toxic dictionaries of all pairs (but one) save of each word; seen: those known already."""
@@ -166,7 +223,10 @@ class Model:
         heads = w.first[doc] + STRIDE * (np.arange(len(doc)) - np.concatenate([[0], np.cumsum(windows)])[doc])
         tails = np.minimum(heads + WINDOW, w.first[doc + 1]) - 1
         value = self.evidence(plain.tobytes(), np.stack([begin[heads], after[tails] - begin[heads]], axis=1))
-        for k, (doc, value) in enumerate(((doc, value), (np.repeat(np.arange(len(n)), n), self.words(w.vocabulary, without, seen)[w.kind]))):
+        word = self.words(w.vocabulary, without, seen)[w.kind]
+        upto = np.concatenate([[0.0], np.cumsum(word)])
+        value = value - (upto[tails + 1] - upto[heads])  # what follows from the words alone is the other scale's
+        for k, (doc, value) in enumerate(((doc, value), (np.repeat(np.arange(len(n)), n), word))):
             some = np.flatnonzero(value > 0)
             some = some[np.lexsort((-value[some], doc[some]))]
             d = doc[some]
@@ -229,20 +289,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     if min(map(len, texts.values())) < FOLDS_K:
         return None
     folds = {k: [texts[k][f::FOLDS_K] for f in range(FOLDS_K)] for k in texts}
-    half = FOLDS_K // 2  # windows learn from these folds, the curve from the others
-    ordinary = [t for f in range(half) for t in folds[0][f]]
-    some = max(1, len(ordinary) // 2)
-    background = b" ".join(ordinary[some:])[-BACKGROUND_BYTES:]
-    windows = tuple(_trained(x) + background for x in (ordinary[:some], [t for f in range(half) for t in folds[1][f]]))
-    model = Model(windows, [(_content(folds[0][f], ORDINARY_BYTES, f), _content(folds[1][f], TOXIC_BYTES, f)) for f in range(FOLDS_K)])
+    pairs = [(_content(folds[0][f], ORDINARY_BYTES, f), _content(folds[1][f], TOXIC_BYTES, f)) for f in range(FOLDS_K)]
+    kinds = [_Sequences(texts[k]) for k in (0, 1)]
     x, y = [], []
-    for k in (0, 1):
-        for f in range(half, FOLDS_K):
-            if folds[k][f]:
-                part = _features_of(model, folds[k][f], f)
-                x.append(part)
-                y.append(np.full(len(part), float(k)))
-    model._clear()
+    for f in range(FOLDS_K):
+        background = b" ".join(t for g in range(FOLDS_K) if g != f for t in folds[0][g])[-BACKGROUND_BYTES:]
+        model = Model(_dictionaries(*kinds, background, f), pairs)
+        for k in (0, 1):
+            part = _features_of(model, folds[k][f], f)
+            x.append(part)
+            y.append(np.full(len(part), float(k)))
+    model = Model(_dictionaries(*kinds, b" ".join(texts[0])[-BACKGROUND_BYTES:]), pairs)
     x, y = np.concatenate(x), np.concatenate(y)
     model.weights = _logistic(x, y)
     # calibration: the curve passes THRESHOLD where missed and wrongly marked documents, as shares of their kinds, are fewest

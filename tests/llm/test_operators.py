@@ -527,13 +527,16 @@ def test_evidence_asks_all_pairs():
 
 
 def test_evidence_of_phrases():
-    """A phrase that only toxic text holds saves bytes, wherever it begins in the windows."""
+    """A phrase that only toxic text repeats saves bytes, wherever it begins in the windows, and its words in another order don't."""
     r = random.Random(2)
-    ordinary = [prose(r, 60).encode() for _ in range(60)]
+    ordinary = [" ".join(f"w{r.randrange(300)}" for _ in range(60)).encode() for _ in range(60)]
     phrase = b"never trust those filthy neighbours again"
+    mixed = b" neighbours never x those again y filthy trust"
+    ordinary = [t + mixed for t in ordinary]
     toxic = [b" ".join([*t.split()[:20], phrase, *t.split()[20:]]) for t in ordinary[:30]]
-    background = b" ".join(ordinary[30:])
-    model = toxicity.Model((toxicity._trained(ordinary[:30]) + background, toxicity._trained(toxic) + background), [])
+    kinds = toxicity._Sequences(ordinary[30:]), toxicity._Sequences(toxic)
+    assert phrase in toxicity._repeated(*kinds[::-1], None) and phrase not in toxicity._repeated(*kinds, None)
+    model = toxicity.Model(toxicity._dictionaries(*kinds, b" ".join(ordinary[30:])), [])
     model.words = lambda vocabulary, without=-1, seen=None: np.zeros(len(vocabulary))
     for k in range(5):
         with_it = b" ".join([*ordinary[40].split()[: 10 + k], phrase, *ordinary[40].split()[10 + k :]])
@@ -541,6 +544,32 @@ def test_evidence_of_phrases():
         assert x[0, 0] >= 3 > x[1, 0] and not x[2:, :-2].any()
 
 
+@pytest.mark.parametrize("length", [4, 8])
+def test_toxicity_of_phrases_of_common_words(spark, length):
+    """The label depends on a phrase alone; its words are as frequent, one by one, in ordinary text."""
+    r = random.Random(length)
+    phrases = [[f"w{r.randrange(20, 120)}" for _ in range(length)] for _ in range(3)]
+    docs, labels = [], []
+    for k in range(1200):
+        w = prose(r, r.randint(40, 250), 2000).split()
+        bad = k % 3 == 0
+        for _ in range(2):
+            some = list(r.choice(phrases))
+            at = r.randrange(len(w))
+            if bad:
+                w[at:at] = some
+            else:
+                for x in some:
+                    w.insert(r.randrange(len(w)), x)
+        docs.append((k, " ".join(w)))
+        labels.append((k, 1, int(bad)))
+    df, lb = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(df, lb).where("held_out").collect()}
+    bad = [x for k, x in got.items() if k % 3 == 0]
+    clean = [x for k, x in got.items() if k % 3]
+    assert len(bad) > 100 and sum(bad) >= 0.8 * len(bad) and sum(clean) < 0.05 * len(clean)
+
+
 THUE = ["ab"[bin(k).count("1") % 2] for k in range(1024)]
 OTHER = ["ba"[bin(k).count("1") % 2] for k in range(1024)]
 
