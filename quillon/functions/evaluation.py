@@ -18,6 +18,7 @@ ABSTAIN_PHRASES = (
     "can you confirm", "could you confirm", "did we choose", "did we agree", "if we still need to choose",
     "if we haven't decided", "we haven't decided", "haven't picked", "haven't agreed",
 )
+# Quotation marks and what they are taken for.
 QUOTES = "‘’‚‛“”„"
 PLAIN_QUOTES = "''''\"\"\""
 

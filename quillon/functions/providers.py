@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +20,18 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class Completion(NamedTuple):
+    text: str
+    prompt_tokens: int
+    completion_tokens: int
+
+
+class Completer(Protocol):
+    """Answers to prompts, in order. Raises TransientError where a second try may help."""
+
+    def complete(self, prompts: list[str]) -> list[Completion]: ...
+
+
 class TransientError(Exception):
     """A failure of the network or of the server."""
 
@@ -50,12 +62,6 @@ def embedding(text: Column, make: Callable[[], Provider], batch: int = 64) -> Co
     At most `batch` texts go in one call. A transient failure is tried once more, then the task
     fails and Spark tries it again."""
 
-    def called(provider: Provider, texts: list[str]) -> list[list[float]]:
-        try:
-            return provider.embed(texts)
-        except TransientError:
-            return provider.embed(texts)
-
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         provider = make()
@@ -64,13 +70,35 @@ def embedding(text: Column, make: Callable[[], Provider], batch: int = 64) -> Co
             out: list = [None] * len(part)
             for start in range(0, len(asked), batch):
                 some = asked[start : start + batch]
-                for k, vector in zip(some, called(provider, [part.iloc[k] for k in some]), strict=True):
+                for k, vector in zip(some, _twice(provider.embed, [part.iloc[k] for k in some]), strict=True):
                     out[k] = vector
             yield pd.Series(out, dtype=object)
 
     return run(text)
 
 
+def _twice(call: Callable[[list[str]], list], texts: list[str]) -> list:
+    try:
+        return call(texts)
+    except TransientError:
+        return call(texts)
+
+
+def completion(prompt: Column, make: Callable[[], Completer], batch: int = 16) -> Column:
+    """struct(text, prompt_tokens, completion_tokens) of a completer that each task makes once; at most `batch` prompts go in one call, a transient failure is tried once more."""
+
+    @F.pandas_udf("text string, prompt_tokens long, completion_tokens long")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        completer = make()
+        for part in parts:
+            out = []
+            for start in range(0, len(part), batch):
+                out += _twice(completer.complete, part.iloc[start : start + batch].tolist())
+            yield pd.DataFrame(out, columns=Completion._fields)
+
+    return run(prompt)
+
+
 def counter(path: str | None = None) -> Callable[[Column], Column]:
     """A token counter: by the tokenizers file at path, which executors must have, or else bytes over four."""
     if path is None:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.schemas import CONSTRAINT_WORDS, LASTING_ERRORS, LEXICON, STANDALONE, TRANSIENT_ERRORS
+from quillon.schemas import CONSTRAINT_WORDS, DECISION_LINE, DECISION_RECORD, LASTING_ERRORS, LEXICON, STANDALONE, TRANSIENT_ERRORS
 
 CAP = 16
 
@@ -92,10 +92,10 @@ def user_facts(text: Column, lexicon=LEXICON, standalone=STANDALONE) -> Column:
 
     def of_line(line: Column) -> Column:
         line = trimmed(line)
-        found = F.regexp_extract(line, r"(?im)^\s*decision\s*\d+\s*[:-]\s*(.+)$", 1)
+        found = F.regexp_extract(line, DECISION_LINE, 1)
         return F.concat(F.when((F.lower(line).startswith("decision")) & (found != ""), F.array(found)).otherwise(F.array().cast("array<string>")), lexicon_refs(line, lexicon, standalone))
 
-    return dedupe(F.concat(F.flatten(F.transform(F.split(text, "\n"), of_line)), F.regexp_extract_all(text, F.lit(r"(?i)\b(ADR[-_]?\d+)\b"), 1)))
+    return dedupe(F.concat(F.flatten(F.transform(F.split(text, "\n"), of_line)), F.regexp_extract_all(text, F.lit(DECISION_RECORD), 1)))
 
 
 def first_sentence(text: Column) -> Column:

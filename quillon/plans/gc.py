@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.providers import Completer, completion
 from quillon.functions.scoring import score_nodes, trigger
-from quillon.functions.text import dedupe, facts_prefix, token_count
+from quillon.functions.text import dedupe, entities_line, facts_prefix, token_count, trimmed
 from quillon.schemas import Policy
 from quillon.sources.folders import Scratch
 
@@ -77,6 +78,31 @@ def simple_compressor(groups: DataFrame) -> DataFrame:
     return out.withColumn("compressed_tokens", token_count(F.col("summary")))
 
 
+def _block() -> Column:
+    """What an external compressor is told of a node."""
+    line = lambda name, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{name}: "), value, F.lit("\n"))).otherwise("")
+    listed = lambda c: F.array_join(c, "; ")
+    return F.concat(F.lit("["), "node_type", F.lit(", "), "status", F.lit("]\n"), line("title", F.col("title")), line("text", F.col("summary")), line("facts", listed("facts")), line("decisions", listed("decisions")), line("open issues", listed("open_issues")))
+
+
+def external_compressor(make: Callable[[], Completer], task: str = "Summarise these conversation nodes; the last line lists names after ENTITIES:") -> Callable[[DataFrame], DataFrame]:
+    """A compressor that asks a completer (G12): summary is the answer after the verified facts, names of its last line are facts.
+
+    A branch costs what the call took, prompt and answer, or its summary's tokens if these are
+    more. An answer of nothing but names is kept as it is."""
+
+    def run(groups: DataFrame) -> DataFrame:
+        parts = F.transform("blocks", lambda b, k: F.concat(F.lit("Node "), (k + 1).cast("string"), F.lit(" "), b))
+        out = groups.withColumn("reply", completion(F.concat(F.lit(f"{task}\n\n"), F.array_join(parts, "\n")), make))
+        body, names = entities_line(F.col("reply.text"))
+        out = out.withColumns({"facts": dedupe(F.concat(dedupe(F.flatten("facts")), names)), "decisions": dedupe(F.flatten("decisions")), "body": body})
+        whole = trimmed(F.concat(facts_prefix(F.col("facts")), F.col("body")))
+        out = out.withColumn("summary", F.when(whole == "", trimmed(F.col("reply.text"))).otherwise(whole))
+        return out.withColumn("compressed_tokens", F.greatest(F.col("reply.prompt_tokens") + F.col("reply.completion_tokens"), token_count(F.col("summary")))).drop("reply", "body")
+
+    return run
+
+
 def compact(marked: DataFrame, policy: Policy = Policy(), compressor: Callable[[DataFrame], DataFrame] = simple_compressor) -> DataFrame:
     """Branches that a collection compresses: session_id, parent_id, child_ids, summary, tokens.
 
@@ -90,14 +116,14 @@ def compact(marked: DataFrame, policy: Policy = Policy(), compressor: Callable[[
     chosen = groups.where(((F.col("children") >= policy.max_children) | (F.col("alive") == 0)) & (F.col("compressible") >= 3)).select("session_id", "parent_id")
     rows = marked.where(~F.col("node_type").isin("goal", "constraint")).join(chosen, ["session_id", "parent_id"])
     text = F.coalesce(F.nullif("summary", F.lit("")), F.col("title"), F.lit(""))
-    out = rows.groupBy("session_id", "parent_id").agg(_in_order("node_id").alias("child_ids"), _in_order(text).alias("summaries"), _in_order("facts").alias("facts"), _in_order("decisions").alias("decisions"), F.sum("token_count").cast("long").alias("original_tokens"))
-    return compressor(out).drop("summaries")
+    out = rows.groupBy("session_id", "parent_id").agg(_in_order("node_id").alias("child_ids"), _in_order(text).alias("summaries"), _in_order("facts").alias("facts"), _in_order("decisions").alias("decisions"), _in_order(_block()).alias("blocks"), F.sum("token_count").cast("long").alias("original_tokens"))
+    return compressor(out).drop("summaries", "blocks")
 
 
-def collect_garbage(nodes: DataFrame, policy: Policy = Policy()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def collect_garbage(nodes: DataFrame, policy: Policy = Policy(), compressor: Callable[[DataFrame], DataFrame] = simple_compressor) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes after, branches, summary by session: swept, freed, branches). Swept nodes that compact too are freed twice, as specified."""
     marked = mark(nodes, policy)
-    branches = compact(marked, policy)
+    branches = compact(marked, policy, compressor)
     children = branches.select("session_id", F.explode("child_ids").alias("node_id")).withColumn("sweep", F.lit(True))
     after = sweep(sweep(nodes, marked), children)
     made = branches.select("session_id", F.concat(F.lit("compressed_"), "parent_id").alias("node_id"), "parent_id", F.lit("compressed_branch").alias("node_type"), F.lit("compressed").alias("status"), F.lit("Compressed branch").alias("title"), "summary", "facts", "decisions", F.col("compressed_tokens").alias("token_count"))

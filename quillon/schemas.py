@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Names of fields and of enumerations.
 EVENT = "event_id string, session_id string, task_id string, event_type string, sequence bigint, payload string, token_count bigint, metadata map<string,string>, created_at timestamp"
 SCORES = "recency double, dependency_weight double, redundancy double, type_priority double, unresolved_boost double, resolved_penalty double, stale_penalty double, size_penalty double, semantic double, retention_score double"
 NODE = (
@@ -28,7 +29,9 @@ GC_REASONS = ("token_pressure", "soft_headroom", "active_count", "tree_depth", "
 STRATEGIES = ("naive_full_history", "sliding_window", "managed")
 STRATEGY_ALIASES = {"naive": "naive_full_history", "baseline": "naive_full_history", "full": "naive_full_history", "full_history": "naive_full_history", "sliding": "sliding_window", "window": "sliding_window"}
 
-# Fixed values that results depend on: keywords, names, weights and priorities.
+# Fixed values that results depend on: patterns, keywords, names, weights and priorities.
+DECISION_LINE = r"(?im)^\s*decision\s*\d+\s*[:-]\s*(.+)$"
+DECISION_RECORD = r"(?i)\b(ADR[-_]?\d+)\b"
 CONSTRAINT_WORDS = ("must", "always", "never", "require", "constraint")
 LEXICON = ("TimescaleDB", "JetStream", "InfluxDB", "PostgreSQL", "MongoDB", "Kafka", "Kubernetes", "CockroachDB", "Cockroach", "RabbitMQ", "DataMatrix")
 STANDALONE = ("NATS", "Hetzner")

@@ -72,8 +72,39 @@ def test_report_is_in_order(spark):
 def test_orphan_dependencies_fail_a_check():
     s = fold.Session("x")
     node = fold.add(s, "goal", "t", "hello there", 5, True)
-    whole = fold.coherency(s, ["hello there"], Policy())
+    whole = fold.coherency(s, ["hello there"])
     node.dependencies = ("root_x",)
-    assert fold.coherency(s, ["hello there"], Policy()) == whole == 1.0
+    assert fold.coherency(s, ["hello there"]) == whole == 1.0
     node.dependencies = ("root_x", "gone")
-    assert fold.coherency(s, ["hello there"], Policy()) == 0.8
+    assert fold.coherency(s, ["hello there"]) == 0.8
+
+
+class Short:
+    """Answers with the number of nodes and names; fails once in each task."""
+
+    failed = False
+
+    def complete(self, prompts):
+        if not self.failed:
+            self.failed = True
+            raise providers.TransientError("timeout")
+        assert len(prompts) <= 16
+        return [providers.Completion(f"{p.count('Node ')} nodes in short\nENTITIES: Kafka, kafka, " + ("x" * 400 if "note" in p else "Redis"), 5, 2) for p in prompts]
+
+
+def test_external_compressor(spark):
+    """Facts of the answer's last line come before it; a branch costs the call or its summary, whichever is more."""
+    from quillon.plans import gc
+    from tests.fixtures import injected
+
+    policy = Policy(max_children=4)
+    marked = gc.mark(injected(spark), policy)
+    plain = {r["parent_id"]: r for r in gc.compact(marked, policy).collect()}
+    got = {r["parent_id"]: r for r in gc.compact(marked, policy, gc.external_compressor(Short)).collect()}
+    assert got.keys() == plain.keys() and len(got) == 3
+    for parent, r in got.items():
+        names = ["Kafka", "x" * 400 if parent == "a1" else "Redis"]
+        assert r["child_ids"] == plain[parent]["child_ids"] and r["facts"] == names
+        assert r["summary"] == f"Verified facts (verbatim): {', '.join(names)}\n\n{len(r['child_ids'])} nodes in short"
+        assert r["compressed_tokens"] == max(7, len(r["summary"]) // 4)
+    assert gc.collect_garbage(injected(spark), policy, gc.external_compressor(Short))[2].first()["branches"] == 3
