@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.vectors import hit_score
 
 TOP_K = 12
+PLACES = 12  # hits are ranked by; sums of products in another order differ beyond these places
 
 
 def valid(vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -19,12 +20,13 @@ def valid(vectors: DataFrame, dim: int | None = None) -> DataFrame:
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
     """The k best nodes of each session's query by hit score, ties by node_id.
 
-    An equi-join on the session: a query meets its own session's vectors only."""
+    An equi-join on the session: a query meets its own session's vectors only. Spark keeps the k
+    best of each task before it shuffles (a limit on row_number)."""
     k = k if k > 0 else 10
     pairs = queries.select("session_id", F.col("embedding").alias("query")).join(vectors, "session_id").where(F.size("query") == F.size("embedding"))
-    pairs = pairs.withColumn("hit", F.round(hit_score(F.col("query"), F.col("embedding")), 9))
+    pairs = pairs.withColumn("hit", F.round(hit_score(F.col("query"), F.col("embedding")), PLACES))
     best = Window.partitionBy("session_id").orderBy(F.col("hit").desc(), "node_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("session_id", "node_id", "hit", "rank")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("session_id", "node_id", F.round("hit", 9).alias("hit"), "rank")
 
 
 def merge_hits(*hits: DataFrame) -> DataFrame:

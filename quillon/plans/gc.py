@@ -18,20 +18,22 @@ def tree_depth(nodes: DataFrame) -> DataFrame:
     """(session_id, max_depth) of the tree by parent_id, status ignored; roots are 0 deep.
 
     Each node points to an ancestor twice as far up in every round, until all that hang on a
-    root have reached it; what hangs on no root has no depth. Each round is a table in the
-    shared folder, so that a lost executor costs a round at most."""
+    root have reached it; what hangs on no root has no depth. A round writes only the nodes that
+    have not reached a root before it, as a table in the shared folder, so that a lost executor
+    costs a round at most."""
     scratch, step = Scratch(nodes.sparkSession), 0
     root = F.coalesce("parent_id", F.lit("")) == ""
     rows = scratch.keep(nodes.select("session_id", "node_id", F.when(~root, F.col("parent_id")).alias("up"), F.when(root, 0).otherwise(1).cast("long").alias("depth")).distinct(), "0")
-    reached, last = rows.where("up is null").count(), -1
-    while reached != last:
-        above = rows.select("session_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        moved = rows.where("up is not null").join(above, ["session_id", "up"]).select("session_id", "node_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"))
+    reached, way = rows.where("up is null"), rows.where("up is not null")
+    while True:
+        above = reached.unionByName(way).select("session_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        moved = way.join(above, ["session_id", "up"]).select("session_id", "node_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"))
         step += 1
-        rows = scratch.keep(rows.where("up is null").unionByName(moved).groupBy("session_id", "node_id", "up").agg(F.max("depth").alias("depth")), str(step))
-        scratch.drop(str(step - 1))
-        reached, last = rows.where("up is null").count(), reached
-    return rows.where("up is null").groupBy("session_id").agg(F.max("depth").alias("max_depth"))
+        rows = scratch.keep(moved.groupBy("session_id", "node_id", "up").agg(F.max("depth").alias("depth")), str(step))
+        found, way = rows.where("up is null"), rows.where("up is not null")
+        if not found.take(1):  # as long as a node hangs on a root, one next to a reached one is found
+            return reached.groupBy("session_id").agg(F.max("depth").alias("max_depth"))
+        reached = reached.unionByName(found)
 
 
 def tree_stats(nodes: DataFrame) -> DataFrame:
