@@ -131,6 +131,7 @@ class Session:
     tokens: int = 0
     deepest: int = 0
     widest: int = 0
+    anchor_turn: int = 0  # of the last user's node that has a vector
     anchor: np.ndarray | None = None
     nodes: dict[int, Node] = field(default_factory=dict)
     touched: set[int] = field(default_factory=set)  # turns of nodes that an event has added or changed
@@ -168,6 +169,8 @@ class Session:
         s.nodes = {}
         for n in sorted(nodes, key=lambda n: n.turn):
             s._enter(n)
+        if semantic and s.anchor_turn in s.nodes:
+            s.anchor = s.nodes[s.anchor_turn].vector
         s._age()
         s.touched = set()
         return s
@@ -388,12 +391,23 @@ def add(s: Session, kind: str, title: str, summary: str, cost: int, bare: bool,
     return node
 
 
+def nearest(s: Session, vector: np.ndarray, k: int, places: int) -> list[tuple[int, float]]:
+    """(turn, hit) of the k nearest active and the k nearest archived nodes: cosines to some places, held between 0 and 1."""
+    out = []
+    for active in (True, False):
+        held = [n for n in s.nodes.values() if n.active == active and n.vector is not None and len(n.vector) == len(vector)]
+        if held:
+            hits = np.clip(np.round(cosines(np.array([n.vector for n in held]), vector), places), 0.0, 1.0).tolist()
+            out += [(n.turn, hit) for hit, n in sorted(zip(hits, held), key=lambda x: (-x[0], x[1].turn))[:k]]
+    return out
+
+
 def ingest(s: Session, event: dict) -> tuple[str | None, int, int]:
     """Adds an event (kind, title, summary, token_count, bare; with vectors also vector, is_user) and collects: (reason, swept, freed)."""
     s.raw += event["token_count"]
     node = add(s, event["kind"], event["title"], event["summary"], event["token_count"], event["bare"], event.get("vector") if s.semantic else None)
     if s.semantic and event.get("is_user") and node.vector is not None:
-        s.anchor = node.vector
+        s.anchor, s.anchor_turn = node.vector, node.turn
     s.rescore()
     why = s.reason()
     swept, freed = s.collect() if why else (0, 0)
@@ -401,8 +415,10 @@ def ingest(s: Session, event: dict) -> tuple[str | None, int, int]:
 
 
 def step(s: Session, event: dict, compile_each: bool = True) -> dict:
-    """Ingests an event (also its payload, and hits of a search at it) and tells what became of it."""
+    """Ingests an event (also its payload, and hits of a search at it or, as `search`, how many and to how many places are looked for here) and tells what became of it."""
     why, swept, freed = ingest(s, event)
+    if s.semantic and event.get("search") and event.get("is_user") and event["payload"] and s.nodes[s.turn].vector is not None:
+        event = event | {"hits": nearest(s, s.nodes[s.turn].vector, *event["search"])}
     size = s.compiled(s.policy.budget, event["payload"], hits=event.get("hits") or ())[0] if compile_each else 0
     saved = s.raw - size
     return {

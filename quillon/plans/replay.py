@@ -19,11 +19,12 @@ from quillon.schemas import Policy
 TURN_STATS = "session_id string, turn_number long, raw_tokens long, compiled_tokens long, tokens_saved long, reduction_pct double, active_nodes long, total_nodes long, archived_nodes long, gc_reason string, gc_nodes_swept long, gc_tokens_freed long"
 
 
-def prepared(events: DataFrame) -> DataFrame:
-    """What the reducer needs of each event; all columns are native expressions."""
+def prepared(events: DataFrame, with_vectors: bool = False) -> DataFrame:
+    """What the reducer needs of each event, its vector too if asked for; all columns are native expressions."""
     kind = text.classify(F.col("event_type"), F.col("payload"))
     facts, decisions = text.extract(F.col("event_type"), F.col("payload"))
-    return events.select("session_id", "sequence", kind.alias("kind"), text.title(F.col("event_type"), F.col("payload")).alias("title"), text.summary(F.col("payload")).alias("summary"), "payload", "token_count", ((F.size(facts) <= 0) & (F.size(decisions) <= 0)).alias("bare"))
+    more = ["vector", (F.col("event_type") == "user_prompt").alias("is_user")] if with_vectors else []
+    return events.select("session_id", "sequence", kind.alias("kind"), text.title(F.col("event_type"), F.col("payload")).alias("title"), text.summary(F.col("payload")).alias("summary"), "payload", "token_count", ((F.size(facts) <= 0) & (F.size(decisions) <= 0)).alias("bare"), *more)
 
 
 def embedded(events: DataFrame, dim: int = 32) -> DataFrame:
@@ -45,11 +46,6 @@ def replay(events: DataFrame, policy: Policy = Policy(), compile_each: bool = Tr
     return prepared(events).groupBy("session_id").applyInPandas(run, TURN_STATS)
 
 
-def _with_vectors(events: DataFrame) -> DataFrame:
-    extra = events.select("session_id", "sequence", "vector", (F.col("event_type") == "user_prompt").alias("is_user"))
-    return prepared(events).join(extra, ["session_id", "sequence"])
-
-
 def lifetimes(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """(session_id, node_turn, made, swept) of each node of events with a vector, scored with it: alive at turns made <= t < swept, archived from swept on."""
 
@@ -60,7 +56,7 @@ def lifetimes(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
         rows = [(s.session_id, n.turn, n.turn, n.swept) for n in s.nodes.values() if n.vector is not None]
         return pd.DataFrame(rows, columns=["session_id", "node_turn", "made", "swept"]).astype({"swept": "Int64"})
 
-    small = _with_vectors(events).drop("payload").withColumn("summary", F.lit(""))
+    small = prepared(events, True).drop("payload").withColumn("summary", F.lit(""))
     return small.groupBy("session_id").applyInPandas(run, "session_id string, node_turn long, made long, swept long")
 
 
@@ -77,7 +73,7 @@ def semantic_replay(events: DataFrame, policy: Policy = Policy(), k: int = asof.
     """The replay of events with a vector: scored against the last user's vector, each user's prompt compiled with its hits (G17 with its semantic arm)."""
     of_turn = turn_hits(events, policy, k).groupBy("session_id", "turn_number").agg(F.collect_list(F.struct("node_turn", "hit")).alias("hits"))
     order = Window.partitionBy("session_id").orderBy("sequence")
-    rows = _with_vectors(events).withColumn("turn_number", F.row_number().over(order).cast("long")).join(of_turn, ["session_id", "turn_number"], "left")
+    rows = prepared(events, True).withColumn("turn_number", F.row_number().over(order).cast("long")).join(of_turn, ["session_id", "turn_number"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s = fold.Session(pdf["session_id"].iloc[0], policy, semantic=True)

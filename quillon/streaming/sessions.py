@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quillon.operators.asof import PLACES
 from quillon.plans import fold
 from quillon.plans.replay import TURN_STATS, prepared
 from quillon.schemas import Policy
@@ -21,27 +23,28 @@ from quillon.sources.folders import Scratch
 
 IDLE_MS = 1800 * 1000
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-NUMBERS = ["turn", "raw", "gc_runs", "freed", "archived", "tokens", "deepest", "widest"]
-NODE = "kind string, title string, text string, node_tokens long, cost long, bare boolean, parent long, depth long, children long, swept long"
-#: a session as rows, one for each node that is active, and the root
+NUMBERS = ["turn", "raw", "gc_runs", "freed", "archived", "tokens", "deepest", "widest", "anchor_turn"]
+NODE = "kind string, title string, text string, node_tokens long, cost long, bare boolean, parent long, depth long, children long, swept long, vector array<double>, score double, semantic double"
+#: a session as rows, one for each node that is active, and the root; with vectors archived ones too
 SNAPSHOT = "session_id string, " + ", ".join(f"{n} long" for n in NUMBERS) + ", node_turn long, " + NODE
 NODE_COLUMNS = [c.split()[0] for c in NODE.split(", ")]
 
 
 def _stored(n: fold.Node) -> tuple:
-    return n.kind, n.title, n.text, n.tokens, n.cost, n.bare, n.parent, n.depth, n.children, n.swept
+    return n.kind, n.title, n.text, n.tokens, n.cost, n.bare, n.parent, n.depth, n.children, n.swept, None if n.vector is None else n.vector.tolist(), float(n.score), float(n.semantic)
 
 
-def _node(turn: int, kind, title, text, tokens, cost, bare, parent, depth, children, swept) -> fold.Node:
+def _node(turn: int, kind, title, text, tokens, cost, bare, parent, depth, children, swept, vector, score, semantic) -> fold.Node:
     gone = None if pd.isna(swept) else int(swept)
-    return fold.Node(int(turn), kind, title, text, int(tokens), int(cost), bool(bare), int(parent), int(depth), active=gone is None, swept=gone, children=int(children))
+    return fold.Node(int(turn), kind, title, text, int(tokens), int(cost), bool(bare), int(parent), int(depth), active=gone is None, swept=gone, children=int(children), vector=None if vector is None else np.asarray(list(vector), np.float64), score=float(score), semantic=float(semantic))
 
 
 class _Sessions(StatefulProcessor):
     """Turn statistics as events come or, with `snapshots`, a session's rows when it times out."""
 
-    def __init__(self, policy: Policy, idle_ms: int | None, snapshots: bool):
-        self.policy, self.idle_ms, self.snapshots = policy, idle_ms, snapshots
+    def __init__(self, policy: Policy, idle_ms: int | None, snapshots: bool, hits: int | None):
+        self.policy, self.idle_ms, self.snapshots, self.hits = policy, idle_ms, snapshots, hits
+        self.semantic = hits is not None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -51,9 +54,13 @@ class _Sessions(StatefulProcessor):
 
     def _load(self, session_id: str) -> fold.Session:
         if not self.numbers.exists():
-            return fold.Session(session_id, self.policy)
-        nodes = [_node(*turn, *value) for turn, value in self.nodes.iterator()]
-        return fold.Session.restored(session_id, nodes, self.policy, **{n: int(x) for n, x in zip(NUMBERS, self.numbers.get())})
+            return fold.Session(session_id, self.policy, self.semantic)
+        nodes = [_node(*turn, *value) for turn, value in self._rows()]
+        return fold.Session.restored(session_id, nodes, self.policy, self.semantic, **{n: int(x) for n, x in zip(NUMBERS, self.numbers.get())})
+
+    def _rows(self) -> list:
+        """Stored nodes; a search looks at archived ones too."""
+        return [*self.nodes.iterator(), *(self.archive.iterator() if self.semantic else ())]
 
     def _save(self, s: fold.Session) -> None:
         self.numbers.update(tuple(getattr(s, n) for n in NUMBERS))
@@ -75,7 +82,8 @@ class _Sessions(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = self._load(key[0])
         events = sorted((e for frame in rows for e in frame.to_dict("records")), key=lambda e: e["sequence"])
-        out = [{"session_id": key[0]} | fold.step(s, e, not self.snapshots) for e in events]
+        search = {"search": (self.hits, PLACES)} if self.semantic else {}
+        out = [{"session_id": key[0]} | fold.step(s, e | search, not self.snapshots) for e in events]
         self._save(s)
         self._wait(timerValues)
         yield pd.DataFrame([] if self.snapshots else out, columns=[c.split()[0] for c in (SNAPSHOT if self.snapshots else TURN_STATS).split(", ")])
@@ -83,7 +91,7 @@ class _Sessions(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.snapshots and self.numbers.exists():
             numbers = self.numbers.get()
-            rows = [(key[0], *numbers, *turn, *value) for turn, value in self.nodes.iterator()]
+            rows = [(key[0], *numbers, *turn, *value) for turn, value in self._rows()]
             yield pd.DataFrame(rows, columns=["session_id", *NUMBERS, "node_turn", *NODE_COLUMNS]).astype({"swept": "Int64"})
         for state in (self.numbers, self.nodes, self.archive):
             state.clear()
@@ -91,8 +99,8 @@ class _Sessions(StatefulProcessor):
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for row in initialState.to_dict("records"):
             self.numbers.update(tuple(int(row[n]) for n in NUMBERS))
-            turn = int(row["node_turn"])
-            self.nodes.updateValue((turn,), _stored(_node(turn, *(row[c] for c in NODE_COLUMNS))))
+            turn, node = int(row["node_turn"]), _node(row["node_turn"], *(row[c] for c in NODE_COLUMNS))
+            (self.nodes if node.active or not turn else self.archive).updateValue((turn,), _stored(node))
         self._wait(timerValues)
 
     def close(self) -> None:
@@ -107,25 +115,27 @@ def keyed_session(spark: SparkSession) -> SparkSession:
     return keyed
 
 
-def _sessions(events: DataFrame, policy: Policy, idle_ms: int | None, initial: DataFrame | None, snapshots: bool) -> DataFrame:
+def _sessions(events: DataFrame, policy: Policy, idle_ms: int | None, initial: DataFrame | None, snapshots: bool, hits: int | None) -> DataFrame:
     start = initial.select([c.split()[0] for c in SNAPSHOT.split(", ")]).groupBy("session_id") if initial is not None else None
-    return prepared(events).groupBy("session_id").transformWithStateInPandas(_Sessions(policy, idle_ms, snapshots), SNAPSHOT if snapshots else TURN_STATS, "Append", "ProcessingTime" if idle_ms else "None", start)
+    return prepared(events, hits is not None).groupBy("session_id").transformWithStateInPandas(_Sessions(policy, idle_ms, snapshots, hits), SNAPSHOT if snapshots else TURN_STATS, "Append", "ProcessingTime" if idle_ms else "None", start)
 
 
-def session_stream(events: DataFrame, policy: Policy = Policy(), idle_ms: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+def session_stream(events: DataFrame, policy: Policy = Policy(), idle_ms: int | None = None, initial: DataFrame | None = None, hits: int | None = None) -> DataFrame:
     """Turn statistics of a stream of events, as the batch replay gives them.
 
     A batch's events of a session are taken in order of sequence. With idle_ms (such as IDLE_MS),
     a session idle so long is dropped; `snapshot_stream` gives what is dropped. A query that is
     to end by itself (availableNow) must leave idle_ms out: timers keep it running. initial: a
     batch table of SNAPSHOT rows (a node's rows of a session may come in any order) that sessions
-    start from. Nothing is dropped for lack of room."""
-    return _sessions(events, policy, idle_ms, initial, False)
+    start from. hits: with events that have a vector, how many live and archived nodes a user's
+    turn finds, as in the semantic replay; a batch then reads all nodes of its sessions. Nothing
+    is dropped for lack of room."""
+    return _sessions(events, policy, idle_ms, initial, False, hits)
 
 
-def snapshot_stream(events: DataFrame, policy: Policy = Policy(), idle_ms: int = IDLE_MS, initial: DataFrame | None = None) -> DataFrame:
+def snapshot_stream(events: DataFrame, policy: Policy = Policy(), idle_ms: int = IDLE_MS, initial: DataFrame | None = None, hits: int | None = None) -> DataFrame:
     """SNAPSHOT rows of each session that has been idle for idle_ms, which is then dropped."""
-    return _sessions(events, policy, idle_ms, initial, True)
+    return _sessions(events, policy, idle_ms, initial, True, hits)
 
 
 def running_metrics(events: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Streams of sessions: equal to batch over many files, restart, idle timeout, restored start."""
 
+import random
 import time
 
 import pytest
@@ -108,3 +109,21 @@ def test_query_keeps_the_callers_state_store(spark, small):
 
     assert sorted(got.collect(), key=key) == sorted(replay.replay(conversation_events(spark, small)).collect(), key=key)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_stream_with_hits_equals_semantic_replay(keyed, tmp_path):
+    """Vectors, anchors and archived nodes come from the state, also after a restart."""
+    from quillon.schemas import Policy
+
+    r, words = random.Random(4), ["kafka", "queue", "postgres", "index", "retry", "budget"]
+    rows = [(s, k, r.choice(["user_prompt", "llm_response", "tool_result", "error"]), " ".join(r.choice(words) for _ in range(r.randint(1, 8))), 9) for s in ("a", "b") for k in range(1, 71)]
+    source = str(tmp_path / "in")
+    policy = Policy(budget=60)
+    for low, high in ((0, 30), (30, 31), (31, 70)):
+        write(keyed, [x for x in rows if low < x[1] <= high], source)
+        stream = replay.embedded(keyed.readStream.schema(SCHEMA).parquet(source))
+        run_to_end(session_stream(stream, policy, hits=4), str(tmp_path / "out"), str(tmp_path / "check"))
+    want = replay.semantic_replay(replay.embedded(keyed.createDataFrame(rows, SCHEMA)), policy, 4).collect()
+    got = sorted(keyed.read.parquet(str(tmp_path / "out")).collect(), key=key)
+    assert got == sorted(want, key=key) and any(x["archived_nodes"] for x in got)
+    assert [x["compiled_tokens"] for x in got] != [x["compiled_tokens"] for x in sorted(replay.replay(keyed.createDataFrame(rows, SCHEMA), policy).collect(), key=key)]
