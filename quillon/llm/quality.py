@@ -105,16 +105,15 @@ def kept_texts(docs: DataFrame, column: str = "kept_text", **limits) -> DataFram
     frequent line stays as it is, a null one too (it has no words and fails)."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(judge(scratch.keep(base_counts(docs), "counts"), **limits), "judged")
-    id_, host, key, gone = fresh([*docs.columns, column], "doc", "host", "key", "gone")
-    bad = rows.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_)).distinct()
-    lost = rows.where("gone is not null").groupBy(F.col("doc_id").alias(id_), F.col("host").alias(host), F.col("text_key").alias(key)).agg(F.first("gone").alias(gone))
+    id_, host, key, gone, bad = fresh([*docs.columns, column], "doc", "host", "key", "gone", "bad")
+    # what is said of rows comes together without their texts, which are then shuffled once
+    ids = rows.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_), F.lit(True).alias(bad)).distinct()
+    said = rows.join(ids, F.col("doc_id") == F.col(id_), "left").select(F.col("doc_id").alias(id_), F.col("host").alias(host), F.col("text_key").alias(key), F.col("gone").alias(gone), F.coalesce(bad, F.col("doc_id").isNull() & ~F.col("kept")).alias(bad))
+    said = said.where(F.col(bad) | F.col(gone).isNotNull()).groupBy(id_, host, key).agg(F.first(gone, ignorenulls=True).alias(gone), F.bool_or(bad).alias(bad))
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    unnamed = rows.where("not kept and doc_id is null").select(F.col("host").alias(host), F.col("text_key").alias(key)).distinct()
-    left = docs.join(bad, doc == F.col(id_), "left_anti")
-    left = left.join(unnamed, F.col("doc_id").isNull() & (_host() == F.col(host)) & (_text_key(text) == F.col(key)), "left_anti")
-    left = left.join(lost, doc.eqNullSafe(F.col(id_)) & (_host() == F.col(host)) & (_text_key(text) == F.col(key)), "left")
+    left = docs.join(said, doc.eqNullSafe(F.col(id_)) & (_host() == F.col(host)) & (_text_key(text) == F.col(key)), "left").where(~F.coalesce(bad, F.lit(False)))
     lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(_normal(x))))
-    return left.withColumn(column, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))).drop(id_, host, key, gone)
+    return left.withColumn(column, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))).drop(id_, host, key, gone, bad)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
