@@ -154,6 +154,28 @@ def removed(rows, width=13):
     return sorted(out)
 
 
+def test_substring_sends_only_windows_of_two_groups(spark, monkeypatch):
+    """Short runs of few words repeat by chance, so that most windows have names; sent in full are those that another group has too."""
+    r = random.Random(8)
+    passage = [f"w{r.randrange(12)}" for _ in range(20)]
+    texts = [[f"w{r.randrange(12)}" for _ in range(60)] for _ in range(150)]
+    for k in (3, 90):
+        texts[k][10:30] = passage
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    written, sent = substring._written, []
+
+    def spy(scratch, df, name):
+        out = written(scratch, df, name)
+        if name == "windows":
+            sent.extend(int(substring.unpack(bytes(x["blob"]))[0].sum()) for x in out.where(f"kind = {substring.ASK}").collect())
+        return out
+
+    monkeypatch.setattr(substring, "_written", spy)
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=4000, bucket_bytes=8000)
+    assert {x["doc_id"]: x["n_removed"] for x in got.where("n_removed > 0").collect()} == {90: 20}
+    assert sum(sent) == 16
+
+
 @pytest.mark.parametrize("group_bytes", [1 << 20, 3000])
 def test_substring_dedup(docs, group_bytes):
     want = removed([(r["doc_id"], r["text"]) for r in docs.collect()])
