@@ -3,7 +3,7 @@
 A node lives from `made` to before `swept` and is archived from `swept` on, so that one pair of
 numbers decides in which of the two searches it takes part. Turns and nodes of a session are cut
 into blocks by turn; a block of turns meets the blocks of nodes made no later than its last turn.
-Two blocks are compared by one product of matrices, which leaves each turn's k nearest of either
+Two blocks are one group, compared by products of matrices, which leave each turn's k nearest of either
 kind; a window over these few rows merges them. A long session is thus many pairs of blocks, not
 one group."""
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 TOP_K = 12
 TURNS, NODES = 1024, 4096  # turns of a block of queries, and of a block of nodes
+SLICE = 256  # turns that are compared at once
 PLACES = 12  # sums of products in another order differ beyond these places
 
 HITS = "session_id string, turn_number long, node_turn long, archived boolean, hit double"
@@ -36,6 +37,19 @@ def _matrix(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _best(hits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest of each row, equal ones by column; what is below 0 doesn't count."""
+    if hits.shape[1] > k:
+        least = np.partition(hits, -k, axis=1)[:, -k, None]
+        above, ties = hits > least, hits == least
+        i, j = np.nonzero(ties)  # of those equal to the k-th, the first that there is room for
+        nth = np.arange(len(i)) - np.searchsorted(i, i, "left")
+        late = nth >= (k - above.sum(axis=1))[i]
+        ties[i[late], j[late]] = False
+        return np.nonzero((above | ties) & (hits >= 0))
+    return np.nonzero(hits >= 0)
+
+
 def _nearest(session: str, turns, asked, nodes, made, swept, held, k: int) -> Iterator[pa.RecordBatch]:
     """The k nearest live and archived nodes of each turn within two blocks; equal hits by node."""
     far = np.iinfo(np.int64).max
@@ -45,31 +59,45 @@ def _nearest(session: str, turns, asked, nodes, made, swept, held, k: int) -> It
         if d not in sides:
             continue
         place, y = sides[d]
+        order = np.argsort(nodes[place], kind="stable")
+        place, y = place[order], y[order]
         hits = np.clip(np.round(x @ y.T, PLACES), 0.0, 1.0)
         when = turns[at][:, None]
         for archived in (False, True):
             can = (made[place] <= when) & ((swept[place] <= when) if archived else (swept[place] > when))
-            i, j = np.nonzero(can)
+            i, j = _best(np.where(can, hits, -1.0), k)
             if not len(i):
                 continue
             hit = hits[i, j]
-            order = np.lexsort((nodes[place[j]], -hit, i))
-            i, j, hit = i[order], j[order], hit[order]
-            some = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
-            i, j, hit = i[some], j[some], hit[some]
             yield pa.RecordBatch.from_arrays([pa.array([session] * len(i), pa.string()), pa.array(turns[at][i]), pa.array(nodes[place[j]]), pa.array(np.full(len(i), archived)), pa.array(hit)], schema=_SCHEMA)
 
 
+def _sessions(rows: pa.Table) -> Iterator[tuple[str, pa.Table]]:
+    rows = rows.sort_by("session_id")
+    runs = pc.run_end_encode(rows["session_id"].combine_chunks())
+    start = 0
+    for session, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+        yield session, rows.slice(start, end - start)
+        start = end
+
+
 def _compare(k: int):
-    """Pairs of blocks come as rows: a block of turns in lists, and a block of nodes in lists."""
+    """Blocks of turns and blocks of nodes of a bundle's sessions, as rows; a pair of blocks is compared in parts of SLICE turns."""
+
+    def run(turns: pa.Table, nodes: pa.Table) -> Iterator[pa.RecordBatch]:
+        of_session = dict(_sessions(nodes))
+        for session, some in _sessions(turns):
+            if session in of_session:
+                there = of_session[session]
+                held = [there["node_turn"].to_numpy(), there["made"].to_numpy(), there["swept"].combine_chunks(), there["vector"].combine_chunks()]
+                turn, asked = some["turn_number"].to_numpy(), some["vector"].combine_chunks()
+                for a in range(0, len(turn), SLICE):
+                    yield from _nearest(session, turn[a : a + SLICE], asked.slice(a, SLICE), *held, k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                turns, asked, nodes, made, swept, held = (batch.column(c)[row].values for c in ("turns", "asked", "nodes", "made", "swept", "held"))
-                yield from _nearest(batch.column("session_id")[row].as_py(), np.asarray(turns), asked, np.asarray(nodes), np.asarray(made), swept, held, k)
+    def whole(turns: pa.Table, nodes: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(run(turns, nodes)), _SCHEMA)
 
-    return run
+    return whole
 
 
 def asof_top_k(queries: DataFrame, nodes: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -81,13 +109,18 @@ def asof_top_k(queries: DataFrame, nodes: DataFrame, k: int = TOP_K) -> DataFram
     query's, take no part. k below 1 means 10."""
     k = k if k > 0 else 10
     sound = F.expr("vector is not null and not exists(vector, x -> x is null or isnan(x))")
-    turn_block, made_block = F.expr(f"turn_number div {TURNS}"), F.expr(f"made div {NODES}")
-    rows = lambda *columns: F.collect_list(F.struct(*columns))
-    asked = queries.where(sound).groupBy("session_id", turn_block.alias("turn_block")).agg(rows("turn_number", "vector").alias("q"), F.max("turn_number").alias("last"))
-    asked = asked.select("session_id", "last", F.col("q.turn_number").alias("turns"), F.col("q.vector").alias("asked"))
-    held = nodes.where(sound).groupBy("session_id", made_block.alias("made_block")).agg(rows("node_turn", "made", "swept", "vector").alias("n"), F.min("made").alias("first"))
-    held = held.select("session_id", "first", F.col("n.node_turn").alias("nodes"), F.col("n.made").alias("made"), F.col("n.swept").alias("swept"), F.col("n.vector").alias("held"))
-    pairs = asked.join(held, "session_id").where(F.col("first") <= F.col("last")).drop("first", "last")
-    found = pairs.mapInArrow(_compare(k), HITS)
+    again = lambda *columns: [F.col(c).alias(c) for c in columns]  # noqa: E731  # both sides may come of one table
+    asked = queries.where(sound).select(*again("session_id", "turn_number", "vector"))
+    held = nodes.where(sound).select(*again("session_id", "node_turn", "made", "swept", "vector"))
+    bundles = max(1, -(-asked.count() // TURNS))  # short sessions share a group
+    bundle = F.pmod(F.xxhash64("session_id"), F.lit(bundles)).alias("bundle")
+    turn_block, made_block = F.expr(f"greatest(0, turn_number) div {TURNS}"), F.expr(f"greatest(0, made) div {NODES}")
+    last = asked.groupBy("session_id").agg(F.max(turn_block).alias("last"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"((greatest(0, turn_number) div {TURNS} + 1) * {TURNS} - 1) div {NODES}"))
+    asked = asked.select(bundle, turn_block.alias("turn_block"), F.explode(blocks).alias("made_block"), "session_id", "turn_number", "vector")
+    held = held.withColumn("made_block", made_block).join(last, "session_id").withColumn("from", F.expr(f"made_block * {NODES} div {TURNS}")).where("from <= last")
+    held = held.select(bundle, F.explode(F.sequence("from", "last")).alias("turn_block"), "made_block", "session_id", "node_turn", "made", "swept", "vector")
+    key = ["bundle", "turn_block", "made_block"]
+    found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(_compare(k), HITS)
     best = Window.partitionBy("session_id", "turn_number", "archived").orderBy(F.desc("hit"), "node_turn")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

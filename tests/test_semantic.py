@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.functions.providers import MockProvider
@@ -48,6 +50,28 @@ def test_asof_equals_brute_force(spark, monkeypatch, blocks):
     assert sorted((r["session_id"], r["turn_number"], r["node_turn"], r["archived"], round(r["hit"], 9), r["rank"]) for r in got.collect()) == brute_hits(queries, nodes, 3)
 
 
+def test_nearest_are_selected_without_sorting_all_pairs():
+    """Ties at the k-th place go to the first columns; what is below 0 is no hit."""
+    r = np.random.default_rng(4)
+    for n in (3, 40):
+        hits = r.integers(-2, 5, (50, n)) / 4
+        i, j = asof._best(hits, 7)
+        want = [(a, b) for a in range(50) for b in sorted(sorted((b for b in range(n) if hits[a, b] >= 0), key=lambda b: (-hits[a, b], b))[:7])]
+        assert list(zip(i.tolist(), j.tolist())) == want
+
+
+def test_a_worker_holds_one_pair_of_blocks(spark, monkeypatch):
+    """A session of many blocks goes to Python pair by pair, and short sessions share a group."""
+    monkeypatch.setattr(asof, "TURNS", 8)
+    monkeypatch.setattr(asof, "NODES", 16)
+    rows = [(s, t, [float(t % 5), 1.0]) for s, n in (("long", 100), *((f"s{k}", 3) for k in range(40))) for t in range(n)]
+    nodes = spark.createDataFrame(rows, "session_id string, node_turn long, vector array<double>").selectExpr("*", "node_turn as made", "cast(null as long) as swept")
+    monkeypatch.setattr(asof, "_compare", lambda k: lambda a, b: pa.table({"session_id": ["x"], "turn_number": [len(a)], "node_turn": [len(b)], "archived": [False], "hit": [0.0]}, asof._SCHEMA))
+    sizes = asof.asof_top_k(nodes.selectExpr("session_id", "node_turn as turn_number", "vector"), nodes, 1000).collect()
+    assert len(sizes) < 13 * 7 + 40
+    assert max(r["turn_number"] for r in sizes) <= 8 + 3 * 12 and max(r["node_turn"] for r in sizes) <= 16 + 3 * 12
+
+
 def test_empty_sides(spark):
     queries = spark.createDataFrame([], "session_id string, turn_number long, vector array<double>")
     nodes = spark.createDataFrame([("a", 1, 1, None, [1.0])], "session_id string, node_turn long, made long, swept long, vector array<double>")
