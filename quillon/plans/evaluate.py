@@ -109,28 +109,40 @@ def prompt_stability(turns: DataFrame) -> DataFrame:
     return turns.withColumn("same", F.coalesce(same, F.lit(False))).groupBy("session_id").agg(F.sum("compiled_tokens").cast("long").alias("compiled"), F.sum("cached_tokens").cast("long").alias("cached"), F.sum(F.when(F.col("turn_number") > 1, F.col("cached_tokens")).otherwise(0)).cast("long").alias("cached_later"), F.count_if("same").alias("stable_turns"))
 
 
-def prefix_blocks(turns: DataFrame, block: int = 64) -> DataFrame:
-    """(session_id, turn_number, place, chain): the blocks of each turn's prompt, of `block` characters, each with a hash of itself and all before it.
+def prefix_chains(block: int = 64) -> Column:
+    """For each block of the column prompt, of `block` characters, a hash of itself and all before it.
 
     Two prompts have equal chains at a place only if they are equal up to the end of that block."""
     n = F.length("prompt")
     blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda i: F.substring("prompt", i * block + 1, F.lit(block)))
-    start = F.array().cast("array<bigint>")
-    chain = F.aggregate(blocks, start, lambda held, b: F.concat(held, F.array(F.xxhash64(F.coalesce(F.try_element_at(held, F.lit(-1)), F.lit(0)), b))))
-    return turns.where(n > 0).select("session_id", "turn_number", F.posexplode(chain).alias("place", "chain"))
+    none = F.array().cast("array<bigint>")
+    chain = F.aggregate(blocks, none, lambda held, b: F.concat(held, F.array(F.xxhash64(F.coalesce(F.try_element_at(held, F.lit(-1)), F.lit(0)), b))))
+    return F.when(n > 0, chain).otherwise(none)
 
 
-def prompt_cache(turns: DataFrame, block: int = 64) -> DataFrame:
-    """What a cache of prompt prefixes would have spared (A19, W7) of turns (session_id, turn_number, prompt), one row a session.
+def prompt_cache(turns: DataFrame, block: int = 64, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """What a cache of prompt prefixes would have spared (A19, W7) of turns (session_id, turn_number, prompt), one row a session (or for each value of `by`).
 
     blocks of all prompts; kept: those of the stable prefix, the longest that a prompt has in
     common with the turn before; seen: those of the longest prefix that any earlier turn had;
-    stable_turns: prompts equal to the one before. Turns are numbered without gaps."""
-    of_chain = Window.partitionBy("session_id", "place", "chain").orderBy("turn_number")
-    last = F.lag("turn_number").over(of_chain)
-    rows = prefix_blocks(turns, block).withColumn("last", last)
-    blocks = rows.groupBy("session_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("last") == F.col("turn_number") - 1).alias("kept"), F.count("last").alias("seen"))
-    by_turn = Window.partitionBy("session_id").orderBy("turn_number")
-    same = F.lag(F.sha2("prompt", 256)).over(by_turn) == F.sha2("prompt", 256)
-    stable = turns.select("session_id", F.coalesce(same, F.lit(False)).alias("same")).groupBy("session_id").agg(F.count("*").alias("turns"), F.count_if("same").alias("stable_turns"))
-    return stable.join(blocks, "session_id", "left").select("session_id", "turns", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("blocks", "kept", "seen")), "stable_turns")
+    stable_turns: prompts equal to the one before. Turns are numbered without gaps.
+
+    Only blocks after the stable prefix become rows. Where a chain first stands it is such a row,
+    so that an earlier turn has it if it was kept or if it is not the first of these rows."""
+    by_turn = Window.partitionBy(*by).orderBy("turn_number")
+    rows = turns.select(*by, "turn_number", prefix_chains(block).alias("chains"), F.sha2("prompt", 256).alias("whole"))
+    before = F.coalesce(F.lag("chains").over(by_turn), F.array().cast("array<bigint>"))
+    rows = rows.withColumns({"before": before, "same": F.coalesce(F.lag("whole").over(by_turn) == F.col("whole"), F.lit(False))})
+    common = F.size(F.filter(F.zip_with("chains", "before", lambda a, b: a.eqNullSafe(b) & a.isNotNull()), lambda x: x))
+    rows = rows.select(*by, "same", F.size("chains").alias("n"), common.alias("common"), F.slice("chains", common + 1, F.greatest(F.size("chains") - common, F.lit(0))).alias("fresh"))
+    # in one pass over the prompts: a row for each turn, which has its counts, and one for each fresh block
+    turn = F.struct(F.lit(-1).alias("place"), F.lit(0).cast("long").alias("chain"))
+    fresh = F.transform("fresh", lambda x, i: F.struct((i + F.col("common")).alias("place"), x.alias("chain")))
+    rows = rows.select(*by, F.when(F.col("same"), 1).otherwise(0).alias("same"), "n", "common", F.explode(F.concat(F.array(turn), fresh)).alias("b"))
+    own = F.col("b.place") < 0
+    counted = lambda c: F.sum(F.when(own, F.col(c)).otherwise(0)).alias(c)
+    found = rows.groupBy(*by, "b").agg(F.count("*").alias("times"), *(counted(c) for c in ("n", "common", "same")))
+    own = F.col("b.place") < 0
+    total = lambda c: F.sum(c).cast("long")
+    again = F.sum(F.when(own, 0).otherwise(F.col("times") - 1)).cast("long")
+    return found.groupBy(*by).agg(F.sum(F.when(own, F.col("times")).otherwise(0)).cast("long").alias("turns"), total("n").alias("blocks"), total("common").alias("kept"), (total("common") + again).alias("seen"), total("same").alias("stable_turns"))

@@ -18,6 +18,7 @@ import heapq
 import math
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -76,6 +77,10 @@ class Table:
         self.cross = next((far for far, v in enumerate(self.score) if max(v, floor) < policy.threshold), None)
 
 
+#: scores depend on nothing of a session, so that all sessions of a worker share them
+table_of = lru_cache(maxsize=1024)(Table)
+
+
 class Group:
     """Nodes of one bucket and score, in order of turn, in blocks that know their least cost."""
 
@@ -197,7 +202,7 @@ class Session:
             key = (n.kind, k, excess)
             table = self._tables.get(key)
             if table is None:
-                table = self._tables[key] = Table(n.kind, k, excess, self.policy)
+                table = self._tables[key] = table_of(n.kind, k, excess, self.policy)
             if table is n.table:
                 continue
             if turn not in self._recent and n.table is not None:

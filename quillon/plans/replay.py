@@ -7,7 +7,10 @@ hits of all turns, and a second pass compiles with them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,28 +39,41 @@ def _ordered(pdf: pd.DataFrame) -> list[dict]:
     return pdf.sort_values("sequence").to_dict("records")
 
 
+_TYPES = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _by_session(rows: DataFrame, run: Callable[[str, list[dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """What run(session_id, events in order) yields for each session, by way of Arrow alone: most sessions are short."""
+    fields = pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+    def whole(table: pa.Table) -> pa.Table:
+        events = sorted(table.to_pylist(), key=lambda e: (e["sequence"] is None, e["sequence"]))
+        return pa.Table.from_pylist(list(run(events[0]["session_id"], events)), fields)
+
+    return rows.groupBy("session_id").applyInArrow(whole, schema)
+
+
 def replay(events: DataFrame, policy: Policy = Policy(), compile_each: bool = True) -> DataFrame:
     """A row for each event: sizes, saving and collections after it (G17). A session is one group; its time grows with its events."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = fold.Session(pdf["session_id"].iloc[0], policy)
-        return pd.DataFrame([{"session_id": s.session_id} | fold.step(s, e, compile_each) for e in _ordered(pdf)])
+    def run(session_id: str, rows: list[dict]) -> Iterator[dict]:
+        s = fold.Session(session_id, policy)
+        return ({"session_id": session_id} | fold.step(s, e, compile_each) for e in rows)
 
-    return prepared(events).groupBy("session_id").applyInPandas(run, TURN_STATS)
+    return _by_session(prepared(events), run, TURN_STATS)
 
 
 def lifetimes(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """(session_id, node_turn, made, swept) of each node of events with a vector, scored with it: alive at turns made <= t < swept, archived from swept on."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = fold.Session(pdf["session_id"].iloc[0], policy, semantic=True)
-        for e in _ordered(pdf):
+    def run(session_id: str, rows: list[dict]) -> Iterator[dict]:
+        s = fold.Session(session_id, policy, semantic=True)
+        for e in rows:
             fold.ingest(s, e)
-        rows = [(s.session_id, n.turn, n.turn, n.swept) for n in s.nodes.values() if n.vector is not None]
-        return pd.DataFrame(rows, columns=["session_id", "node_turn", "made", "swept"]).astype({"swept": "Int64"})
+        return ({"session_id": session_id, "node_turn": n.turn, "made": n.turn, "swept": n.swept} for n in s.nodes.values() if n.vector is not None)
 
     small = prepared(events, True).drop("payload").withColumn("summary", F.lit(""))
-    return small.groupBy("session_id").applyInPandas(run, "session_id string, node_turn long, made long, swept long")
+    return _by_session(small, run, "session_id string, node_turn long, made long, swept long")
 
 
 def turn_hits(events: DataFrame, policy: Policy = Policy(), k: int = asof.TOP_K) -> DataFrame:
@@ -75,29 +91,29 @@ def semantic_replay(events: DataFrame, policy: Policy = Policy(), k: int = asof.
     order = Window.partitionBy("session_id").orderBy("sequence")
     rows = prepared(events, True).withColumn("turn_number", F.row_number().over(order).cast("long")).join(of_turn, ["session_id", "turn_number"], "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = fold.Session(pdf["session_id"].iloc[0], policy, semantic=True)
-        out = []
-        for e in _ordered(pdf):
-            e["hits"] = [(h["node_turn"], h["hit"]) for h in e["hits"]] if e["hits"] is not None else []
-            out.append({"session_id": s.session_id} | fold.step(s, e))
-        return pd.DataFrame(out)
+    def run(session_id: str, rows: list[dict]) -> Iterator[dict]:
+        s = fold.Session(session_id, policy, semantic=True)
+        for e in rows:
+            e["hits"] = [(h["node_turn"], h["hit"]) for h in e["hits"] or ()]
+            yield {"session_id": session_id} | fold.step(s, e)
 
-    return rows.groupBy("session_id").applyInPandas(run, TURN_STATS)
+    return _by_session(rows, run, TURN_STATS)
 
 
-def prompts(events: DataFrame, policy: Policy = Policy(), stable: bool = False) -> DataFrame:
-    """(session_id, turn_number, prompt, compiled_tokens): the prompt after each event, rendered by score or, if stable, by turn (K3)."""
+def prompts(events: DataFrame, policy: Policy = Policy(), stable: bool | None = False) -> DataFrame:
+    """(session_id, turn_number, prompt, compiled_tokens): the prompt after each event, rendered by score or, if stable, by turn (K3). With None, both, and a column `stable`."""
+    kinds = (False, True) if stable is None else (stable,)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, out = fold.Session(pdf["session_id"].iloc[0], policy), []
-        for e in _ordered(pdf):
+    def run(session_id: str, rows: list[dict]) -> Iterator[dict]:
+        s = fold.Session(session_id, policy)
+        for e in rows:
             fold.ingest(s, e)
             size, chosen = s.compiled(policy.budget, e["payload"])
-            out.append((s.session_id, s.turn, s.prompt(chosen, stable), size))
-        return pd.DataFrame(out, columns=["session_id", "turn_number", "prompt", "compiled_tokens"])
+            for kind in kinds:
+                yield {"session_id": session_id, "turn_number": s.turn, "prompt": s.prompt(chosen, kind), "compiled_tokens": size, "stable": kind}
 
-    return prepared(events).groupBy("session_id").applyInPandas(run, "session_id string, turn_number long, prompt string, compiled_tokens long")
+    both = _by_session(prepared(events), run, "session_id string, turn_number long, prompt string, compiled_tokens long, stable boolean")
+    return both if stable is None else both.drop("stable")
 
 
 MANAGED = "session_id string, original_tokens long, compiled_tokens long, included long, excluded long"

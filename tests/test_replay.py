@@ -152,3 +152,25 @@ def test_prompt_cache_equals_plain_reading(spark):
         rows += [(s, k + 1, t) for k, t in enumerate(texts)]
     got = prompt_cache(spark.createDataFrame(rows, "session_id string, turn_number long, prompt string").repartition(3), 5)
     assert {x["session_id"]: tuple(x)[1:] for x in got.collect()} == want
+
+
+def test_sessions_share_score_tables():
+    """A table of scores by distance depends on nothing of a session, and most sessions are short."""
+    from quillon.plans import fold
+
+    def run(name):
+        s = fold.Session(name)
+        for k in range(30):
+            fold.step(s, {"kind": "decision" if k % 3 else "goal", "title": f"t{k % 4}", "summary": "x", "token_count": 3, "bare": True, "payload": "x"})
+
+    run("a")
+    before = fold.table_of.cache_info().misses
+    run("b")
+    assert fold.table_of.cache_info().misses == before
+
+
+def test_both_prompts_come_from_one_pass(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["a19_w7_prompt_cache"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") + plan.count("FlatMapGroupsInPandas") == 1
