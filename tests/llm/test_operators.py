@@ -154,6 +154,22 @@ def removed(rows, width=13):
     return sorted(out)
 
 
+def test_embedding_dedup_in_rounds(spark, monkeypatch):
+    """Stripes meet in rounds whose shuffles keep to a limit; each pair of tiles meets once."""
+    r = np.random.default_rng(2)
+    x = np.repeat(r.normal(size=(60, 6)), 5, axis=0) + r.normal(size=(300, 6)) * 0.12
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {k: int(n) - 1 for k, n in enumerate((unit @ unit.T >= 0.95).sum(axis=1))}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    keep, rounds = embedding_dedup.Scratch.keep, []
+    monkeypatch.setattr(embedding_dedup.Scratch, "keep", lambda self, df, name: (rounds.append(name), keep(self, df, name))[1])
+    for name, value in {"TILE": 20, "STRIPES": 5, "ROUND": 1}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    got = embedding_dedup.near_vectors(df).collect()
+    assert {g["vec_id"]: g["n_links"] for g in got} == want
+    assert 3 <= sum(n.startswith("links-") for n in rounds) <= 5
+
+
 def test_substring_sends_only_windows_of_two_groups(spark, monkeypatch):
     """Short runs of few words repeat by chance, so that most windows have names; sent in full are those that another group has too."""
     r = random.Random(8)
