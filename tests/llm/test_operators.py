@@ -753,3 +753,62 @@ def test_recall_of_order_minhash(spark):
     got = {x["doc_id"]: x["class_id"] for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     pairs = [(a, b) for a in range(len(rows)) for b in range(a) if a // 4 == b // 4 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(pairs) > 100 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_order_minhash_sends_kmers_only_where_keys_leave_a_pair_open(spark):
+    """Pairs below the threshold meet in several buckets, where one comparison with the smallest settles all."""
+    r = random.Random(31)
+    rows = []
+    for _ in range(60):
+        w = prose(r, 3000, 5000).split()
+        rows.append((len(rows), " ".join(w)))
+        for at in r.sample(range(3000), 220):
+            w[at] = f"n{at}"
+        rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
+    df.count()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    got = order_minhash.near_duplicates(df).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == {k: k for k in range(len(rows))}
+    assert written() - before < 2 * sum(len(t) for _, t in rows)
+    df.unpersist()
+
+
+def test_order_minhash_in_blocks_and_rounds(spark, monkeypatch):
+    """Buckets of many blocks, k-mers sent by many rounds: the classes of brute force."""
+    r = random.Random(32)
+    rows = []
+    for _ in range(6):
+        w = prose(r, 120, 4000).split()
+        for v in range(12):
+            copy = list(w)
+            for at in r.sample(range(len(w)), v % 5):
+                copy[at] = f"m{at}x{v}"
+            rows.append((len(rows), " ".join(copy[: 120 - v])))
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for b in range(len(rows)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    rounds = set()
+    keep = order_minhash.Scratch.keep
+    monkeypatch.setattr(order_minhash.Scratch, "keep", lambda self, table, name: (rounds.add(name), keep(self, table, name))[1])
+    for name, value in (("BLOCK", 3), ("ROUND_BYTES", 1 << 14), ("ROUND_WORD", 0)):
+        monkeypatch.setattr(order_minhash, name, value)
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {"tested-1", "open-1", "more-1"} <= rounds
+    assert {x["doc_id"]: x["class_id"] for x in got} == {k: root(k) for k in range(len(rows))}
