@@ -192,6 +192,54 @@ def test_substring_sends_only_windows_of_two_groups(spark, monkeypatch):
     assert sum(sent) == 16
 
 
+def test_substring_rounds_read_the_last_round(spark, monkeypatch):
+    """What a round leaves is read by the next one alone, not by all later ones, but for round 0's words and what says which symbols merged."""
+    r = random.Random(11)
+    texts = [" ".join(f"w{r.randrange(9)}" for _ in range(40)) for _ in range(30)]
+    written, read = substring._written, {}
+
+    def spy(scratch, df, name):
+        root = scratch.root.rsplit("/", 1)[1]
+        read[name] = {f.split(root)[1].split("/")[1] for f in df.inputFiles() if root in f}
+        return written(scratch, df, name)
+
+    monkeypatch.setattr(substring, "_written", spy)
+    got = substring.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), group_bytes=1500, bucket_bytes=2500)
+    assert sorted((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got.collect()) == removed(list(enumerate(texts)))
+    for k in range(1, recompress.ROUNDS + 1):
+        assert read[f"round-{k}"] == {f"round-{k - 1}", f"names-{k - 1}"}
+    assert {x for x in read["prints"] if x.startswith("names")} == {"names-0", f"names-{recompress.ROUNDS}"}
+
+
+def test_substring_dedup_of_odd_words(spark):
+    """Words longer than what is hashed at a time, with equal first bytes, of several bytes a character, with NULs; all kinds of white space; null, empty and blank texts."""
+    r = random.Random(4)
+    menu = ["x" * 200 + c for c in "abc"] + ["y" * 64, "y" * 65, "abcdefgh", "abcdefgh\0", "abcdefghi", "\0", "\0\0", "É", "日本語", "\u00a0", "1", "0", "0 1"]
+    passage = [r.choice(menu[:-1]) for _ in range(30)]
+    rows = [(k, "".join(w + r.choice([" ", "\t", "\n\n", "\x0b \r", "\x0c"]) for w in [r.choice(menu) for _ in range(r.randrange(30))] + passage[k % 9 : k % 23 + 5])) for k in range(60)]
+    rows += [(100, None), (101, ""), (102, " \n "), (103, " ".join(passage)), (104, "\n".join(["z" * 5000] * 20)), (105, " ".join(["z" * 5000] * 20))]
+    for group_bytes, bucket_bytes in ((1 << 20, 1 << 20), (3000, 5000)):
+        got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=group_bytes, bucket_bytes=bucket_bytes).collect()
+        assert sorted((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got) == removed(rows)
+        assert all(hashlib.sha256(x["kept_text"].encode()).hexdigest() == x["kept_sha256"] for x in got)
+
+
+def test_lines_of_keys():
+    """Keys go to their buckets by their bytes alone and come back as they were, also from a slice."""
+    words_ = [b"a", b"a 2", b"abcdefghi" * 30, b"abcdefghi" * 30 + b"j", b"\0", b"\0\0", "é".encode()]
+    keys = pa.array(words_, pa.binary())
+    head, own = text.span_hash(keys)
+    assert len({*own.tolist()}) == len(keys) and all((x[2:] == y).all() for x, y in zip((head, own), text.span_hash(keys[2:])))
+    assert [len(x) for x in text.span_hash(keys[:0])] == [0, 0]
+    order, many = np.array([3, 0, 6, 1, 2, 5, 4]), np.array([1, 0, 0, 1, 1, 0, 1]) > 0
+    blobs = [substring.zstandard.compress(x) for x in substring._lines(keys, many, order, np.array([0, 3, 3, 7])) if x]
+    back, flags, counts = substring._read_lines(blobs)
+    assert back.to_pylist() == [words_[k] for k in order] and flags.tolist() == many[order].tolist() and counts.tolist() == [3, 4]
+    x = {g: substring._name_words()(substring._rows([(g, 1, substring.ASK, b) for g, b in enumerate(s)])) for g, s in enumerate((blobs + blobs, blobs[::-1] + blobs[::-1]))}
+    names = [[substring._replies(t.filter(pa.array([g == k for g in t["gid"].to_pylist()])), 0, 3).tolist() for k in range(4)] for t in x.values()]
+    assert names[0][:2] == names[0][2:] == names[1][:2][::-1] and min(map(min, names[0])) > 0
+
+
 @pytest.mark.parametrize("group_bytes", [1 << 20, 3000])
 def test_substring_dedup(docs, group_bytes):
     want = removed([(r["doc_id"], r["text"]) for r in docs.collect()])
