@@ -224,6 +224,24 @@ def test_substring_dedup_of_odd_words(spark):
         assert all(hashlib.sha256(x["kept_text"].encode()).hexdigest() == x["kept_sha256"] for x in got)
 
 
+def test_messages_of_any_length():
+    """Short arrays are sent as they are, long ones narrowed; both come back."""
+    for n in (0, 1, substring._SHORT, substring._SHORT + 1, 5000):
+        arrays = [np.arange(n) % 2 > 0, np.arange(n) - 3, np.arange(n) * (1 << 50) - 7, np.arange(n).astype(np.uint8)]
+        back = substring.unpack(substring.pack(*arrays))
+        assert all(x.dtype == np.int64 and (x == y).all() and len(x) == n for x, y in zip(back, arrays, strict=True))
+        assert all((x == y).all() for x, y in zip(substring.unpack(substring.pack(*arrays), wide=False), arrays, strict=True))
+
+
+def test_parts_grow_before_messages_do():
+    """Up to a bound, parts grow with the table, so that messages, which number as groups times buckets, grow as it does."""
+    sizes = [substring._dealt(gb << 30, substring.GROUP_BYTES, substring.BUCKET_BYTES) for gb in (0, 1, 2, 4, 48)]
+    assert sizes[:2] == [(1, 1), (205, 128)] and sizes[2] == (256, 128) and sizes[3][1] == 128
+    n, m = sizes[4]
+    assert n * substring.GROUP_GROWTH * substring.GROUP_BYTES >= 48 << 30 and m * substring.BUCKET_GROWTH * substring.BUCKET_BYTES >= 48 << 30
+    assert n * m < (48 << 30) ** 2 / substring.GROUP_BYTES / substring.BUCKET_BYTES / 7
+
+
 def test_lines_of_keys():
     """Keys go to their buckets by their bytes alone and come back as they were, also from a slice."""
     words_ = [b"a", b"a 2", b"abcdefghi" * 30, b"abcdefghi" * 30 + b"j", b"\0", b"\0\0", "é".encode()]
