@@ -878,3 +878,29 @@ def test_order_minhash_in_blocks_and_rounds(spark, monkeypatch):
     got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {"tested-1", "open-1", "more-1"} <= rounds
     assert {x["doc_id"]: x["class_id"] for x in got} == {k: root(k) for k in range(len(rows))}
+
+
+def test_order_minhash_sends_batches_bounded_by_bytes(spark, monkeypatch):
+    """Few rows of long texts are several batches, so that a worker's memory doesn't follow a row's length; settings are as before then."""
+    most, key = 1 << 18, "spark.sql.execution.arrow.maxBytesPerBatch"
+    r, before, sketch, verify = random.Random(8), spark.conf.get(key), order_minhash._sketch, order_minhash._verify
+    long = [prose(r, 3000) for _ in range(60)]
+    rows = [(k, long[k]) for k in range(60)] + [(100 + k, long[k] + " one more end") for k in range(60)]
+
+    def small(run):
+        def bounded(batches):
+            def each():
+                for batch in batches:
+                    assert batch.nbytes < 2 * most or batch.num_rows == 1, (batch.num_rows, batch.nbytes)
+                    yield batch
+
+            yield from run(each())
+
+        return bounded
+
+    monkeypatch.setattr(order_minhash, "BATCH_BYTES", most)
+    monkeypatch.setattr(order_minhash, "_sketch", small(sketch))
+    monkeypatch.setattr(order_minhash, "_verify", small(verify))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {x["doc_id"]: x["class_id"] for x in order_minhash.near_duplicates(df).collect()} == {k: k % 100 for k, _ in rows}
+    assert spark.conf.get(key) == before
